@@ -64,6 +64,8 @@ def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 _IS_WS = np.zeros(256, bool)
 _IS_WS[[0x20, *range(0x09, 0x0E)]] = True
+_IS_PUNCT = np.zeros(256, bool)
+_IS_PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _RNG = np.random.Generator(np.random.PCG64(20240917))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE_LOWER = _BYTE.copy()
@@ -97,7 +99,7 @@ def mix64(h: np.ndarray) -> np.ndarray:
 class Words:
     """Words of a slice of texts: byte ranges, 64-bit hashes and, by row, the range of word numbers."""
 
-    def __init__(self, arr: pa.Array, lower: bool = False):
+    def __init__(self, arr: pa.Array, lower: bool = False, trim: bool = False):
         self.raw, offs = text_bytes(arr)
         n = len(self.raw)
         solid = ~_IS_WS[self.raw]
@@ -115,8 +117,17 @@ class Words:
         self.starts = np.flatnonzero(solid & before)
         self.ends = np.flatnonzero(solid & after) + 1
         self.rows = np.searchsorted(self.starts, offs)  # len(arr) + 1 word offsets
+        if trim:
+            self._trim()
         self.hash = self._hash(_BYTE_LOWER if lower else _BYTE)
 
+    def _trim(self) -> None:
+        """Take outer ASCII punctuation off the words; a word of nothing else keeps its last character."""
+        while len(at := np.flatnonzero((self.ends - self.starts > 1) & _IS_PUNCT[self.raw[self.starts]])):
+            self.starts[at] += 1
+        while len(at := np.flatnonzero((self.ends - self.starts > 1) & _IS_PUNCT[self.raw[self.ends - 1]])):
+            self.ends[at] -= 1
+
     def _hash(self, values: np.ndarray, block: int = 1 << 19) -> np.ndarray:
         out = np.empty(len(self.starts), np.uint64)
         w = 0
