@@ -1,32 +1,56 @@
-"""The corpus pipeline: each stage works on the documents that the one before it kept."""
+"""The corpus pipeline: quality classifier, exact dedup, near-duplicate removal, decontamination, mixing.
+
+Each stage takes (spark, docs, sf_dir) and works on the documents that the one before it kept; all but the last return the
+columns of documents. The last returns the training plan of what is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import exact, mixing
-from spanforge.llm.common import cut
+from spanforge.llm import decontaminate, exact, jaccard, mixing, quality
+from spanforge.llm.common import cut, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores 0.5 or more. It is fitted on labelled rows of these documents that are not held out."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text that is equal without white space."""
     return exact.keep_exact(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of five-word-shingle Jaccard similarity 0.8 or more."""
+    return jaccard.keep_one(docs, words=5, num=80, den=100)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no copy of a benchmark item."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training plan of what is left, by position."""
     return mixing.mix(docs)
 
 
 STAGES = [
+    ("quality classifier", quality_stage),
     ("exact dedup", exact_stage),
+    ("n-gram Jaccard join", near_stage),
+    ("benchmark decontamination", decontamination_stage),
     ("mixing sources to target weights", mixing_stage),
 ]
 
-#: Trained scores and alignments have no SQL; tests hold the pipeline against brute force.
+#: A trained score and alignments have no SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
