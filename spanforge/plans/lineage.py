@@ -1,0 +1,15 @@
+"""Cutting the lineage of iterative operators."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the folder the session names in spark.checkpoint.dir (a temporary one if it names none)."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+    return df.checkpoint()

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import aggregate_queries, interval_queries, join_queries, mining_queries, rank_queries, scan_queries, statistic_queries  # noqa: F401
+from .core import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
