@@ -1 +1,187 @@
-"""Queries."""
+"""Aggregations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import vectors as V
+from ..operators import aggregates as A
+from ..operators import joins as J
+from ..operators import partitioning as P
+from ..operators import transforms as T
+from . import views
+from .core import query
+
+
+def _r(df, *cols):
+    return df.select(*[F.round(c, 6).alias(c) if c in cols else c for c in df.columns])
+
+
+def _rv(df, vec="vec"):
+    return df.withColumn(vec, F.transform(vec, lambda x: F.round(x, 6)))
+
+
+def _mean_sql(table: str, *keys: str) -> str:
+    k = ", ".join(keys)
+    return f"WITH p AS (SELECT {k}, i, round(avg(vec[i]), 6) AS x FROM {table}, (SELECT unnest(range(1, 65)) AS i) GROUP BY {k}, i) SELECT {k}, list(x ORDER BY i) AS vec FROM p GROUP BY {k}"
+
+
+@query("""WITH l AS (SELECT count(*) AS intervals, min(x)::BIGINT AS least, max(x)::BIGINT AS most, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS deviation FROM (SELECT "end" - start AS x FROM iv_bulk)),
+f AS (SELECT DISTINCT set_id FROM iv_bulk UNION ALL SELECT 'empty'), c AS (SELECT f.set_id, count(b.set_id) AS n FROM f LEFT JOIN iv_bulk b ON b.set_id = f.set_id GROUP BY 1)
+SELECT count(*) AS files, min(n)::BIGINT AS file_least, max(n)::BIGINT AS file_most, round(avg(n), 6) AS file_mean, round(stddev_samp(n), 6) AS file_deviation, any_value(intervals) AS intervals, any_value(least) AS least, any_value(most) AS most, any_value(mean) AS mean, any_value(deviation) AS deviation FROM c, l""")
+def bed_stats(spark, d):
+    b = views.iv_bulk(spark, d)
+    files = b.select("set_id").distinct().unionByName(spark.sql("SELECT 'empty' AS set_id"))
+    return _r(A.bed_stats(b, files), "file_mean", "file_deviation", "mean", "deviation")
+
+
+@query("""WITH v AS (SELECT ("end" - start)::DOUBLE AS x FROM iv_bulk WHERE "end" - start >= 50), c AS (SELECT quantile_cont(x, 0.99) AS t FROM v), k AS (SELECT x FROM v, c WHERE x <= t), e AS (SELECT min(x) AS lo, max(x) AS hi FROM k)
+SELECT least(floor((x - lo) / ((hi - lo) / 20)), 19)::INT AS bin, count(*) AS n FROM k, e GROUP BY 1""")
+def length_histogram(spark, d):
+    b = views.iv_bulk(spark, d).select((F.col("end") - F.col("start")).alias("x"))
+    return A.histogram(b, "x", 20, least=50, cap_percentile=0.99)
+
+
+_SIM = "SELECT label, round(abs(vec[1]), 4) AS x FROM vecs"
+
+
+def _similarities(spark, d):
+    return views.vecs(spark, d).select("label", F.round(F.abs(F.col("vec")[0]), 4).alias("similarity"))
+
+
+@query(f"WITH v AS ({_SIM}), e AS (SELECT min(x) AS lo, max(x) AS hi FROM v) SELECT least(floor((x - lo) / ((hi - lo) / 20)), 19)::INT AS bin, count(*) AS n FROM v, e GROUP BY 1")
+def histogram_20(spark, d):
+    return A.histogram(_similarities(spark, d), "similarity", 20)
+
+
+@query(f"""WITH v AS ({_SIM}), s AS (SELECT label, list(x ORDER BY x) AS l FROM v GROUP BY 1)
+SELECT label, round(len(list_filter(l, lambda y: y < 0.05)) / len(l), 6) AS small_share, l[-1] AS top, l[(round_even(len(l) * 0.1::DOUBLE, 0) + 1)::INT] AS p10, l[(round_even(len(l) * 0.9::DOUBLE, 0) + 1)::INT] AS p90 FROM s""")
+def tail_share(spark, d):
+    return _r(A.similarity_summary(_similarities(spark, d)), "small_share")
+
+
+@query(_mean_sql("set_vecs", "set_id"))
+def set_mean(spark, d):
+    return _rv(V.vector_mean(views.set_vecs(spark, d), ["set_id"]))
+
+
+@query(_mean_sql("set_vecs", "cell", "state"))
+def group_centroid(spark, d):
+    return _rv(V.vector_mean(views.set_vecs(spark, d), ["cell", "state"]))
+
+
+@query("""WITH v AS (SELECT label * 2 AS g, vec FROM vecs), p AS (SELECT g, i, round(avg(vec[i]), 6) AS x FROM v, (SELECT unnest(range(1, 65)) AS i) GROUP BY g, i), m AS (SELECT g, list(x ORDER BY i) AS vec FROM p GROUP BY g),
+s AS (SELECT unnest(range(0, (SELECT max(g) + 1 FROM v)))::INT AS g) SELECT s.g, coalesce(m.vec, list_transform(range(64), lambda x: 0.0::DOUBLE)) AS vec FROM s LEFT JOIN m ON m.g = s.g""")
+def scatter_mean(spark, d):
+    v = views.vecs(spark, d).select((F.col("label") * 2).alias("g"), "vec")
+    return _rv(A.scatter_mean(v, "g", "vec", 64))
+
+
+@query(_mean_sql("(SELECT label, list_transform(vec, lambda x: x * (row_idx % 5 + 1) / 5.0::DOUBLE) AS vec FROM vecs)", "label"))
+def weighted_mean(spark, d):
+    v = views.vecs(spark, d).withColumn("w", (F.col("row_idx") % 5 + 1) / F.lit(5.0))
+    return _rv(A.weighted_mean(v, ["label"], "vec", "w"))
+
+
+@query("""WITH p AS (SELECT label, i, avg(greatest(vec[i], 0)) AS x FROM vecs, (SELECT unnest(range(1, 65)) AS i) GROUP BY label, i), n AS (SELECT sqrt(sum(x * x)) AS n FROM p)
+SELECT label, list(round(x / n, 6) ORDER BY i) AS vec FROM p, n GROUP BY label""")
+def deep_set_pool(spark, d):
+    v = views.vecs(spark, d)
+    return _rv(A.pooled(v, "label", phi=lambda c: F.transform(c, lambda x: F.greatest(x, F.lit(0.0)))))
+
+
+@query("SELECT 0 AS part, row_idx, label FROM vecs WHERE row_idx % 2 = 0 UNION ALL SELECT 1, row_idx, label FROM vecs WHERE row_idx % 2 = 1")
+def all_gather_cat(spark, d):
+    v = views.vecs(spark, d).select("row_idx", "label")
+    return P.union_all(v.filter("row_idx % 2 = 0"), v.filter("row_idx % 2 = 1"))
+
+
+@query("SELECT i - 1 AS pos, round(sum(vec[i]), 6) AS total FROM vecs, (SELECT unnest(range(1, 65)) AS i) GROUP BY i")
+def all_reduce_sum(spark, d):
+    return views.vecs(spark, d).select(F.posexplode("vec").alias("pos", "x")).groupBy("pos").agg(F.round(F.sum("x"), 6).alias("total"))
+
+
+_HITS = """WITH t AS (SELECT q.row_idx AS q, s.row_idx AS s, (least(q."end", s."end") - greatest(q.start, s.start)) / least(q."end" - q.start, s."end" - s.start) AS f
+FROM iv_query q JOIN iv_sample s ON q.chrom = s.chrom AND q.start < s."end" AND s.start < q."end"),
+b AS (SELECT round_even(10 * f, 0)::INT AS bin, count(*) AS total, count(*) FILTER ((q + s) % 3 <> 0) AS hits FROM t GROUP BY 1),
+a AS (SELECT x.bin, coalesce(b.total, 0) AS total, coalesce(b.hits, 0) AS hits FROM (SELECT unnest(range(0, 11))::INT AS bin) x LEFT JOIN b ON b.bin = x.bin) """
+
+
+def _truth(spark, d):
+    t = J.overlap_join(views.iv_query(spark, d), views.iv_sample(spark, d))
+    return t, t.filter((F.col("q_row_idx") + F.col("s_row_idx")) % 3 != 0)
+
+
+@query(_HITS + "SELECT bin, total, hits, round(hits / nullif(total, 0), 6) AS recall FROM a")
+def recall_by_overlap(spark, d):
+    return _r(A.recall_by_overlap(*_truth(spark, d)), "recall")
+
+
+@query(_HITS + "SELECT bin, round(sum(hits) OVER (ORDER BY bin DESC) / nullif(sum(total) OVER (ORDER BY bin DESC), 0), 6) AS recall FROM a")
+def recall_ge_overlap(spark, d):
+    return _r(A.recall_at_least(A.recall_by_overlap(*_truth(spark, d))), "recall")
+
+
+@query(_HITS + ", c AS (SELECT q, count(*) AS n FROM t GROUP BY q) SELECT sum(n)::BIGINT AS hits, count(*) AS queries, max(n) AS deepest FROM c")
+def hit_counts(spark, d):
+    return A.hit_counts(_truth(spark, d)[0], "q_row_idx")
+
+
+@query("""SELECT DISTINCT q.chrom, q.start, q."end", s.start AS s_start, s."end" AS s_end FROM iv_query q JOIN iv_sample s ON q.chrom = s.chrom AND q.start < s."end" AND s.start < q."end" """)
+def distinct_hits(spark, d):
+    t, _ = _truth(spark, d)
+    return t.select(F.col("q_chrom").alias("chrom"), F.col("q_start").alias("start"), F.col("q_end").alias("end"), "s_start", "s_end").distinct()
+
+
+_CELLS = "SELECT label, (row_idx % 5)::INT AS k, avg(vec[1]) AS x FROM vecs WHERE NOT (label = 3 AND row_idx % 5 = 2) GROUP BY 1, 2"
+
+
+def _cells(spark, d):
+    v = views.vecs(spark, d).filter(~((F.col("label") == 3) & (F.col("row_idx") % 5 == 2)))
+    return v.groupBy("label", (F.col("row_idx") % 5).cast("int").alias("k")).agg(F.avg(F.col("vec")[0]).alias("x"))
+
+
+@query(f"WITH c AS ({_CELLS}) SELECT label AS r, k AS c, round(avg(x), 6) AS mean FROM c GROUP BY GROUPING SETS ((label), (k), ())")
+def heatmap_means(spark, d):
+    return _r(A.margins(_cells(spark, d), "label", "k", "x"), "mean")
+
+
+@query(f"WITH c AS (SELECT label, k, max(x) OVER () - x AS x FROM ({_CELLS})) SELECT label, " + ", ".join(f'round(max(CASE WHEN k = {i} THEN x END), 6) AS "{i}"' for i in range(5)) + " FROM c GROUP BY label")
+def heatmap_matrix(spark, d):
+    return _r(A.heatmap(_cells(spark, d), "label", "k", "x", list(range(5))), *map(str, range(5)))
+
+
+@query("SELECT label, round(1.96 * stddev_pop(vec[1]) / sqrt(count(*)), 6) AS ci FROM vecs GROUP BY 1")
+def conf_int95(spark, d):
+    return views.vecs(spark, d).withColumn("x", F.col("vec")[0]).groupBy("label").agg(F.round(A.confidence_95("x"), 6).alias("ci"))
+
+
+@query("SELECT round(coalesce(avg(vec[1]), 0), 6) AS mean FROM vecs UNION ALL SELECT 0.0")
+def swt_mean(spark, d):
+    v = views.vecs(spark, d).select(F.col("vec")[0].alias("x"))
+    mean = F.round(F.coalesce(F.avg("x"), F.lit(0.0)), 6).alias("mean")
+    return v.agg(mean).unionAll(v.filter("x > 1e9").agg(mean))
+
+
+@query("""WITH s AS (SELECT set_id, row_idx, CASE WHEN row_idx % 50 = 0 THEN list_transform(vec, lambda x: 0.0) ELSE vec END AS vec FROM set_vecs WHERE row_idx % 77 <> 1),
+g AS (SELECT set_id, count(*) AS n, count(*) FILTER (len(list_filter(vec, lambda x: x <> 0)) = 0) AS z FROM s GROUP BY 1), w AS (SELECT set_id, count(*) AS e FROM set_vecs GROUP BY 1)
+SELECT w.set_id, coalesce(n, 0) AS rows, e AS expected, 0 AS no_width, coalesce(z, 0) AS zeros, coalesce(n, 0) = e AND coalesce(z, 0) = 0 AS ok FROM w LEFT JOIN g ON g.set_id = w.set_id""")
+def integrity(spark, d):
+    v = views.set_vecs(spark, d)
+    stored = v.filter("row_idx % 77 <> 1").select("set_id", "row_idx", F.when(F.col("row_idx") % 50 == 0, F.transform("vec", lambda x: F.lit(0.0))).otherwise(F.col("vec")).alias("vec"))
+    return A.integrity(stored, v)
+
+
+@query("""WITH k AS (SELECT DISTINCT o_orderpriority AS set_id FROM orders UNION SELECT DISTINCT event_type FROM events) SELECT k.set_id, count(s.set_id) AS n FROM k LEFT JOIN iv_sample s ON s.set_id = k.set_id GROUP BY 1""")
+def row_count_per_set(spark, d):
+    s = views.iv_sample(spark, d)
+    known = views.iv_query(spark, d).select("set_id").union(s.select("set_id")).distinct()
+    return known.join(s.groupBy("set_id").agg(F.count("*").alias("n")), "set_id", "left").select("set_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("SELECT tick, round(avg(least(\"end\", start + tick + 50) - greatest(start, start + tick)), 6) AS overlap FROM iv_sample, (VALUES (0), (10), (100)) t(tick) GROUP BY 1")
+def swt_overlap(spark, d):
+    from ..operators.embedding_stats import swt_overlap as run
+
+    b = views.iv_sample(spark, d).select("row_idx", "chrom", "start", "end")
+    return _r(run(b, T.displaced(b, [0, 10, 100], 50)), "overlap")

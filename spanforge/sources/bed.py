@@ -18,7 +18,7 @@ def parse(rows: DataFrame, limit: int | None = None) -> DataFrame:
     limit counts rows of each set; 0 is no limit, as is none.
     """
     f = _fields(F.col("value"))
-    out = rows.filter(~F.col("value").startswith("#")).select("set_id", "line_no", f[0].alias("chrom"), f[1].try_cast("long").alias("start"), f[2].try_cast("long").alias("end"), "value")
+    out = rows.filter(~F.col("value").startswith("#")).select("set_id", "line_no", F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).try_cast("long").alias("start"), F.get(f, F.lit(2)).try_cast("long").alias("end"), "value")
     out = out.filter(require(F.col("start").isNotNull() & F.col("end").isNotNull(), F.concat(F.lit("not an interval: "), F.col("value"))))
     out = numbered(out).select("set_id", "row_idx", "chrom", "start", "end")
     return out.filter(F.col("row_idx") < limit) if limit else out
@@ -27,7 +27,7 @@ def parse(rows: DataFrame, limit: int | None = None) -> DataFrame:
 def parse_whitespace(rows: DataFrame) -> DataFrame:
     """As parse, with any white space between fields and no comments."""
     f = _fields(F.trim("value"), r"\s+")
-    return numbered(rows).select("set_id", "row_idx", f[0].alias("chrom"), f[1].cast("long").alias("start"), f[2].cast("long").alias("end"))
+    return numbered(rows).select("set_id", "row_idx", F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).cast("long").alias("start"), F.get(f, F.lit(2)).cast("long").alias("end"))
 
 
 def read(spark: SparkSession, path: str | list[str], limit: int | None = None) -> DataFrame:
@@ -67,7 +67,7 @@ def demultiplex(rows: DataFrame, samples: DataFrame, states: DataFrame) -> DataF
     the state by the fourth field. Unknown ones and lines of under 4 fields are errors. samples: (sample_id, sample); states: (label, state)."""
     f = _fields(F.col("value"))
     rows = rows.filter(require(F.size(f) >= 4, F.concat(F.lit("under 4 fields: "), F.col("value"))))
-    rows = rows.select(F.substring_index("set_id", "_", 1).alias("sample_id"), f[0].alias("chrom"), f[1].cast("long").alias("start"), f[2].cast("long").alias("end"), f[3].alias("label"))
+    rows = rows.select(F.substring_index("set_id", "_", 1).alias("sample_id"), F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).try_cast("long").alias("start"), F.get(f, F.lit(2)).try_cast("long").alias("end"), F.get(f, F.lit(3)).alias("label"))
     rows = rows.join(samples, "sample_id", "left").join(states, "label", "left")
     known = require(F.col("sample").isNotNull() & F.col("state").isNotNull(), F.concat(F.lit("unknown: "), F.col("sample_id"), F.lit(" "), F.col("label")))
     return rows.filter(known).select(F.concat_ws("_", "sample", "state").alias("set_id"), "chrom", "start", "end")

@@ -11,7 +11,7 @@ from ..functions.sequences import AS_TOKEN, letter_numbers
 def parse(records: DataFrame) -> DataFrame:
     """(chrom, seq) of records (value) that start at a >: the name is the first word of the first line, the rest is joined."""
     text = F.regexp_replace("value", "^>", "")
-    name = F.split(F.substring_index(text, "\n", 1), r"\s")[0]
+    name = F.get(F.split(F.substring_index(text, "\n", 1), r"\s"), F.lit(0))
     seq = F.regexp_replace(F.when(text.contains("\n"), F.expr("substring(regexp_replace(value, '^>', ''), instr(regexp_replace(value, '^>', ''), '\n') + 1)")).otherwise(F.lit("")), r"\s", "")
     return records.filter(F.trim(text) != "").select(name.alias("chrom"), seq.alias("seq"))
 

@@ -16,15 +16,15 @@ def parse_seqpare(rows: DataFrame, strict: bool = False) -> DataFrame:
     f = F.split(F.trim("value"), "\t" if strict else r"\s+")
     rows = rows.filter("line_no > 0")
     rows = rows.filter(require(F.size(f) >= 6, "under 6 fields") if strict else F.size(f) >= 6)
-    name = F.regexp_extract(f[5], _BED_NAME, 2)
-    rows = rows.select(F.col("set_id").alias("label"), name.alias("other"), f[4].cast("double").alias("similarity"))
+    name = F.regexp_extract(F.get(f, F.lit(5)), _BED_NAME, 2)
+    rows = rows.select(F.col("set_id").alias("label"), name.alias("other"), F.get(f, F.lit(4)).try_cast("double").alias("similarity"))
     return rows.filter(require(F.col("other") != "", "no .bed name"))
 
 
 def parse_scores(rows: DataFrame, known: DataFrame, name_field: int = 0, score_field: int = 1, extensions: int = 1) -> DataFrame:
     """(set_id, id, score) for each known name (set_id, id); other names are passed over. A known name given twice, one that is missing, or a score that is no number is an error."""
     f = F.split("value", "\t")
-    got = rows.filter("line_no > 0").select(strip_extensions(f[name_field], extensions).alias("set_id"), f[score_field].alias("text"))
+    got = rows.filter("line_no > 0").select(strip_extensions(F.get(f, F.lit(name_field)), extensions).alias("set_id"), F.get(f, F.lit(score_field)).alias("text"))
     got = got.groupBy("set_id").agg(F.count("*").alias("n"), F.first("text").alias("text"))
     out = known.join(got, "set_id", "left")
     ok = require(F.coalesce(F.col("n"), F.lit(0)) == 1, F.concat(F.lit("missing or given twice: "), F.col("set_id")))
@@ -36,7 +36,7 @@ def parse_legacy_ranks(rows: DataFrame) -> DataFrame:
     f = F.split("value", "\t")
     header = rows.filter("line_no = 0").select("set_id", F.array_position(f, "combo_score").cast("int").alias("at"))
     body = rows.filter((F.col("line_no") > 0) & ~F.col("value").startswith("#")).join(F.broadcast(header), "set_id")
-    body = body.select(F.col("set_id").alias("base"), clean_name(F.substring_index(f[0], "/", -1)).alias("other"), F.element_at(f, F.col("at")).cast("double").alias("score"), "line_no")
+    body = body.select(F.col("set_id").alias("base"), clean_name(F.substring_index(F.get(f, F.lit(0)), "/", -1)).alias("other"), F.get(f, F.col("at") - 1).try_cast("double").alias("score"), "line_no")
     w = Window.partitionBy("base").orderBy(F.col("score").desc(), "line_no")
     return body.select("base", "other", "score", F.row_number().over(w).alias("rank"))
 
@@ -47,7 +47,7 @@ def parse_legacy_hits(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("set_id").orderBy("line_no")
     rows = rows.withColumn("query", F.last(head, ignorenulls=True).over(w)).filter(~F.col("value").startswith("#"))
     f = F.split("value", "\t")
-    return rows.select("set_id", "query", f[0].alias("chrom"), f[1].cast("long").alias("start"), f[2].cast("long").alias("end"))
+    return rows.select("set_id", "query", F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).try_cast("long").alias("start"), F.get(f, F.lit(2)).try_cast("long").alias("end"))
 
 
 def write_scores(df: DataFrame, path: str) -> None:
