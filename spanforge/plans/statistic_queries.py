@@ -39,8 +39,8 @@ def npt(spark, d):
     return _r(S.npt(views.vec_iv(spark, d), 20), "npr")
 
 
-@query("""WITH p AS (SELECT row_idx AS i, chrom, floor(start + ("end" - start) * (k + 0.5) / 8.0::DOUBLE) AS at FROM iv_sample, (SELECT unnest(range(0, 8)) AS k)),
-h AS (SELECT DISTINCT i, row_idx AS j FROM p JOIN iv_sample s ON s.chrom = p.chrom AND i < row_idx AND at >= s.start AND at <= s."end")
+@query("""WITH p AS (SELECT row_idx AS i, chrom, floor(start + ("end" - start) * (k + 0.5) / 8.0::DOUBLE) AS pt FROM iv_sample, (SELECT unnest(range(0, 8)) AS k)),
+h AS (SELECT DISTINCT i, row_idx AS j FROM p JOIN iv_sample s ON s.chrom = p.chrom AND i < row_idx AND pt >= s.start AND pt <= s."end")
 SELECT count(*) AS pairs, round(count(*) / ((SELECT count(*) * (count(*) - 1) / 2 FROM iv_sample)), 9) AS share FROM h""")
 def cct_intersection(spark, d):
     return S.cct_intersection(views.iv_sample(spark, d)).select("pairs", F.round("share", 9).alias("share"))

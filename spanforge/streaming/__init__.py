@@ -1 +1 @@
-
+"""Streams of interval files."""
