@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 #: The chromatin states that end a set's name.
 CHROMATIN_STATES = (
-    "Active_TSS", "Flanking_Active_TSS", "Transcr._at_gene_5'_and_3'", "Strong_transcription", "Weak_transcription",
-    "Genic_enhancers", "Enhancers", "ZNF_genes_and_repeats", "Heterochromatin", "Bivalent_Poised_TSS",
-    "Flanking_Bivalent_TSS_Enh", "Bivalent_Enhancer", "Repressed_PolyComb", "Weak_Repressed_PolyComb", "Quiescent_Low",
+    "Active_TSS", "Flanking_Active_TSS", "Strong_transcription", "Weak_transcription", "Enhancers", "Genic_enhancers",
+    "ZNF_genes_and_repeats", "Heterochromatin", "Bivalent_Poised_TSS", "Flanking_Bivalent_TSS_Enh", "Bivalent_Enhancer",
+    "Repressed_PolyComb", "Weak_Repressed_PolyComb", "Transcr_at_gene_5_and_3", "Quiescent_Low",
 )
 
 

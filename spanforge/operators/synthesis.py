@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rounded chromosome sizes in megabases, chr1 … chr22, chrX, chrY.
-MEGABASES = (249, 243, 198, 191, 181, 171, 159, 146, 141, 135, 135, 133, 115, 107, 102, 90, 81, 78, 59, 63, 48, 51, 155, 59)
+MEGABASES = (
+    248.96, 242.19, 198.30, 190.21, 181.54, 170.81, 159.35, 145.14, 138.39, 133.80, 135.09, 133.28,
+    114.36, 107.04, 101.99, 90.34, 83.26, 80.37, 58.62, 64.44, 46.71, 50.82, 156.04, 57.23,
+)
 
 
 def chrom_sizes(spark: SparkSession) -> DataFrame:
     names = [*map(str, range(1, 23)), "X", "Y"]
-    return spark.createDataFrame([(f"chr{n}", m * 1_000_000) for n, m in zip(names, MEGABASES, strict=True)], "chrom string, size long")
+    return spark.createDataFrame([(f"chr{n}", round(m * 1e6)) for n, m in zip(names, MEGABASES, strict=True)], "chrom string, size long")
 
 
 def _draw(*parts: Column | int) -> Column:

@@ -50,8 +50,12 @@ def parse_legacy_hits(rows: DataFrame) -> DataFrame:
     return rows.select("set_id", "query", F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).try_cast("long").alias("start"), F.get(f, F.lit(2)).try_cast("long").alias("end"))
 
 
+#: The header of a score file.
+SCORE_COLUMNS = ("name", "cmodel_delta", "foundation_model_delta")
+
+
 def write_scores(df: DataFrame, path: str) -> None:
-    df.select("name", "cmodel_delta", "foundation_model_delta").write.csv(path, sep="\t", header=True)
+    df.select(*SCORE_COLUMNS).write.csv(path, sep="\t", header=True)
 
 
 def write_embeddings(df: DataFrame, path: str) -> None:
