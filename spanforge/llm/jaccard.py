@@ -136,7 +136,7 @@ def _emit(n: int, num: int, den: int, parts: int):
             nonlocal keys, handles, held, turn
             k, h, first, count = _runs(np.concatenate(keys), np.concatenate(handles))
             keys, handles, held = [], [], 0
-            rows, pairs, centre_k, centre_h = [], [], [], []
+            rows, centre_k, centre_h = [], [], []
             keep = np.ones(len(k), bool)
             for i in np.flatnonzero(count > HOT):
                 mine = slice(first[i], first[i] + count[i])
@@ -145,9 +145,6 @@ def _emit(n: int, num: int, den: int, parts: int):
                 centre_h.append(h[first[i]])
                 turn += 1
                 rows += _members(turn % parts, k[first[i]], h[mine])
-                pairs.append(np.stack((np.full(count[i] - 1, h[first[i]]), h[mine][1:])).view(np.int64))
-            turn += 1
-            rows += _pairs_out(pairs, turn % parts)
             for kind, kk, hh in ((_ENTRIES, k[keep], h[keep]), (_CENTRES, np.array(centre_k, np.uint64), np.array(centre_h, np.uint64))):
                 part = ((kk >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # grows with the key
                 cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
@@ -176,7 +173,7 @@ def _emit(n: int, num: int, den: int, parts: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of handles that share a block key; of large buckets a star, and the members for a second look."""
+    """Candidate pairs of handles that share a block key; of large buckets the members."""
     keys, handles, hot = [], [], []
     for batch in batches:
         kinds, bodies = batch.column("kind").to_numpy(), batch.column("body")
@@ -202,10 +199,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs.append(np.stack((group[:, i].ravel(), group[:, j].ravel())).view(np.int64))
     rows: list[tuple] = []
     for i in np.flatnonzero((count > PAIRED) | known):
-        mine = h[first[i] : first[i] + count[i]]
-        rows += _members(0, k[first[i]], mine)
-        if count[i] > 1:
-            pairs.append(np.stack((np.full(count[i] - 1, mine[0]), mine[1:])).view(np.int64))
+        rows += _members(0, k[first[i]], h[first[i] : first[i] + count[i]])
         if len(rows) > 2048:
             yield _out(rows)
             rows = []
@@ -214,31 +208,113 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _out(rows[i : i + (1 << 16)])
 
 
-def _verify(n: int, num: int, den: int):
+def _verify(n: int, num: int, den: int, parts: int):
+    """Of each pair of texts, the link if they are similar; for a hub (a) and a member (b) of its buckets, also the tokens
+    by which the member can be told from the hub, dealt out by token.
+
+    Let D(u) be the shingles in which member u differs from hub b, added ones before missing ones. Two members differ by
+    |D(u)| + |D(v)| − 2 |D(u) ∩ D(v)|, so similar ones have a first common token of D among the first k(u) + 1 of each, with
+    k(u) the most that u can differ from a similar set. If u is not linked to b, it is also among the first
+    |D(v)| − floor(num |D(v)| / (num + den)) of v. So unlinked members are looked up by their k(u) + 1 tokens among all members' shorter lists:
+    members that differ from the hub in ways of their own never meet.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, handles, full, held = [], [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal keys, handles, full, held
+            k, h, f = np.concatenate(keys), np.concatenate(handles), np.concatenate(full)
+            keys, handles, full, held = [], [], [], 0
+            order = np.argsort(k)
+            k, h, f = k[order], h[order], f[order]
+            cuts = np.searchsorted(((k >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+            yield _out([(int(p), _ENTRIES, None, None, k[cuts[p] : cuts[p + 1]].tobytes() + h[cuts[p] : cuts[p + 1]].tobytes() + f[cuts[p] : cuts[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(cuts))])
+
         for batch in sliced(sliced(batches, "text_a", 2 << 20), "text_b", 2 << 20):
             left, right = shingle_sets(batch.column("text_a"), n), shingle_sets(batch.column("text_b"), n)
-            ha, hb = batch.column("h_a").to_pylist(), batch.column("h_b").to_pylist()
+            ha, hb, star = (batch.column(c).to_pylist() for c in ("h_a", "h_b", "star"))
             ok = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                if min(len(x), len(y)) * den < max(len(x), len(y)) * num:
-                    continue
-                same = len(np.intersect1d(x, y, assume_unique=True))
+                near = min(len(x), len(y)) * den >= max(len(x), len(y)) * num
                 # rows that repeat a doc_id with another text are told apart by their set's hash
-                ok[i] = same * den >= num * (len(x) + len(y) - same) and set_hashes(x)[0] == ha[i] and set_hashes(y)[0] == hb[i]
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+                if not (near or star[i]) or set_hashes(x)[0] != ha[i] or set_hashes(y)[0] != hb[i]:
+                    continue
+                added = y[~np.isin(y, x, assume_unique=True)]
+                same = len(y) - len(added)
+                ok[i] = same * den >= num * (len(x) + len(y) - same)
+                if star[i]:
+                    tokens = np.concatenate((added, x[~np.isin(x, y, assume_unique=True)]))
+                    most = (den - num) * (len(y) + len(y) * den // num) // (den + num) + 1
+                    short = min(most, len(tokens) - num * len(tokens) // (num + den))
+                    tokens = tokens[: short if ok[i] else most]
+                    keys.append(mix64(tokens ^ mix64(np.array([ha[i]], np.int64).view(np.uint64))))
+                    handles.append(np.full(len(tokens), hb[i], np.int64))
+                    full.append(np.full(len(tokens), 0 if ok[i] else 2, np.uint8) + (np.arange(len(tokens)) < short))
+                    held += len(tokens)
+            if ok.any():
+                kept = batch.filter(pa.array(ok))
+                m = kept.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(np.full(m, _PAIR, np.int32)), kept.column("a"), kept.column("b"), pa.nulls(m, pa.binary())], names=["part", "kind", "a", "b", "body"])
+            if held >= FLUSH:
+                yield from flush()
+        if held:
+            yield from flush()
 
     return run
 
 
-def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs of handles (a, b) that are similar, as links between their representatives (a, b)."""
+def _meet_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of handles, at least one of them unlinked to the hub (bit 2), that share a token of their lists (bit 1: of the shorter one)."""
+    keys, handles, flags = [], [], []
+    for batch in batches:
+        for body in batch.column("body"):
+            raw = body.as_py()
+            m = len(raw) // 17
+            keys.append(np.frombuffer(raw, np.uint64, m))
+            handles.append(np.frombuffer(raw, np.int64, m, 8 * m))
+            flags.append(np.frombuffer(raw, np.uint8, m, 16 * m))
+    if not keys:
+        return
+    k, h, f = np.concatenate(keys), np.concatenate(handles), np.concatenate(flags)
+    order = np.argsort(k, kind="stable")
+    k, h, f = k[order], h[order], f[order]
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    count = np.diff(np.append(first, len(k)))
+    full = np.add.reduceat((f & 2 > 0).astype(np.int64), first)
+    pairs = []
+    held = 0
+    for i in np.flatnonzero((count > 1) & (full > 0)):
+        mine = slice(first[i], first[i] + count[i])
+        u, v = h[mine][f[mine] & 2 > 0], h[mine][f[mine] & 1 > 0]
+        for x in np.array_split(u, max(1, len(u) * len(v) >> 20)):
+            a, b = np.repeat(x, len(v)), np.tile(v, len(x))
+            pairs.append(np.stack((np.minimum(a, b), np.maximum(a, b)))[:, a != b])
+            held += pairs[-1].shape[1]
+        if held > 1 << 20:
+            yield _out(_pairs_out(pairs))
+            pairs, held = [], 0
+    if held:
+        yield _out(_pairs_out(pairs))
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame:
+    """Pairs of handles (a, b, star) against their whole texts: links between representatives, and hub tokens of stars."""
     rep = classes.select(F.col("h1").alias("h_a"), F.col("rep").alias("a"), F.col("n").alias("n_a"))
     other = classes.select(F.col("h1").alias("h_b"), F.col("rep").alias("b"), F.col("n").alias("n_b"))
-    named = pairs.select(F.col("a").alias("h_a"), F.col("b").alias("h_b")).distinct().join(rep, "h_a").join(other, "h_b")
-    named = named.filter((F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (F.col("a") != F.col("b"))).select("a", "b", "h_a", "h_b")
+    named = pairs.groupBy(F.col("a").alias("h_a"), F.col("b").alias("h_b")).agg(F.max("star").alias("star")).join(rep, "h_a").join(other, "h_b")
+    named = named.filter((F.col("star") | (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)) & (F.col("a") != F.col("b"))).select("a", "b", "h_a", "h_b", "star")
     both = named.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return cut(both.select("a", "b", "h_a", "h_b", "text_a", "text_b").mapInArrow(_verify(n, num, den), "a long, b long"))
+    return cut(both.select("a", "b", "h_a", "h_b", "star", "text_a", "text_b").mapInArrow(_verify(n, num, den, parts), _BUCKET))
+
+
+def _stars(met: DataFrame) -> DataFrame:
+    """(hub, member) handles of large buckets. A bucket's hub is the member that is in most large buckets: where copies were
+    made from one text, that text is in all of them."""
+    members = cut(met.filter(f"kind = {_MEMBERS}").select(F.col("a").alias("bucket"), "body").mapInArrow(_unpack, "bucket long, h1 long").distinct())
+    degree = members.groupBy("h1").agg(F.count("*").alias("degree"))
+    hubs = members.join(degree, "h1").groupBy("bucket").agg(F.max_by("h1", F.struct("degree", "h1")).alias("hub"))
+    return members.join(hubs, "bucket").filter("h1 != hub").select(F.col("hub").alias("a"), F.col("h1").alias("b"), F.lit(True).alias("star")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -246,10 +322,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     more are linked, and component_id is the smallest doc_id that links reach.
 
     1. Equal sets fall together by hash. 2. Parity sketches of distinct sets, banded by size, meet where a block agrees;
-    copies within a task and keys that one task holds many times are folded before the shuffle. A bucket of up to 16 sets is
-    paired whole, a larger one as a star. 3. Pairs are verified on whole texts. 4. Of the larger buckets, sets that are not yet in one component are
-    paired with each other (joined by bucket) and verified: pairs within a component can add nothing. So no link that could join
-    components is lost.
+    copies within a task, and keys that one task holds many times, are folded before the shuffle. A bucket of up to 16 sets
+    is paired whole; the sets of a larger one are paired with its hub. 3. Pairs are verified on whole texts. 4. Members of large
+    buckets that are not linked to the hub meet those whose differences from the hub overlap theirs enough (see `_verify`),
+    and those pairs are verified too. So no link between components is lost, and no group is paired whole.
     Null or empty text: no shingles, linked with nothing. Null doc_id: counted, linked with nothing, component_id null. Rows that share a doc_id
     are one node of the graph. No rows in, none out; columns besides doc_id and text are not read.
     """
@@ -268,18 +344,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     parts = partitions(spark)
     met = texts.filter("doc_id IS NOT NULL").select("text").mapInArrow(_emit(words, num, den, parts), _BUCKET).repartitionById(parts, "part").mapInArrow(_meet, _BUCKET)
     met = cut(met.select("kind", "a", "b", "body"))
-    links = _links(met.filter(f"kind = {_PAIR}"), classes, texts, words, num, den)
-    found = cut(components(links))
-    large = met.filter(f"kind = {_MEMBERS}").select(F.col("a").alias("bucket"), "body")
-    if not large.isEmpty():
-        members = cut(large.mapInArrow(_unpack, "bucket long, h1 long").distinct().join(classes, "h1").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "h1", "n", F.coalesce("component", "rep").alias("c")))
-        mixed = members.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
-        members = members.join(mixed, "bucket")
-        again = members.alias("x").join(members.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")) & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num))
-        again = again.select(F.least("x.h1", "y.h1").alias("a"), F.greatest("x.h1", "y.h1").alias("b"))
-        more = _links(again, classes, texts, words, num, den)
-        if not more.isEmpty():
-            found = components(links.unionByName(more))
+    pairs = met.filter(f"kind = {_PAIR}").select("a", "b", F.lit(False).alias("star"))
+    if not met.filter(f"kind = {_MEMBERS}").isEmpty():
+        pairs = pairs.unionByName(_stars(met))
+    seen = _verified(pairs, classes, texts, words, num, den, parts)
+    links = seen.filter(f"kind = {_PAIR}").select("a", "b")
+    tokens = seen.filter(f"kind = {_ENTRIES}")
+    if not tokens.isEmpty():
+        again = cut(tokens.repartitionById(parts, "part").mapInArrow(_meet_members, _BUCKET).select("a", "b").distinct())
+        if not again.isEmpty():
+            links = links.unionByName(_verified(again.withColumn("star", F.lit(False)), classes, texts, words, num, den, parts).select("a", "b"))
+    found = components(links)
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(named, ["h1", "h2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
