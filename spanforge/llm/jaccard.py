@@ -214,8 +214,9 @@ def _verify(n: int, num: int, den: int, parts: int):
 
     Let D(u) be the shingles in which member u differs from hub b, added ones before missing ones. Two members differ by
     |D(u)| + |D(v)| − 2 |D(u) ∩ D(v)|, so similar ones have a first common token of D among the first k(u) + 1 of each, with
-    k(u) the most that u can differ from a similar set. If u is not linked to b, it is also among the first
-    |D(v)| − floor(num |D(v)| / (num + den)) of v. So unlinked members are looked up by their k(u) + 1 tokens among all members' shorter lists:
+    k(u) the most that u can differ from a similar set. If u is not linked to b, then |D(u)| > r (|u| + |b|) with
+    r = (den − num) / (den + num), so they share over (|D(v)| + r (|b| − |v|)) / 2, and the first of those is among as many less
+    of v's. So unlinked members are looked up by their k(u) + 1 tokens among all members' shorter lists:
     members that differ from the hub in ways of their own never meet.
     """
 
@@ -246,7 +247,7 @@ def _verify(n: int, num: int, den: int, parts: int):
                 if star[i]:
                     tokens = np.concatenate((added, x[~np.isin(x, y, assume_unique=True)]))
                     most = (den - num) * (len(y) + len(y) * den // num) // (den + num) + 1
-                    short = min(most, len(tokens) - num * len(tokens) // (num + den))
+                    short = min(most, len(tokens) - max(0, (den + num) * len(tokens) + (den - num) * (len(x) - len(y))) // (2 * (den + num)))
                     tokens = tokens[: short if ok[i] else most]
                     keys.append(mix64(tokens ^ mix64(np.array([ha[i]], np.int64).view(np.uint64))))
                     handles.append(np.full(len(tokens), hb[i], np.int64))
