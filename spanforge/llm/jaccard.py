@@ -18,6 +18,10 @@ from .graph import components
 #: A bucket of more sketches than this is not paired whole at first; entries of one flush that share a block key more often
 #: than HOT leave their task as one.
 PAIRED, HOT, FLUSH = 16, 64, 200_000
+#: One text in SAMPLE tells which shingles are common; up to COMMON of them are known as such. This only orders shingles.
+SAMPLE, COMMON = 16, 200_000
+#: Up to so many documents with candidates are told to the scan of the texts; more are joined in the shuffle alone.
+TOLD = 500_000
 _NONE = np.zeros(0, np.uint64)
 
 
@@ -208,11 +212,40 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _out(rows[i : i + (1 << 16)])
 
 
-def _verify(n: int, num: int, den: int, parts: int):
+def _common(texts: DataFrame, n: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a sample of the texts have, sorted, and how many have each."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            sets = shingle_sets(batch.column("text"), n)
+            k, c = np.unique(np.concatenate(sets), return_counts=True) if sets else (_NONE, _NONE)
+            cuts = np.searchsorted(((k >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+            yield _out([(int(p), _ENTRIES, None, None, k[cuts[p] : cuts[p + 1]].tobytes() + c[cuts[p] : cuts[p + 1]].astype(np.uint64).tobytes()) for p in np.flatnonzero(np.diff(cuts))])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [np.frombuffer(body.as_py(), np.uint64).reshape(2, -1) for batch in batches for body in batch.column("body")]
+        if not got:
+            return
+        k, c = np.concatenate(got, axis=1)
+        order = np.argsort(k)
+        k, c = k[order], c[order]
+        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        total = np.add.reduceat(c, first)
+        keep = total >= 3
+        yield pa.RecordBatch.from_arrays([pa.array(k[first][keep].view(np.int64)), pa.array(total[keep].astype(np.int64))], names=["token", "n"])
+
+    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")
+    rows = some.mapInArrow(count, _BUCKET).repartitionById(parts, "part").mapInArrow(add, "token long, n long").orderBy(F.col("n").desc(), "token").limit(COMMON).toArrow()
+    token = rows.column("token").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], rows.column("n").to_numpy()[order]
+
+
+def _verify(n: int, num: int, den: int, parts: int, common: tuple[np.ndarray, np.ndarray]):
     """Of each pair of texts, the link if they are similar; for a hub (a) and a member (b) of its buckets, also the tokens
     by which the member can be told from the hub, dealt out by token.
 
-    Let D(u) be the shingles in which member u differs from hub b, added ones before missing ones. Two members differ by
+    Let D(u) be the shingles in which member u differs from hub b, those that are rare in a sample of the corpus first, added ones before missing ones. Two members differ by
     |D(u)| + |D(v)| − 2 |D(u) ∩ D(v)|, so similar ones have a first common token of D among the first k(u) + 1 of each, with
     k(u) the most that u can differ from a similar set. If u is not linked to b, then |D(u)| > r (|u| + |b|) with
     r = (den − num) / (den + num), so they share over (|D(v)| + r (|b| − |v|)) / 2, and the first of those is among as many less
@@ -246,6 +279,9 @@ def _verify(n: int, num: int, den: int, parts: int):
                 ok[i] = same * den >= num * (len(x) + len(y) - same)
                 if star[i]:
                     tokens = np.concatenate((added, x[~np.isin(x, y, assume_unique=True)]))
+                    if len(common[0]):
+                        at = np.minimum(np.searchsorted(common[0], tokens), len(common[0]) - 1)
+                        tokens = tokens[np.argsort(np.where(common[0][at] == tokens, common[1][at], 0), kind="stable")]
                     most = (den - num) * (len(y) + len(y) * den // num) // (den + num) + 1
                     short = min(most, len(tokens) - max(0, (den + num) * len(tokens) + (den - num) * (len(x) - len(y))) // (2 * (den + num)))
                     tokens = tokens[: short if ok[i] else most]
@@ -299,14 +335,18 @@ def _meet_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _out(_pairs_out(pairs))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, num: int, den: int, parts: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, num: int, den: int, parts: int, common: tuple[np.ndarray, np.ndarray] = (_NONE, _NONE)) -> DataFrame:
     """Pairs of handles (a, b, star) against their whole texts: links between representatives, and hub tokens of stars."""
     rep = classes.select(F.col("h1").alias("h_a"), F.col("rep").alias("a"), F.col("n").alias("n_a"))
     other = classes.select(F.col("h1").alias("h_b"), F.col("rep").alias("b"), F.col("n").alias("n_b"))
     named = pairs.groupBy(F.col("a").alias("h_a"), F.col("b").alias("h_b")).agg(F.max("star").alias("star")).join(rep, "h_a").join(other, "h_b")
     named = named.filter((F.col("star") | (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)) & (F.col("a") != F.col("b"))).select("a", "b", "h_a", "h_b", "star")
+    named = cut(named)
+    ids = cut(named.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    if ids.count() <= TOLD:
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
     both = named.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return cut(both.select("a", "b", "h_a", "h_b", "star", "text_a", "text_b").mapInArrow(_verify(n, num, den, parts), _BUCKET))
+    return cut(both.select("a", "b", "h_a", "h_b", "star", "text_a", "text_b").mapInArrow(_verify(n, num, den, parts, common), _BUCKET))
 
 
 def _stars(met: DataFrame) -> DataFrame:
@@ -345,10 +385,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     parts = partitions(spark)
     met = texts.filter("doc_id IS NOT NULL").select("text").mapInArrow(_emit(words, num, den, parts), _BUCKET).repartitionById(parts, "part").mapInArrow(_meet, _BUCKET)
     met = cut(met.select("kind", "a", "b", "body"))
-    pairs = met.filter(f"kind = {_PAIR}").select("a", "b", F.lit(False).alias("star"))
+    pairs, common = met.filter(f"kind = {_PAIR}").select("a", "b", F.lit(False).alias("star")), (_NONE, _NONE)
     if not met.filter(f"kind = {_MEMBERS}").isEmpty():
-        pairs = pairs.unionByName(_stars(met))
-    seen = _verified(pairs, classes, texts, words, num, den, parts)
+        pairs, common = pairs.unionByName(_stars(met)), _common(texts, words, parts)
+    seen = _verified(pairs, classes, texts, words, num, den, parts, common)
     links = seen.filter(f"kind = {_PAIR}").select("a", "b")
     tokens = seen.filter(f"kind = {_ENTRIES}")
     if not tokens.isEmpty():
