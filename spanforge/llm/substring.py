@@ -18,8 +18,8 @@ _ANCHORS, _WINDOWS = 0, 1
 _TOP = np.uint64(2**64 - 1)
 
 
-def recompress(symbols: np.ndarray, rows: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, first word, last word + 1 that decide it) of each symbol left after some rounds over each row's words.
+def recompress(symbols: np.ndarray, rows: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(name, first word, last word + 1 that decide it, words it stands for) of each symbol left after some rounds over each row's words.
 
     A round names maximal runs of one symbol, then pairs: a symbol's hash says whether it is a left or a right one, and each
     left symbol before a right one is named with it as a pair. Names are hashes of what they stand for, so that every task gives
@@ -28,7 +28,7 @@ def recompress(symbols: np.ndarray, rows: np.ndarray, rounds: int = ROUNDS) -> t
     word beyond the row: no passage inside has it.
     """
     n = len(symbols)
-    first, last = np.arange(n), np.arange(1, n + 1)
+    first, last, stands = np.arange(n), np.arange(1, n + 1), np.ones(n, np.int64)
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
     for r in range(rounds):
         if not len(symbols):
@@ -43,7 +43,7 @@ def recompress(symbols: np.ndarray, rows: np.ndarray, rounds: int = ROUNDS) -> t
         f = np.where(before, np.minimum(lo, np.concatenate(([0], first[at - 1][1:]))), rows[row[at]] - 1)
         e = np.where(after, np.maximum(hi, np.concatenate((last[(at + size)[:-1]], [0]))), rows[row[at] + 1] + 1)
         name = np.where(size > 1, mix64(symbols[at] + size.astype(np.uint64) * np.uint64(0xD6E8_FEB8_6659_FD93)), symbols[at])
-        symbols, row, first, last = name, row[at], f, e
+        symbols, row, first, last, stands = name, row[at], f, e, np.add.reduceat(stands, at)
         # pairs
         left = (mix64(symbols + np.uint64((r + 1) * 0xA24B_AED4_963E_E407 % 2**64)) & np.uint64(1)).astype(bool)
         before, after = _neighbours(row)
@@ -64,8 +64,8 @@ def recompress(symbols: np.ndarray, rows: np.ndarray, rounds: int = ROUNDS) -> t
         name = np.where(pair, mix64(mix64(symbols[at] ^ np.uint64(0x8EBC_6AF0_9C88_C6E3)) + symbols[nxt]), symbols[at])
         f2 = np.where(pair, np.minimum(f[at], f[nxt]), f[at])
         e2 = np.where(pair, np.maximum(e[at], e[nxt]), e[at])
-        symbols, row, first, last = name, row[at], f2, e2
-    return symbols, first, last
+        symbols, row, first, last, stands = name, row[at], f2, e2, stands[at] + np.where(pair, stands[nxt], 0)
+    return symbols, first, last, stands
 
 
 def _neighbours(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +75,8 @@ def _neighbours(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Unit:
-    """Words of a unit, its windows, and the anchor of each window: the least-named symbol that the window decides alone."""
+    """Words of a unit, its windows, and the anchor of each window: of the symbols that the window decides alone, one that
+    stands for the most words (it is shared least by chance), the least-named of those."""
 
     def __init__(self, batch: pa.RecordBatch, width: int):
         self.words = w = Words(batch.column("text"))
@@ -94,9 +95,10 @@ class _Unit:
         self.row = row[self.at]
         both = grams(w.hash, width)[self.at]
         self.window = both
-        names, first, last = recompress(w.hash, rows)
+        names, first, last, stands = recompress(w.hash, rows)
         fits = (last - first <= width) & (last <= n) & (first >= 0)
-        names, first, last = names[fits], first[fits], last[fits]
+        first, last = first[fits], last[fits]
+        names = (15 - np.minimum(stands[fits], 15)).astype(np.uint64) << np.uint64(60) | names[fits] >> np.uint64(4)
         least = np.full(n + 1, _TOP)
         # windows that start at last − width … first hold the symbol
         for back in range(width):

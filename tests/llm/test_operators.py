@@ -161,7 +161,7 @@ def test_recompression_is_local():
         for _ in range(2):
             before = rng.integers(0, 6, 17).astype(np.uint64)
             text = np.concatenate((before, passage, rng.integers(0, 6, 9).astype(np.uint64)))
-            name, first, last = substring.recompress(text, np.array([0, len(text)]), rounds)
+            name, first, last, _ = substring.recompress(text, np.array([0, len(text)]), rounds)
             inside = (first >= 17) & (last <= 57)
             found.append(set(zip(name[inside].tolist(), (first[inside] - 17).tolist(), (last[inside] - 17).tolist(), strict=True)))
         assert found[0] == found[1] and found[0]
