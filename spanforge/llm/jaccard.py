@@ -99,6 +99,8 @@ def block_keys(s: np.ndarray, b: Bands) -> np.ndarray:
 
 _BUCKET = "part int, kind int, a long, b long, body binary"
 _ENTRIES, _PAIR, _MEMBERS, _CENTRES = 0, 1, 2, 3
+#: A member's token: place in its list, length of the list, size of its set, whether it is in the long and in the short list.
+_MEMBER = np.dtype([("key", np.uint64), ("handle", np.int64), ("at", np.int32), ("differ", np.int32), ("size", np.int64), ("full", bool), ("short", bool)])
 
 
 def _out(rows: list[tuple]) -> pa.RecordBatch:
@@ -245,7 +247,7 @@ def _verify(n: int, num: int, den: int, parts: int, common: tuple[np.ndarray, np
     """Of each pair of texts, the link if they are similar; for a hub (a) and a member (b) of its buckets, also the tokens
     by which the member can be told from the hub, dealt out by token.
 
-    Let D(u) be the shingles in which member u differs from hub b, those that are rare in a sample of the corpus first, added ones before missing ones. Two members differ by
+    Let D(u) be the shingles in which member u differs from hub b, added ones before missing ones, those that by a sample of the corpus few members differ in first. Two members differ by
     |D(u)| + |D(v)| − 2 |D(u) ∩ D(v)|, so similar ones have a first common token of D among the first k(u) + 1 of each, with
     k(u) the most that u can differ from a similar set. If u is not linked to b, then |D(u)| > r (|u| + |b|) with
     r = (den − num) / (den + num), so they share over (|D(v)| + r (|b| − |v|)) / 2, and the first of those is among as many less
@@ -254,16 +256,15 @@ def _verify(n: int, num: int, den: int, parts: int, common: tuple[np.ndarray, np
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, handles, full, held = [], [], [], 0
+        entries, held = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal keys, handles, full, held
-            k, h, f = np.concatenate(keys), np.concatenate(handles), np.concatenate(full)
-            keys, handles, full, held = [], [], [], 0
-            order = np.argsort(k)
-            k, h, f = k[order], h[order], f[order]
-            cuts = np.searchsorted(((k >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
-            yield _out([(int(p), _ENTRIES, None, None, k[cuts[p] : cuts[p + 1]].tobytes() + h[cuts[p] : cuts[p + 1]].tobytes() + f[cuts[p] : cuts[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(cuts))])
+            nonlocal entries, held
+            e = np.concatenate(entries)
+            entries, held = [], 0
+            e = e[np.argsort(e["key"], kind="stable")]
+            cuts = np.searchsorted(((e["key"] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+            yield _out([(int(p), _ENTRIES, None, None, e[cuts[p] : cuts[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(cuts))])
 
         for batch in sliced(sliced(batches, "text_a", 2 << 20), "text_b", 2 << 20):
             left, right = shingle_sets(batch.column("text_a"), n), shingle_sets(batch.column("text_b"), n)
@@ -281,13 +282,18 @@ def _verify(n: int, num: int, den: int, parts: int, common: tuple[np.ndarray, np
                     tokens = np.concatenate((added, x[~np.isin(x, y, assume_unique=True)]))
                     if len(common[0]):
                         at = np.minimum(np.searchsorted(common[0], tokens), len(common[0]) - 1)
-                        tokens = tokens[np.argsort(np.where(common[0][at] == tokens, common[1][at], 0), kind="stable")]
+                        held_by = np.where(common[0][at] == tokens, common[1][at], 0)
+                        held_by[len(added) :] = (1 << 62) - held_by[len(added) :]  # of the hub's own: what many have, few lack
+                        tokens = tokens[np.argsort(held_by, kind="stable")]
                     most = (den - num) * (len(y) + len(y) * den // num) // (den + num) + 1
                     short = min(most, len(tokens) - max(0, (den + num) * len(tokens) + (den - num) * (len(x) - len(y))) // (2 * (den + num)))
+                    differ = len(tokens)
                     tokens = tokens[: short if ok[i] else most]
-                    keys.append(mix64(tokens ^ mix64(np.array([ha[i]], np.int64).view(np.uint64))))
-                    handles.append(np.full(len(tokens), hb[i], np.int64))
-                    full.append(np.full(len(tokens), 0 if ok[i] else 2, np.uint8) + (np.arange(len(tokens)) < short))
+                    e = np.zeros(len(tokens), _MEMBER)
+                    e["key"] = mix64(tokens ^ mix64(np.array([ha[i]], np.int64).view(np.uint64)))
+                    e["handle"], e["at"], e["differ"], e["size"] = hb[i], np.arange(len(tokens)), differ, len(y)
+                    e["full"], e["short"] = not ok[i], e["at"] < short
+                    entries.append(e)
                     held += len(tokens)
             if ok.any():
                 kept = batch.filter(pa.array(ok))
@@ -301,38 +307,39 @@ def _verify(n: int, num: int, den: int, parts: int, common: tuple[np.ndarray, np
     return run
 
 
-def _meet_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of handles, at least one of them unlinked to the hub (bit 2), that share a token of their lists (bit 1: of the shorter one)."""
-    keys, handles, flags = [], [], []
-    for batch in batches:
-        for body in batch.column("body"):
-            raw = body.as_py()
-            m = len(raw) // 17
-            keys.append(np.frombuffer(raw, np.uint64, m))
-            handles.append(np.frombuffer(raw, np.int64, m, 8 * m))
-            flags.append(np.frombuffer(raw, np.uint8, m, 16 * m))
-    if not keys:
-        return
-    k, h, f = np.concatenate(keys), np.concatenate(handles), np.concatenate(flags)
-    order = np.argsort(k, kind="stable")
-    k, h, f = k[order], h[order], f[order]
-    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-    count = np.diff(np.append(first, len(k)))
-    full = np.add.reduceat((f & 2 > 0).astype(np.int64), first)
-    pairs = []
-    held = 0
-    for i in np.flatnonzero((count > 1) & (full > 0)):
-        mine = slice(first[i], first[i] + count[i])
-        u, v = h[mine][f[mine] & 2 > 0], h[mine][f[mine] & 1 > 0]
-        for x in np.array_split(u, max(1, len(u) * len(v) >> 20)):
-            a, b = np.repeat(x, len(v)), np.tile(v, len(x))
-            pairs.append(np.stack((np.minimum(a, b), np.maximum(a, b)))[:, a != b])
-            held += pairs[-1].shape[1]
-        if held > 1 << 20:
+def _meet_members(num: int, den: int):
+    """Pairs of handles, at least one of them unlinked to the hub, that share a token of their lists (for one side, of the
+    shorter one). If it is the first that they share, they share no more than what is left of either list from there on; a
+    pair is only passed on by a token that leaves enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [np.frombuffer(body.as_py(), _MEMBER) for batch in batches for body in batch.column("body")]
+        if not got:
+            return
+        e = np.concatenate(got)
+        e = e[np.argsort(e["key"], kind="stable")]
+        first = np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1])))
+        count = np.diff(np.append(first, len(e)))
+        full = np.add.reduceat(e["full"].astype(np.int64), first)
+        pairs, held = [], 0
+        for i in np.flatnonzero((count > 1) & (full > 0)):
+            mine = e[first[i] : first[i] + count[i]]
+            u, v = mine[mine["full"]], mine[mine["short"]]
+            for x in np.array_split(u, max(1, len(u) * len(v) >> 18)):
+                a, b = np.repeat(x, len(v)), np.tile(v, len(x))
+                apart = (den - num) * (a["size"] + b["size"]) // (den + num)
+                share = -((apart - a["differ"] - b["differ"]) // 2)
+                ok = (np.minimum(a["differ"] - a["at"], b["differ"] - b["at"]) >= share) & (a["handle"] != b["handle"])
+                a, b = a["handle"][ok], b["handle"][ok]
+                pairs.append(np.stack((np.minimum(a, b), np.maximum(a, b))))
+                held += len(a)
+            if held > 1 << 20:
+                yield _out(_pairs_out(pairs))
+                pairs, held = [], 0
+        if held:
             yield _out(_pairs_out(pairs))
-            pairs, held = [], 0
-    if held:
-        yield _out(_pairs_out(pairs))
+
+    return run
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, num: int, den: int, parts: int, common: tuple[np.ndarray, np.ndarray] = (_NONE, _NONE)) -> DataFrame:
@@ -392,7 +399,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     links = seen.filter(f"kind = {_PAIR}").select("a", "b")
     tokens = seen.filter(f"kind = {_ENTRIES}")
     if not tokens.isEmpty():
-        again = cut(tokens.repartitionById(parts, "part").mapInArrow(_meet_members, _BUCKET).select("a", "b").distinct())
+        again = cut(tokens.repartitionById(parts, "part").mapInArrow(_meet_members(num, den), _BUCKET).select("a", "b").distinct())
         if not again.isEmpty():
             links = links.unionByName(_verified(again.withColumn("star", F.lit(False)), classes, texts, words, num, den, parts).select("a", "b"))
     found = components(links)
