@@ -45,6 +45,12 @@ def set_hashes(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(np.int64(x)) if x < 1 << 63 else int(x) - (1 << 64) for x in map(int, pair))
 
 
+def parity(s: np.ndarray) -> list[int]:
+    """512 bits, one flipped by each shingle: two sets differ in no fewer shingles than their bits."""
+    at = mix64(s ^ np.uint64(0x3C6E_F372_FE94_F82B)) >> np.uint64(55)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=512) & 1).view(">i8").tolist()
+
+
 @dataclass(frozen=True)
 class Bands:
     """Size bands for similarity num/den. Sets of sizes a <= b that are that similar lie in one band or in neighbouring
@@ -344,10 +350,12 @@ def _meet_members(num: int, den: int):
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, num: int, den: int, parts: int, common: tuple[np.ndarray, np.ndarray] = (_NONE, _NONE)) -> DataFrame:
     """Pairs of handles (a, b, star) against their whole texts: links between representatives, and hub tokens of stars."""
-    rep = classes.select(F.col("h1").alias("h_a"), F.col("rep").alias("a"), F.col("n").alias("n_a"))
-    other = classes.select(F.col("h1").alias("h_b"), F.col("rep").alias("b"), F.col("n").alias("n_b"))
+    rep = classes.select(F.col("h1").alias("h_a"), F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    other = classes.select(F.col("h1").alias("h_b"), F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
     named = pairs.groupBy(F.col("a").alias("h_a"), F.col("b").alias("h_b")).agg(F.max("star").alias("star")).join(rep, "h_a").join(other, "h_b")
-    named = named.filter((F.col("star") | (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)) & (F.col("a") != F.col("b"))).select("a", "b", "h_a", "h_b", "star")
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
+    named = named.filter((F.col("star") | near) & (F.col("a") != F.col("b"))).select("a", "b", "h_a", "h_b", "star")
     named = cut(named)
     ids = cut(named.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     if ids.count() <= TOLD:
@@ -384,11 +392,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         for batch in sliced(batches):
             found = shingle_sets(batch.column("text"), words)
             both = [set_hashes(s) for s in found]
-            cols = [pa.array([len(s) for s in found], pa.int64()), pa.array([x for x, _ in both], pa.int64()), pa.array([y for _, y in both], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", "n", "h1", "h2"])
+            cols = [pa.array([len(s) for s in found], pa.int64()), pa.array([x for x, _ in both], pa.int64()), pa.array([y for _, y in both], pa.int64()), pa.array([parity(s) for s in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", "n", "h1", "h2", "bits"])
 
-    rows = cut(texts.mapInArrow(sets, "doc_id long, n long, h1 long, h2 long"))
-    classes = cut(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")))
+    rows = cut(texts.mapInArrow(sets, "doc_id long, n long, h1 long, h2 long, bits array<long>"))
+    classes = cut(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits")))
     parts = partitions(spark)
     met = texts.filter("doc_id IS NOT NULL").select("text").mapInArrow(_emit(words, num, den, parts), _BUCKET).repartitionById(parts, "part").mapInArrow(_meet, _BUCKET)
     met = cut(met.select("kind", "a", "b", "body"))
