@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of the passages they point at."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of the passages they point at."""
 
 from __future__ import annotations
 
@@ -56,20 +56,6 @@ class Seeds:
         self.hashes = np.array(sorted(places), np.uint64)
         self.places = [places[int(h)] for h in self.hashes]
 
-    def keep_rare(self, df: dict[int, int]) -> Seeds:
-        """Without the seeds that are common in the corpus for their item: over 8 documents and 4 times the item's median."""
-        by_item = defaultdict(list)
-        for s, at in enumerate(self.places):
-            for k, _ in at:
-                by_item[k].append(df.get(s, 0))
-        limit = {k: max(8.0, 4 * float(np.median(v))) for k, v in by_item.items()}
-        out = Seeds.__new__(Seeds)
-        out.items = self.items
-        places = [[(k, p) for k, p in at if df.get(s, 0) <= limit[k]] for s, at in enumerate(self.places)]
-        out.hashes = self.hashes[[bool(p) for p in places]] if len(places) else self.hashes
-        out.places = [p for p in places if p]
-        return out
-
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions among hashes that are seeds, and the seeds' numbers."""
         if not len(self.hashes) or not len(hashes):
@@ -144,41 +130,25 @@ def blocks(benchmark: DataFrame) -> Iterator[Seeds]:
             yield seeds
 
 
-def document_frequency(docs: DataFrame, seeds: Seeds) -> dict[int, int]:
-    """In how many documents each seed of a block occurs, over all documents; a task sends one number a seed at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(len(seeds.hashes), np.int64)
-        for batch in sliced(batches):
-            for _, hits in _by_row(_words(batch.column("text")), seeds):
-                count[list({s for _, s in hits})] += 1
-        at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(count[at], pa.int64())], names=["seed", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    return {r["seed"]: r["n"] for r in rows.collect()}
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row a document and benchmark item it holds a copy of: doc_id, item_id, score, first_word, last_word.
 
-    Words are compared without ASCII case and outer ASCII punctuation. Seeds (3 words) that are common for their item are left out, the
-    passages around the others are aligned, and score is the best alignment's share of the item's best possible one, 0.6 or
-    more. Null or empty texts on either side match nothing; null ids stay null; repeated rows give a row each; empty tables
-    give no rows; other columns are not read.
+    Words are compared without ASCII case and outer ASCII punctuation. The passages around every seed (3 words of the item in a
+    row), however common in the corpus, are aligned, and score is the best alignment's share of the item's best possible one,
+    0.6 or more. A passage that shares no 3 words in a row with the item is not looked at. Null or empty texts on either side
+    match nothing; null ids stay null; repeated rows give a row each; empty tables give no rows; other columns are not read.
     """
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, item_id long, score double, first_word long, last_word long"
     out = None
     for seeds in blocks(benchmark):
-        rare = seeds.keep_rare(document_frequency(docs, seeds))
 
-        def run(batches: Iterator[pa.RecordBatch], rare: Seeds = rare) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches):
                 w = _words(batch.column("text"))
                 rows, found = [], []
-                for r, hits in _by_row(w, rare):
-                    for m in rare.matches(w.hash[w.rows[r] : w.rows[r + 1]], hits):
+                for r, hits in _by_row(w, seeds):
+                    for m in seeds.matches(w.hash[w.rows[r] : w.rows[r + 1]], hits):
                         rows.append(r)
                         found.append(m)
                 cols = [pa.array([m[i] for m in found], k) for i, k in enumerate((pa.int64(), pa.float64(), pa.int64(), pa.int64()))]
@@ -192,14 +162,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that hold no copy of a benchmark item. No shuffle."""
     for seeds in blocks(benchmark):
-        rare = seeds.keep_rare(document_frequency(docs, seeds))
 
-        def run(batches: Iterator[pa.RecordBatch], rare: Seeds = rare) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches):
                 w = _words(batch.column("text"))
                 good = np.ones(batch.num_rows, bool)
-                for r, hits in _by_row(w, rare):
-                    good[r] = not rare.matches(w.hash[w.rows[r] : w.rows[r + 1]], hits)
+                for r, hits in _by_row(w, seeds):
+                    good[r] = not seeds.matches(w.hash[w.rows[r] : w.rows[r + 1]], hits)
                 yield batch.filter(pa.array(good))
 
         docs = docs.mapInArrow(run, docs.schema)

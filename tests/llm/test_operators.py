@@ -271,6 +271,36 @@ def test_leaks_exact_edited_and_clean(spark, tmp_path):
     assert all(28 <= r["first_word"] <= 36 for r in got)
 
 
+def test_leaks_in_hundreds_of_edited_copies(spark, tmp_path):
+    rng = random.Random(10)
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(40))) for k in range(3)]
+    copies = {k: ["other" if j % 4 == 3 else w for j, w in enumerate(items[k][1].split())] for k in (0, 1)}
+    rows = []
+    for i in range(600):
+        d = some(rng, 60)
+        if i % 2:
+            d[20:20] = copies[0]
+        elif i % 100 == 0:
+            d[20:20] = copies[1]
+        elif i % 4 == 0:
+            d[20:20] = items[2][1].split()[:6]  # a common phrase of an item is no copy of it
+        rows.append((i, " ".join(d)))
+    number = collections.defaultdict(lambda: len(number))
+    plain = [(k, np.array([number[w] for w in text.split()])) for k, text in items]
+    want = {}
+    for i, text in rows:
+        doc = np.array([number[w] for w in text.split()])
+        for k, item in plain:
+            score, lo, hi = decontaminate.align(item, doc)
+            if score / len(item) >= 0.6:
+                want[i, k] = (round(score / len(item), 9), lo, hi)
+    assert len(want) == 306
+    docs, bench = stored(spark, tmp_path, rows), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (round(r["score"], 9), r["first_word"], r["last_word"]) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == want
+    assert {r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
 def test_alignment():
     def plain(a, b):
         h, best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
