@@ -33,8 +33,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training plan of what is left, by position."""
-    return mixing.mix(docs)
+    """The training plan of what is left, by position: a row each time a document is read."""
+    return mixing.schedule(docs)
 
 
 STAGES = [

@@ -40,17 +40,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = 3.0) -> DataF
     return per.select("no_source", "src", "source_size", target.alias("target"), _cycled([a for a, _ in PACE], F.col("rank")).alias("pace0"), _cycled([b for _, b in PACE], F.col("rank")).alias("pace1"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, cap: float = 3.0, bucket_digits: int = 4) -> DataFrame:
-    """Plan of a training mix: doc_id, size, source_size, target, taken, position (0 to 1, null if nothing is taken).
-
-    Documents of a source follow each other in the order of md5(doc_id). Demand for a source up to time t is target x the
-    normalised integral of its linear pace; a document's position is the time at which demand reaches its first word. If a
-    target is over the source's size, whole passes come first; the last pass ends inside one document at most. Rows come
-    range-sorted by position (not taken: last). Running totals: sums per (source, hash bucket), running sums of those, and
-    a window within each bucket, so a source with a third of all rows is spread over 16^bucket_digits buckets.
-    Null text: size 0; null source: a source of its own, last; null doc_id: hashed as the empty string; repeated rows count
-    each; an empty table gives no rows; columns besides doc_id, text and source are not read.
-    """
+def _occurrences(docs: DataFrame, weights, cap: float, bucket_digits: int) -> DataFrame:
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sized = cut(docs.select("doc_id", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("src"), word_count("text").alias("size"), key.alias("key")))
     targets = source_targets(sized, weights, cap)
@@ -63,10 +53,34 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = 3.0, bucket_digits: int =
     rows = rows.withColumn("start", F.col("base") + F.col("inside")).withColumn("goal", F.round("target").cast("long"))
     rows = rows.withColumn("passes", F.expr("if(source_size > 0, goal div source_size, 0)")).withColumn("rest", F.expr("goal - passes * source_size"))
     rows = rows.withColumn("taken", F.expr("passes * size + least(size, greatest(0, rest - start))"))
-    share = F.least(F.lit(1.0), F.col("start") / F.col("target"))
+    rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes").cast("long"))))
+    rows = rows.withColumn("words", F.expr("if(pass < passes, size, least(size, greatest(0, rest - start)))")).filter("words > 0 OR (pass = 0 AND taken = 0)")
+    share = F.least(F.lit(1.0), (F.col("start") + F.col("pass") * F.col("source_size")) / F.col("target"))
     a, b = F.col("pace0"), F.col("pace1")
     when = share * (a + b) / (a + F.sqrt(a * a + (b * b - a * a) * share))
-    rows = rows.withColumn("position", F.when(F.col("taken") > 0, F.round(when, 9)))
+    return rows.withColumn("position", F.when(F.col("words") > 0, F.round(when, 9)))
+
+
+def schedule(docs: DataFrame, weights=WEIGHTS, cap: float = 3.0, bucket_digits: int = 4) -> DataFrame:
+    """Plan of a training mix, one row each time a document is read: doc_id, size, source_size, target, taken (over all passes),
+    pass (from 0), words (taken in this pass), position (0 to 1). A document of which nothing is taken has one row, without position.
+
+    Documents of a source follow each other in the order of md5(doc_id). Demand for a source up to time t is target x the
+    normalised integral of its linear pace; a row's position is the time at which demand reaches its first word. If a target is
+    over the source's size, whole passes come first, each after the words of those before it; the last pass ends inside one
+    document at most. Rows come range-sorted by position (not taken: last). Running totals: sums per (source, hash bucket),
+    running sums of those, and a window within each bucket, so a source with a third of all rows is spread over
+    16^bucket_digits buckets.
+    Null text: size 0; null source: a source of its own, last; null doc_id: hashed as the empty string; repeated rows count
+    each; an empty table gives no rows; columns besides doc_id, text and source are not read.
+    """
+    rows = _occurrences(docs, weights, cap, bucket_digits)
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "pass", "words", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id", "pass")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, cap: float = 3.0, bucket_digits: int = 4) -> DataFrame:
+    """The schedule's first row of each document: doc_id, size, source_size, target, taken (over all passes), position (of the first)."""
+    rows = _occurrences(docs, weights, cap, bucket_digits).filter("pass = 0")
     return rows.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from spanforge.llm import chat, decontaminate, exact, exchange, graph, jaccard, lm, mixing, quality, queries, substring, tokens, warc
 
 from ..oracle import both
@@ -403,3 +404,45 @@ def test_targets_fill_up(spark):
             left -= target[i]
     for want, doc in zip(target, (0, 1, 2, 4, 3), strict=True):
         assert math.isclose(got[doc]["target"], want, abs_tol=1e-5) and abs(got[doc]["taken"] - want) <= 1
+
+
+def test_every_pass_follows_the_curriculum(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 9)), s) for i, s in enumerate("a" * 150 + "b" * 20 + "c" * 12 + "d" * 90 + "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.schedule(df).collect()
+    places = [(r["position"] is None, r["position"] or 0.0) for r in got]
+    assert places == sorted(places)
+    first = {r["doc_id"]: r.asDict() for r in mixing.mix(df).collect()}
+    assert {r["doc_id"]: {k: r[k] for k in first[0]} for r in got if r["pass"] == 0} == first
+    found = collections.defaultdict(dict)
+    for r in got:
+        assert r["pass"] not in found[r["doc_id"]]
+        found[r["doc_id"]][r["pass"]] = (r["words"], r["position"])
+    passes = set()
+    for rank, source in enumerate("abcde"):
+        docs = sorted((hashlib.md5(str(i).encode()).hexdigest(), i, text.count("w")) for i, text, s in rows if s == source)
+        target, (a, b), at = first[docs[0][1]]["target"], mixing.PACE[rank % 3], 0
+        goal = round(target)
+        for p in range(4):
+            for _, i, size in docs:
+                words = min(size, goal - at)
+                if words > 0:
+                    lo, hi = 0.0, 1.0  # the time at which the integral of the pace reaches this word
+                    for _ in range(60):
+                        mid = (lo + hi) / 2
+                        lo, hi = (mid, hi) if target * (a * mid + (b - a) * mid * mid / 2) / ((a + b) / 2) < at else (lo, mid)
+                    n, position = found[i].pop(p)
+                    assert n == words and math.isclose(position, lo, abs_tol=1e-6)
+                    passes.add(p)
+                    at += words
+        assert at == goal
+    assert passes == {0, 1, 2}
+    assert all(left in ({}, {0: (0, None)}) for left in found.values())
+
+
+def test_the_pipeline_places_every_pass(spark):
+    df = spark.createDataFrame([(i, "w " * 10, "en", "a" if i < 2 else "b", 0) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = [r for r in corpus_pipeline.mixing_stage(spark, df, "").collect() if r["doc_id"] < 2]
+    assert {r["target"] for r in rows} == {60.0} and sum(r["words"] for r in rows) == 60
+    assert [round(r["position"], 6) for r in rows] == [round(k / 6, 6) for k in range(6)]
