@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,3 +97,180 @@ def max_triplets(nodes: DataFrame) -> DataFrame:
 def triplet_loss(triplets: DataFrame, margin: float) -> DataFrame:
     """Mean of max(L2(a, p) − L2(a, n) + margin, 0); distances in triplets are squared."""
     return triplets.agg(F.avg(F.greatest(F.sqrt("d_ap") - F.sqrt("d_an") + margin, F.lit(0.0))).alias("loss"))
+
+
+BLOCK_ROWS = 2048
+#: Distances that a task keeps at once where an anchor needs all of its own.
+KEPT = 32_000_000
+#: How far a distance by matrix product may be from the one by differences, with room for the ninth digit.
+NEAR = 1e-8
+
+
+class _Rows:
+    def __init__(self, cell: pa.Scalar):
+        rows = cell.values
+        self.id = rows.field("row_idx").to_numpy(zero_copy_only=False)
+        self.label = rows.field("label").to_numpy(zero_copy_only=False)
+        self.vec = rows.field("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(self.id), -1)
+        self.bound = rows.field("bound").to_numpy(zero_copy_only=False)
+
+    def distances(self, other: _Rows) -> np.ndarray:
+        d = (self.vec * self.vec).sum(1)[:, None] - 2 * self.vec @ other.vec.T + (other.vec * other.vec).sum(1)[None, :]
+        return np.maximum(d, 0)
+
+
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared L2 of rows, summed in the order of squared_l2."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        x = a[:, k] - b[:, k]
+        out += x * x
+    return out
+
+
+class _Best:
+    """The farthest (sign -1) or nearest (1) row of each anchor, ties to nine digits by smaller id, over blocks."""
+
+    def __init__(self, anchors: _Rows, sign: int):
+        n = len(anchors.id)
+        self.anchors, self.sign = anchors, sign
+        self.key, self.value, self.id = np.full(n, np.inf), np.full(n, np.inf), np.zeros(n, np.int64)
+
+    def add(self, rows: _Rows, d: np.ndarray, sure: np.ndarray, maybe: np.ndarray | None = None, valid: Callable | None = None) -> None:
+        """sure: which distances count; maybe, if some are too close to a limit to tell: which may, of which valid (anchor, distance) do."""
+        d = self.sign * d
+        best = np.where(sure, d, np.inf).min(1)
+        r, c = np.nonzero((sure if maybe is None else maybe) & (d <= best[:, None] + NEAR))
+        exact = _squared(self.anchors.vec[r], rows.vec[c])
+        if valid:
+            ok = valid(r, exact)
+            r, c, exact = r[ok], c[ok], exact[ok]
+        if not len(r):
+            return
+        exact = self.sign * exact
+        np.minimum.at(self.value, r, exact)
+        key, ids = np.round(exact, 9), rows.id[c]
+        order = np.lexsort((ids, key, r))
+        order = order[np.diff(r[order], prepend=-1) > 0]
+        r, key, ids = r[order], key[order], ids[order]
+        better = (key < self.key[r]) | ((key == self.key[r]) & (ids < self.id[r]))
+        self.key[r[better]], self.id[r[better]] = key[better], ids[better]
+
+
+class _Hard:
+    SCHEMA = "a long, p long, n long, d_ap double, d_an double"
+
+    def __init__(self, anchors: _Rows, margin: float):
+        self.anchors, self.far, self.near = anchors, _Best(anchors, -1), _Best(anchors, 1)
+
+    def add(self, rows: _Rows) -> None:
+        d, same = self.anchors.distances(rows), self.anchors.label[:, None] == rows.label
+        self.far.add(rows, d, same & (self.anchors.id[:, None] != rows.id))
+        self.near.add(rows, d, ~same & (self.anchors.id[:, None] != rows.id))
+
+    def done(self) -> list:
+        p, n = np.isfinite(self.far.key), np.isfinite(self.near.key)
+        return [self.anchors.id, pa.array(self.far.id, mask=~p), pa.array(self.near.id, mask=~n), pa.array(-self.far.value, mask=~p), pa.array(self.near.value, mask=~n)]
+
+
+class _SemiHard:
+    SCHEMA = "a long, n long, d_an double"
+
+    def __init__(self, anchors: _Rows, margin: float):
+        self.anchors, self.margin, self.near = anchors, margin, _Best(anchors, 1)
+
+    def add(self, rows: _Rows) -> None:
+        d, low = self.anchors.distances(rows), self.anchors.bound[:, None]
+        other = (self.anchors.label[:, None] != rows.label) & (self.anchors.id[:, None] != rows.id)
+        sure = other & (d > low + NEAR) & (d < low + self.margin - NEAR)
+        maybe = other & (d > low - NEAR) & (d < low + self.margin + NEAR)
+        low = self.anchors.bound
+        self.near.add(rows, d, sure, maybe, lambda r, x: (x > low[r]) & (x < low[r] + self.margin))
+
+    def done(self) -> list:
+        k = np.isfinite(self.near.key)
+        return [self.anchors.id[k], self.near.id[k], self.near.value[k]]
+
+
+class _All:
+    SCHEMA = "a long, n long, total double"
+
+    def __init__(self, anchors: _Rows, margin: float):
+        self.anchors, self.margin, self.d, self.same = anchors, margin, [], []
+
+    def add(self, rows: _Rows) -> None:
+        d = self.anchors.distances(rows)
+        d[self.anchors.id[:, None] == rows.id] = np.nan
+        self.d.append(d)
+        self.same.append(self.anchors.label[:, None] == rows.label)
+
+    def done(self) -> list:
+        count, total = np.zeros(len(self.anchors.id), np.int64), np.zeros(len(self.anchors.id))
+        for k in range(len(count)):
+            d, same = np.concatenate([x[k] for x in self.d]), np.concatenate([x[k] for x in self.same])
+            same, d = same[~np.isnan(d)], d[~np.isnan(d)]
+            pos, neg = d[same], np.sort(d[~same])
+            closer = np.searchsorted(neg, pos + self.margin)
+            count[k] = closer.sum()
+            total[k] = (closer * pos - np.concatenate([[0.0], np.cumsum(neg)])[closer]).sum()
+        k = count > 0
+        return [self.anchors.id[k], count[k], total[k]]
+
+
+def _folded(rows: DataFrame, fold: type, margin: float, kept: int | None = None) -> DataFrame:
+    """What fold says of each anchor after it has met all rows (row_idx, label, vec, bound). A block of anchors stays in one task
+    and the blocks of all rows stream past it. Rows without id, label or vector are left out."""
+    rows = rows.dropna(subset=["row_idx", "label", "vec"])
+    total = rows.count()
+    size = min(BLOCK_ROWS, max(1, kept // max(1, total))) if kept else BLOCK_ROWS
+    names = [c.split()[0] for c in fold.SCHEMA.split(", ")]
+
+    def packed(n: int, name: str) -> DataFrame:
+        cell = F.collect_list(F.struct("row_idx", "label", "vec", "bound")).alias("rows")
+        return rows.groupBy(F.pmod(F.xxhash64("row_idx"), F.lit(n)).cast("int").alias(name)).agg(cell)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(state) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in state.done()], names=names)
+
+        state = None
+        for batch in batches:
+            for s, cell in zip(batch.column("sb").to_pylist(), batch.column("rows"), strict=True):
+                if s >= 0:
+                    if state:
+                        state.add(_Rows(cell))
+                    continue
+                if state:
+                    yield told(state)
+                state = fold(_Rows(cell), margin)
+        if state:
+            yield told(state)
+
+    n, m = max(1, -(-total // size)), max(1, -(-total // BLOCK_ROWS))
+    anchors = packed(n, "qb").withColumn("sb", F.lit(-1))
+    past = packed(m, "sb").crossJoin(F.broadcast(anchors.select("qb")))  # every block of rows once a block of anchors
+    grid = anchors.unionByName(past).repartitionById(n, "qb").sortWithinPartitions("qb", "sb")
+    return grid.select("sb", "rows").mapInArrow(run, fold.SCHEMA)
+
+
+def _nodes(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("row_idx").cast("long").alias("row_idx"), "label", "vec", F.lit(0.0).alias("bound"))
+
+
+def mine_hard(rows: DataFrame, margin: float) -> DataFrame:
+    """triplets_hard of all pairs of rows (row_idx, label, vec), of which only the best of each anchor is kept."""
+    return _folded(_nodes(rows), _Hard, margin).filter(F.col("d_ap") - F.col("d_an") + margin > 0)
+
+
+def mine_semi_hard(rows: DataFrame, margin: float) -> DataFrame:
+    """triplets_semi_hard of all pairs of rows: the farthest positives first, then the negatives beyond them."""
+    far = _folded(_nodes(rows), _Hard, margin).filter("p IS NOT NULL").select("a", "p", "d_ap")
+    bound = _nodes(rows).drop("bound").join(far.select(F.col("a").alias("row_idx"), F.col("d_ap").alias("bound")), "row_idx", "left")
+    near = _folded(bound.withColumn("bound", F.coalesce("bound", F.lit(float("inf")))), _SemiHard, margin)
+    return far.join(near, "a").select("a", "p", "n", "d_ap", "d_an")
+
+
+def mine_all(rows: DataFrame, margin: float) -> DataFrame:
+    """(a, n, total): how many triplets_all an anchor has among all pairs of rows, and their sum of d_ap − d_an. Positives are
+    held against sorted negatives, so no triplet is a row; a task keeps the distances of as many anchors as fit."""
+    return _folded(_nodes(rows), _All, margin, KEPT)

@@ -87,6 +87,11 @@ def merge_recall(spark, d):
     return _r(S.merge_recall(views.vecs(spark, d).filter("row_idx < 200"), 5), "recall")
 
 
+@query()
+def merge_recall_whole(spark, d):
+    return _r(S.merge_recall(views.vecs(spark, d), 5), "recall")
+
+
 @query()
 def rct(spark, d):
     return S.rct(views.vec_iv(spark, d))
