@@ -90,9 +90,13 @@ def apply(df: DataFrame, *transforms: Transform, limit: int | None = None, numbe
 
 
 def number(new: DataFrame, by: str = "base_idx") -> DataFrame:
-    """new_idx in depth-first order. Counts by base are summed first, so that only one row a base meets in the running total."""
-    counts = new.groupBy(by).agg(F.count("*").alias("__n"))
-    before = counts.select(by, F.coalesce(F.sum("__n").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    """new_idx in depth-first order. Counts by base are summed first, so that only one row a base meets in the running total, and
+    that runs within and over blocks of 65,536 ids, so no task has all of them."""
+    counts = new.groupBy(by).agg(F.count("*").alias("__n")).withColumn("__b", F.shiftright(F.col(by), 16))
+    blocks = counts.groupBy("__b").agg(F.sum("__n").alias("__t"))
+    over = F.coalesce(F.sum("__t").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.coalesce(F.sum("__n").over(Window.partitionBy("__b").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = counts.withColumn("__within", within).join(blocks.select("__b", over.alias("__over")), "__b").select(by, (F.col("__over") + F.col("__within")).alias("__before"))
     inside = F.row_number().over(Window.partitionBy(by).orderBy("ord")) - 1
     return new.withColumn("__i", inside).join(before, by).withColumn("new_idx", (F.col("__before") + F.col("__i")).cast("long")).drop("__i", "__before")
 

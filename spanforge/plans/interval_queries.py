@@ -110,6 +110,19 @@ def lineage(spark, d):
     return T.apply(_base(spark, d), T.chunk_max(300), T.split(2), limit=3000, numbered=True).select("new_idx", "base_idx", "start", "end")
 
 
+_TWICE_WHOLE = _TWICE.replace(" WHERE row_idx < 3000", "")
+
+
+@query(_TWICE_WHOLE + 'SELECT base_idx, chrom, start, "end" FROM n')
+def compose_whole(spark, d):
+    return _new(T.apply(_base(spark, d), T.chunk_max(300), T.split(2)))
+
+
+@query(_TWICE_WHOLE + 'SELECT row_number() OVER (ORDER BY base_idx, k1, i) - 1 AS new_idx, base_idx, start, "end" FROM n')
+def lineage_whole(spark, d):
+    return T.apply(_base(spark, d), T.chunk_max(300), T.split(2), numbered=True).select("new_idx", "base_idx", "start", "end")
+
+
 @query('SELECT row_idx AS base_idx, chrom, start, "end" FROM iv_sample WHERE row_idx < 100')
 def length_limit(spark, d):
     return _new(T.apply(_base(spark, d), T.translate(0), limit=100))

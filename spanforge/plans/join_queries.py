@@ -101,6 +101,11 @@ def except_keys(spark, d):
     return v.filter("row_idx < 400").select("label").exceptAll(v.filter("row_idx < 100").select("label"))
 
 
+@query("SELECT chrom FROM iv_query EXCEPT ALL SELECT chrom FROM iv_sample")
+def except_keys_whole(spark, d):
+    return views.iv_query(spark, d).select("chrom").exceptAll(views.iv_sample(spark, d).select("chrom"))
+
+
 @query('SELECT 0 AS part, set_id, row_idx, chrom, start, "end" FROM iv_sample UNION ALL SELECT 1, set_id, row_idx, chrom, start, "end" FROM iv_query')
 def union_all(spark, d):
     return P.union_all(views.iv_sample(spark, d), views.iv_query(spark, d))
