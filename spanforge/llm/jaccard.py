@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from .common import Words, cut, grams, mix64, partitions, sliced
 from .graph import components
 
-#: A bucket of more sketches than this is not paired whole at first; entries of one flush that share a block key more often
-#: than HOT leave their task as one.
-PAIRED, HOT, FLUSH = 16, 64, 200_000
+#: Up to so many members of a bucket that links have not joined are paired; entries of one flush that share a block key more
+#: often than HOT leave their task as one; a task forgets the sets it has seen after SEEN of them.
+PAIRED, HOT, FLUSH, SEEN = 16, 64, 200_000, 1_000_000
+#: Members of a hub that one copy of the hub's text serves; rounds of hubs before what is left is compared sketch by sketch.
+SALTED, ROUNDS = 512, 4
 #: One text in SAMPLE tells which shingles are common; up to COMMON of them are known as such. This only orders shingles.
 SAMPLE, COMMON = 16, 200_000
 #: Up to so many documents with candidates are told to the scan of the texts; more are joined in the shuffle alone.
@@ -104,7 +106,7 @@ def block_keys(s: np.ndarray, b: Bands) -> np.ndarray:
 
 
 _BUCKET = "part int, kind int, a long, b long, body binary"
-_ENTRIES, _PAIR, _MEMBERS, _CENTRES = 0, 1, 2, 3
+_ENTRIES, _PAIR, _MEMBERS, _CENTRES, _GROUP = 0, 1, 2, 3, 4
 #: A member's token: place in its list, length of the list, size of its set, whether it is in the long and in the short list.
 _MEMBER = np.dtype([("key", np.uint64), ("handle", np.int64), ("at", np.int32), ("differ", np.int32), ("size", np.int64), ("full", bool), ("short", bool)])
 
@@ -130,14 +132,6 @@ def _members(part: int, key: np.uint64, handles: np.ndarray) -> Iterator[tuple]:
         yield part, _MEMBERS, int(key.astype(np.int64)), None, handles[i : i + (1 << 16)].tobytes()
 
 
-def _pairs_out(pairs: list[np.ndarray], part: int = 0) -> list[tuple]:
-    if not pairs:
-        return []
-    _, a, first, count = _runs(*np.concatenate(pairs, axis=1).astype(np.int64).view(np.uint64))
-    key = np.repeat(_[first], count)
-    return [(part, _PAIR, int(x), int(y), None) for x, y in zip(key.astype(np.int64), a.astype(np.int64), strict=True)]
-
-
 def _emit(n: int, num: int, den: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = bands(num, den)
@@ -170,6 +164,8 @@ def _emit(n: int, num: int, den: int, parts: int):
             for s in shingle_sets(batch.column("text"), n):
                 if not len(s) or (both := set_hashes(s)) in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()  # copies further apart than that fall together in the shuffle
                 seen.add(both)
                 found = block_keys(s, b)
                 if len(found):
@@ -184,14 +180,29 @@ def _emit(n: int, num: int, den: int, parts: int):
     return run
 
 
+_GROUPS = "kind int, bucket long, members array<long>"
+
+
+def _lists(kind: int, keys: np.ndarray, sizes: np.ndarray, handles: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, key, list of handles), some 64 thousand handles a batch."""
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    at = 0
+    while at < len(keys):
+        end = min(max(int(np.searchsorted(ends, ends[at] + (1 << 16), side="right")) - 1, at + 1), len(keys))
+        lists = pa.ListArray.from_arrays(pa.array((ends[at : end + 1] - ends[at]).astype(np.int32)), pa.array(handles[ends[at] : ends[end]].view(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(end - at, kind, np.int32)), pa.array(keys[at:end].view(np.int64)), lists], names=["kind", "bucket", "members"])
+        at = end
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of handles that share a block key; of large buckets the members."""
+    """Buckets: the handles that share a block key. A key that was hot in some task has several rows; buckets of this task
+    with the same members are one."""
     keys, handles, hot = [], [], []
     for batch in batches:
         kinds, bodies = batch.column("kind").to_numpy(), batch.column("body")
-        rest = batch.filter(pa.array((kinds == _PAIR) | (kinds == _MEMBERS)))
-        if rest.num_rows:
-            yield rest
+        for i in np.flatnonzero(kinds == _MEMBERS):
+            h = np.frombuffer(bodies[int(i)].as_py(), np.uint64)
+            yield from _lists(_GROUP, np.array([batch.column("a")[int(i)].as_py()], np.int64).view(np.uint64), np.array([len(h)]), h)
         for i in np.flatnonzero((kinds == _ENTRIES) | (kinds == _CENTRES)):
             both = np.frombuffer(bodies[int(i)].as_py(), np.uint64).reshape(2, -1)
             keys.append(both[0])
@@ -202,22 +213,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     k, h, first, count = _runs(np.concatenate(keys), np.concatenate(handles))
     del keys, handles
-    pairs = []
     known = np.isin(k[first], np.concatenate(hot)) if hot else np.zeros(len(first), bool)
-    for size in np.unique(count[(count > 1) & (count <= PAIRED) & ~known]):
-        at = first[(count == size) & ~known]
-        group = h[at[:, None] + np.arange(size)]
-        i, j = np.triu_indices(size, 1)
-        pairs.append(np.stack((group[:, i].ravel(), group[:, j].ravel())).view(np.int64))
-    rows: list[tuple] = []
-    for i in np.flatnonzero((count > PAIRED) | known):
-        rows += _members(0, k[first[i]], h[first[i] : first[i] + count[i]])
-        if len(rows) > 2048:
-            yield _out(rows)
-            rows = []
-    rows += _pairs_out(pairs)
-    for i in range(0, len(rows), 1 << 16):
-        yield _out(rows[i : i + (1 << 16)])
+    once = np.flatnonzero((count > 1) & ~known)
+    alike = mix64(np.add.reduceat(mix64(h), first)[once] + count[once].astype(np.uint64))
+    keep = known.copy()
+    keep[once[np.unique(alike, return_index=True)[1]]] = True
+    yield from _lists(_GROUP, k[first][keep], count[keep], h[np.repeat(keep, count)])
 
 
 def _common(texts: DataFrame, n: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -250,19 +251,21 @@ def _common(texts: DataFrame, n: int, parts: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _verify(n: int, num: int, den: int, parts: int, common: tuple[np.ndarray, np.ndarray]):
-    """Of each pair of texts, the link if they are similar; for a hub (a) and a member (b) of its buckets, also the tokens
-    by which the member can be told from the hub, dealt out by token.
+    """Rows by (a, salt): the text of hub a, then those of its members b. Of each pair the link if they are similar; for a
+    star also the tokens by which the member can be told from the hub, dealt out by token.
 
-    Let D(u) be the shingles in which member u differs from hub b, added ones before missing ones, those that by a sample of the corpus few members differ in first. Two members differ by
+    Let D(u) be the shingles in which member u differs from hub a, added ones before missing ones, those that by a sample of
+    the corpus few members differ in first. Two members differ by
     |D(u)| + |D(v)| − 2 |D(u) ∩ D(v)|, so similar ones have a first common token of D among the first k(u) + 1 of each, with
-    k(u) the most that u can differ from a similar set. If u is not linked to b, then |D(u)| > r (|u| + |b|) with
-    r = (den − num) / (den + num), so they share over (|D(v)| + r (|b| − |v|)) / 2, and the first of those is among as many less
+    k(u) the most that u can differ from a similar set. If u is not linked to a, then |D(u)| > r (|u| + |a|) with
+    r = (den − num) / (den + num), so they share over (|D(v)| + r (|a| − |v|)) / 2, and the first of those is among as many less
     of v's. So unlinked members are looked up by their k(u) + 1 tokens among all members' shorter lists:
     members that differ from the hub in ways of their own never meet.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, held = [], 0
+        hub, hubs = None, {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal entries, held
@@ -272,19 +275,27 @@ def _verify(n: int, num: int, den: int, parts: int, common: tuple[np.ndarray, np
             cuts = np.searchsorted(((e["key"] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
             yield _out([(int(p), _ENTRIES, None, None, e[cuts[p] : cuts[p + 1]].tobytes()) for p in np.flatnonzero(np.diff(cuts))])
 
-        for batch in sliced(sliced(batches, "text_a", 2 << 20), "text_b", 2 << 20):
-            left, right = shingle_sets(batch.column("text_a"), n), shingle_sets(batch.column("text_b"), n)
-            ha, hb, star = (batch.column(c).to_pylist() for c in ("h_a", "h_b", "star"))
-            ok = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                near = min(len(x), len(y)) * den >= max(len(x), len(y)) * num
+        for batch in sliced(batches, "text", 2 << 20):
+            sets = shingle_sets(batch.column("text"), n)
+            columns = (batch.column(c).to_pylist() for c in ("a", "b", "h_a", "h_b", "member", "star"))
+            links = []
+            for y, a, b, ha, hb, member, star in zip(sets, *columns, strict=True):
+                if a != hub:
+                    hub, hubs = a, {}
                 # rows that repeat a doc_id with another text are told apart by their set's hash
-                if not (near or star[i]) or set_hashes(x)[0] != ha[i] or set_hashes(y)[0] != hb[i]:
+                if set_hashes(y)[0] != hb:
+                    continue
+                if not member:
+                    hubs[hb] = y
+                    continue
+                x = hubs[ha]
+                if not star and min(len(x), len(y)) * den < max(len(x), len(y)) * num:
                     continue
                 added = y[~np.isin(y, x, assume_unique=True)]
                 same = len(y) - len(added)
-                ok[i] = same * den >= num * (len(x) + len(y) - same)
-                if star[i]:
+                if ok := same * den >= num * (len(x) + len(y) - same):
+                    links.append((0, _PAIR, a, b, None))
+                if star:
                     tokens = np.concatenate((added, x[~np.isin(x, y, assume_unique=True)]))
                     if len(common[0]):
                         at = np.minimum(np.searchsorted(common[0], tokens), len(common[0]) - 1)
@@ -294,17 +305,15 @@ def _verify(n: int, num: int, den: int, parts: int, common: tuple[np.ndarray, np
                     most = (den - num) * (len(y) + len(y) * den // num) // (den + num) + 1
                     short = min(most, len(tokens) - max(0, (den + num) * len(tokens) + (den - num) * (len(x) - len(y))) // (2 * (den + num)))
                     differ = len(tokens)
-                    tokens = tokens[: short if ok[i] else most]
+                    tokens = tokens[: short if ok else most]
                     e = np.zeros(len(tokens), _MEMBER)
-                    e["key"] = mix64(tokens ^ mix64(np.array([ha[i]], np.int64).view(np.uint64)))
-                    e["handle"], e["at"], e["differ"], e["size"] = hb[i], np.arange(len(tokens)), differ, len(y)
-                    e["full"], e["short"] = not ok[i], e["at"] < short
+                    e["key"] = mix64(tokens ^ mix64(np.array([ha], np.int64).view(np.uint64)))
+                    e["handle"], e["at"], e["differ"], e["size"] = hb, np.arange(len(tokens)), differ, len(y)
+                    e["full"], e["short"] = not ok, e["at"] < short
                     entries.append(e)
                     held += len(tokens)
-            if ok.any():
-                kept = batch.filter(pa.array(ok))
-                m = kept.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(np.full(m, _PAIR, np.int32)), kept.column("a"), kept.column("b"), pa.nulls(m, pa.binary())], names=["part", "kind", "a", "b", "body"])
+            if links:
+                yield _out(links)
             if held >= FLUSH:
                 yield from flush()
         if held:
@@ -316,7 +325,7 @@ def _verify(n: int, num: int, den: int, parts: int, common: tuple[np.ndarray, np
 def _meet_members(num: int, den: int):
     """Pairs of handles, at least one of them unlinked to the hub, that share a token of their lists (for one side, of the
     shorter one). If it is the first that they share, they share no more than what is left of either list from there on; a
-    pair is only passed on by a token that leaves enough."""
+    pair is only passed on by a token that leaves enough. Where many share a token, they are a bucket of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [np.frombuffer(body.as_py(), _MEMBER) for batch in batches for body in batch.column("body")]
@@ -327,50 +336,156 @@ def _meet_members(num: int, den: int):
         first = np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1])))
         count = np.diff(np.append(first, len(e)))
         full = np.add.reduceat(e["full"].astype(np.int64), first)
-        pairs, held = [], 0
+        pairs, groups, held = [], {}, 0
+
+        def paired() -> Iterator[pa.RecordBatch]:
+            _, b, at, size = _runs(*np.concatenate(pairs, axis=1).astype(np.int64).view(np.uint64))
+            a = np.repeat(_[at], size)
+            both = np.stack((a, b), axis=1).ravel()
+            yield from _lists(_PAIR, np.zeros(len(a), np.uint64), np.full(len(a), 2), both)
+
         for i in np.flatnonzero((count > 1) & (full > 0)):
             mine = e[first[i] : first[i] + count[i]]
+            if len(mine) > PAIRED:
+                members = np.unique(mine["handle"])
+                groups[int(mix64(members.view(np.uint64)).sum(dtype=np.uint64))] = (mine["key"][0], members)
+                continue
             u, v = mine[mine["full"]], mine[mine["short"]]
-            for x in np.array_split(u, max(1, len(u) * len(v) >> 18)):
-                a, b = np.repeat(x, len(v)), np.tile(v, len(x))
-                apart = (den - num) * (a["size"] + b["size"]) // (den + num)
-                share = -((apart - a["differ"] - b["differ"]) // 2)
-                ok = (np.minimum(a["differ"] - a["at"], b["differ"] - b["at"]) >= share) & (a["handle"] != b["handle"])
-                a, b = a["handle"][ok], b["handle"][ok]
-                pairs.append(np.stack((np.minimum(a, b), np.maximum(a, b))))
-                held += len(a)
+            a, b = np.repeat(u, len(v)), np.tile(v, len(u))
+            apart = (den - num) * (a["size"] + b["size"]) // (den + num)
+            share = -((apart - a["differ"] - b["differ"]) // 2)
+            ok = (np.minimum(a["differ"] - a["at"], b["differ"] - b["at"]) >= share) & (a["handle"] != b["handle"])
+            a, b = a["handle"][ok], b["handle"][ok]
+            pairs.append(np.stack((np.minimum(a, b), np.maximum(a, b))))
+            held += len(a)
             if held > 1 << 20:
-                yield _out(_pairs_out(pairs))
+                yield from paired()
                 pairs, held = [], 0
         if held:
-            yield _out(_pairs_out(pairs))
+            yield from paired()
+        for key, members in groups.values():
+            yield from _lists(_GROUP, np.array([key], np.uint64), np.array([len(members)]), members.view(np.uint64))
+
+    return run
+
+
+def _pair_whole(num: int, den: int):
+    """Rows by bucket (bucket, h, n, comp, bits): pairs of different components whose sizes and sketches allow a link. The
+    members of a bucket meet in numpy by their 512-bit parities, and only pairs that could be links become rows."""
+
+    def pairs(key, h: list, n: list, comp: list, bits: list) -> Iterator[pa.RecordBatch]:
+        h, n, comp, bits = np.array(h), np.array(n), np.array(comp), np.array(bits, np.int64).view(np.uint64).reshape(len(h), 8)
+        for i in range(len(h) - 1):
+            r = slice(i + 1, None)
+            ok = (comp[r] != comp[i]) & (np.minimum(n[r], n[i]) * den >= np.maximum(n[r], n[i]) * num)
+            at = np.flatnonzero(ok) + i + 1
+            apart = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
+            at = at[apart * (den + num) <= (n[at] + n[i]) * (den - num)]
+            if len(at):
+                both = np.stack((np.minimum(h[at], h[i]), np.maximum(h[at], h[i])), axis=1).ravel()
+                yield from _lists(_PAIR, np.zeros(len(at), np.uint64), np.full(len(at), 2), both)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, ([], [], [], [])
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "h", "n", "comp", "bits")), strict=True):
+                if row[0] != key and held[0]:
+                    yield from pairs(key, *held)
+                    held = ([], [], [], [])
+                key = row[0]
+                for x, v in zip(held, row[1:], strict=True):
+                    x.append(v)
+        if held[0]:
+            yield from pairs(key, *held)
 
     return run
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, num: int, den: int, parts: int, common: tuple[np.ndarray, np.ndarray] = (_NONE, _NONE)) -> DataFrame:
-    """Pairs of handles (a, b, star) against their whole texts: links between representatives, and hub tokens of stars."""
-    rep = classes.select(F.col("h1").alias("h_a"), F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    other = classes.select(F.col("h1").alias("h_b"), F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-    named = pairs.groupBy(F.col("a").alias("h_a"), F.col("b").alias("h_b")).agg(F.max("star").alias("star")).join(rep, "h_a").join(other, "h_b")
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
-    named = named.filter((F.col("star") | near) & (F.col("a") != F.col("b"))).select("a", "b", "h_a", "h_b", "star")
-    named = cut(named)
-    ids = cut(named.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    if ids.count() <= TOLD:
-        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
-    both = named.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return cut(both.select("a", "b", "h_a", "h_b", "star", "text_a", "text_b").mapInArrow(_verify(n, num, den, parts, common), _BUCKET))
+def _hubs(groups: DataFrame) -> DataFrame:
+    """(bucket, hub): the member that is in most buckets. Where copies were made from one text, that text is in all of them."""
+    rows = groups.select("bucket", F.explode("members").alias("h"))
+    degree = rows.groupBy("h").agg(F.count("*").alias("degree"))
+    return rows.join(degree, "h").groupBy("bucket").agg(F.max_by("h", F.struct("degree", "h")).alias("hub"))
+
+
+def _best_hubs(groups: DataFrame) -> DataFrame:
+    """(a, b): for each member b the hub a of most of its buckets. Lists of members meet their hub before they are unpacked, so
+    no bucket is a key of the shuffle by row."""
+    starred = groups.join(_hubs(groups), "bucket").select("hub", F.explode("members").alias("h")).filter("h != hub")
+    return starred.groupBy("h", "hub").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("hub", F.struct("n", "hub")).alias("a")).select("a", F.col("h").alias("b"))
 
 
-def _stars(met: DataFrame) -> DataFrame:
-    """(hub, member) handles of large buckets. A bucket's hub is the member that is in most large buckets: where copies were
-    made from one text, that text is in all of them."""
-    members = cut(met.filter(f"kind = {_MEMBERS}").select(F.col("a").alias("bucket"), "body").mapInArrow(_unpack, "bucket long, h1 long").distinct())
-    degree = members.groupBy("h1").agg(F.count("*").alias("degree"))
-    hubs = members.join(degree, "h1").groupBy("bucket").agg(F.max_by("h1", F.struct("degree", "h1")).alias("hub"))
-    return members.join(hubs, "bucket").filter("h1 != hub").select(F.col("hub").alias("a"), F.col("h1").alias("b"), F.lit(True).alias("star")).distinct()
+class _Search:
+    """Links found so far over sets that are known by handle (64-bit hash), and what is still to be looked at."""
+
+    def __init__(self, classes: DataFrame, texts: DataFrame, n: int, num: int, den: int):
+        self.classes, self.texts, self.n, self.num, self.den = classes, texts, n, num, den
+        self.parts = partitions(texts.sparkSession)
+        self.links: DataFrame | None = None
+        self.nodes = classes.select(F.col("h1").alias("h"), "rep", "n", "bits", F.col("rep").alias("comp"))
+        self.common: tuple[np.ndarray, np.ndarray] | None = None
+
+    def add(self, links: DataFrame) -> None:
+        """Take up links (a, b) between representatives; `nodes` then has the components they make."""
+        if links.isEmpty():
+            return
+        self.links = components(links if self.links is None else links.unionByName(self.links.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        at = self.links.withColumnRenamed("node", "rep")
+        self.nodes = cut(self.classes.join(at, "rep", "left").select(F.col("h1").alias("h"), "rep", "n", "bits", F.coalesce("component", "rep").alias("comp")))
+
+    def verified(self, pairs: DataFrame, star: bool = False) -> DataFrame:
+        """Pairs of handles (a: hub, b) against their whole texts: links between representatives, and with `star` the hub's tokens.
+        A pair that is no star is left out if links have joined it or if sizes or parities rule it out. A text goes through the
+        shuffle once a pair for b, and once for up to about SALTED pairs for the hub."""
+        num, den = self.num, self.den
+        rep = self.nodes.select(F.col("h").alias("h_a"), F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("comp").alias("c_a"))
+        other = self.nodes.select(F.col("h").alias("h_b"), F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("comp").alias("c_b"))
+        named = pairs.select(F.col("a").alias("h_a"), F.col("b").alias("h_b")).distinct().join(other, "h_b").join(rep, "h_a").filter("a != b")
+        if not star:
+            apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+            near = (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
+            named = named.filter((F.col("c_a") != F.col("c_b")) & near)
+        named = cut(named.select("a", "b", "h_a", "h_b"))
+        heavy = named.groupBy("a").agg(F.count("*").alias("m")).filter(F.col("m") > SALTED)
+        salt = F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / SALTED)), F.lit(0)).cast("int")
+        named = named.join(heavy, "a", "left").select("a", "b", "h_a", "h_b", salt.alias("salt"))
+        texts = self.texts
+        ids = cut(named.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        if ids.count() <= TOLD:
+            texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+        members = named.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", F.lit(True).alias("member"), "b", "h_a", "h_b", "text")
+        hubs = named.select("a", "salt", "h_a").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "salt", F.lit(False).alias("member"), F.col("a").alias("b"), "h_a", F.col("h_a").alias("h_b"), "text")
+        rows = hubs.unionByName(members).withColumn("star", F.lit(star)).repartition(self.parts, "a", "salt").sortWithinPartitions("a", "salt", "member")
+        if star and self.common is None:
+            self.common = _common(self.texts, self.n, self.parts)
+        return cut(rows.mapInArrow(_verify(self.n, num, den, self.parts, self.common if star else (_NONE, _NONE)), _BUCKET))
+
+    def open(self, groups: DataFrame) -> DataFrame:
+        """The buckets whose members links have not joined into one component: bucket, members, size."""
+        rows = groups.select("bucket", F.explode("members").alias("h")).join(self.nodes.select("h", "comp"), "h")
+        apart = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
+        return cut(groups.join(apart.select("bucket", "size"), "bucket"))
+
+    def run(self, groups: DataFrame) -> None:
+        """Work off buckets (bucket, members), any two similar sets being in one at least."""
+        pairs = None
+        for turn in range(ROUNDS + 1):
+            best = _best_hubs(groups)
+            self.add(self.verified(best if pairs is None else best.unionByName(pairs)).filter(f"kind = {_PAIR}").select("a", "b"))
+            groups = self.open(groups)
+            small = groups if turn == ROUNDS else groups.filter(F.col("size") <= PAIRED)
+            rows = small.select("bucket", F.explode("members").alias("h")).join(self.nodes, "h").select("bucket", "h", "n", "comp", "bits")
+            met = rows.repartition(self.parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_pair_whole(self.num, self.den), _GROUPS)
+            pairs = met.select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b")).distinct()
+            large = groups.filter(F.col("size") > PAIRED)
+            if turn == ROUNDS or large.isEmpty():
+                self.add(self.verified(pairs).filter(f"kind = {_PAIR}").select("a", "b"))
+                return
+            seen = self.verified(large.join(_hubs(large), "bucket").select(F.col("hub").alias("a"), F.explode("members").alias("b")).filter("a != b"), star=True)
+            self.add(seen.filter(f"kind = {_PAIR}").select("a", "b"))
+            met = cut(seen.filter(f"kind = {_ENTRIES}").repartitionById(self.parts, "part").mapInArrow(_meet_members(self.num, self.den), _GROUPS))
+            pairs = pairs.unionByName(met.filter(f"kind = {_PAIR}").select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b")))
+            groups = self.open(met.filter(f"kind = {_GROUP}").select("bucket", "members")).drop("size")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -378,10 +493,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     more are linked, and component_id is the smallest doc_id that links reach.
 
     1. Equal sets fall together by hash. 2. Parity sketches of distinct sets, banded by size, meet where a block agrees;
-    copies within a task, and keys that one task holds many times, are folded before the shuffle. A bucket of up to 16 sets
-    is paired whole; the sets of a larger one are paired with its hub. 3. Pairs are verified on whole texts. 4. Members of large
-    buckets that are not linked to the hub meet those whose differences from the hub overlap theirs enough (see `_verify`),
-    and those pairs are verified too. So no link between components is lost, and no group is paired whole.
+    copies within a task, and keys that one task holds many times, are folded before the shuffle. 3. Each set is verified on
+    whole texts against one set first, the hub of most of its buckets. 4. A bucket whose members these links join is done. Of another one
+    with up to 16 members, pairs of different components are verified. In a larger one all members are compared with its
+    hub, and members not linked to it meet those whose differences from the hub overlap theirs enough (see `_verify`); where many do, they
+    are a bucket of the next round, with a hub of its own. So no link between components is lost, and pairs grow with the
+    members of a group, not with their square. What is still open after ROUNDS rounds is compared by sketches in numpy (time
+    grows with the square of such a bucket, rows only with the pairs that sizes and sketches cannot rule out).
     Null or empty text: no shingles, linked with nothing. Null doc_id: counted, linked with nothing, component_id null. Rows that share a doc_id
     are one node of the graph. No rows in, none out; columns besides doc_id and text are not read.
     """
@@ -398,32 +516,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     rows = cut(texts.mapInArrow(sets, "doc_id long, n long, h1 long, h2 long, bits array<long>"))
     classes = cut(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits")))
     parts = partitions(spark)
-    met = texts.filter("doc_id IS NOT NULL").select("text").mapInArrow(_emit(words, num, den, parts), _BUCKET).repartitionById(parts, "part").mapInArrow(_meet, _BUCKET)
-    met = cut(met.select("kind", "a", "b", "body"))
-    pairs, common = met.filter(f"kind = {_PAIR}").select("a", "b", F.lit(False).alias("star")), (_NONE, _NONE)
-    if not met.filter(f"kind = {_MEMBERS}").isEmpty():
-        pairs, common = pairs.unionByName(_stars(met)), _common(texts, words, parts)
-    seen = _verified(pairs, classes, texts, words, num, den, parts, common)
-    links = seen.filter(f"kind = {_PAIR}").select("a", "b")
-    tokens = seen.filter(f"kind = {_ENTRIES}")
-    if not tokens.isEmpty():
-        again = cut(tokens.repartitionById(parts, "part").mapInArrow(_meet_members(num, den), _BUCKET).select("a", "b").distinct())
-        if not again.isEmpty():
-            links = links.unionByName(_verified(again.withColumn("star", F.lit(False)), classes, texts, words, num, den, parts).select("a", "b"))
-    found = components(links)
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(named, ["h1", "h2", "n"], "left")
+    met = texts.filter("doc_id IS NOT NULL").select("text").mapInArrow(_emit(words, num, den, parts), _BUCKET).repartitionById(parts, "part").mapInArrow(_meet, _GROUPS)
+    search = _Search(classes, texts, words, num, den)
+    search.run(cut(met.select("bucket", "members")))
+    named = search.classes.select("h1", "h2", "n", "rep")
+    if search.links is None:
+        named = named.withColumnRenamed("rep", "component_id")
+    else:
+        named = named.join(search.links.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
+    out = rows.drop("bits").join(named, ["h1", "h2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for bucket, body in zip(batch.column("bucket"), batch.column("body"), strict=True):
-            h = np.frombuffer(body.as_py(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), bucket.as_py())), pa.array(h)], names=["bucket", "h1"])
-
-
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs, with all their columns, one of each component: that with the smallest doc_id. Rows without doc_id stay."""
     keep = near_duplicates(docs, words, num, den).filter("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
