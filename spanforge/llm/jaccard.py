@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -9,15 +10,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, cut, grams, mix64, partitions, sliced
 from .graph import components
 
-#: Up to so many members of a bucket that links have not joined are paired; entries of one flush that share a block key more
-#: often than HOT leave their task as one; a task forgets the sets it has seen after SEEN of them.
-PAIRED, HOT, FLUSH, SEEN = 16, 64, 200_000, 1_000_000
+#: Sketches of up to WHOLE members of a bucket that links have not joined are compared with each other; up to PAIRED members
+#: of a hub that share a token are paired. Entries of one flush that share a block key more often than HOT leave their task as
+#: one; a task forgets the sets it has seen after SEEN of them.
+WHOLE, PAIRED, HOT, FLUSH, SEEN = 1024, 16, 64, 200_000, 1_000_000
 #: Members of a hub that one copy of the hub's text serves; rounds of hubs before what is left is compared sketch by sketch.
 SALTED, ROUNDS = 512, 4
 #: One text in SAMPLE tells which shingles are common; up to COMMON of them are known as such. This only orders shingles.
@@ -48,9 +50,11 @@ def set_hashes(s: np.ndarray) -> tuple[int, int]:
 
 
 def parity(s: np.ndarray) -> list[int]:
-    """512 bits, one flipped by each shingle: two sets differ in no fewer shingles than their bits."""
-    at = mix64(s ^ np.uint64(0x3C6E_F372_FE94_F82B)) >> np.uint64(55)
-    return np.packbits(np.bincount(at.astype(np.int64), minlength=512) & 1).view(">i8").tolist()
+    """A bit a shingle or more (512 at least, a power of two), one flipped by each shingle: two sets differ in no fewer shingles
+    than their bits, and the halves of a longer sketch XORed are the next shorter one."""
+    size = max(512, 1 << (len(s) - 1).bit_length() if len(s) else 0)
+    at = mix64(s ^ np.uint64(0x3C6E_F372_FE94_F82B)) & np.uint64(size - 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=size) & 1).view(">i8").tolist()
 
 
 @dataclass(frozen=True)
@@ -82,12 +86,15 @@ def bands(num: int, den: int, most: int = 1 << 34) -> Bands:
     return Bands(num, den, tuple(lows), tuple(differ), tuple(spare))
 
 
+_BAND = np.uint64(0xFFF)
+
+
 def block_keys(s: np.ndarray, b: Bands) -> np.ndarray:
     """Keys of the parity sketch's blocks in each band the set takes part in.
 
     A shingle's upper bits choose a block, which its 64-bit hash is XORed into: a shingle that only one of two sets has
-    changes one block at most. Blocks without shingles are alike in many sets; they count only if the set has so many of
-    them that the blocks two sets must share could all be such (then both sets have as many).
+    changes one block at most. A key's lowest 12 bits name its band. Blocks without shingles
+    are alike in many sets and count too; as the most common blocks of a set they are the first to be left out.
     """
     out = []
     for k in b.of(len(s)):
@@ -98,10 +105,10 @@ def block_keys(s: np.ndarray, b: Bands) -> np.ndarray:
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         word = np.bitwise_xor.reduceat(mix64(s ^ np.uint64(0x632B_E59B_D9B4_E019)), first)
         block = at[first]
-        if n - len(block) >= b.spare[k]:
+        if len(block) < n:
             empty = np.setdiff1d(np.arange(n, dtype=np.uint64), block)
             block, word = np.concatenate((block, empty)), np.concatenate((word, np.zeros(len(empty), np.uint64)))
-        out.append(mix64(mix64(block + np.uint64(k << 40)) ^ word))
+        out.append(mix64(mix64(block + np.uint64(k << 40)) ^ word) & ~_BAND | np.uint64(k))
     return np.concatenate(out) if out else _NONE
 
 
@@ -195,8 +202,7 @@ def _lists(kind: int, keys: np.ndarray, sizes: np.ndarray, handles: np.ndarray)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets: the handles that share a block key. A key that was hot in some task has several rows; buckets of this task
-    with the same members are one."""
+    """Buckets: the handles that share a block key. A key that was hot in some task has several rows."""
     keys, handles, hot = [], [], []
     for batch in batches:
         kinds, bodies = batch.column("kind").to_numpy(), batch.column("body")
@@ -214,10 +220,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     k, h, first, count = _runs(np.concatenate(keys), np.concatenate(handles))
     del keys, handles
     known = np.isin(k[first], np.concatenate(hot)) if hot else np.zeros(len(first), bool)
-    once = np.flatnonzero((count > 1) & ~known)
-    alike = mix64(np.add.reduceat(mix64(h), first)[once] + count[once].astype(np.uint64))
-    keep = known.copy()
-    keep[once[np.unique(alike, return_index=True)[1]]] = True
+    keep = (count > 1) | known
     yield from _lists(_GROUP, k[first][keep], count[keep], h[np.repeat(keep, count)])
 
 
@@ -369,38 +372,75 @@ def _meet_members(num: int, den: int):
     return run
 
 
-def _pair_whole(num: int, den: int):
-    """Rows by bucket (bucket, h, n, comp, bits): pairs of different components whose sizes and sketches allow a link. The
-    members of a bucket meet in numpy by their 512-bit parities, and only pairs that could be links become rows."""
+def _pair_whole(num: int, den: int, first: bool):
+    """Rows by bucket (bucket, h, n, comp, bits): pairs of different components whose sizes and sketches allow a link (with
+    `first`, for each member only one with the first other member). Members meet in numpy; only those pairs become rows."""
 
-    def pairs(key, h: list, n: list, comp: list, bits: list) -> Iterator[pa.RecordBatch]:
-        h, n, comp, bits = np.array(h), np.array(n), np.array(comp), np.array(bits, np.int64).view(np.uint64).reshape(len(h), 8)
-        for i in range(len(h) - 1):
-            r = slice(i + 1, None)
-            ok = (comp[r] != comp[i]) & (np.minimum(n[r], n[i]) * den >= np.maximum(n[r], n[i]) * num)
-            at = np.flatnonzero(ok) + i + 1
-            apart = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
-            at = at[apart * (den + num) <= (n[at] + n[i]) * (den - num)]
-            if len(at):
-                both = np.stack((np.minimum(h[at], h[i]), np.maximum(h[at], h[i])), axis=1).ravel()
-                yield from _lists(_PAIR, np.zeros(len(at), np.uint64), np.full(len(at), 2), both)
+    def possible(n: np.ndarray, comp: np.ndarray, bits: np.ndarray, of: slice) -> tuple[np.ndarray, np.ndarray]:
+        apart = np.bitwise_count(bits[of, None, :] ^ bits[None, : of.stop, :]).sum(2, dtype=np.int64)
+        x, y = n[of, None], n[None, : of.stop]
+        ok = (np.minimum(x, y) * den >= np.maximum(x, y) * num) & (apart * (den + num) <= (x + y) * (den - num)) & (comp[of, None] != comp[None, : of.stop])
+        ok &= np.arange(of.start, of.stop)[:, None] > np.arange(of.stop)[None, :]
+        if first:
+            some = np.flatnonzero(ok.any(1))
+            return some + of.start, ok[some].argmax(1)
+        i, j = np.nonzero(ok)
+        return i + of.start, j
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, ([], [], [], [])
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "h", "n", "comp", "bits")), strict=True):
-                if row[0] != key and held[0]:
-                    yield from pairs(key, *held)
-                    held = ([], [], [], [])
-                key = row[0]
-                for x, v in zip(held, row[1:], strict=True):
-                    x.append(v)
-        if held[0]:
-            yield from pairs(key, *held)
+        kept = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is None:
+                cols = kept
+            else:
+                lists = batch.column("bits")
+                mine = [batch.column(c).to_numpy() for c in ("bucket", "h", "n", "comp")]
+                mine += [np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy().view(np.uint64)]
+                cols = mine if kept is None else [np.concatenate(x) for x in zip(kept, mine, strict=True)]
+            if cols is None or not len(cols[0]):
+                continue
+            bucket, h, n, comp, length, words = cols
+            ends = np.concatenate(([0], np.cumsum(length)))
+            cuts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
+            whole = cuts if batch is None else cuts[:-1]
+            left, right = [], []
+            for lo, hi in zip(whole[:-1].tolist(), whole[1:].tolist(), strict=True):
+                if hi - lo < 2 or comp[lo:hi].min() == comp[lo:hi].max():
+                    continue
+                short = int(length[lo:hi].min())
+                if (length[lo:hi] == short).all():
+                    bits = words[ends[lo] : ends[hi]].reshape(-1, short)
+                else:
+                    bits = np.stack([np.bitwise_xor.reduce(words[ends[i] : ends[i + 1]].reshape(-1, short), 0) for i in range(lo, hi)])
+                step = max(1, (1 << 18) // ((hi - lo) * short))
+                for at in range(0, hi - lo, step):
+                    i, j = possible(n[lo:hi], comp[lo:hi], bits, slice(at, min(at + step, hi - lo)))
+                    left.append(h[lo + i])
+                    right.append(h[lo + j])
+            if left:
+                a, b = np.concatenate(left), np.concatenate(right)
+                yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(a)], names=["a", "b"])
+            rest = whole[-1]
+            kept = [x[rest:] for x in cols[:5]] + [words[ends[rest] :]]
 
     return run
 
 
+def _thinned(groups: DataFrame, b: Bands) -> DataFrame:
+    """Buckets without what no pair needs: similar sets agree in `spare` blocks of a band, so that each may leave its
+    spare − 1 most common ones out, and the rarest block that they share is left in both. Passages that many texts share fill
+    a few blocks of each, and go. Lists are of some 4,096 members at most, however large a bucket is."""
+    sizes = groups.groupBy("bucket").agg(F.sum(F.size("members")).alias("size"))
+    band = F.col("bucket").bitwiseAND(F.lit(int(_BAND))).cast("int")
+    rows = groups.join(sizes, "bucket").select("bucket", "size", F.explode("members").alias("h"))
+    common_first = Window.partitionBy("h", band).orderBy(F.col("size").desc(), "bucket")
+    rows = rows.withColumn("at", F.row_number().over(common_first)).filter(F.col("at") >= F.element_at(F.array(*[F.lit(x) for x in b.spare]), band + 1))
+    rows = cut(rows.select("bucket", "h"))
+    left = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    rows = rows.join(left, "bucket").withColumn("salt", F.pmod(F.xxhash64("h"), F.ceil(F.col("size") / 4096)))
+    return rows.groupBy("bucket", "salt").agg(F.collect_set("h").alias("members")).select("bucket", "members")
+
+
 def _hubs(groups: DataFrame) -> DataFrame:
     """(bucket, hub): the member that is in most buckets. Where copies were made from one text, that text is in all of them."""
     rows = groups.select("bucket", F.explode("members").alias("h"))
@@ -442,10 +482,14 @@ class _Search:
         other = self.nodes.select(F.col("h").alias("h_b"), F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("comp").alias("c_b"))
         named = pairs.select(F.col("a").alias("h_a"), F.col("b").alias("h_b")).distinct().join(other, "h_b").join(rep, "h_a").filter("a != b")
         if not star:
-            apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-            near = (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
+            half = lambda x: F.zip_with(F.slice(x, 1, F.size(x) / 2), F.slice(x, F.size(x) / 2 + 1, F.size(x) / 2), lambda p, q: p.bitwiseXOR(q))
+            as_short = lambda x, y: F.when(F.size(x) > F.size(y), half(x)).otherwise(x)  # noqa: E731  (sizes this near differ by one halving at most)
+            bits = F.zip_with(as_short(F.col("bits_a"), F.col("bits_b")), as_short(F.col("bits_b"), F.col("bits_a")), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+            near = (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (F.aggregate(bits, F.lit(0), lambda t, x: t + x) * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
             named = named.filter((F.col("c_a") != F.col("c_b")) & near)
         named = cut(named.select("a", "b", "h_a", "h_b"))
+        if named.isEmpty():
+            return self.texts.sparkSession.createDataFrame([], _BUCKET)
         heavy = named.groupBy("a").agg(F.count("*").alias("m")).filter(F.col("m") > SALTED)
         salt = F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / SALTED)), F.lit(0)).cast("int")
         named = named.join(heavy, "a", "left").select("a", "b", "h_a", "h_b", salt.alias("salt"))
@@ -466,26 +510,34 @@ class _Search:
         apart = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
         return cut(groups.join(apart.select("bucket", "size"), "bucket"))
 
+    def link(self, pairs: DataFrame) -> None:
+        self.add(self.verified(pairs).filter(f"kind = {_PAIR}").select("a", "b"))
+
+    def compare(self, groups: DataFrame) -> None:
+        """All members of open buckets by their sketches: first one possible partner of each, then what that has not joined."""
+        for first in (True, False):
+            rows = groups.select("bucket", F.explode("members").alias("h")).distinct().join(self.nodes, "h").select("bucket", "h", "n", "comp", "bits")
+            met = rows.repartition(self.parts, "bucket").sortWithinPartitions("bucket", "h").mapInArrow(_pair_whole(self.num, self.den, first), "a long, b long")
+            self.link(met)
+            if first:
+                groups = self.open(groups.drop("size"))
+
     def run(self, groups: DataFrame) -> None:
         """Work off buckets (bucket, members), any two similar sets being in one at least."""
-        pairs = None
+        self.link(_best_hubs(groups))
         for turn in range(ROUNDS + 1):
-            best = _best_hubs(groups)
-            self.add(self.verified(best if pairs is None else best.unionByName(pairs)).filter(f"kind = {_PAIR}").select("a", "b"))
             groups = self.open(groups)
-            small = groups if turn == ROUNDS else groups.filter(F.col("size") <= PAIRED)
-            rows = small.select("bucket", F.explode("members").alias("h")).join(self.nodes, "h").select("bucket", "h", "n", "comp", "bits")
-            met = rows.repartition(self.parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_pair_whole(self.num, self.den), _GROUPS)
-            pairs = met.select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b")).distinct()
-            large = groups.filter(F.col("size") > PAIRED)
+            if groups.isEmpty():
+                return
+            self.compare(groups if turn == ROUNDS else groups.filter(F.col("size") <= WHOLE))
+            large = groups.filter(F.col("size") > WHOLE)
             if turn == ROUNDS or large.isEmpty():
-                self.add(self.verified(pairs).filter(f"kind = {_PAIR}").select("a", "b"))
                 return
             seen = self.verified(large.join(_hubs(large), "bucket").select(F.col("hub").alias("a"), F.explode("members").alias("b")).filter("a != b"), star=True)
             self.add(seen.filter(f"kind = {_PAIR}").select("a", "b"))
             met = cut(seen.filter(f"kind = {_ENTRIES}").repartitionById(self.parts, "part").mapInArrow(_meet_members(self.num, self.den), _GROUPS))
-            pairs = pairs.unionByName(met.filter(f"kind = {_PAIR}").select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b")))
-            groups = self.open(met.filter(f"kind = {_GROUP}").select("bucket", "members")).drop("size")
+            self.link(met.filter(f"kind = {_PAIR}").select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b")))
+            groups = met.filter(f"kind = {_GROUP}").select("bucket", "members")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -493,13 +545,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     more are linked, and component_id is the smallest doc_id that links reach.
 
     1. Equal sets fall together by hash. 2. Parity sketches of distinct sets, banded by size, meet where a block agrees;
-    copies within a task, and keys that one task holds many times, are folded before the shuffle. 3. Each set is verified on
-    whole texts against one set first, the hub of most of its buckets. 4. A bucket whose members these links join is done. Of another one
-    with up to 16 members, pairs of different components are verified. In a larger one all members are compared with its
+    copies within a task, and keys that one task holds many times, are folded before the shuffle, and each set leaves its most common blocks out as
+    far as similar sets must agree in more. 3. Each set is verified on
+    whole texts against one set first, the hub of most of its buckets. 4. A bucket whose members these links join is done. In another one
+    with up to WHOLE members all sketches are compared, and pairs of different components that sizes and sketches allow are
+    verified: one a member first, then what is still apart. In a larger one all members are compared with its
     hub, and members not linked to it meet those whose differences from the hub overlap theirs enough (see `_verify`); where many do, they
-    are a bucket of the next round, with a hub of its own. So no link between components is lost, and pairs grow with the
-    members of a group, not with their square. What is still open after ROUNDS rounds is compared by sketches in numpy (time
-    grows with the square of such a bucket, rows only with the pairs that sizes and sketches cannot rule out).
+    are a bucket of the next round. So no link between components is lost, and rows grow with the members of a group, not with
+    their square. Buckets still that large after ROUNDS rounds are compared by sketches too (there, time grows with the square).
     Null or empty text: no shingles, linked with nothing. Null doc_id: counted, linked with nothing, component_id null. Rows that share a doc_id
     are one node of the graph. No rows in, none out; columns besides doc_id and text are not read.
     """
@@ -518,7 +571,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     parts = partitions(spark)
     met = texts.filter("doc_id IS NOT NULL").select("text").mapInArrow(_emit(words, num, den, parts), _BUCKET).repartitionById(parts, "part").mapInArrow(_meet, _GROUPS)
     search = _Search(classes, texts, words, num, den)
-    search.run(cut(met.select("bucket", "members")))
+    search.run(cut(_thinned(cut(met.select("bucket", "members")), bands(num, den))))
     named = search.classes.select("h1", "h2", "n", "rep")
     if search.links is None:
         named = named.withColumnRenamed("rep", "component_id")

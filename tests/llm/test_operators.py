@@ -96,7 +96,7 @@ def test_links_and_components(spark, tmp_path, monkeypatch):
 
 
 def test_sketch_blocks_agree():
-    """Similar sets share a block key, whatever their sizes."""
+    """Similar sets share as many block keys of a band as must agree, whatever their sizes."""
     rng = np.random.default_rng(2)
     for num, den in ((85, 100), (80, 100), (60, 100)):
         b = jaccard.bands(num, den)
@@ -106,7 +106,8 @@ def test_sketch_blocks_agree():
             y = np.unique(np.concatenate((x[rng.permutation(len(x))[most // 2 :]], rng.integers(0, 1 << 63, most - most // 2, dtype=np.uint64))))
             same = len(np.intersect1d(x, y))
             if same * den >= num * (len(x) + len(y) - same) and len(x) + len(y) > 2 * same:
-                assert len(np.intersect1d(jaccard.block_keys(x, b), jaccard.block_keys(y, b)))
+                shared = (np.intersect1d(jaccard.block_keys(x, b), jaccard.block_keys(y, b)) & jaccard._BAND).astype(int)
+                assert any((shared == k).sum() >= b.spare[k] for k in set(shared.tolist()))
 
 
 def test_components(spark):
@@ -446,3 +447,26 @@ def test_the_pipeline_places_every_pass(spark):
     rows = [r for r in corpus_pipeline.mixing_stage(spark, df, "").collect() if r["doc_id"] < 2]
     assert {r["target"] for r in rows} == {60.0} and sum(r["words"] for r in rows) == 60
     assert [round(r["position"], 6) for r in rows] == [round(k / 6, 6) for k in range(6)]
+
+
+@pytest.mark.parametrize("whole", [1024, 20])
+def test_pairs_grow_with_a_group_and_not_with_its_square(spark, tmp_path, monkeypatch, whole):
+    """Two groups of near copies on one template, whose members all share buckets."""
+    monkeypatch.setattr(jaccard, "WHOLE", whole)
+    counted, verified = [], jaccard._Search.verified
+
+    def counting(self, pairs, star=False):
+        counted.append(pairs.distinct().count())
+        return verified(self, pairs, star)
+
+    monkeypatch.setattr(jaccard._Search, "verified", counting)
+    rng = random.Random(8)
+    template, own = some(rng, 200), [[f"{c}{k}" for k in range(60)] for c in "ab"]
+    found = {}
+    for size in (40, 80):
+        rows = [(2 * i + c, " ".join(template + edited(rng, own[c], 2))) for i in range(size) for c in (0, 1)]
+        counted.clear()
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(stored(spark, tmp_path, rows), 5, 80, 100).collect()}
+        assert got == {i: i % 2 for i, _ in rows}
+        found[size] = sum(counted)
+    assert found[80] < 3 * found[40] and found[80] < 12 * 160
