@@ -81,7 +81,7 @@ def bands(num: int, den: int, most: int = 1 << 34) -> Bands:
         low = max(lows[-1] + 1, -(-lows[-1] * den * den // (num * num)))
         d = (den - num) * 2 * (low - 1) // (den + num)
         differ.append(d)
-        spare.append(1 + -(-d * 6 // 100))
+        spare.append(3 + -(-d * 15 // 100))
         lows.append(low)
     return Bands(num, den, tuple(lows), tuple(differ), tuple(spare))
 
@@ -374,14 +374,15 @@ def _meet_members(num: int, den: int):
 
 def _pair_whole(num: int, den: int, first: bool):
     """Rows by bucket (bucket, h, n, comp, bits): pairs of different components whose sizes and sketches allow a link (with
-    `first`, for each member only one with the first other member). Members meet in numpy; only those pairs become rows."""
+    `first`, in a bucket of over PAIRED members, for each member only one with the first other one). Members meet in numpy; only
+    those pairs become rows."""
 
     def possible(n: np.ndarray, comp: np.ndarray, bits: np.ndarray, of: slice) -> tuple[np.ndarray, np.ndarray]:
         apart = np.bitwise_count(bits[of, None, :] ^ bits[None, : of.stop, :]).sum(2, dtype=np.int64)
         x, y = n[of, None], n[None, : of.stop]
         ok = (np.minimum(x, y) * den >= np.maximum(x, y) * num) & (apart * (den + num) <= (x + y) * (den - num)) & (comp[of, None] != comp[None, : of.stop])
         ok &= np.arange(of.start, of.stop)[:, None] > np.arange(of.stop)[None, :]
-        if first:
+        if first and len(n) > PAIRED:
             some = np.flatnonzero(ok.any(1))
             return some + of.start, ok[some].argmax(1)
         i, j = np.nonzero(ok)
@@ -510,6 +511,14 @@ class _Search:
         apart = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
         return cut(groups.join(apart.select("bucket", "size"), "bucket"))
 
+    def centres(self, groups: DataFrame) -> DataFrame:
+        """(bucket, hub): the smallest set of the largest component that the bucket has members of. A hub need not be a member:
+        buckets of one group of near copies so have one hub, and each member is compared with it once."""
+        sizes = self.nodes.groupBy("comp").agg(F.count("*").alias("members_of"))
+        rows = groups.select("bucket", F.explode("members").alias("h")).join(self.nodes.select("h", "comp"), "h").join(sizes, "comp")
+        chosen = rows.groupBy("bucket").agg(F.max_by("comp", F.struct("members_of", "comp")).alias("rep"))
+        return chosen.join(self.nodes.groupBy("rep").agg(F.min("h").alias("hub")), "rep").select("bucket", "hub")
+
     def link(self, pairs: DataFrame) -> None:
         self.add(self.verified(pairs).filter(f"kind = {_PAIR}").select("a", "b"))
 
@@ -520,7 +529,9 @@ class _Search:
             met = rows.repartition(self.parts, "bucket").sortWithinPartitions("bucket", "h").mapInArrow(_pair_whole(self.num, self.den, first), "a long, b long")
             self.link(met)
             if first:
-                groups = self.open(groups.drop("size"))
+                groups = self.open(groups.filter(F.col("size") > PAIRED).drop("size"))
+                if groups.isEmpty():
+                    return
 
     def run(self, groups: DataFrame) -> None:
         """Work off buckets (bucket, members), any two similar sets being in one at least."""
@@ -533,7 +544,7 @@ class _Search:
             large = groups.filter(F.col("size") > WHOLE)
             if turn == ROUNDS or large.isEmpty():
                 return
-            seen = self.verified(large.join(_hubs(large), "bucket").select(F.col("hub").alias("a"), F.explode("members").alias("b")).filter("a != b"), star=True)
+            seen = self.verified(large.join(self.centres(large), "bucket").select(F.col("hub").alias("a"), F.explode("members").alias("b")).filter("a != b"), star=True)
             self.add(seen.filter(f"kind = {_PAIR}").select("a", "b"))
             met = cut(seen.filter(f"kind = {_ENTRIES}").repartitionById(self.parts, "part").mapInArrow(_meet_members(self.num, self.den), _GROUPS))
             self.link(met.filter(f"kind = {_PAIR}").select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b")))
