@@ -49,7 +49,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return tokens.prefix_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_steps=False)
+    return tokens.prefix_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
+    "op3_chat_formatting": chat.ORACLE,
     "op5_exact_dedup": exact.ORACLE,
     "op8_substring_dedup": substring.ORACLE,
     "op10_jaccard_join": jaccard.ORACLE,

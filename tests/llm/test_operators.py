@@ -230,7 +230,7 @@ def test_prefix_token_counts():
     rng = random.Random(1)
     texts = ["".join(rng.choice("ab ▁\n\tÅ日é<s>/ee the") for _ in range(rng.randint(0, 40))) for _ in range(150)] + ["the quick brown foxes", "</s><unk> x", "x" * 300]
     for t in texts:
-        n, steps = counter.count(t, True)
+        n, steps = counter.count(t)
         assert n == len(library.encode(t))
         counts = [len(library.encode(t[:k])) for k in range(len(t) + 1)]
         assert [tokens.count_at(steps, k) for k in range(len(t) + 1)] == counts
@@ -238,6 +238,25 @@ def test_prefix_token_counts():
             assert tokens.fits(steps, budget) == max((k for k, c in enumerate(counts) if c <= budget), default=0)
 
 
+def test_token_counts_are_the_librarys(spark, sf, monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public.path("piece_bpe_32k.model"))
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in queries.QUERIES["op9_token_counts"](spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    rng = random.Random(2)
+    for d, t in texts.items():
+        r = got[d]
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), len(library.encode(t)), len(library.encode(t)) > 4096)
+        k = rng.randrange(len(t) + 1)
+        assert tokens.count_at(r["steps"], k) == len(library.encode(t[:k])) and tokens.count_at(r["steps"], len(t)) == r["n_tokens"]
+    counter = tokens.PrefixCounter(public.path("piece_bpe_32k.model"))
+    monkeypatch.setattr(counter, "_counts", lambda segments: ((s, [0] * (len(s) + 1)) for s in segments))
+    assert counter.count("some text")[0] == 0  # the counts are those of the programme
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.QUERIES["op1_quality_classifier"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
@@ -339,14 +358,26 @@ def test_chat_round_trip(spark, sf):
         assert (r["loss_chars"], r["loss_sha256"]) == (len(reply), hashlib.sha256(reply.encode()).hexdigest())
 
 
-def test_examples_hold_their_whole_context(spark):
-    turns = [(1, k, "user" if k % 2 == 0 else "assistant", f"text {k}") for k in range(7)]
+@pytest.mark.parametrize("whole_context", [0, 60, 1 << 14])
+def test_examples_hold_their_whole_context(spark, whole_context):
+    turns = [(c, k, "assistant" if k % 2 else "user", f"text {k} [INST]") for c, n in ((1, 7), (2, 2), (3, 1), (4, 12)) for k in range(n)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    rows = chat.materialise(chat.expand_prefix_targets(df)).orderBy("example_no").collect()
-    assert len(rows) == 3
-    for k, r in enumerate(rows):
-        assert [t[1] for t in chat.parse_turns(r["text"])] == [f"text {i}" for i in range(2 * k + 2)]
-        assert r["text"][r["loss_start"] : r["loss_end"]] == f"text {2 * k + 1}"
+    examples = chat.expand_prefix_targets(df, whole_context)
+    written = {(r["conv_id"], r["example_no"]): r for r in examples.collect()}
+    length = collections.Counter()
+    rows = chat.materialise(examples).collect()
+    assert len(rows) == 3 + 1 + 0 + 6
+    for r in rows:
+        c, k = r["conv_id"], r["example_no"]
+        assert [t[1] for t in chat.parse_turns(r["text"])] == [f"text {i} [INST]" for i in range(2 * k + 2)]
+        assert chat.unescape(r["text"][r["loss_start"] : r["loss_end"]]) == f"text {2 * k + 1} [INST]"
+        context = sum(len(chat.format_turn(role, text)[0]) for d, i, role, text in turns if d == c and i < 2 * k)
+        assert written[c, k]["context_chars"] == (0 if context <= whole_context else context)
+        assert written[c, k]["text"] == r["text"][written[c, k]["context_chars"] :]
+        length[c] += len(r["text"])
+    got = {r["conv_id"]: r for r in chat.read_back(examples, whole_context).collect()}
+    assert {c: r["formatted_chars"] for c, r in got.items()} == {c: length[c] for c in (1, 2, 3, 4)}
+    assert {c: r["n_turns"] for c, r in got.items()} == {1: 7, 2: 2, 3: 1, 4: 12}
 
 
 def test_warc_segments_and_chunks():
