@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, partitions
+from .common import WS, partitions, unused
 
 _SCHEMA = "n_bytes long, sha string, body binary, n_points long, doc_id long, copies long"
 _NO_ID = (1 << 63) - 1
@@ -24,34 +24,35 @@ def _better(a: tuple, b: tuple) -> tuple:
 
 
 class Trie:
-    """Compressed radix trie over byte strings; a terminal node stores (−code points, smallest doc_id, copies, extra).
+    """Compressed radix trie over (length, byte string); a terminal node stores (−code points, smallest doc_id, copies, extra).
 
-    When the bytes held exceed `budget`, the largest subtree below the root goes to a temporary file; later strings of that
-    subtree are appended there, and each file is worked through by a trie of its own once the rest has been read.
+    When the bytes held exceed `budget`, the path from the root that holds most of them is followed to where it branches, and the
+    subtrees there go to FILES files in turn, however many they are. A stub is left in each one's place, so that later strings
+    of that subtree are appended to its file. Once the rest has been read, each file is worked through by a trie of its own.
+    Equal strings meet in one file, and no file holds all strings of a trie. `budget` None: nothing is spilled.
     """
 
-    def __init__(self, budget: int = 64 << 20, depth: int = 0):
-        self.root: list = [b"", {}, None]  # label, children by first byte, value
-        self.budget, self.depth, self.held = budget, depth, 0
-        self.sizes: dict[int, int] = {}
+    FILES = 16
+
+    def __init__(self, budget: int | None = 64 << 20):
+        self.root: list = [b"", {}, None]  # label, children by first byte, value; a stub has no children and a file's number
+        self.budget, self.limit, self.held, self.strings, self.turn = budget, budget, 0, 0, 0
+        self.folder: tempfile.TemporaryDirectory | None = None
         self.files: dict[int, object] = {}
 
-    def insert(self, key: bytes, value: tuple, extra=None) -> None:
-        top = key[self.depth] if len(key) > self.depth else -1
-        if top in self.files:
-            pickle.dump((key, value, extra), self.files[top])
-            return
-        node, at = self.root, self.depth
-        while True:
-            if at == len(key):
-                break
+    def insert(self, body: bytes, value: tuple, extra=None) -> None:
+        key = len(body).to_bytes(8, "big") + body
+        node, at = self.root, 0
+        while at < len(key):
             child = node[1].get(key[at])
             if child is None:
                 child = node[1][key[at]] = [key[at:], {}, None]
                 self.held += len(key) - at + 200
-                self.sizes[top] = self.sizes.get(top, 0) + len(key) - at + 200
                 node = child
                 break
+            if child[1] is None:
+                pickle.dump((body, value, extra), self.files[child[2]])
+                return
             label = child[0]
             if key.startswith(label, at):
                 node, at = child, at + len(label)
@@ -61,92 +62,119 @@ class Trie:
             child[0] = label[common:]
             node[1][key[at]] = middle
             node, at = middle, at + common
-        node[2] = (*value, extra) if node[2] is None else (*_better(node[2][:3], value), node[2][3])
-        if self.held > self.budget and len(self.sizes) > 1 or self.held > 4 * self.budget:
+        if node[2] is None:
+            node[2] = (*value, extra)
+            self.strings += 1
+        else:
+            node[2] = (*_better(node[2][:3], value), node[2][3])
+        if self.limit is not None and self.held > self.limit:
             self._spill()
 
+    def _sizes(self) -> tuple[dict[int, int], set[int]]:
+        """Bytes of each subtree, by the identity of its node, and the nodes with a stub below them."""
+        order, stack = [], [self.root]
+        while stack:
+            node = stack.pop()
+            order.append(node)
+            stack += [x for x in node[1].values() if x[1] is not None]
+        sizes: dict[int, int] = {}
+        stubs: set[int] = set()
+        for node in reversed(order):
+            sizes[id(node)] = len(node[0]) + 200 + sum(sizes[id(x)] for x in node[1].values() if x[1] is not None)
+            if any(x[1] is None or id(x) in stubs for x in node[1].values()):
+                stubs.add(id(node))
+        return sizes, stubs
+
     def _spill(self) -> None:
-        top = max(self.sizes, key=self.sizes.get)
-        if top < 0:
+        if self.strings < 2:
+            self.limit = 2 * self.held  # a single long string stays
             return
-        out = tempfile.TemporaryFile()
-        for key, value, extra in self._walk(self.root[1].pop(top), key=self._prefix):
-            pickle.dump((key, value, extra), out)
-        self.files[top] = out
-        self.held -= self.sizes.pop(top)
-
-    _prefix = b""
+        sizes, stubs = self._sizes()
+        node, path = self.root, b""
+        while True:
+            big = max((x for x in node[1].values() if x[1] is not None), key=lambda x: sizes[id(x)], default=None)
+            if big is None or not big[1] or 2 * sizes[id(big)] <= self.held:
+                break
+            node, path = big, path + big[0]
+        if self.folder is None:
+            self.folder = tempfile.TemporaryDirectory()
+        stack = [(node, path)]
+        while stack:
+            node, path = stack.pop()
+            for byte, child in list(node[1].items()):
+                if child[1] is None:
+                    continue
+                if id(child) in stubs:  # a file has part of it already: what hangs below goes, by subtree
+                    stack.append((child, path + child[0]))
+                    continue
+                number, self.turn = self.turn % self.FILES, self.turn + 1
+                if number not in self.files:
+                    self.files[number] = open(f"{self.folder.name}/{number}", "wb")
+                for key, value, extra in self._walk(child, path):
+                    pickle.dump((key[8:], value, extra), self.files[number])
+                    self.strings -= 1
+                node[1][byte] = [b"", None, number]
+                self.held -= sizes[id(child)]
+        self.limit = max(self.budget, self.held + self.budget // 2)
 
     @staticmethod
     def _walk(node: list, key: bytes) -> Iterator[tuple]:
         stack = [(node, key)]
         while stack:
             node, key = stack.pop()
+            if node[1] is None:
+                continue
             key += node[0]
             if node[2] is not None:
                 yield key, node[2][:3], node[2][3]
             stack += [(x, key) for x in node[1].values()]
 
     def items(self) -> Iterator[tuple]:
-        """(key, (−code points, doc_id, copies), extra) of each distinct string; the trie is used up."""
-        yield from self._walk(self.root, self._prefix)
+        """(string, (−code points, doc_id, copies), extra) of each distinct string; the trie is used up."""
+        for key, value, extra in self._walk(self.root, b""):
+            yield key[8:], value, extra
         self.root = None
         for out in self.files.values():
-            out.seek(0)
-            sub = None
-            while True:
-                try:
-                    key, value, extra = pickle.load(out)
-                except EOFError:
-                    break
-                if sub is None:
-                    sub = Trie(self.budget, self.depth + 1)
-                    sub._prefix = key[: self.depth + 1]
-                sub.insert(key, value, extra)
             out.close()
-            if sub is not None:
-                yield from sub.items()
+        for number in self.files:
+            sub, path = Trie(self.budget), f"{self.folder.name}/{number}"
+            with open(path, "rb") as spilled:
+                while True:
+                    try:
+                        sub.insert(*pickle.load(spilled))
+                    except EOFError:
+                        break
+            os.unlink(path)
+            yield from sub.items()
 
 
 def _tries(budget: int, with_body: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct strings of this task; before the shuffle a full trie is simply sent on, after it subtrees are spilled."""
-        tries: dict[int, Trie] = {}
-        held = 0
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def out(trie: Trie) -> Iterator[pa.RecordBatch]:
             cols: list[list] = [[], [], [], [], [], []]
             size = 0
-            for length in sorted(tries):
-                for key, (points, doc, copies), sha in tries[length].items():
-                    for c, v in zip(cols, (length, sha, key if with_body else b"", -points, None if doc == _NO_ID else doc, copies), strict=True):
-                        c.append(v)
-                    size += len(key) + 100
-                    if size > 8 << 20:
-                        yield _batch(cols)
-                        cols, size = [[], [], [], [], [], []], 0
+            for key, (points, doc, copies), sha in trie.items():
+                for c, v in zip(cols, (len(key), sha, key if with_body else b"", -points, None if doc == _NO_ID else doc, copies), strict=True):
+                    c.append(v)
+                size += len(key) + 100
+                if size > 8 << 20:
+                    yield _batch(cols)
+                    cols, size = [[], [], [], [], [], []], 0
             if cols[0]:
                 yield _batch(cols)
 
+        trie = Trie(None if with_body else budget)
         for batch in batches:
-            lengths, shas, points, docs, copies = (batch.column(c).to_pylist() for c in ("n_bytes", "sha", "n_points", "doc_id", "copies"))
+            shas, points, docs, copies = (batch.column(c).to_pylist() for c in ("sha", "n_points", "doc_id", "copies"))
             body = batch.column("body")
-            for i, length in enumerate(lengths):
-                trie = tries.get(length)
-                if trie is None:
-                    trie = tries[length] = Trie(budget)
-                was = trie.held
-                trie.insert(body[i].as_py(), (-points[i], _NO_ID if docs[i] is None else docs[i], copies[i]), shas[i])
-                held += trie.held - was + 8
-                if held > budget:
-                    if with_body:
-                        yield from out()
-                        tries, held = {}, 0
-                    elif (big := max(tries.values(), key=lambda t: t.held)).held:
-                        was = big.held
-                        big._spill()
-                        held -= was - big.held
-        yield from out()
+            for i, sha in enumerate(shas):
+                trie.insert(body[i].as_py(), (-points[i], _NO_ID if docs[i] is None else docs[i], copies[i]), sha)
+                if with_body and trie.held > budget:
+                    yield from out(trie)
+                    trie = Trie(None)
+        yield from out(trie)
 
     return run
 
@@ -189,12 +217,14 @@ def exact_dedup(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
 
 
 def keep_exact(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns, one a distinct text. The join on text and doc_id deals no hot key."""
-    keep = text_classes(docs).select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"))
-    rows = docs.withColumn("__key", F.sha2(normalised(F.col("text")), 256))
-    rows = rows.join(keep, (F.col("__key") == F.col("__sha")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")), "left_semi")
-    first = Window.partitionBy("__key", "doc_id").orderBy(F.length("text").desc_nulls_last())
-    return rows.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n", "__key")
+    """The rows of docs that stay, with all their columns, one a distinct text. The join on text and doc_id deals no hot key.
+    Of rows that share the keeper's doc_id and text, the first in the order of their columns as JSON, most code points first."""
+    key, n, sha, keep_id = (unused(docs, x) for x in ("key", "n", "sha", "keep"))
+    keep = text_classes(docs).select(F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep_id))
+    rows = docs.withColumn(key, F.sha2(normalised(F.col("text")), 256))
+    rows = rows.join(keep, (F.col(key) == F.col(sha)) & F.col("doc_id").cast("long").eqNullSafe(F.col(keep_id)), "left_semi")
+    first = Window.partitionBy(key, "doc_id").orderBy(F.length("text").desc_nulls_last(), F.to_json(F.struct(*docs.columns)))
+    return rows.withColumn(n, F.row_number().over(first)).filter(F.col(n) == 1).drop(n, key)
 
 
 ORACLE = r"""

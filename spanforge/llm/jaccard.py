@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, cut, grams, mix64, partitions, sliced
+from .common import Words, cut, grams, mix64, partitions, sliced, unused
 from .graph import components
 
 #: Sketches of up to WHOLE members of a bucket that links have not joined are compared with each other; up to PAIRED members
@@ -595,9 +595,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs, with all their columns, one of each component: that with the smallest doc_id. Rows without doc_id stay."""
-    keep = near_duplicates(docs, words, num, den).filter("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    rows = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__keep")), "left_semi")
-    return rows
+    name = unused(docs, "keep")
+    keep = near_duplicates(docs, words, num, den).filter("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
 
 
 ORACLE = r"""

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -60,6 +61,39 @@ def test_trie_owns_the_best_and_spills():
         assert {k: tuple(v) for k, v, _ in trie.items()} == want
 
 
+def test_a_trie_spills_into_few_files(monkeypatch):
+    """Thousands of lengths, long common beginnings and repeated strings over a tiny budget."""
+    rng = random.Random(6)
+    keys = [b"x" * k for k in range(5000)] + [b"same beginning " * 40 + bytes(rng.choices(b"abc", k=8)) for _ in range(3000)] + [b"", b"y" * 300_000, b"z" * 300_000]
+    keys += rng.choices(keys, k=2000)
+    rng.shuffle(keys)
+    most, opened = 0, exact.open if hasattr(exact, "open") else open
+
+    def counting(*args):
+        nonlocal most
+        most = max(most, len(os.listdir("/proc/self/fd")))
+        return opened(*args)
+
+    monkeypatch.setattr(exact, "open", counting, raising=False)
+    before = len(os.listdir("/proc/self/fd"))
+    trie, want = exact.Trie(256 << 10), {}
+    for i, k in enumerate(keys):
+        trie.insert(k, (-1, i, 1), None)
+        old = want.get(k)
+        want[k] = (-1, i, 1) if old is None else (-1, old[1], old[2] + 1)
+    assert trie.turn > trie.FILES
+    assert {k: tuple(v) for k, v, _ in trie.items()} == want and most - before < 300
+
+
+def test_repeated_rows_and_reserved_names(spark):
+    """A keeper's doc_id given twice with other columns, and columns named like the operator's own."""
+    rows = [(1, "a b", "x", 1), (1, "a b", "w", 2), (2, "ab", "v", 3), (3, "c", "u", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string, _keep int")
+    for part in (1, 4):
+        assert sorted(map(tuple, exact.keep_exact(df.repartition(part)).collect())) == [(1, "a b", "w", 2), (3, "c", "u", 4)]
+    assert {r["doc_id"] for r in jaccard.keep_one(df).collect()} == {1, 2, 3}
+
+
 def test_links_and_components(spark, tmp_path, monkeypatch):
     rng = random.Random(5)
     docs = []
