@@ -19,7 +19,7 @@ from .graph import components
 #: Sketches of up to WHOLE members of a bucket that links have not joined are compared with each other; up to PAIRED members
 #: of a hub that share a token are paired. Entries of one flush that share a block key more often than HOT leave their task as
 #: one; a task forgets the sets it has seen after SEEN of them.
-WHOLE, PAIRED, HOT, FLUSH, SEEN = 1024, 16, 64, 200_000, 1_000_000
+WHOLE, PAIRED, HOT, FLUSH, SEEN = 4096, 16, 64, 200_000, 200_000
 #: Members of a hub that one copy of the hub's text serves; rounds of hubs before what is left is compared sketch by sketch.
 SALTED, ROUNDS = 512, 4
 #: One text in SAMPLE tells which shingles are common; up to COMMON of them are known as such. This only orders shingles.
@@ -512,11 +512,11 @@ class _Search:
         return cut(groups.join(apart.select("bucket", "size"), "bucket"))
 
     def centres(self, groups: DataFrame) -> DataFrame:
-        """(bucket, hub): the smallest set of the largest component that the bucket has members of. A hub need not be a member:
+        """(bucket, hub): the smallest set of the component that the bucket has most members of. A hub need not be a member:
         buckets of one group of near copies so have one hub, and each member is compared with it once."""
-        sizes = self.nodes.groupBy("comp").agg(F.count("*").alias("members_of"))
-        rows = groups.select("bucket", F.explode("members").alias("h")).join(self.nodes.select("h", "comp"), "h").join(sizes, "comp")
-        chosen = rows.groupBy("bucket").agg(F.max_by("comp", F.struct("members_of", "comp")).alias("rep"))
+        rows = groups.select("bucket", F.explode("members").alias("h")).join(self.nodes.select("h", "comp"), "h")
+        counts = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+        chosen = counts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("rep"))
         return chosen.join(self.nodes.groupBy("rep").agg(F.min("h").alias("hub")), "rep").select("bucket", "hub")
 
     def link(self, pairs: DataFrame) -> None:

@@ -528,10 +528,10 @@ def test_pairs_grow_with_a_group_and_not_with_its_square(spark, tmp_path, monkey
     rng = random.Random(8)
     template, own = some(rng, 200), [[f"{c}{k}" for k in range(60)] for c in "ab"]
     found = {}
-    for size in (40, 80):
+    for size in (24, 48):
         rows = [(2 * i + c, " ".join(template + edited(rng, own[c], 2))) for i in range(size) for c in (0, 1)]
         counted.clear()
         got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(stored(spark, tmp_path, rows), 5, 80, 100).collect()}
         assert got == {i: i % 2 for i, _ in rows}
         found[size] = sum(counted)
-    assert found[80] < 3 * found[40] and found[80] < 12 * 160
+    assert found[48] < 3 * found[24] and found[48] < 12 * 96
