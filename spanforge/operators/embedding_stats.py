@@ -120,7 +120,6 @@ def merge_recall(points: DataFrame, k: int) -> DataFrame:
 
 def rct(rows: DataFrame, folds: int = 5) -> DataFrame:
     """(fold, r2): linear regression of the length from the embedding, on folds by hash."""
-    from pyspark.ml.feature import VectorAssembler  # noqa: F401
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import LinearRegression
 

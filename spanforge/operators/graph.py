@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import digest, number as drawn
 from ..functions.vectors import squared_l2
 from ..sources.text import require
 
@@ -42,15 +43,15 @@ def cluster_sample(sets: DataFrame, positives: DataFrame, anchors: int, size: in
     ordered = sets.withColumn("o", F.row_number().over(Window.orderBy("set_id")) - 1)
     count = ordered.agg(F.count("*").alias("c"))
     spark = sets.sparkSession
-    picks = spark.range(anchors).select(F.col("id").alias("cluster")).crossJoin(F.broadcast(count)).select("cluster", F.pmod(F.xxhash64("cluster", F.lit(seed)), F.col("c")).alias("o"))
+    picks = spark.range(anchors).select(F.col("id").alias("cluster")).crossJoin(F.broadcast(count)).select("cluster", (drawn(F.col("cluster"), seed) % F.col("c")).alias("o"))
     chosen = picks.join(ordered, "o").select("cluster", F.col("set_id").alias("anchor"))
     pos = positives.withColumn("o", F.row_number().over(Window.partitionBy("set_id").orderBy("other")) - 1)
     sizes = positives.groupBy("set_id").agg(F.count("*").alias("m"))
     slots = chosen.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).join(sizes, F.col("anchor") == F.col("set_id"), "left").drop("set_id")
-    slots = slots.withColumn("o", F.when((F.col("place") > 0) & (F.col("m") > 0), F.pmod(F.xxhash64("cluster", "place", F.lit(seed)), F.col("m"))))
+    slots = slots.withColumn("o", F.when((F.col("place") > 0) & (F.col("m") > 0), drawn(F.col("cluster"), F.col("place"), seed) % F.col("m")))
     rows = slots.join(pos.select(F.col("set_id").alias("anchor"), "o", "other"), ["anchor", "o"], "left").select("cluster", "place", F.coalesce("other", "anchor").alias("set_id"))
     rows = rows.join(sets, "set_id").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    w = Window.partitionBy("cluster", "place").orderBy(F.xxhash64("cluster", "place", "k", F.lit(seed)), "k")
+    w = Window.partitionBy("cluster", "place").orderBy(digest(F.col("cluster"), F.col("place"), F.col("k"), seed), "k")
     rows = rows.withColumn("d", F.row_number().over(w)).filter(F.col("d") <= F.greatest(F.lit(1), F.rint(F.col("n") * rate)))
     return rows.select("cluster", "place", "set_id", "k")
 

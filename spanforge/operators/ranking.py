@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import digest
 from ..functions.vectors import l2
 
 
@@ -58,10 +59,6 @@ def ndcg(ranked: DataFrame, cells: int, states: int) -> DataFrame:
     return ranked.groupBy("base").agg((F.sum(gain / F.log2(F.col("rank") + 1)) / ideal_gain(cells, states)).alias("ndcg"))
 
 
-def _tau(dx: Column, dy: Column, n: Column) -> Column:
-    return F.sum(F.signum(dx) * F.signum(dy)) / (n * (n - 1) / 2)
-
-
 def kendall_tau(rankings: DataFrame) -> DataFrame:
     """(a, b, tau) of all pairs of rankings (name, item, place) without ties; symmetric, 1 with itself.
 
@@ -84,7 +81,7 @@ def kendall_pvalue(left: DataFrame, right: DataFrame, resamples: int = 999, seed
 
     both = common_items(left, right).select("item", F.col("left_rank").alias("x"), F.col("right_rank").alias("y"))
     runs = both.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(resamples))))
-    w = Window.partitionBy("run").orderBy(F.when(F.col("run") == 0, F.col("y").cast("long")).otherwise(F.xxhash64("item", "run", F.lit(seed))), "item")
+    w = Window.partitionBy("run").orderBy(F.when(F.col("run") == 0, F.col("y")), F.when(F.col("run") > 0, digest(F.col("item"), F.col("run"), seed)), "item")
     runs = runs.withColumn("y", F.row_number().over(w))
     a, b = runs.alias("a"), runs.alias("b")
     pairs = a.join(b, (F.col("a.run") == F.col("b.run")) & (F.col("a.x") < F.col("b.x")))

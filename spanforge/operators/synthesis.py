@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import digest, fraction
+
 #: Rounded chromosome sizes in megabases, chr1 … chr22, chrX, chrY.
 MEGABASES = (
     248.96, 242.19, 198.30, 190.21, 181.54, 170.81, 159.35, 145.14, 138.39, 133.80, 135.09, 133.28,
@@ -17,32 +19,36 @@ def chrom_sizes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f"chr{n}", round(m * 1e6)) for n, m in zip(names, MEGABASES, strict=True)], "chrom string, size long")
 
 
-def _draw(*parts: Column | int) -> Column:
-    """A number in [0, 1) from a hash."""
-    return F.pmod(F.xxhash64(*[F.lit(p) if isinstance(p, int) else p for p in parts]), F.lit(1 << 52)) / float(1 << 52)
-
-
 def intervals(spark: SparkSession, n: int, least: int, most: int, seed: int = 42) -> DataFrame:
     """(row_idx, chrom, start, end): uniform chromosomes, uniform lengths least … most, inside the chromosome."""
     sizes = chrom_sizes(spark).agg(F.array_sort(F.collect_list(F.struct("chrom", "size"))).alias("all"))
     rows = spark.range(n).select(F.col("id").alias("row_idx")).crossJoin(F.broadcast(sizes))
-    rows = rows.select("row_idx", F.element_at("all", (F.floor(_draw(F.col("row_idx"), seed) * F.size("all")) + 1).cast("int")).alias("c"), F.floor(least + _draw(F.col("row_idx"), seed + 1) * (most - least + 1)).alias("n"))
-    start = F.floor(_draw(F.col("row_idx"), seed + 2) * (F.col("c.size") - F.col("n") + 1))
+    rows = rows.select("row_idx", F.element_at("all", (F.floor(fraction(F.col("row_idx"), seed) * F.size("all")) + 1).cast("int")).alias("c"), F.floor(least + fraction(F.col("row_idx"), seed + 1) * (most - least + 1)).alias("n"))
+    start = F.floor(fraction(F.col("row_idx"), seed + 2) * (F.col("c.size") - F.col("n") + 1))
     return rows.select("row_idx", F.col("c.chrom").alias("chrom"), start.alias("start"), (start + F.col("n")).alias("end"))
 
 
 def random_sequence(key: Column, size: Column, seed: int = 42) -> Column:
-    """`size` letters from hashes of (key, position)."""
-    at = lambda i: F.substring(F.lit("ACGT"), (F.pmod(F.xxhash64(key, i, F.lit(seed)), F.lit(4)) + 1).cast("int"), F.lit(1))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(size.cast("int") - 1, F.lit(0))), at), "")
+    """`size` letters, 32 from each hash of (key, number, seed): two bits a hexadecimal digit."""
+    size = size.cast("int")
+    letters = lambda i: F.translate(digest(key, i, seed), "0123456789abcdef", "ACGT" * 4)
+    return F.substring(F.array_join(F.transform(F.sequence(F.lit(0), F.floor((size - 1) / 32).cast("int")), letters), ""), F.lit(1), size)
 
 
 def blocks(rows: DataFrame, size: int, seed: int = 42) -> DataFrame:
-    """(chrom, block, seq) of the blocks that intervals touch, last ones included; gaps between them are N on `assemble`."""
+    """(chrom, block, seq) of the blocks that intervals touch, last ones included."""
     ids = rows.filter("end > start").select("chrom", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))).alias("block")).distinct()
     return ids.withColumn("seq", random_sequence(F.concat_ws("_", "chrom", F.col("block").cast("string")), F.lit(size), seed))
 
 
+def assemble(found: DataFrame, size: int) -> DataFrame:
+    """(chrom, seq): the blocks of each chromosome in order, from its start to the end of its last block; gaps between them are N."""
+    at = F.col("block") - F.coalesce(F.lag("block").over(Window.partitionBy("chrom").orderBy("block")), F.lit(-1)) - 1
+    parts = found.withColumn("piece", F.concat(F.repeat(F.lit("N"), (at * size).cast("int")), F.col("seq")))
+    ordered = F.array_sort(F.collect_list(F.struct("block", "piece")))
+    return parts.groupBy("chrom").agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias("seq"))
+
+
 def random_fasta(spark: SparkSession, scale: int = 1_000_000, seed: int = 42) -> DataFrame:
     """(chrom, seq) of a whole random genome, sizes divided by scale."""
     return chrom_sizes(spark).select("chrom", random_sequence(F.col("chrom"), F.col("size") / scale, seed).alias("seq"))

@@ -40,7 +40,8 @@ def scan_bed_limit(spark, d):
     return bed.parse(_bed_lines(spark, d), limit=7)
 
 
-@query()
+@query(f"""WITH k AS ({_KEEP}), o AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY md5(set_id || '_' || row_idx || '_42'), row_idx) - 1 AS place FROM k)
+SELECT * FROM o WHERE place < 20""")
 def scan_bed_shuffle(spark, d):
     return bed.shuffled(bed.parse(_bed_lines(spark, d)), 20)
 

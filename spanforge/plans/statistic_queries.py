@@ -97,7 +97,11 @@ def rct(spark, d):
     return S.rct(views.vec_iv(spark, d))
 
 
-@query()
+@query("""WITH s AS (SELECT substr(chrom, 4)::BIGINT AS row_idx, seq FROM sequences WHERE length(seq) > 400),
+w AS (SELECT row_idx, tick, substr(seq, tick + 1, 50) AS w FROM s, (SELECT unnest([0, 10, 50, 100, 300]) AS tick)),
+c AS (SELECT row_idx, tick, list_transform(['A', 'C', 'G', 'T'], lambda x: (length(w) - length(replace(w, x, '')))::DOUBLE) AS v FROM w),
+d AS (SELECT a.tick, list_distance(a.v, b.v) AS d FROM c a JOIN c b ON b.row_idx = a.row_idx AND b.tick = 0)
+SELECT tick, round(avg(d), 6) AS mean, round(2 * 1.96 * stddev_pop(d) / sqrt(count(*)), 6) AS error FROM d GROUP BY 1""")
 def swt(spark, d):
     """Mean L2 of the letter counts of displaced windows to those at the origin, with the 95 % error."""
     from ..functions.sequences import count_acgt, window
@@ -109,19 +113,33 @@ def swt(spark, d):
     base = seq.select(F.substring("chrom", 4, 20).cast("long").alias("row_idx"), "chrom", F.lit(0).cast("long").alias("start"), F.lit(50).cast("long").alias("end"))
     at = displaced(base, [0, 10, 50, 100, 300], 50).join(seq, "chrom").select("row_idx", "tick", count_acgt(window(F.col("seq"), F.col("start"), F.col("end"))).alias("vec"))
     own = at.filter("tick = 0").select("row_idx", F.col("vec").alias("w"))
-    return at.join(own, "row_idx").withColumn("dist", l2(F.col("vec"), F.col("w"))).groupBy("tick").agg(F.avg("dist").alias("mean"), (2 * confidence_95("dist")).alias("error"))
+    found = at.join(own, "row_idx").withColumn("dist", l2(F.col("vec"), F.col("w"))).groupBy("tick").agg(F.avg("dist").alias("mean"), (2 * confidence_95("dist")).alias("error"))
+    return _r(found, "mean", "error")
 
 
-@query()
+_SIZES = ", ".join(f"('{c}', {n})" for c, n in sorted((f"chr{c}", round(m * 1e6)) for c, m in zip([*map(str, range(1, 23)), "X", "Y"], Y.MEGABASES, strict=True)))
+_FRACTION = "('0x' || substr(md5({}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+_SYNTHETIC = f"""WITH z AS (SELECT *, row_number() OVER (ORDER BY chrom) - 1 AS o FROM (VALUES {_SIZES}) t(chrom, size)),
+i0 AS (SELECT i, floor({_FRACTION.format("i || '_42'")} * 24) AS o, floor(50 + {_FRACTION.format("i || '_43'")} * 4951)::BIGINT AS n, {_FRACTION.format("i || '_44'")} AS u FROM (SELECT unnest(range(0, N)) AS i)),
+iv AS (SELECT i AS row_idx, chrom, floor(u * (size - n + 1))::BIGINT AS start, floor(u * (size - n + 1))::BIGINT + n AS "end" FROM i0 JOIN z ON z.o = i0.o)"""
+_LETTERS = "translate(md5({}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+
+
+@query(_SYNTHETIC.replace("N))", "1000))") + " SELECT * FROM iv")
 def synthesize(spark, d):
     return Y.intervals(spark, 1000, 50, 5000)
 
 
-@query()
+_BLOCKS = _SYNTHETIC.replace("N))", "50))") + f""", b AS (SELECT DISTINCT chrom, unnest(range(start // 1000, ("end" - 1) // 1000 + 1)) AS block FROM iv),
+s AS (SELECT chrom, block, substr(array_to_string(list_transform(range(0, 32), lambda i: {_LETTERS.format("chrom || '_' || block || '_' || i || '_42'")}), ''), 1, 1000) AS seq FROM b)"""
+
+
+@query(_BLOCKS + " SELECT * FROM s")
 def synthesize_blocks(spark, d):
     return Y.blocks(Y.intervals(spark, 50, 50, 5000), 1000)
 
 
-@query()
+@query(f"""WITH z AS (SELECT chrom, floor(size / 1e6::DOUBLE)::BIGINT AS n FROM (VALUES {_SIZES}) t(chrom, size))
+SELECT chrom, substr(array_to_string(list_transform(range(0, (n - 1) // 32 + 1), lambda i: {_LETTERS.format("chrom || '_' || i || '_42'")}), ''), 1, n) AS seq FROM z""")
 def random_fasta(spark, d):
     return Y.random_fasta(spark)

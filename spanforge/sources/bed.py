@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import digest
 from .text import lines, numbered, require
 
 
@@ -40,7 +41,7 @@ def read(spark: SparkSession, path: str | list[str], limit: int | None = None) -
 
 def shuffled(df: DataFrame, limit: int, seed: int = 42) -> DataFrame:
     """`limit` rows of each set in an order drawn by hash: the same whatever the partitions are."""
-    w = Window.partitionBy("set_id").orderBy(F.xxhash64("set_id", "row_idx", F.lit(seed)), "row_idx")
+    w = Window.partitionBy("set_id").orderBy(digest(F.col("set_id"), F.col("row_idx"), seed), "row_idx")
     return df.withColumn("place", F.row_number().over(w) - 1).filter(F.col("place") < limit)
 
 

@@ -14,26 +14,29 @@ def test_same_as_sql(spark, sf, name):
 
 
 def test_entry_without_llm(monkeypatch):
-    import builtins
     import importlib
+    import importlib.util
     import sys
 
     for name in [m for m in sys.modules if m.startswith("spanforge.llm") or m in ("corpus_pipeline", "__spark_entry__")]:
         monkeypatch.delitem(sys.modules, name)
-    real = builtins.__import__
-
-    def without(name, *args, **kwargs):
-        if name == "corpus_pipeline" or name.startswith("spanforge.llm"):
-            raise ModuleNotFoundError(name)
-        return real(name, *args, **kwargs)
-
-    monkeypatch.setattr(builtins, "__import__", without)
+    real = importlib.util.find_spec
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("corpus_pipeline", "spanforge.llm") else real(name, *a))
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.queries()) == set(registry.QUERIES)
     assert set(entry.oracle_sql()) == set(registry.ORACLE)
     monkeypatch.delitem(sys.modules, "__spark_entry__")
 
 
+def test_keys_of_one_side_are_an_error(spark):
+    from spanforge.operators.joins import require_same_keys
+
+    left, right = (spark.createDataFrame([(x,) for x in xs], "label int") for xs in ((1, 2), (1, 2, 3)))
+    assert require_same_keys(left, left, "label").count() == 2
+    with pytest.raises(Exception, match="only on one side: 3"):
+        require_same_keys(left, right, "label").collect()
+
+
 def test_shuffled_scan_does_not_depend_on_partitions(spark, sf):
     from spanforge.plans.scan_queries import _bed_lines
     from spanforge.sources import bed
@@ -66,6 +69,8 @@ def test_synthesis(spark):
     assert len({r["chrom"] for r in rows}) == 24
     blocks = Y.blocks(spark.createDataFrame([("chr1", 95, 205)], "chrom string, start long, end long"), 100).collect()
     assert sorted(b["block"] for b in blocks) == [0, 1, 2] and all(len(b["seq"]) == 100 and set(b["seq"]) <= set("ACGT") for b in blocks)
+    whole = Y.assemble(Y.blocks(spark.createDataFrame([("chr1", 95, 205), ("chr1", 410, 420)], "chrom string, start long, end long"), 100), 100).first()["seq"]
+    assert whole == "".join(b["seq"] for b in sorted(blocks, key=lambda b: b["block"])) + "N" * 100 + whole[400:] and len(whole) == 500 and set(whole[400:]) <= set("ACGT")
 
 
 def test_cluster_sample(spark, sf):
