@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 from collections.abc import Iterator
@@ -48,7 +49,14 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task should not hold what the last one needed."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Row slices whose `column` holds about `limit` bytes at most (or one row), so that numpy temporaries stay bounded."""
     for batch in batches:
         if not batch.num_rows:
@@ -60,6 +68,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             end = min(max(end, at + 1), batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+    _give_back()
 
 
 def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -218,12 +218,12 @@ def exact_dedup(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
 
 def keep_exact(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns, one a distinct text. The join on text and doc_id deals no hot key.
-    Of rows that share the keeper's doc_id and text, the first in the order of their columns as JSON, most code points first."""
+    Of rows that share the keeper's doc_id and text, the one with the most code points, then that whose columns hash lowest."""
     key, n, sha, keep_id = (unused(docs, x) for x in ("key", "n", "sha", "keep"))
     keep = text_classes(docs).select(F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep_id))
     rows = docs.withColumn(key, F.sha2(normalised(F.col("text")), 256))
     rows = rows.join(keep, (F.col(key) == F.col(sha)) & F.col("doc_id").cast("long").eqNullSafe(F.col(keep_id)), "left_semi")
-    first = Window.partitionBy(key, "doc_id").orderBy(F.length("text").desc_nulls_last(), F.to_json(F.struct(*docs.columns)))
+    first = Window.partitionBy(key, "doc_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64(F.to_json(F.struct(*docs.columns))))
     return rows.withColumn(n, F.row_number().over(first)).filter(F.col(n) == 1).drop(n, key)
 
 
