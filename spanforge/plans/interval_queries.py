@@ -93,7 +93,7 @@ def tile_weights(spark, d):
     return T.tile_weights(b, T.tile(b, 64, 4, 4)).select("row_idx", "start", "end", "bp", F.round("weight", 6).alias("weight"))
 
 
-_TWICE = """WITH c AS (SELECT row_idx AS base_idx, chrom, start AS s, "end" AS e, o // 300 AS k1, o FROM (SELECT *, unnest(range(0, "end" - start, 300)) AS o FROM iv_sample WHERE row_idx < 3000)),
+_TWICE = """WITH c AS (SELECT row_idx AS base_idx, chrom, start AS s, "end" AS e, o // 300 AS k1, o FROM (SELECT *, unnest(range(0, "end" - start, 300)) AS o FROM iv_sample)),
 a AS (SELECT base_idx, chrom, k1, s + o AS s, least(s + o + 300, e) AS e FROM c),
 p AS (SELECT *, unnest(CASE WHEN e - s < 2 THEN [0] ELSE [0, 1] END) AS i FROM a),
 n AS (SELECT base_idx, chrom, k1, i, s + i * ((e - s) // 2) + CASE WHEN e - s < 2 THEN 0 ELSE least(i, (e - s) % 2) END AS start,
@@ -102,24 +102,11 @@ n AS (SELECT base_idx, chrom, k1, i, s + i * ((e - s) // 2) + CASE WHEN e - s <
 
 @query(_TWICE + 'SELECT base_idx, chrom, start, "end" FROM n')
 def compose(spark, d):
-    return _new(T.apply(_base(spark, d), T.chunk_max(300), T.split(2), limit=3000))
+    return _new(T.apply(_base(spark, d), T.chunk_max(300), T.split(2)))
 
 
 @query(_TWICE + 'SELECT row_number() OVER (ORDER BY base_idx, k1, i) - 1 AS new_idx, base_idx, start, "end" FROM n')
 def lineage(spark, d):
-    return T.apply(_base(spark, d), T.chunk_max(300), T.split(2), limit=3000, numbered=True).select("new_idx", "base_idx", "start", "end")
-
-
-_TWICE_WHOLE = _TWICE.replace(" WHERE row_idx < 3000", "")
-
-
-@query(_TWICE_WHOLE + 'SELECT base_idx, chrom, start, "end" FROM n')
-def compose_whole(spark, d):
-    return _new(T.apply(_base(spark, d), T.chunk_max(300), T.split(2)))
-
-
-@query(_TWICE_WHOLE + 'SELECT row_number() OVER (ORDER BY base_idx, k1, i) - 1 AS new_idx, base_idx, start, "end" FROM n')
-def lineage_whole(spark, d):
     return T.apply(_base(spark, d), T.chunk_max(300), T.split(2), numbered=True).select("new_idx", "base_idx", "start", "end")
 
 

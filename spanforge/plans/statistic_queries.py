@@ -78,17 +78,12 @@ def entropy_components(spark, d):
     return _r(S.entropy_by_components(v), "entropy")
 
 
-@query("""WITH v AS (SELECT row_idx AS id, vec FROM vecs WHERE row_idx < 200), s AS (SELECT a.id // 2 AS pair, b.id AS f, row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.vec, b.vec), 9), b.id) AS r FROM v a, v b),
+@query("""WITH v AS (SELECT row_idx AS id, vec FROM vecs), s AS (SELECT a.id // 2 AS pair, b.id AS f, row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.vec, b.vec), 9), b.id) AS r FROM v a, v b),
 m AS (SELECT a.id // 2 AS pair, list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] + z[2]) / 2) AS vec FROM v a JOIN v b ON b.id = a.id + 1 AND a.id % 2 = 0),
 t AS (SELECT m.pair, b.id AS f, row_number() OVER (PARTITION BY m.pair ORDER BY round(list_distance(m.vec, b.vec), 9), b.id) AS r FROM m, v b),
 x AS (SELECT DISTINCT pair, f FROM s WHERE r <= 5)
 SELECT x.pair, round(count(t.f) / count(*), 6) AS recall FROM x LEFT JOIN (SELECT pair, f FROM t WHERE r <= 10) t ON t.pair = x.pair AND t.f = x.f GROUP BY 1""")
 def merge_recall(spark, d):
-    return _r(S.merge_recall(views.vecs(spark, d).filter("row_idx < 200"), 5), "recall")
-
-
-@query()
-def merge_recall_whole(spark, d):
     return _r(S.merge_recall(views.vecs(spark, d), 5), "recall")
 
 

@@ -42,6 +42,10 @@ def test_mining_in_blocks(spark, monkeypatch):
     rows = [(i * 3, int(labels[i]), vecs[i].tolist()) for i in range(90)]
     df = spark.createDataFrame(rows + [(None, 1, [0.0] * 6), (1000, None, [0.0] * 6), (1001, 1, None)], "row_idx long, label int, vec array<double>")
     hard, semi, every = brute([r[0] for r in rows], labels.tolist(), vecs)
+    dist = G.pairwise_squared(df.filter("row_idx < 1000"))
+    assert six(G.triplets_hard(dist, 0.1)) == hard and six(G.triplets_semi_hard(dist, 0.5)) == semi
+    listed = collections.Counter(r["a"] for r in G.triplets_all(dist, 0.1).select("a").collect())
+    assert dict(listed) == {a: n for a, (n, _) in every.items()}
     for size, kept in ((2048, 32_000_000), (16, 800)):
         monkeypatch.setattr(G, "BLOCK_ROWS", size)
         monkeypatch.setattr(G, "KEPT", kept)
@@ -55,7 +59,7 @@ def test_mining_in_blocks(spark, monkeypatch):
 
 @pytest.mark.parametrize("name", ["triplets_hard", "triplets_semi_hard", "triplets_all", "triplet_loss", "pairwise_sq_l2", "merge_recall"])
 def test_whole_embeddings(spark, sf, name):
-    got = [r.asDict() for r in registry.QUERIES[name + "_whole"](spark, sf).collect()]
+    got = [r.asDict() for r in registry.QUERIES[name](spark, sf).collect()]
     rows = views.vecs(spark, sf).orderBy("row_idx").collect()
     ids, labels, vecs = [r["row_idx"] for r in rows], [r["label"] for r in rows], np.array([r["vec"] for r in rows])
     d = ((vecs[:, None, :] - vecs[None, :, :]) ** 2).sum(2)
