@@ -17,7 +17,7 @@ from .common import Words, mix64, partitions
 #: text (a token) and of the context at its start.
 DISCOUNT, STEP = 0.75, 0.05
 END, START = np.uint64(0x517C_C1B7_2722_0A95), np.uint64(0x9216_D5D9_8979_FB1B)
-_ONE = np.uint64(1)
+_ONE, _CHAIN = np.uint64(1), np.uint64(0xD6E8_FEB8_6659_FD93)
 
 
 def _mapped(arrays: list[np.ndarray]) -> list[np.ndarray]:
@@ -143,37 +143,48 @@ class ContextTrie:
 
 
 class _Unit:
-    """Tokens of a unit: words and an end a text, with the token before each."""
+    """Tokens of a unit: words and an end a text, with the tokens before each."""
 
     def __init__(self, batch: pa.RecordBatch):
         w = Words(batch.column("text"), lower=True)
         n = len(w.rows) - 1
         self.rows = w.rows + np.arange(n + 1)
         total = self.rows[-1]
-        tokens, before = np.empty(total, np.uint64), np.empty(total, np.uint64)
+        tokens = np.empty(total, np.uint64)
         is_end = np.zeros(total, bool)
         is_end[self.rows[1:] - 1] = True
         tokens[~is_end] = w.hash
         tokens[is_end] = END
-        before[1:] = tokens[:-1]
-        before[self.rows[:-1]] = START
         del w
         self.train = np.repeat(~np.array([bool(x) for x in batch.column("held_out").to_pylist()], bool), np.diff(self.rows))
         self.words, self.word_of, _ = _counted(tokens)
         self.word_counts = np.bincount(self.word_of, self.train, len(self.words)).astype(np.uint32)
-        context = mix64(before ^ np.uint64(0x2545_F491_4F6C_DD1D))
-        # a pair's shard comes from the upper half of its context's hash, its key from the lower halves of both
-        shard_first = context >> np.uint64(32) << np.uint64(32)
-        self.shard, self.key = shard_first, (context & np.uint64(0xFFFF_FFFF)) << np.uint64(32) | mix64(tokens) & np.uint64(0xFFFF_FFFF)
-
-    def pairs(self, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(shard, distinct keys, training counts, token numbers, key number of each) by shard."""
-        part = ((self.shard >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+    def _back(self, before: np.ndarray) -> np.ndarray:
+        """The token before each of these, which is the start's within a text's first ones."""
+        out = np.empty_like(before)
+        out[1:] = before[:-1]
+        out[self.rows[:-1]] = START
+        return out
+
+    def levels(self, order: int, parts: int) -> Iterator[Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+        """For contexts of 1 … order − 1 tokens, by shard: (shard, distinct keys, training counts, token numbers, key number of each)."""
+        tokens = self.words[self.word_of]
+        before, context = tokens, np.full(len(tokens), 0x2545_F491_4F6C_DD1D, np.uint64)
+        low = mix64(tokens) & np.uint64(0xFFFF_FFFF)
+        for _ in range(1, order):
+            before = self._back(before)
+            context = mix64(before ^ context * _CHAIN)
+            # an n-gram's shard comes from the upper half of its context's hash, its key from the lower halves of both
+            part = ((context >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            yield self._by_shard(part, context << np.uint64(32) | low, parts)
+
+    def _by_shard(self, part: np.ndarray, key: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
         for p in range(parts):
             mine = order[cuts[p] : cuts[p + 1]]
-            keys, of, _ = _counted(self.key[mine])
+            keys, of, _ = _counted(key[mine])
             yield p, keys, np.bincount(of, self.train[mine], len(keys)).astype(np.uint32), mine, of
 
 
@@ -182,16 +193,19 @@ def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return found, of, len(found)
 
 
-_WORDS_AND_PAIRS = 0
+_COUNTS = 0
 
 
-def _send(parts: int):
+def _send(parts: int, order: int):
     def send(unit: int, tag: int, batch: pa.RecordBatch) -> Iterator[tuple]:
         u = _Unit(batch)
         cuts = X.owner(u.words, parts)
-        for p, keys, counts, _, _ in u.pairs(parts):
-            mine = slice(cuts[p], cuts[p + 1])
-            yield p, _WORDS_AND_PAIRS, unit, tag, X.join([X.squeeze_sorted(u.words[mine]), X.squeeze(u.word_counts[mine]), X.squeeze_sorted(keys), X.squeeze(counts)])
+        bodies = [[X.squeeze_sorted(u.words[cuts[p] : cuts[p + 1]]), X.squeeze(u.word_counts[cuts[p] : cuts[p + 1]])] for p in range(parts)]
+        for level in u.levels(order, parts):
+            for p, keys, counts, _, _ in level:
+                bodies[p] += [X.squeeze_sorted(keys), X.squeeze(counts)]
+        for p, body in enumerate(bodies):
+            yield p, _COUNTS, unit, tag, X.join(body)
 
     return send
 
@@ -207,7 +221,7 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
-def _answer(parts: int):
+def _answer(parts: int, order: int):
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         asked: list[tuple[int, int, list[bytes]]] = []
         for batch in batches:
@@ -216,9 +230,8 @@ def _answer(parts: int):
         if not asked:
             return
         words, counts = _merged([X.expand_sorted(b[0]) for *_, b in asked], [X.expand(b[1], np.uint32) for *_, b in asked])
-        pair_keys, pair_counts = _merged([X.expand_sorted(b[2]) for *_, b in asked], [X.expand(b[3], np.uint32) for *_, b in asked])
-        trie = ContextTrie(pair_keys, pair_counts)
-        del pair_keys, pair_counts
+        # one order at a time: a finished level is mapped from disk
+        tries = [ContextTrie(*_merged([X.expand_sorted(b[k]) for *_, b in asked], [X.expand(b[k + 1], np.uint32) for *_, b in asked])) for k in range(2, 2 * order, 2)]
         here = np.array([counts.sum(), len(words)], np.int64).tobytes()
         for unit, tag, body in asked:
             mine = X.expand_sorted(body[0])
@@ -226,9 +239,9 @@ def _answer(parts: int):
             if len(words) and len(mine):
                 at = np.minimum(np.searchsorted(words, mine), len(words) - 1)
                 c = np.where(words[at] == mine, counts[at], 0)
-            codes, weights = trie.look_up(X.expand_sorted(body[2]))
+            told = [X.squeeze(a) for k, trie in enumerate(tries, 1) for a in trie.look_up(X.expand_sorted(body[2 * k]))]
             # part of the shard's number: kinds 0 … parts − 1 bring the answers back in the order of the shards
-            yield [(X.home(unit, parts), _shard(), unit, tag, X.join([here, X.squeeze(c), X.squeeze(codes), X.squeeze(weights)]))]
+            yield [(X.home(unit, parts), _shard(), unit, tag, X.join([here, X.squeeze(c), *told]))]
 
     return answer
 
@@ -239,37 +252,45 @@ def _shard() -> int:
     return TaskContext.get().partitionId()
 
 
-def _score(unit: int, tag: int, batch: pa.RecordBatch, got: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    u = _Unit(batch)
-    answers = [X.parted(body) for _, body in sorted(got, key=lambda x: x[0])]
-    parts = len(answers)
-    n, v = np.sum([np.frombuffer(a[0], np.int64) for a in answers], axis=0)
-    counts = np.concatenate([X.expand(a[1], np.int64) for a in answers])
-    base = (counts + 0.5) / (n + 0.5 * (v + 1))
-    token_base = base[u.word_of]
-    p = np.empty(len(token_base))
-    for shard, keys, _, mine, of in u.pairs(parts):
-        codes, weights = X.expand(answers[shard][2], np.uint8), X.expand(answers[shard][3], np.uint8)
-        _, context = np.unique(keys >> np.uint64(32), return_inverse=True)
-        weight = np.where(weights > 0, CODES[weights], 1.0)
-        p[mine] = CODES[codes][of] + weight[context][of] * token_base[mine]
+def _score(parts: int, order: int):
+    def score(unit: int, tag: int, batch: pa.RecordBatch, got: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        u = _Unit(batch)
+        answers = [X.parted(body) for _, body in sorted(got, key=lambda x: x[0])]
+        n, v = np.sum([np.frombuffer(a[0], np.int64) for a in answers], axis=0)
+        counts = np.concatenate([X.expand(a[1], np.int64) for a in answers])
+        token_base = ((counts + 0.5) / (n + 0.5 * (v + 1)))[u.word_of]
+        p = token_base.copy()
+        for k, level in enumerate(u.levels(order, parts), 1):
+            for shard, keys, _, mine, of in level:
+                codes, weights = (X.expand(answers[shard][2 * k + i], np.uint8) for i in (0, 1))
+                _, context = np.unique(keys >> np.uint64(32), return_inverse=True)
+                weight = np.where(weights > 0, CODES[weights], 1.0)
+                p[mine] = CODES[codes][of] + weight[context][of] * p[mine]
+        yield _scored(u, batch, n, counts, token_base, np.minimum(p, 1.0))
+
+    return score
+
+
+def _scored(u: _Unit, batch: pa.RecordBatch, n: int, counts: np.ndarray, token_base: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
     starts = u.rows[:-1]
     cols = [batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(u.rows), pa.int64()), pa.array(np.add.reduceat((counts > 0)[u.word_of].astype(np.int64), starts)), pa.array(np.full(len(starts), n), pa.int64())]
-    cols += [pa.array(np.add.reduceat(np.log10(token_base), starts)), pa.array(np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts))]
-    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    cols += [pa.array(np.add.reduceat(np.log10(token_base), starts)), pa.array(np.add.reduceat(np.log10(p), starts))]
+    return pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def score_texts(docs: DataFrame, held_out: F.Column) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: F.Column, order: int = 3) -> DataFrame:
     """One row a row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    The model is learned from the rows that are not held out: an interpolated bigram model with absolute discounting over
-    add-half unigrams. Every pair is counted. Each shard holds the contexts that hash to it, and answers the units of documents that
-    ask for them with 8-bit codes, so no table is broadcast and a common context's successors are counted by unit before the
-    shuffle. Words are compared by 64-bit hash. docs should be a stored table, for it is read twice.
+    The model is learned from the rows that are not held out: n-grams of up to `order` tokens, interpolated by absolute
+    discounting down to add-half unigrams. Every n-gram is counted. For each context length a shard holds the contexts that hash
+    to it, and answers the units of documents that ask for them with 8-bit codes, so no table is broadcast and a common
+    context's successors are counted by unit before the shuffle. Single words are compared by 64-bit hash. An n-gram is known by its
+    shard, 32 bits of its context's hash and 32 of its word's: of n contexts in a shard about n² / 2³³ share their successors
+    with another, 2 in 10⁴ contexts at n = 10⁶. docs should be a stored table, for it is read twice.
     Null text counts as empty: one token, the end. Null doc_id: not held out (as the caller's expression is null); repeated
     rows count and score each; an empty table gives no rows; other columns are not read.
     """
     parts = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    answers = X.ask(rows, _send(parts), _answer(parts), parts)
-    return X.meet(rows, answers, _score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", parts)
+    answers = X.ask(rows, _send(parts, order), _answer(parts, order), parts)
+    return X.meet(rows, answers, _score(parts, order), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", parts)
