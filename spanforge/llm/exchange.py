@@ -7,6 +7,7 @@ a unit and shard, never a row a word.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,12 +15,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import mix64, sliced
+from .common import mix64, sliced, text_bytes
 
 SCHEMA = "to int, kind int, unit long, tag long, body binary"
 #: Kinds sort by number; a unit's documents come after every answer to it.
 DOCUMENTS = 1000
-UNIT_BYTES = 8 << 20
+#: Most text of a unit, about. The larger the units, the fewer hashes are sent twice and the fewer bits tell sorted ones apart.
+UNIT_BYTES = 12 << 20
 
 
 def rows(found: list[tuple]) -> pa.RecordBatch:
@@ -27,11 +29,17 @@ def rows(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names=["to", "kind", "unit", "tag", "body"])
 
 
+def _evenly(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about the same size, so that none is a small rest."""
+    size = len(text_bytes(batch.column("text"))[0])
+    return sliced(iter([batch]), limit=math.ceil(size / max(1, math.ceil(size / UNIT_BYTES)) * 1.05))
+
+
 def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
     """(unit, tag, slice): the unit's number comes from the task and the slice, so that each scan of a stored table finds the
     same units; the tag is a hash of what is in it, by which a scan that does not is noticed."""
     task = TaskContext.get().partitionId()
-    for k, batch in enumerate(sliced(batches, limit=UNIT_BYTES)):
+    for k, batch in enumerate(piece for b in batches for piece in _evenly(b)):
         import pyarrow.compute as pc
 
         size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.uint64)
