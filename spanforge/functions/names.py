@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,3 +47,28 @@ def with_bed_extension(path: str, exists) -> str:
         if exists(one):
             return one
     raise FileNotFoundError(path)
+
+
+def number_of(name: Column, known: Sequence[str]) -> Column:
+    """Place of a name in a list that the caller gives, from 0; an unknown name is an error, null stays null."""
+    at = F.array_position(F.array(*[F.lit(k) for k in known]), name)
+    return F.when(at > 0, at - 1).when(name.isNotNull(), F.raise_error(F.concat(F.lit("unknown name: "), name)).cast("long"))
+
+
+def state_number(state: Column) -> Column:
+    return number_of(state, CHROMATIN_STATES)
+
+
+def set_number(name: Column, cells: Sequence[str]) -> Column:
+    """Number of a cell_state set when cells are listed in order and each cell has all states in theirs."""
+    parts = split_name(name)
+    return number_of(parts["cell"], cells) * len(CHROMATIN_STATES) + state_number(parts["state"])
+
+
+#: The tissue categories that plots tell apart.
+PLOT_CATEGORIES = ("brain", "skin", "lung", "digestive")
+
+
+def plot_category(category: Column) -> Column:
+    """The category if its name holds one that plots tell apart, else null."""
+    return F.when(F.lower(category).rlike("|".join(PLOT_CATEGORIES)), category)

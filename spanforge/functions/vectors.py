@@ -37,6 +37,11 @@ def mean_of(parts: Column) -> Column:
     return F.when(n > 0, F.transform(total, lambda x: x / n))
 
 
+def last_of(parts: Column) -> Column:
+    """The last of an array of vectors, for models that pool by their last position; null if there are none."""
+    return F.try_element_at(parts, F.lit(-1))
+
+
 def vector_mean(df: DataFrame, keys: list[str], vec: str = "vec", out: str = "vec") -> DataFrame:
     """Mean vector by group: partial sums by (group, position), so a group of any size is summed where its rows are."""
     places = df.select(*keys, F.posexplode(vec).alias("pos", "x"))

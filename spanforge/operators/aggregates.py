@@ -87,8 +87,8 @@ def hit_counts(hits: DataFrame, query: str) -> DataFrame:
 
 def margins(df: DataFrame, row: str, col: str, value: str) -> DataFrame:
     """Means of a matrix by row, by column and over all; missing cells count nowhere."""
-    df.createOrReplaceTempView("__matrix")
-    return df.sparkSession.sql(f"SELECT {row} AS r, {col} AS c, avg({value}) AS mean FROM __matrix GROUP BY GROUPING SETS (({row}), ({col}), ())")
+    cells = df.select(F.col(row).alias("r"), F.col(col).alias("c"), F.col(value).alias("x"))
+    return cells.groupingSets([["r"], ["c"], []], "r", "c").agg(F.avg("x").alias("mean"))
 
 
 def heatmap(df: DataFrame, row: str, col: str, value: str, columns: list[str]) -> DataFrame:

@@ -33,17 +33,50 @@ class IntervalLength:
         return F.array((end - start).cast("double"))
 
 
-def look_up(intervals: DataFrame, sequences: DataFrame) -> DataFrame:
-    """The letters of each interval; a chromosome that sequences lack is an error."""
-    rows = intervals.join(sequences, "chrom", "left")
-    letters = F.when(F.col("seq").isNull(), F.raise_error(F.concat(F.lit("no sequence: "), F.col("chrom"))).cast("string")).otherwise(S.window(F.col("seq"), F.col("start"), F.col("end")))
-    return rows.withColumn("letters", letters).drop("seq")
+def sequence_blocks(sequences: DataFrame, block: int, margin: int) -> DataFrame:
+    """(chrom, __b, __letters): sequences cut into blocks, each with the first `margin` letters of the next one after it."""
+    cut = sequences.select("chrom", F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{block}}}"), F.lit(0)).alias("__cut"))
+    lengthened = F.transform("__cut", lambda x, i: F.concat(x, F.coalesce(F.substring(F.get("__cut", i + 1), 1, margin), F.lit(""))))
+    return cut.select("chrom", F.posexplode(lengthened).alias("__b", "__letters"))
 
 
-def embed(intervals: DataFrame, sequences: DataFrame | None, model) -> DataFrame:
-    """(keys…, vec): each interval cut into chunks of the model's length, the model run on each, and their plain mean.
+def look_up(intervals: DataFrame, sequences: DataFrame, block: int = 1 << 16, margin: int = 1 << 15) -> DataFrame:
+    """The letters of each interval; a chromosome that sequences lack, a negative start or an interval longer than its sequence
+    is an error, what lies beyond the end is cut off.
 
-    All chunks of an interval are in its row, so the mean needs no shuffle; the only join is with the sequences.
+    Sequences are joined by (chrom, block), so that a chromosome is neither one key nor one row of the join. An interval of up
+    to `margin` letters lies in the block it starts in; a longer one takes a piece from each block it meets, and its pieces are
+    put together by the row (equal rows together, then repeated). Only names and lengths are joined by chrom alone.
+    """
+    if not 0 < margin <= block:
+        raise ValueError("margin must be between 1 and block")
+    cols = intervals.columns
+    start, end, size, stop = F.col("start"), F.col("end"), F.col("__size"), F.col("__stop")
+    lacking = F.raise_error(F.concat(F.lit("no sequence: "), F.col("chrom"))).cast("long")
+    outside = F.raise_error(F.lit("an interval is outside its sequence")).cast("long")
+    checked = F.when(size.isNull(), lacking).when((start < 0) | (end - start > size), outside).otherwise(F.least(end, size))
+    rows = intervals.join(sequences.select("chrom", F.length("seq").alias("__size")), "chrom", "left").withColumn("__stop", checked).drop("__size")
+    blocks = sequence_blocks(sequences, block, margin)
+    first = F.floor(start / block).cast("int")
+    is_long = F.coalesce(end - start > margin, F.lit(False))
+
+    inside = F.substring("__letters", (start - F.col("__b") * block + 1).cast("int"), F.greatest(stop - start, F.lit(0)).cast("int"))
+    letters = F.when(start.isNotNull() & end.isNotNull(), F.coalesce(inside, F.when(stop.isNotNull(), F.lit(""))))
+    short = rows.filter(~is_long).withColumn("__b", first).join(blocks, ["chrom", "__b"], "left").select(*cols, letters.alias("letters"))
+
+    last = F.greatest(F.floor((stop - 1) / block).cast("int"), first)
+    met = rows.filter(is_long).withColumn("__b", F.explode(F.sequence(first, last))).join(blocks, ["chrom", "__b"], "left")
+    lo, hi = F.greatest(start, F.col("__b") * block), F.least(stop, (F.col("__b") + 1) * block)
+    piece = F.coalesce(F.substring("__letters", (lo - F.col("__b") * block + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int")), F.lit(""))
+    found = met.withColumn("__piece", piece).groupBy(*cols).agg(F.collect_set(F.struct("__b", "__piece")).alias("__pieces"), F.count_if(F.col("__b") == first).alias("__n"))
+    whole = F.array_join(F.transform(F.array_sort("__pieces"), lambda x: x["__piece"]), "")
+    long_ = found.select(*cols, whole.alias("letters"), F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__k")).drop("__k")
+    return short.unionByName(long_)
+
+
+def embed(intervals: DataFrame, sequences: DataFrame | None, model, pool: Callable[[Column], Column] = mean_of) -> DataFrame:
+    """(keys…, vec): each interval cut into chunks of the model's length, the model run on each, and their plain mean
+    (or another `pool` of the array of vectors). All chunks of an interval are in its row, so that needs no shuffle; the only join is with the sequences.
     """
     keys = [c for c in ("set_id", "row_idx") if c in intervals.columns]
     if model.wants == "interval":
@@ -51,7 +84,7 @@ def embed(intervals: DataFrame, sequences: DataFrame | None, model) -> DataFrame
     rows = look_up(intervals, sequences)
     size = model.max_seq_len or (1 << 30)
     parts = F.when(F.length("letters") == 0, F.array(F.lit(""))).otherwise(S.chunks(F.col("letters"), size))
-    return rows.select(*keys, mean_of(F.transform(parts, model)).alias("vec"))
+    return rows.select(*keys, pool(F.transform(parts, model)).alias("vec"))
 
 
 def embed_with(intervals: DataFrame, sequences: DataFrame, forward: Callable, max_seq_len: int) -> DataFrame:

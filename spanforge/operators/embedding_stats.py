@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import genome_distance, signed_overlap
-from ..functions.vectors import cosine, l2, vector_mean
+from ..functions.vectors import cosine, dot, l2, vector_mean
 from .joins import upper_pairs
 from .knn import knn
 
@@ -45,6 +45,29 @@ def npt(rows: DataFrame, k: int, share: int = 10) -> DataFrame:
     return shared.crossJoin(by_vec.filter(test).agg(F.count("*").alias("queries"))).select("queries", (F.col("n") / (F.col("queries") * k)).alias("npr"))
 
 
+def npt_baseline(rows: DataFrame, k: int, share: int = 10) -> DataFrame:
+    """(queries, npr, random, snpr): npt, the same of uniform vectors of that width drawn by md5(row_idx, position), and log10 of
+    the one over the other (null if either is 0)."""
+    draw = lambda i: F.conv(F.substring(F.md5(F.concat_ws("_", F.col("row_idx").cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    random = rows.withColumn("vec", F.transform("vec", lambda x, i: draw(i)))
+    both = npt(rows, k, share).join(npt(random, k, share).select(F.col("npr").alias("random")))
+    return both.withColumn("snpr", F.log10(F.nullif("npr", F.lit(0.0)) / F.nullif("random", F.lit(0.0))))
+
+
+def project(rows: DataFrame, dims: int = 2) -> DataFrame:
+    """(row_idx, point): principal components of centred vectors, as coordinates to plot. The driver gets the covariance only (the
+    square of the vectors' width). The sign of a component is that of its largest loading."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    model = PCA(k=dims, inputCol="v", outputCol="p").fit(rows.select(array_to_vector("vec").alias("v")))
+    loadings = model.pc.toArray()
+    loadings = loadings * [1 if abs(max(c)) >= abs(min(c)) else -1 for c in loadings.T]
+    means = vector_mean(rows.select(F.lit(0).alias("all"), "vec"), ["all"], out="mean").select("mean")
+    centred = F.zip_with("vec", "mean", lambda x, m: x - m)
+    return rows.crossJoin(F.broadcast(means)).select("row_idx", centred.alias("c")).select("row_idx", F.array(*[dot(F.col("c"), F.array(*[F.lit(float(x)) for x in c])) for c in loadings.T]).alias("point"))
+
+
 def cct_intersection(rows: DataFrame, points: int = 8) -> DataFrame:
     """(pairs, share): pairs i < j of which one of the points of i (evenly spread) lies in j, over all pairs."""
     at = F.floor(F.col("start") + (F.col("end") - F.col("start")) * (F.col("k") + 0.5) / points)

@@ -8,33 +8,33 @@ from pyspark.sql import functions as F
 from ..functions.intervals import intersects
 
 
-def _binned(df: DataFrame, prefix: str, width: int, most: int = 1 << 30) -> DataFrame:
-    """Rows by bin, columns prefixed, without those of over `most` bins; empty intervals meet nothing."""
+def _keyed(df: DataFrame, prefix: str, width: int, most: int, kinds: tuple[int, int]) -> DataFrame:
+    """Rows by (kind, bin), columns prefixed; empty intervals meet nothing."""
     df = df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns]).filter(F.col(f"{prefix}end") > F.col(f"{prefix}start"))
-    lo, hi = F.floor(F.col(f"{prefix}start") / width), F.floor((F.col(f"{prefix}end") - 1) / width)
-    return df.filter(hi - lo < most).withColumn("__bin", F.explode(F.sequence(lo, hi)))
+    start, last = F.col(f"{prefix}start"), F.col(f"{prefix}end") - 1
+
+    def bins(kind: int, size: int) -> Column:
+        span = F.sequence(F.floor(start / size), F.floor(last / size))
+        return F.transform(span, lambda b: F.struct(F.lit(kind).alias("__kind"), b.alias("__bin")))
+
+    wide = width * most
+    short = F.concat(bins(0, width), bins(kinds[0], wide))
+    long_ = F.concat(bins(kinds[1], wide), bins(3, wide))
+    return df.select("*", F.inline(F.when(F.floor(last / width) - F.floor(start / width) < most, short).otherwise(long_)))
 
 
 def overlap_join(query: DataFrame, sample: DataFrame, width: int = 2000, most: int = 64) -> DataFrame:
     """Pairs of intervals that share a position; columns get the prefixes q_ and s_.
 
-    Both sides are dealt into bins of `width` positions and joined on (chrom, bin); a pair counts only in the bin in which its
-    overlap starts. Intervals over `most` bins long are joined in bins `most` times as wide, so a few very long rows neither
-    multiply nor turn the join into one on chrom alone. A bin holds a chromosome's share of
-    the rows, so keys stay even; AQE splits what does not.
+    Both sides are dealt into bins of `width` positions and joined once on (kind, chrom, bin); a pair counts only in the bin in
+    which its overlap starts. Pairs with an interval over `most` bins long meet in bins `most` times as wide: the kind says which of
+    the two is long (0 neither, 1 the sample's, 2 the query's, 3 both), so a few very long rows neither multiply nor turn the join
+    into one on chrom alone. A bin holds a chromosome's share of the rows, so keys stay even; AQE splits what does not.
     """
-    out = _in_bins(_binned(query, "q_", width, most), _binned(sample, "s_", width, most), width)
-    long_ = F.floor((F.col("end") - 1) / width) - F.floor(F.col("start") / width) >= most
-    return out.unionByName(_coarse(query.filter(long_), sample, width * most)).unionByName(_coarse(query.filter(~long_), sample.filter(long_), width * most))
-
-
-def _in_bins(q: DataFrame, s: DataFrame, width: int) -> DataFrame:
-    meet = (F.col("q_chrom") == F.col("s_chrom")) & (F.col("q.__bin") == F.col("s.__bin")) & intersects("q_", "s_")
-    return q.alias("q").join(s.alias("s"), meet & (F.floor(F.greatest("q_start", "s_start") / width) == F.col("q.__bin"))).drop("__bin")
-
-
-def _coarse(query: DataFrame, sample: DataFrame, width: int) -> DataFrame:
-    return _in_bins(_binned(query, "q_", width), _binned(sample, "s_", width), width)
+    q, s = _keyed(query, "q_", width, most, (1, 2)).alias("q"), _keyed(sample, "s_", width, most, (2, 1)).alias("s")
+    size = F.when(F.col("q.__kind") == 0, width).otherwise(width * most)
+    meet = (F.col("q.__kind") == F.col("s.__kind")) & (F.col("q_chrom") == F.col("s_chrom")) & (F.col("q.__bin") == F.col("s.__bin")) & intersects("q_", "s_")
+    return q.join(s, meet & (F.floor(F.greatest("q_start", "s_start") / size) == F.col("q.__bin"))).drop("__kind", "__bin")
 
 
 def overlap_join_plain(query: DataFrame, sample: DataFrame) -> DataFrame:

@@ -36,8 +36,9 @@ def _top(k: int, metric: str):
                 (qi, qv), (si, sv) = _matrix(q), _matrix(s)
                 order = np.argsort(si)
                 si, sv = si[order], sv[order]
-                score = qv @ sv.T if metric == "ip" else -((qv * qv).sum(1)[:, None] - 2 * qv @ sv.T + (sv * sv).sum(1)[None, :])
-                take = min(k + 8, len(si))
+                score = qv @ sv.T if metric == "ip" else -np.sqrt(np.maximum((qv * qv).sum(1)[:, None] - 2 * qv @ sv.T + (sv * sv).sum(1)[None, :], 0))
+                score = np.round(score, 9)  # the order of the whole, so that the k best of each block hold the k best of all
+                take = min(k, len(si))
                 best = np.argsort(-score, axis=1, kind="stable")[:, :take]
                 x = np.take_along_axis(score, best, 1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, take)), pa.array(si[best].ravel()), pa.array(x.ravel())], names=["query", "found", "score"])
@@ -55,14 +56,14 @@ def knn(queries: DataFrame, sample: DataFrame, k: int, metric: str = "ip", skip_
     q, _ = _blocks(queries, "q")
     s, n = _blocks(sample, "s")
     q = q.withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    grid = q.repartition("qb", "sb").join(s, "sb").select("qrows", "srows")
+    grid = q.join(s, "sb").select("qrows", "srows")
     extra = 1 if skip_self else 0
     near = grid.mapInArrow(_top(k + extra, metric), "query long, found long, score double")
     if skip_self:
         near = near.filter("query != found")
     if metric == "l2":
-        near = near.withColumn("score", F.sqrt(F.greatest(-F.col("score"), F.lit(0.0))))
-    order = [F.round("score", 9).asc() if metric == "l2" else F.round("score", 9).desc(), F.col("found")]
+        near = near.withColumn("score", -F.col("score"))
+    order = [F.col("score").asc() if metric == "l2" else F.col("score").desc(), F.col("found")]
     rank = F.row_number().over(Window.partitionBy("query").orderBy(*order))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -6,8 +6,10 @@ request) its number over all new rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,34 +113,45 @@ def backward_sum(base: DataFrame, new: DataFrame, value: str) -> DataFrame:
     return base.select("row_idx").join(sums, F.col("row_idx") == F.col("base_idx"), "left").select("row_idx", F.coalesce("total", F.lit(0)).alias("total"))
 
 
+def backward(base: DataFrame, new: DataFrame, values: DataFrame, aggregate: Callable[[Column], Column]) -> DataFrame:
+    """(row_idx, value): values (new_idx, value) of transformed rows, aggregated for each base row by any aggregate of a column,
+    built-in or a grouped pandas UDF; null for a base row without new rows. new: (base_idx, new_idx). A new row without a value,
+    or a value without a new row, is an error."""
+    both = new.select("new_idx", "base_idx").withColumn("__new", F.lit(True)).join(values.select("new_idx", "value").withColumn("__value", F.lit(True)), "new_idx", "full_outer")
+    bad = F.raise_error(F.concat(F.lit("rows and values do not match at "), F.col("new_idx").cast("string"))).cast("long")
+    both = both.select(F.when(F.col("__new").isNull() | F.col("__value").isNull(), bad).otherwise(F.col("base_idx")).alias("base_idx"), "value")
+    got = both.groupBy("base_idx").agg(aggregate(F.col("value")).alias("value"))
+    return base.select("row_idx").join(got, F.col("row_idx") == F.col("base_idx"), "left").select("row_idx", "value")
+
+
 def tile(df: DataFrame, base: int, octaves: int, offsets: int) -> DataFrame:
     """Tiles of power-of-two sizes: row_idx, chrom, start, end of each tile.
 
     A span gets one tile: its size is base x 2^k for the largest octave that fits (base if none does), its middle the multiple of
     size/offsets nearest to the span's (halves to even). The tile counts if it covers half of its size at least; then the tips left and
-    right of it are spans of their own. The frontier is a DataFrame; a level of it is one projection, and depth goes with
-    log2(length / base).
+    right of it are spans of their own. A row's tiles depend on that row alone, so this is a generator without a shuffle: the
+    spans of a batch are tiled level by level, and depth goes with log2(length / base). Empty intervals and nulls give none.
     """
-    from ..plans.lineage import cut
-
-    frontier = df.select("row_idx", "chrom", "start", "end")
-    found = None
-    while True:
-        length = F.col("end") - F.col("start")
-        octave = F.greatest(F.least(F.floor(F.log2(length / base)), F.lit(octaves - 1)), F.lit(0))
-        spans = frontier.filter(length > 0).withColumn("size", (F.lit(base) * F.pow(F.lit(2.0), octave)).cast("long"))
-        grid = F.col("size") / F.lit(float(offsets))
-        middle = F.rint((F.col("start") + F.col("end")) / 2 / grid) * grid
-        spans = spans.withColumn("at", F.rint(middle - F.col("size") / 2).cast("long"))
-        shared = F.least(F.col("end"), F.col("at") + F.col("size")) - F.greatest(F.col("start"), F.col("at"))
-        spans = cut(spans.filter(shared * 2 >= F.col("size")))
-        if spans.isEmpty():
-            break
-        tiles = spans.select("row_idx", "chrom", F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("end"))
-        found = tiles if found is None else found.unionByName(tiles)
-        tips = F.array(F.struct(F.col("start"), F.col("at").alias("end")), F.struct((F.col("at") + F.col("size")).alias("start"), F.col("end")))
-        frontier = spans.select("row_idx", "chrom", F.explode(tips).alias("t")).select("row_idx", "chrom", "t.start", "t.end").filter("start < end")
-    return found if found is not None else df.select("row_idx", "chrom", "start", "end").limit(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, s, e = np.arange(batch.num_rows), *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("start", "end"))
+            while len(row):
+                octave = np.clip(np.floor(np.log2((e - s) / base)), 0, octaves - 1)
+                size = base << octave.astype(np.int64)
+                grid = size / offsets
+                at = np.rint(np.rint((s + e) / 2 / grid) * grid - size / 2).astype(np.int64)
+                keep = (np.minimum(e, at + size) - np.maximum(s, at)) * 2 >= size
+                row, s, e, at, size = (x[keep] for x in (row, s, e, at, size))
+                of = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([of.column("row_idx"), of.column("chrom"), pa.array(at), pa.array(at + size)], names=["row_idx", "chrom", "start", "end"])
+                row, s, e = np.concatenate([row, row]), np.concatenate([s, at + size]), np.concatenate([at, e])
+                left = e > s
+                row, s, e = row[left], s[left], e[left]
+
+    kinds = dict(df.dtypes)
+    spans = df.select("row_idx", "chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).filter("start < `end`")
+    return spans.mapInArrow(run, f"row_idx {kinds['row_idx']}, chrom {kinds['chrom']}, start long, end long")
 
 
 def tile_weights(base: DataFrame, tiles: DataFrame) -> DataFrame:

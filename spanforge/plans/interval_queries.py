@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import intervals as I
@@ -9,6 +11,7 @@ from ..functions import sequences as S
 from ..functions import vectors as V
 from ..operators import embed as E
 from ..operators import transforms as T
+from ..sources import bed
 from . import views
 from .core import query
 
@@ -275,16 +278,23 @@ def embed_plugin(spark, d):
     return out.select("row_idx", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
-@query("""WITH f AS (SELECT exp(2 * i * -ln(3e9) / 32) AS f, i FROM (SELECT unnest(range(0, 16)) AS i)), a AS (SELECT row_idx, i, start * f AS a FROM iv_sample, f)
-SELECT row_idx, round(max(CASE WHEN i = 3 THEN sin(a) END), 6) AS s3, round(max(CASE WHEN i = 3 THEN cos(a) END), 6) AS c3, round(max(CASE WHEN i = 15 THEN sin(a) END), 6) AS s15, 32 AS width FROM a GROUP BY row_idx""")
+def _waves(pos: str) -> str:
+    return "[" + ", ".join(f"round({g}({pos} * {math.exp(2 * i * -math.log(3e9) / 32)!r}::DOUBLE), 6)" for i in range(16) for g in ("sin", "cos")) + "]"
+
+
+def _rounded(vec):
+    return F.transform(vec, lambda x: F.round(x, 6))
+
+
+@query(f"SELECT row_idx, {_waves('start')} AS vec FROM iv_sample")
 def sinusoid_pe(spark, d):
-    v = V.sinusoid(F.col("start"))
-    return _base(spark, d).select("row_idx", v.alias("v")).select("row_idx", F.round(F.col("v")[6], 6).alias("s3"), F.round(F.col("v")[7], 6).alias("c3"), F.round(F.col("v")[30], 6).alias("s15"), F.size("v").alias("width"))
+    return _base(spark, d).select("row_idx", _rounded(V.sinusoid(F.col("start"))).alias("vec"))
 
 
-@query("""WITH f AS (SELECT exp(2 * 5 * -ln(3e9) / 32) AS f) SELECT row_idx, substr(chrom, 4)::INT - 1 AS chrom_id, round(sin(start * f), 6) AS s_start, round(sin("end" * f), 6) AS s_end FROM iv_sample, f""")
+@query(f"""SELECT row_idx, substr(chrom, 4)::INT - 1 AS chrom_id, list_concat({_waves('start')}, {_waves('"end"')}) AS vec FROM iv_sample""")
 def locus_encoding(spark, d):
-    return _base(spark, d).select("row_idx", I.chrom_id(F.col("chrom")).alias("chrom_id"), F.round(V.sinusoid(F.col("start"))[10], 6).alias("s_start"), F.round(V.sinusoid(F.col("end"))[10], 6).alias("s_end"))
+    both = F.concat(V.sinusoid(F.col("start")), V.sinusoid(F.col("end")))
+    return _base(spark, d).select("row_idx", I.chrom_id(F.col("chrom")).alias("chrom_id"), _rounded(both).alias("vec"))
 
 
 @query("""WITH w AS (SELECT i.row_idx, list_transform(['A', 'C', 'G', 'T'], lambda x: (length(substr(s.seq, i.start + 1, i."end" - i.start)) - length(replace(substr(s.seq, i.start + 1, i."end" - i.start), x, '')))::DOUBLE) AS w FROM seq_iv i JOIN sequences s USING (chrom)),
@@ -305,3 +315,23 @@ def tiling_error(spark, d):
     b = _base(spark, d)
     tiles = T.tile(b, 128, 4, 4).groupBy("row_idx").agg(F.avg(F.col("end") - F.col("start")).alias("m"))
     return tiles.join(b, "row_idx").agg(F.lit(128).alias("size"), F.round(F.avg(F.abs(F.col("m") - (F.col("end") - F.col("start")))), 6).alias("error"), F.count("*").alias("n"))
+
+
+@query("""WITH n AS (SELECT row_idx AS base_idx, unnest(range(0, greatest(("end" - start + 499) // 500, 0))) AS k, start, "end" FROM iv_sample)
+SELECT i.row_idx, max(least(n."end" - n.start - k * 500, 500))::BIGINT AS value FROM iv_sample i LEFT JOIN n ON n.base_idx = i.row_idx GROUP BY 1""")
+def backward_aggregate(spark, d):
+    base = _base(spark, d)
+    new = T.apply(base, T.chunk_max(500), numbered=True)
+    return T.backward(base, new, new.select("new_idx", (F.col("end") - F.col("start")).alias("value")), F.max)
+
+
+@query("WITH p AS (SELECT chrom, substr(seq, (greatest(length(seq) - 1, 0) // 50) * 50 + 1, 50) AS p, seq FROM sequences) SELECT chrom, CASE WHEN seq <> '' THEN [" + ", ".join(_ACGT.format(x) for x in "ACGT") + "] END AS vec FROM p")
+def last_token_pool(spark, d):
+    return views.sequences(spark, d).select("chrom", V.last_of(F.transform(S.chunks(F.col("seq"), 50), lambda x: S.count_acgt(x))).alias("vec"))
+
+
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY md5(set_id || '_' || row_idx || '_42'), row_idx) AS n FROM iv_sample)
+SELECT set_id, [avg("end" - start)] AS vec FROM o WHERE n <= 64 GROUP BY 1""")
+def embed_sampled_sets(spark, d):
+    some = bed.shuffled(views.iv_sample(spark, d), 64)
+    return V.vector_mean(E.embed(some, None, E.IntervalLength()), ["set_id"])

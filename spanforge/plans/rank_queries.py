@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -10,6 +12,7 @@ from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import knn as K
 from ..operators import ranking as R
+from ..operators import search as X
 from . import views
 from .core import query
 
@@ -64,6 +67,35 @@ def search_benchmark(spark, d):
     return bins.agg(F.sum("total").alias("truth"), F.sum("hits").alias("found"), F.round(F.sum("hits") / F.sum("total"), 6).alias("recall"))
 
 
+def _experiment_sql(name: str, e: X.Experiment) -> str:
+    def side(tag, start, end, shift, swell, parts):
+        size = f"round_even((e0 - s0) * {float(swell)!r}::DOUBLE, 0)"
+        return f"""{tag}0 AS (SELECT row_idx AS base, chrom, {start} + {shift} AS s0, {end} + {shift} AS e0 FROM vec_iv),
+{tag}1 AS (SELECT base, chrom, round_even((s0 + e0) / 2.0::DOUBLE - {size} / 2, 0)::BIGINT AS s1, {size}::BIGINT AS n FROM {tag}0),
+{tag}2 AS (SELECT base, chrom, s1, n, unnest(range(0, CASE WHEN n < {parts} THEN 1 ELSE {parts} END)) AS i FROM {tag}1),
+{tag}3 AS (SELECT base, i, CASE WHEN n < {parts} THEN s1 ELSE s1 + i * (n // {parts}) + least(i, n % {parts}) END AS s, CASE WHEN n < {parts} THEN s1 + n ELSE s1 + (i + 1) * (n // {parts}) + least(i + 1, n % {parts}) END AS e FROM {tag}2),
+{tag} AS (SELECT base, row_number() OVER (ORDER BY base, i) - 1 AS id, [1.0::DOUBLE, s / 1e6::DOUBLE, e / 1e6::DOUBLE, (e - s) / 1e5::DOUBLE] AS vec FROM {tag}3)"""
+
+    wide = "s.start - 100000", 's."end" + 100000'
+    return f"""SELECT '{name}' AS name, * FROM (WITH {side("q", "start", '"end"', e.query_shift, e.query_swell, e.query_parts)},
+{side("s", "start - 100000", '"end" + 100000', 0, e.sample_swell, e.sample_parts)},
+r AS (SELECT q.base AS qb, s.base AS sb, row_number() OVER (PARTITION BY q.id ORDER BY round(list_inner_product(q.vec, s.vec) / sqrt(list_inner_product(s.vec, s.vec)), 9) DESC, s.id) AS rank FROM q, s),
+h AS (SELECT DISTINCT qb, sb FROM r WHERE rank <= {e.k}),
+t AS (SELECT a.row_idx AS qb, s.row_idx AS sb FROM vec_iv a JOIN vec_iv s ON a.chrom = s.chrom AND a.start < {wide[1]} AND {wide[0]} < a."end")
+SELECT count(*) AS truth, count(h.qb) AS found, round(count(h.qb) / nullif(count(*), 0), 6) AS recall FROM t LEFT JOIN h ON h.qb = t.qb AND h.sb = t.sb)"""
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(_experiment_sql(n, e) for n, e in X.EXPERIMENTS.items()) + ")")
+def search_experiments(spark, d):
+    """All named experiments with a model of four numbers an interval."""
+    q = views.vec_iv(spark, d).select("row_idx", "chrom", "start", "end")
+    s = q.withColumn("start", F.col("start") - 100000).withColumn("end", F.col("end") + 100000)
+    truth = J.overlap_join(q, s, width=200_000).select("q_row_idx", "s_row_idx")
+    model = lambda a, b: F.array(F.lit(1.0), a / 1e6, b / 1e6, (b - a) / 1e5)
+    parts = [X.run(q, s, truth, model, e).select(F.lit(n).alias("name"), "truth", "found", F.round("recall", 6).alias("recall")) for n, e in X.EXPERIMENTS.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 _MEAN = """WITH m0 AS (SELECT set_id, i, avg(vec[i]) AS x FROM set_vecs, (SELECT unnest(range(1, 65)) AS i) GROUP BY set_id, i), m AS (SELECT set_id, list(x ORDER BY i) AS vec FROM m0 GROUP BY set_id),
 k AS (SELECT a.set_id AS base, b.set_id AS other, list_distance(a.vec, b.vec) AS dist FROM m a, m b), rk AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY round(dist, 9), other)::INT AS rank FROM k) """
 

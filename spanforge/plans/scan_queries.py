@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..sources import bed, fasta, scores
+from ..sources import bed, fasta, labelled, scores
 from . import views
 from .core import query
 
@@ -186,6 +186,45 @@ def category_of(spark, d):
     return views.iv_sample(spark, d).select("row_idx", (F.col("row_idx") % 25).alias("k")).join(dim, F.col("k") == F.col("id")).select("row_idx", "id", "category")
 
 
-@query("SELECT item_id, CASE WHEN regexp_matches(lower(text), 'th') THEN 'has th' END AS tag FROM benchmark")
+_CATEGORY = "CASE row_idx % 6 WHEN 0 THEN 'Brain' WHEN 1 THEN 'Blood & T-cell' WHEN 2 THEN 'Skin' WHEN 3 THEN 'Fetal lung' WHEN 4 THEN 'Digestive' END"
+
+
+@query(f"SELECT row_idx, CASE WHEN regexp_matches(lower({_CATEGORY}), 'brain|skin|lung|digestive') THEN {_CATEGORY} END AS category FROM vecs")
 def category_filter(spark, d):
-    return spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.when(F.lower("text").rlike("th"), "has th").alias("tag"))
+    return views.vecs(spark, d).select("row_idx", N.plot_category(F.expr(_CATEGORY)).alias("category"))
+
+
+_STATE = "CASE row_idx % 3 WHEN 0 THEN 'Enhancers' WHEN 1 THEN 'Genic_enhancers' ELSE 'Flanking_Active_TSS' END"
+_STATE_ID = "CASE row_idx % 3 WHEN 0 THEN 4 WHEN 1 THEN 5 ELSE 1 END"
+_CELLS = [f"cell_{i}" for i in range(25)]
+
+
+def _numbers(spark, d, column, name):
+    cell = F.concat(F.lit("cell_"), (F.col("row_idx") % 25).cast("string"))
+    state = F.expr(_STATE)
+    return views.iv_sample(spark, d).select("row_idx", column(cell, state).alias(name))
+
+
+@query(f"SELECT row_idx, ({_STATE_ID})::BIGINT AS state_id FROM iv_sample")
+def chro_state_id(spark, d):
+    return _numbers(spark, d, lambda cell, state: N.state_number(state), "state_id")
+
+
+@query("SELECT row_idx, row_idx % 25 AS cell_id FROM iv_sample")
+def cell_type_id(spark, d):
+    return _numbers(spark, d, lambda cell, state: N.number_of(cell, _CELLS), "cell_id")
+
+
+@query(f"SELECT row_idx, (row_idx % 25) * 15 + {_STATE_ID} AS bed_id FROM iv_sample")
+def bed_id(spark, d):
+    return _numbers(spark, d, lambda cell, state: N.set_number(F.concat_ws("_", cell, state), _CELLS), "bed_id")
+
+
+@query("""WITH f AS (SELECT 'root/train/' || coalesce(lang, 'none') || '/' || doc_id || '.txt' AS path, coalesce(lang, 'none') AS label, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') AS seq FROM documents),
+t AS (SELECT path, label, dense_rank() OVER (ORDER BY label) - 1 AS label_idx, left(CASE WHEN substr(md5(path || '_42'), 1, 1) < '8' THEN translate(reverse(seq), 'ACGT', 'TGCA') ELSE seq END, 100) AS seq FROM f)
+SELECT path, label, label_idx::INT AS label_idx, seq, list_append([instr('ATCG', x) - 1 FOR x IN string_split(seq, '') IF x <> ''], 4)::INT[] AS tokens FROM t""")
+def scan_labelled_dirs(spark, d):
+    t = spark.read.parquet(f"{d}/documents.parquet")
+    path = F.concat(F.lit("root/train/"), F.coalesce("lang", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    files = t.select(path.alias("path"), F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ACGT]", "").alias("value"))
+    return labelled.parse(files, 100, augment=True)

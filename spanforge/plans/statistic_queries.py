@@ -39,6 +39,24 @@ def npt(spark, d):
     return _r(S.npt(views.vec_iv(spark, d), 20), "npr")
 
 
+def _shared(vecs: str) -> str:
+    return f"""(SELECT count(*) FROM (SELECT a.row_idx AS q, b.row_idx AS f, list_distance(a.vec, b.vec) AS e, sqrt((a.start - b.start)::DOUBLE ** 2 + (a."end" - b."end")::DOUBLE ** 2) AS g
+FROM {vecs} a JOIN {vecs} b ON a.row_idx <> b.row_idx WHERE a.row_idx % 10 = 0 QUALIFY greatest({_NEAR.format("e")}, {_NEAR.format("g")}) <= 20))"""
+
+
+@query(f"""WITH t AS (SELECT * FROM vec_iv), z0 AS (SELECT row_idx, i, ('0x' || substr(md5(row_idx || '_' || (i - 1)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS x FROM t, (SELECT unnest(range(1, 65)) AS i)),
+z1 AS (SELECT row_idx, list(x ORDER BY i) AS vec FROM z0 GROUP BY 1), z AS (SELECT t.row_idx, t.start, t."end", z1.vec FROM t JOIN z1 USING (row_idx)),
+n AS (SELECT count(*) AS queries FROM t WHERE row_idx % 10 = 0), w AS (SELECT queries, {_shared("t")} / (queries * 20) AS npr, {_shared("z")} / (queries * 20) AS random FROM n)
+SELECT queries, round(npr, 6) AS npr, round(random, 6) AS random, round(log10(nullif(npr, 0) / nullif(random, 0)), 6) AS snpr FROM w""")
+def npt_baseline(spark, d):
+    return _r(S.npt_baseline(views.vec_iv(spark, d), 20), "npr", "random", "snpr")
+
+
+@query()
+def pca_projection(spark, d):
+    return S.project(views.vecs(spark, d))
+
+
 @query("""WITH p AS (SELECT row_idx AS i, chrom, floor(start + ("end" - start) * (k + 0.5) / 8.0::DOUBLE) AS pt FROM iv_sample, (SELECT unnest(range(0, 8)) AS k)),
 h AS (SELECT DISTINCT i, row_idx AS j FROM p JOIN iv_sample s ON s.chrom = p.chrom AND i < row_idx AND pt >= s.start AND pt <= s."end")
 SELECT count(*) AS pairs, round(count(*) / ((SELECT count(*) * (count(*) - 1) / 2 FROM iv_sample)), 9) AS share FROM h""")

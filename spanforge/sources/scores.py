@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import clean_name, strip_extensions
 from .text import require
 
-_BED_NAME = r"(.+/)*(.+)\.bed(\.gz)?"
+
+def _bed_name(path) -> Column:
+    """The last part of a path up to its last .bed; empty if there is none."""
+    parts = F.split(F.substring_index(path, "/", -1), r"\.bed")
+    return F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), ".bed")
 
 
 def parse_seqpare(rows: DataFrame, strict: bool = False) -> DataFrame:
@@ -16,7 +20,7 @@ def parse_seqpare(rows: DataFrame, strict: bool = False) -> DataFrame:
     f = F.split(F.trim("value"), "\t" if strict else r"\s+")
     rows = rows.filter("line_no > 0")
     rows = rows.filter(require(F.size(f) >= 6, "under 6 fields") if strict else F.size(f) >= 6)
-    name = F.regexp_extract(F.get(f, F.lit(5)), _BED_NAME, 2)
+    name = _bed_name(F.get(f, F.lit(5)))
     rows = rows.select(F.col("set_id").alias("label"), name.alias("other"), F.get(f, F.lit(4)).try_cast("double").alias("similarity"))
     return rows.filter(require(F.col("other") != "", "no .bed name"))
 
@@ -65,3 +69,19 @@ def write_embeddings(df: DataFrame, path: str) -> None:
 
 def read_embeddings(spark, path: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("set_id").cast("string").alias("set_id"), "row_idx", F.col("vec").cast("array<double>").alias("vec"))
+
+
+def write_shards(df: DataFrame, path: str, shard: str) -> None:
+    """Rows by shard, each shard in row_idx order."""
+    df.repartition(shard).sortWithinPartitions(shard, "row_idx").write.partitionBy(shard).parquet(path)
+
+
+def read_shards(spark, path: str, shard: str) -> DataFrame:
+    """The rows of all shards in order of shard, then row_idx."""
+    return spark.read.parquet(path).orderBy(shard, "row_idx")
+
+
+def delete_shards(spark, path: str) -> bool:
+    """Whether there was anything to delete."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -132,3 +132,47 @@ def test_demultiplex_errors(spark):
 def test_block_split_with_few_items(spark):
     rows = spark.range(3).select(P.block_split(F.col("id"), F.lit(3), 7).alias("x")).collect()
     assert [r["x"] for r in rows] == [0, 1, 2]
+
+def test_letters_from_blocks(spark):
+    """Sequences cut into small blocks give the letters that the whole ones give, for short and long, repeated and empty intervals."""
+    import random
+
+    draw = random.Random(5)
+    seqs = {f"c{i}": "".join(draw.choice("ACGTn") for _ in range(n)) for i, n in enumerate((0, 1, 7, 8, 40, 101))}
+    rows = []
+    for c, s in seqs.items():
+        for _ in range(40):
+            a = draw.randint(0, len(s) + 3)
+            rows.append((len(rows) // 2, c, a, a + draw.randint(0, len(s))))
+    rows += rows[-30:]
+    iv = spark.createDataFrame(rows, "row_idx long, chrom string, start long, end long")
+    seq = spark.createDataFrame(list(seqs.items()), "chrom string, seq string")
+    got = sorted(tuple(r) for r in E.look_up(iv, seq, block=8, margin=5).select("row_idx", "chrom", "start", "end", "letters").collect())
+    assert got == sorted((*r, seqs[r[1]][r[2] : r[3]]) for r in rows)
+
+
+def test_labelled_folders(spark, tmp_path):
+    from spanforge.sources import labelled
+
+    for label, name, text in (("pos", "a.txt", "ACGTN\n"), ("neg", "b.txt", ""), ("neg", "c.txt", "TTTTTTTT")):
+        (tmp_path / label).mkdir(exist_ok=True)
+        (tmp_path / label / name).write_text(text)
+    rows = {r["path"][-5]: r for r in labelled.parse(labelled.read(spark, str(tmp_path)), 5).collect()}
+    assert {k: (r["label"], r["label_idx"], r["seq"]) for k, r in rows.items()} == {"a": ("pos", 1, "ACGTN"), "b": ("neg", 0, ""), "c": ("neg", 0, "TTTTT")}
+    assert rows["a"]["tokens"] == [0, 2, 3, 1, None, 4] and rows["b"]["tokens"] == [4]
+
+
+def test_shards_are_read_in_order(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    scores.write_shards(spark.createDataFrame([(i, i % 3, [float(i)]) for i in range(20)], "row_idx long, part int, vec array<double>"), path, "part")
+    assert [r["row_idx"] for r in scores.read_shards(spark, path, "part").collect()] == sorted(range(20), key=lambda i: (i % 3, i))
+    assert scores.delete_shards(spark, path) and not scores.delete_shards(spark, path)
+
+
+def test_unknown_names_are_errors(spark):
+    from spanforge.functions import names as N
+
+    df = spark.createDataFrame([("b",), (None,)], "name string")
+    assert [r[0] for r in df.select(N.number_of(F.col("name"), ["a", "b"])).collect()] == [1, None]
+    with pytest.raises(Exception, match="unknown name: b"):
+        df.select(N.number_of(F.col("name"), ["a"])).collect()

@@ -83,3 +83,40 @@ def test_overlap_join_is_the_plain_join(spark):
     want = sorted((r["q_row_idx"], r["s_row_idx"]) for r in J.overlap_join_plain(q.filter("end > start"), s.filter("end > start")).collect())
     for width, most in ((2000, 64), (500, 4), (100_000, 1)):
         assert sorted((r["q_row_idx"], r["s_row_idx"]) for r in J.overlap_join(q, s, width, most).collect()) == want
+
+
+def test_backward_takes_any_aggregate(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    base = spark.createDataFrame([(i, "c", i * 10, i * 10 + 9) for i in range(3)] + [(3, "c", 50, 50)], "row_idx long, chrom string, start long, end long")
+    new = T.apply(base, T.split(3), T.chunk_max(9), numbered=True)
+    values = spark.createDataFrame([(i, v) for i, v in enumerate([0, 0, 0, 1, 1, 1, 10, 10, 10])], "new_idx long, value long")
+
+
+    assert {r["row_idx"]: r["value"] for r in T.backward(base, new, values, F.sum).collect()} == {0: 0, 1: 3, 2: 30, 3: None}
+    with pytest.raises(Exception, match="do not match at 9"):
+        T.backward(base, new, values.unionByName(values.selectExpr("new_idx + 1 AS new_idx", "value").filter("new_idx = 9")), F.sum).collect()
+    with pytest.raises(Exception, match="do not match at 8"):
+        T.backward(base, new, values.filter("new_idx < 8"), F.sum).collect()
+
+
+def test_neighbours_with_many_ties(spark):
+    from spanforge.operators.knn import knn
+
+    points = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(50)] + [(50, [2.0, 0.0])], "id long, vec array<double>")
+    for metric, want in (("ip", [50, 0, 1]), ("l2", [0, 1, 2])):
+        got = knn(points.filter("id = 7"), points, 3, metric).orderBy("rank").collect()
+        assert [r["found"] for r in got] == want
+    assert [r["found"] for r in knn(points.filter("id = 7"), points, 3, "l2", skip_self=True).orderBy("rank").collect()] == [0, 1, 2]
+
+
+def test_projection(spark):
+    import numpy as np
+
+    from spanforge.operators.embedding_stats import project
+
+    x = np.random.default_rng(3).normal(size=(60, 5)) * [5, 3, 1, 1, 1]
+    got = project(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_idx long, vec array<double>")).orderBy("row_idx").collect()
+    u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.allclose(np.abs([r["point"] for r in got]), np.abs(u[:, :2] * s[:2]))
