@@ -10,7 +10,7 @@ from ..functions.sequences import AS_TOKEN, letter_numbers, reverse_complement
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(path, value) of all files below path, whole; an empty file is a row too."""
+    """(path, value) of all files below path, whole; Spark passes over empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", F.decode("content", "UTF-8").alias("value"))
 

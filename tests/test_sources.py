@@ -154,7 +154,7 @@ def test_letters_from_blocks(spark):
 def test_labelled_folders(spark, tmp_path):
     from spanforge.sources import labelled
 
-    for label, name, text in (("pos", "a.txt", "ACGTN\n"), ("neg", "b.txt", ""), ("neg", "c.txt", "TTTTTTTT")):
+    for label, name, text in (("pos", "a.txt", "ACGTN\n"), ("neg", "b.txt", "\n"), ("neg", "c.txt", "TTTTTTTT")):
         (tmp_path / label).mkdir(exist_ok=True)
         (tmp_path / label / name).write_text(text)
     rows = {r["path"][-5]: r for r in labelled.parse(labelled.read(spark, str(tmp_path)), 5).collect()}
