@@ -16,7 +16,7 @@ from .common import Words, grams, sliced
 SEED_WORDS = 3
 MATCH, MISMATCH, GAP = 1.0, -0.25, -0.25
 THRESHOLD = 0.6
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
@@ -45,16 +45,25 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
 
 
 class Seeds:
-    """The seeds of a block of benchmark items, ready for lookup."""
+    """The seeds of a block of benchmark items as flat arrays: sorted hashes, and for each the places (item, position) it stands at.
+    An item's seeds have SEED_WORDS words, or all of its words if it is shorter."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.items = items
-        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, words) in enumerate(items):
-            for pos, h in enumerate(grams(words, SEED_WORDS)):
-                places[int(h)].append((k, pos))
-        self.hashes = np.array(sorted(places), np.uint64)
-        self.places = [places[int(h)] for h in self.hashes]
+        sizes = [min(len(words), SEED_WORDS) for _, words in items]
+        self.lengths = sorted(set(sizes))
+        hashes = [grams(words, n) for (_, words), n in zip(items, sizes, strict=True)] or [np.zeros(0, np.uint64)]
+        item = np.repeat(np.arange(len(items), dtype=np.int32), np.array([len(h) for h in hashes[: len(items)]], np.int64))
+        pos = np.concatenate([np.arange(len(h), dtype=np.int32) for h in hashes])
+        flat = np.concatenate(hashes)
+        order = np.argsort(flat, kind="stable")
+        self.item, self.pos = item[order], pos[order]
+        self.hashes, first = np.unique(flat[order], return_index=True)
+        self.first = np.append(first, len(flat))
+
+    def places(self, seed: int) -> Iterator[tuple[int, int]]:
+        lo, hi = self.first[seed], self.first[seed + 1]
+        return zip(self.item[lo:hi].tolist(), self.pos[lo:hi].tolist(), strict=True)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions among hashes that are seeds, and the seeds' numbers."""
@@ -68,7 +77,7 @@ class Seeds:
         """(item_id, share of the best possible score, first and last + 1 word) of one document, from (position, seed) hits."""
         windows: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for pos, s in hits:
-            for k, q in self.places[s]:
+            for k, q in self.places(s):
                 n = len(self.items[k][1])
                 slack = max(4, n // 4)
                 windows[k].append((max(0, pos - q - slack), min(len(words), pos - q + n + slack)))
@@ -96,13 +105,18 @@ class Seeds:
 
 def _by_row(w: Words, seeds: Seeds) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     """(row, hits within its words) of the rows that hold a seed."""
-    hashes = grams(w.hash, SEED_WORDS)
-    hit, seed = seeds.find(hashes)
+    found = []
+    for n in seeds.lengths:
+        hit, seed = seeds.find(grams(w.hash, n))
+        row = np.searchsorted(w.rows, hit, side="right") - 1
+        inside = hit + n <= w.rows[row + 1]
+        found.append((hit[inside], seed[inside], row[inside]))
+    hit, seed, row = (np.concatenate(x) for x in zip(*found, strict=True))
     if not len(hit):
         return
-    row = np.searchsorted(w.rows, hit, side="right") - 1
-    inside = hit + SEED_WORDS <= w.rows[row + 1]
-    hit, seed, row = hit[inside], seed[inside], row[inside]
+    if len(seeds.lengths) > 1:
+        order = np.argsort(hit, kind="stable")
+        hit, seed, row = hit[order], seed[order], row[order]
     cuts = np.flatnonzero(np.diff(row)) + 1
     for h, s, r in zip(np.split(hit, cuts), np.split(seed, cuts), np.split(row, cuts), strict=True):
         if len(r):
@@ -113,9 +127,9 @@ def _words(texts: pa.Array) -> Words:
     return Words(texts, lower=True, trim=True)
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Seeds]:
-    """Seeds of the benchmark in blocks of about BLOCK_BYTES of text, so that what goes to the tasks is bounded however long
-    the benchmark is. Items under SEED_WORDS words are too short to tell a leak from chance and are not searched for."""
+def blocks(benchmark: DataFrame, least_words: int = 1) -> Iterator[Seeds]:
+    """Seeds of the benchmark's items of least_words words or more, in blocks of about BLOCK_BYTES of text, so that what goes to the
+    tasks (some 4 times that, as arrays) is bounded however long the benchmark is. Each block is a scan of the documents."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-int(total) // BLOCK_BYTES)
@@ -125,23 +139,25 @@ def blocks(benchmark: DataFrame) -> Iterator[Seeds]:
             continue
         w = _words(rows.column("text").combine_chunks())
         ids = rows.column("item_id").to_pylist()
-        seeds = Seeds([(ids[i], w.hash[w.rows[i] : w.rows[i + 1]].copy()) for i in range(len(ids)) if w.rows[i + 1] - w.rows[i] >= SEED_WORDS])
+        seeds = Seeds([(ids[i], w.hash[w.rows[i] : w.rows[i + 1]].copy()) for i in range(len(ids)) if w.rows[i + 1] - w.rows[i] >= least_words])
         if len(seeds.hashes):
             yield seeds
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = SEED_WORDS) -> DataFrame:
     """One row a document and benchmark item it holds a copy of: doc_id, item_id, score, first_word, last_word.
 
     Words are compared without ASCII case and outer ASCII punctuation. The passages around every seed (3 words of the item in a
     row), however common in the corpus, are aligned, and score is the best alignment's share of the item's best possible one,
-    0.6 or more. A passage that shares no 3 words in a row with the item is not looked at. Null or empty texts on either side
+    0.6 or more. A passage that shares no 3 words in a row with the item is not looked at. Items under
+    least_words words are not searched for: by default those of one or two, too short to tell a leak from chance; with 1 they are found
+    where all their words stand in a row. Null or empty texts on either side
     match nothing; null ids stay null; repeated rows give a row each; empty tables give no rows; other columns are not read.
     """
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, item_id long, score double, first_word long, last_word long"
     out = None
-    for seeds in blocks(benchmark):
+    for seeds in blocks(benchmark, least_words):
 
         def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches):
@@ -159,9 +175,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no copy of a benchmark item. No shuffle."""
-    for seeds in blocks(benchmark):
+def keep_clean(docs: DataFrame, benchmark: DataFrame, least_words: int = SEED_WORDS) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no copy of a benchmark item of least_words words or more: a word or two in
+    common with a benchmark is no sign of a leak, so shorter items condemn no document unless asked to. No shuffle."""
+    for seeds in blocks(benchmark, least_words):
 
         def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches):

@@ -362,6 +362,18 @@ def test_leaks_in_hundreds_of_edited_copies(spark, tmp_path):
     assert {r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect()} == {i for i, _ in rows} - {i for i, _ in want}
 
 
+def test_short_items_are_searched_whole(spark, tmp_path):
+    """Items of one and two words, against plain search; they condemn documents only on request."""
+    items = [(1, "Alpha"), (2, "beta gamma"), (3, "one two three four"), (4, " "), (5, None)]
+    texts = ["x alpha, y", "beta x gamma", "a BETA gamma. b", "gamma beta", "alpha", "beta", "one two three four", None, ""]
+    docs = stored(spark, tmp_path, list(enumerate(texts)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["score"], r["first_word"], r["last_word"]) for r in decontaminate.find_leaks(docs, bench, least_words=1).collect()}
+    assert got == {(0, 1, 1.0, 1, 2), (2, 2, 1.0, 1, 3), (4, 1, 1.0, 0, 1), (6, 3, 1.0, 0, 4)}
+    assert {r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect()} == set(range(9)) - {6}
+    assert {r["doc_id"] for r in decontaminate.keep_clean(docs, bench, least_words=1).collect()} == {1, 3, 5, 7, 8}
+
+
 def test_alignment():
     def plain(a, b):
         h, best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
