@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact, jaccard, lm, mixing, quality, substring, tokens, warc
+from . import centroids, chat, decontaminate, exact, jaccard, lm, mixing, quality, substring, tokens, warc
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.sort_means(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_mixing": op2_mixing,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_centroid_clustering": op11_centroid_clustering,
 }
 
 ORACLE: dict[str, str] = {
@@ -75,4 +80,5 @@ ORACLE: dict[str, str] = {
     "op5_exact_dedup": exact.ORACLE,
     "op8_substring_dedup": substring.ORACLE,
     "op10_jaccard_join": jaccard.ORACLE,
+    "op11_centroid_clustering": centroids.ORACLE,
 }
