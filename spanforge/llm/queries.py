@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, decontaminate, exact, jaccard, lm, mixing, quality, substring, tokens, warc
+from . import centroids, chat, collocations, decontaminate, exact, jaccard, lm, mixing, pivots, quality, substring, tokens, warc
 from .common import table
 
 
@@ -60,6 +60,14 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.sort_means(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64)
 
 
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(table(spark, sf_dir, "embeddings"), k=10, divisor=100)
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_mixing": op2_mixing,
@@ -72,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_exact_topk": op12_exact_topk,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 ORACLE: dict[str, str] = {
@@ -81,4 +91,6 @@ ORACLE: dict[str, str] = {
     "op8_substring_dedup": substring.ORACLE,
     "op10_jaccard_join": jaccard.ORACLE,
     "op11_centroid_clustering": centroids.ORACLE,
+    "op12_exact_topk": pivots.ORACLE,
+    "op13_phrase_collocations": collocations.ORACLE,
 }
