@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from ..functions.columns import unused
 from ..functions.vectors import mean_of, vector_mean
+from ..sources.blocks import SequenceBlocks, cut
 from .transforms import chunk_keep
 
 
@@ -33,58 +35,66 @@ class IntervalLength:
         return F.array((end - start).cast("double"))
 
 
-def sequence_blocks(sequences: DataFrame, block: int, margin: int) -> DataFrame:
-    """(chrom, __b, __letters): sequences cut into blocks, each with the first `margin` letters of the next one after it."""
-    cut = sequences.select("chrom", F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{block}}}"), F.lit(0)).alias("__cut"))
-    lengthened = F.transform("__cut", lambda x, i: F.concat(x, F.coalesce(F.substring(F.get("__cut", i + 1), 1, margin), F.lit(""))))
-    return cut.select("chrom", F.posexplode(lengthened).alias("__b", "__letters"))
+def _outside(intervals: DataFrame, sizes: DataFrame) -> DataFrame:
+    """No rows, or an error: worst cases by chromosome meet the sizes, so intervals themselves are not shuffled for it."""
+    worst = intervals.groupBy("chrom").agg(F.max(F.col("end") - F.col("start")).alias("n"), F.min("start").alias("first"))
+    lacking = F.raise_error(F.concat(F.lit("no sequence: "), F.coalesce("chrom", F.lit("null")))).cast("boolean")
+    outside = F.raise_error(F.concat(F.lit("an interval is outside its sequence: "), F.col("chrom"))).cast("boolean")
+    wrong = F.when(F.col("size").isNull(), lacking).when((F.col("first") < 0) | (F.col("n") > F.col("size")), outside).otherwise(F.lit(False))
+    return worst.join(sizes, "chrom", "left").filter(wrong)
 
 
-def look_up(intervals: DataFrame, sequences: DataFrame, block: int = 1 << 16, margin: int = 1 << 15) -> DataFrame:
+def look_up(intervals: DataFrame, sequences: DataFrame | SequenceBlocks, longest: int | None = None, **sizes: int) -> DataFrame:
     """The letters of each interval; a chromosome that sequences lack, a negative start or an interval longer than its sequence
-    is an error, what lies beyond the end is cut off.
+    is an error, what lies beyond the end is cut off. sequences: blocks, or rows (chrom, seq), which are cut into blocks first.
 
-    Sequences are joined by (chrom, block), so that a chromosome is neither one key nor one row of the join. An interval of up
-    to `margin` letters lies in the block it starts in; a longer one takes a piece from each block it meets, and its pieces are
-    put together by the row (equal rows together, then repeated). Only names and lengths are joined by chrom alone.
+    Intervals meet the letters by (chrom, block), so that a chromosome is neither one key nor one row. One of up to `margin`
+    letters lies in the block that it starts in; a longer one takes a piece from each block it meets, and its pieces are put
+    together by the row (equal rows together, then repeated). Who knows that no interval is longer than `longest` letters, at most
+    a margin, saves the plan for long ones; a longer one is then an error.
     """
-    if not 0 < margin <= block:
-        raise ValueError("margin must be between 1 and block")
-    cols = intervals.columns
-    start, end, size, stop = F.col("start"), F.col("end"), F.col("__size"), F.col("__stop")
-    lacking = F.raise_error(F.concat(F.lit("no sequence: "), F.col("chrom"))).cast("long")
-    outside = F.raise_error(F.lit("an interval is outside its sequence")).cast("long")
-    checked = F.when(size.isNull(), lacking).when((start < 0) | (end - start > size), outside).otherwise(F.least(end, size))
-    rows = intervals.join(sequences.select("chrom", F.length("seq").alias("__size")), "chrom", "left").withColumn("__stop", checked).drop("__size")
-    blocks = sequence_blocks(sequences, block, margin)
-    first = F.floor(start / block).cast("int")
+    blocks = sequences if isinstance(sequences, SequenceBlocks) else cut(sequences, **sizes)
+    block, margin = blocks.block, blocks.margin
+    if longest is not None and longest > margin:
+        raise ValueError("longest must not pass the margin")
+    cols, number, letters_of = intervals.columns, unused(intervals, "block"), unused(intervals, "letters")
+    start, end, b = F.col("start"), F.col("end"), F.col(number)
+    letters = blocks.letters.select(F.col("chrom"), F.col("block").alias(number), F.col("letters").alias(letters_of))
+    first = F.floor(start / block)
+    size = F.greatest(end - start, F.lit(0))
+    within = F.substring(letters_of, (start - b * block + 1).cast("int"), size.cast("int"))
+    checked = F.when(F.lit(longest is not None) & (end - start > F.lit(longest or 0)), F.raise_error(F.lit(f"an interval is longer than {longest}")).cast("long")).otherwise(first)
+    found = F.when(start.isNotNull() & end.isNotNull(), F.coalesce(within, F.lit("")))
     is_long = F.coalesce(end - start > margin, F.lit(False))
-
-    inside = F.substring("__letters", (start - F.col("__b") * block + 1).cast("int"), F.greatest(stop - start, F.lit(0)).cast("int"))
-    letters = F.when(start.isNotNull() & end.isNotNull(), F.coalesce(inside, F.when(stop.isNotNull(), F.lit(""))))
-    short = rows.filter(~is_long).withColumn("__b", first).join(blocks, ["chrom", "__b"], "left").select(*cols, letters.alias("letters"))
-
-    last = F.greatest(F.floor((stop - 1) / block).cast("int"), first)
-    met = rows.filter(is_long).withColumn("__b", F.explode(F.sequence(first, last))).join(blocks, ["chrom", "__b"], "left")
-    lo, hi = F.greatest(start, F.col("__b") * block), F.least(stop, (F.col("__b") + 1) * block)
-    piece = F.coalesce(F.substring("__letters", (lo - F.col("__b") * block + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int")), F.lit(""))
-    found = met.withColumn("__piece", piece).groupBy(*cols).agg(F.collect_set(F.struct("__b", "__piece")).alias("__pieces"), F.count_if(F.col("__b") == first).alias("__n"))
-    whole = F.array_join(F.transform(F.array_sort("__pieces"), lambda x: x["__piece"]), "")
-    long_ = found.select(*cols, whole.alias("letters"), F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__k")).drop("__k")
-    return short.unionByName(long_)
+    short = intervals if longest is not None else intervals.filter(~is_long)
+    short = short.withColumn(number, checked).join(letters, ["chrom", number], "left").select(*cols, found.alias("letters"))
+    none = _outside(intervals, blocks.sizes).select(*[F.lit(None).cast(kind).alias(c) for c, kind in [*intervals.dtypes, ("letters", "string")]])
+    if longest is not None:
+        return short.unionByName(none)
+    last = F.greatest(F.floor((end - 1) / block), first)
+    met = intervals.filter(is_long).withColumn(number, F.explode(F.sequence(first, last))).join(letters, ["chrom", number], "left")
+    lo, hi = F.greatest(start, b * block), F.least(end, (b + 1) * block)
+    piece = F.coalesce(F.substring(letters_of, (lo - b * block + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int")), F.lit(""))
+    pieces = met.withColumn(letters_of, piece).groupBy(*cols).agg(F.collect_set(F.struct(number, letters_of)).alias(letters_of), F.count_if(b == first).alias(number))
+    whole = F.array_join(F.transform(F.array_sort(letters_of), lambda x: x[letters_of]), "")
+    long_ = pieces.select(*cols, whole.alias("letters"), F.explode(F.sequence(F.lit(1), b.cast("int"))).alias(number)).drop(number)
+    return short.unionByName(long_).unionByName(none)
+
+
+def of_letters(letters: Column, model, pool: Callable[[Column], Column] = mean_of) -> Column:
+    """The vector of a string: it is cut into chunks of the model's length, the model is run on each, and their plain mean
+    (or another `pool` of the array of vectors) is taken. All chunks are in one row, so that needs no shuffle."""
+    size = model.max_seq_len or (1 << 30)
+    parts = F.when(F.length(letters) == 0, F.array(F.lit(""))).otherwise(S.chunks(letters, size))
+    return pool(F.transform(parts, model))
 
 
-def embed(intervals: DataFrame, sequences: DataFrame | None, model, pool: Callable[[Column], Column] = mean_of) -> DataFrame:
-    """(keys…, vec): each interval cut into chunks of the model's length, the model run on each, and their plain mean
-    (or another `pool` of the array of vectors). All chunks of an interval are in its row, so that needs no shuffle; the only join is with the sequences.
-    """
+def embed(intervals: DataFrame, sequences: DataFrame | SequenceBlocks | None, model, pool: Callable[[Column], Column] = mean_of, longest: int | None = None) -> DataFrame:
+    """(keys…, vec) of each interval, by its letters (`look_up`, `of_letters`) or by its position, as the model wants."""
     keys = [c for c in ("set_id", "row_idx") if c in intervals.columns]
     if model.wants == "interval":
         return intervals.select(*keys, model(F.col("start"), F.col("end")).alias("vec"))
-    rows = look_up(intervals, sequences)
-    size = model.max_seq_len or (1 << 30)
-    parts = F.when(F.length("letters") == 0, F.array(F.lit(""))).otherwise(S.chunks(F.col("letters"), size))
-    return rows.select(*keys, pool(F.transform(parts, model)).alias("vec"))
+    return look_up(intervals, sequences, longest).select(*keys, of_letters(F.col("letters"), model, pool).alias("vec"))
 
 
 def embed_with(intervals: DataFrame, sequences: DataFrame, forward: Callable, max_seq_len: int) -> DataFrame:

@@ -212,9 +212,20 @@ def log2_len(spark, d):
 
 # sequences
 
+#: Letters of the longest interval of seq_iv, by its definition.
+_LONGEST = 60
+
+
 @query('SELECT i.row_idx, substr(s.seq, i.start + 1, i."end" - i.start) AS letters FROM seq_iv i JOIN sequences s USING (chrom)')
 def seq_lookup(spark, d):
-    return E.look_up(views.seq_iv(spark, d), views.sequences(spark, d)).select("row_idx", "letters")
+    return E.look_up(views.seq_iv(spark, d), views.sequences(spark, d), _LONGEST).select("row_idx", "letters")
+
+
+@query("SELECT row_idx, substr(seq, start + 1, \"end\" - start) AS letters FROM (SELECT row_idx, chrom, start // 2 AS start, \"end\" FROM seq_iv) JOIN sequences USING (chrom)")
+def seq_lookup_long(spark, d):
+    """Intervals over several blocks of 64 letters."""
+    iv = views.seq_iv(spark, d).withColumn("start", F.floor(F.col("start") / 2))
+    return E.look_up(iv, views.sequences(spark, d), block=64, margin=32).select("row_idx", "letters")
 
 
 @query("SELECT chrom, [(length(seq) - length(replace(seq, x, '')))::DOUBLE FOR x IN ['A', 'C', 'G', 'T']] AS vec FROM sequences")
@@ -264,7 +275,7 @@ def upper_tokens(spark, d):
 
 @query('WITH p AS (SELECT i.row_idx, substr(s.seq, i.start + o + 1, least(10, i."end" - i.start - o)) AS p FROM (SELECT *, unnest(range(0, "end" - start, 10)) AS o FROM seq_iv) i JOIN sequences s USING (chrom)) SELECT row_idx, [' + ", ".join(f"round(avg({_ACGT.format(x)}), 6)" for x in "ACGT") + "] AS vec FROM p GROUP BY row_idx")
 def embed_pipeline(spark, d):
-    out = E.embed(views.seq_iv(spark, d), views.sequences(spark, d), E.CountAcgt(10))
+    out = E.embed(views.seq_iv(spark, d), views.sequences(spark, d), E.CountAcgt(10), longest=_LONGEST)
     return out.select("row_idx", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
@@ -302,10 +313,23 @@ p AS (SELECT i.row_idx, substr(s.seq, i.start + o + 1, least(10, i."end" - i.sta
 m AS (SELECT row_idx, [""" + ", ".join(f"avg({_ACGT.format(x)})" for x in "ACGT") + """] AS m FROM p GROUP BY row_idx)
 SELECT round(avg(list_distance(w, m)), 6) AS error, count(*) AS n FROM w JOIN m USING (row_idx)""")
 def chunk_mean_error(spark, d):
-    iv, seq = views.seq_iv(spark, d), views.sequences(spark, d)
-    whole = E.embed(iv, seq, E.CountAcgt()).withColumnRenamed("vec", "w")
-    parts = E.embed(iv, seq, E.CountAcgt(10)).withColumnRenamed("vec", "m")
-    return whole.join(parts, "row_idx").agg(F.round(F.avg(V.l2(F.col("w"), F.col("m"))), 6).alias("error"), F.count("*").alias("n"))
+    rows = E.look_up(views.seq_iv(spark, d), views.sequences(spark, d), _LONGEST)
+    whole, parts = (E.of_letters(F.col("letters"), model) for model in (E.CountAcgt(), E.CountAcgt(10)))
+    return rows.select(V.l2(whole, parts).alias("e")).agg(F.round(F.avg("e"), 6).alias("error"), F.count("*").alias("n"))
+
+
+@query("""WITH l AS (SELECT i.row_idx, substr(s.seq, i.start + 1, i."end" - i.start) AS l, i."end" - i.start AS n FROM seq_iv i JOIN sequences s USING (chrom)),
+w AS (SELECT row_idx, list_transform(['A', 'C', 'G', 'T'], lambda x: (length(l) - length(replace(l, x, '')))::DOUBLE) AS w FROM l),
+p AS (SELECT row_idx, CASE WHEN n < 3 THEN l ELSE substr(l, i * (n // 3) + least(i, n % 3) + 1, n // 3 + (i < n % 3)::INT) END AS p FROM (SELECT *, unnest(CASE WHEN n < 3 THEN [0] ELSE [0, 1, 2] END) AS i FROM l)),
+m AS (SELECT row_idx, [""" + ", ".join(f"avg({_ACGT.format(x)})" for x in "ACGT") + """] AS m FROM p GROUP BY row_idx)
+SELECT round(avg(list_distance(w, m)), 6) AS error, count(*) AS n FROM w JOIN m USING (row_idx)""")
+def split_mean_error(spark, d):
+    """As chunk_mean_error, of three near-equal parts: the intervals are looked up once, and cut by the transform."""
+    rows = E.look_up(views.seq_iv(spark, d), views.sequences(spark, d), _LONGEST)
+    at = T.split(3)(F.lit(0).cast("long"), F.col("end") - F.col("start"))
+    pieces = F.transform(at, lambda x: F.substring("letters", (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")))
+    whole, parts = E.of_letters(F.col("letters"), E.CountAcgt()), V.mean_of(F.transform(pieces, lambda x: S.count_acgt(x)))
+    return rows.select(V.l2(whole, parts).alias("e")).agg(F.round(F.avg("e"), 6).alias("error"), F.count("*").alias("n"))
 
 
 @query(_TILE.replace("64", "128") + """, t AS (SELECT DISTINCT row_idx, t AS start, t + z AS "end" FROM f WHERE t IS NOT NULL),

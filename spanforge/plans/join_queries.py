@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins as J
 from ..operators import partitioning as P
+from ..sources import blocks
 from . import views
 from .core import query
 
@@ -45,7 +46,8 @@ def set_row_gather(spark, d):
 
 @query("SELECT i.row_idx, length(s.seq) AS n FROM seq_iv i JOIN sequences s USING (chrom)")
 def fasta_join(spark, d):
-    return views.seq_iv(spark, d).join(views.sequences(spark, d), "chrom").select("row_idx", F.length("seq").alias("n"))
+    sizes = blocks.cut(views.sequences(spark, d)).sizes
+    return views.seq_iv(spark, d).join(sizes, "chrom").select("row_idx", F.col("size").alias("n"))
 
 
 @query("SELECT a.row_idx AS i, b.row_idx AS j FROM vecs a JOIN vecs b ON a.label = b.label AND a.row_idx < b.row_idx")

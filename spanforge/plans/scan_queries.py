@@ -75,6 +75,21 @@ def scan_fasta(spark, d):
     return fasta.parse(_records(spark, d))
 
 
+def _sequence_lines(spark, d):
+    """Files of many records: a header, then 60 letters a line."""
+    rows = views.sequences(spark, d).withColumn("id", F.substring("chrom", 4, 20).cast("long"))
+    body = F.transform(F.sequence(F.lit(0), F.length("seq"), F.lit(60)), lambda i: F.substring("seq", i + 1, F.lit(60)))
+    text = F.concat(F.array(F.concat(F.lit(">"), F.col("chrom"), F.lit(" a note"))), body)
+    return rows.select(F.concat(F.lit("file"), (F.col("id") % 4).cast("string")).alias("set_id"), "id", F.posexplode(text).alias("k", "value")).select("set_id", (F.col("id") * 4096 + F.col("k")).alias("line_no"), "value")
+
+
+@query("SELECT chrom, b AS block, substr(seq, (b * 64 + 1)::BIGINT, 96) AS letters, length(seq)::BIGINT AS size FROM sequences, unnest(range(0, (length(seq) + 63) // 64)) AS t(b)")
+def fasta_blocks(spark, d):
+    """Blocks of 64 letters and the first 32 of the next, cut from lines: records go over several segments, segments over several records."""
+    found = fasta.parse_blocks(_sequence_lines(spark, d), 64, 32)
+    return found.letters.join(found.sizes, "chrom")
+
+
 @query("SELECT chrom, length(seq)::BIGINT AS length FROM sequences")
 def fasta_shape(spark, d):
     return fasta.shape(fasta.parse(_records(spark, d)))

@@ -117,14 +117,15 @@ d AS (SELECT a.tick, list_distance(a.v, b.v) AS d FROM c a JOIN c b ON b.row_idx
 SELECT tick, round(avg(d), 6) AS mean, round(2 * 1.96 * stddev_pop(d) / sqrt(count(*)), 6) AS error FROM d GROUP BY 1""")
 def swt(spark, d):
     """Mean L2 of the letter counts of displaced windows to those at the origin, with the 95 % error."""
-    from ..functions.sequences import count_acgt, window
+    from ..functions.sequences import count_acgt
     from ..functions.vectors import l2
     from ..operators.aggregates import confidence_95
+    from ..operators.embed import look_up
     from ..operators.transforms import displaced
 
     seq = views.sequences(spark, d).filter(F.length("seq") > 400)
     base = seq.select(F.substring("chrom", 4, 20).cast("long").alias("row_idx"), "chrom", F.lit(0).cast("long").alias("start"), F.lit(50).cast("long").alias("end"))
-    at = displaced(base, [0, 10, 50, 100, 300], 50).join(seq, "chrom").select("row_idx", "tick", count_acgt(window(F.col("seq"), F.col("start"), F.col("end"))).alias("vec"))
+    at = look_up(displaced(base, [0, 10, 50, 100, 300], 50), seq, 50).select("row_idx", "tick", count_acgt(F.col("letters")).alias("vec"))
     own = at.filter("tick = 0").select("row_idx", F.col("vec").alias("w"))
     found = at.join(own, "row_idx").withColumn("dist", l2(F.col("vec"), F.col("w"))).groupBy("tick").agg(F.avg("dist").alias("mean"), (2 * confidence_95("dist")).alias("error"))
     return _r(found, "mean", "error")

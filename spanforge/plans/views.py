@@ -36,7 +36,7 @@ def iv_bulk(spark: SparkSession, d: str) -> DataFrame:
 
 def sequences(spark: SparkSession, d: str) -> DataFrame:
     t = _table(spark, d, "documents").filter("lang = 'en'")
-    return t.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("chrom"), F.regexp_replace(F.upper("text"), "[^ACGTN]", "").alias("seq"))
+    return t.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("chrom"), F.regexp_replace(F.upper("text"), "[^ACGTN]+", "").alias("seq"))
 
 
 def seq_iv(spark: SparkSession, d: str) -> DataFrame:

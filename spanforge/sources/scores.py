@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import clean_name, strip_extensions
-from .text import require
+from .text import carried, require
 
 
 def _bed_name(path) -> Column:
@@ -47,9 +47,8 @@ def parse_legacy_ranks(rows: DataFrame) -> DataFrame:
 
 def parse_legacy_hits(rows: DataFrame) -> DataFrame:
     """(set_id, query, chrom, start, end): a line that starts with # opens a query (its first two characters are dropped), the lines after it are its hits."""
-    head = F.when(F.col("value").startswith("#"), F.substring("value", 3, 10000))
-    w = Window.partitionBy("set_id").orderBy("line_no")
-    rows = rows.withColumn("query", F.last(head, ignorenulls=True).over(w)).filter(~F.col("value").startswith("#"))
+    head = F.when(F.col("value").startswith("#"), F.expr("substring(value, 3)"))
+    rows = carried(rows, head, "query").filter(~F.col("value").startswith("#"))
     f = F.split("value", "\t")
     return rows.select("set_id", "query", F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).try_cast("long").alias("start"), F.get(f, F.lit(2)).try_cast("long").alias("end"))
 
