@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import overlap_fraction
 from ..functions.vectors import vector_mean
+from .selection import at_places, percentile
 
 
 def _spread(col: str) -> list[Column]:
@@ -27,7 +28,8 @@ def histogram(values: DataFrame, col: str, bins: int, least: float | None = None
     if least is not None:
         values = values.filter(F.col("x") >= least)
     if cap_percentile is not None:
-        values = values.join(F.broadcast(values.agg(F.percentile("x", F.lit(cap_percentile)).alias("top")))).filter("x <= top").drop("top")
+        top = percentile(values, [], "x", cap_percentile).select(F.col("percentile").alias("top"))
+        values = values.join(F.broadcast(top)).filter("x <= top").drop("top")  # one row
     if cap is not None:
         values = values.filter(F.col("x") <= cap)
     ends = values.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
@@ -37,9 +39,9 @@ def histogram(values: DataFrame, col: str, bins: int, least: float | None = None
 
 def similarity_summary(scores: DataFrame, small: float = 0.05) -> DataFrame:
     """By label: share below `small`, largest, and the values at rounded places 10 % and 90 % of the sorted list."""
-    place = lambda p: F.element_at("v", (F.rint(F.size("v") * F.lit(p)) + 1).cast("int"))
-    rows = scores.groupBy("label").agg(F.avg((F.col("similarity") < small).cast("double")).alias("small_share"), F.max("similarity").alias("top"), F.array_sort(F.collect_list("similarity")).alias("v"))
-    return rows.select("label", "small_share", "top", place(0.1).alias("p10"), place(0.9).alias("p90"))
+    place = lambda p: (p, lambda n: F.rint(n * F.lit(p)))
+    rows = scores.groupBy("label").agg(F.avg((F.col("similarity") < small).cast("double")).alias("small_share"), F.max("similarity").alias("top"))
+    return rows.join(at_places(scores, ["label"], "similarity", {"p10": place(0.1), "p90": place(0.9)}), "label", "left").drop("n")
 
 
 def scatter_mean(df: DataFrame, index: str, vec: str, width: int) -> DataFrame:

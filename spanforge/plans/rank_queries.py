@@ -158,13 +158,13 @@ def kendall_tau(spark, d):
 
 @query(_MEAN + """, x AS (SELECT other AS item, rank FROM rk WHERE base = 'cell1_state0'), y AS (SELECT other AS item, rank FROM rk WHERE base = 'cell2_state0'),
 c AS (SELECT item, row_number() OVER (ORDER BY x.rank) AS x, row_number() OVER (ORDER BY y.rank) AS y FROM x JOIN y USING (item)),
-r AS (SELECT item, run, x, row_number() OVER (PARTITION BY run ORDER BY CASE WHEN run = 0 THEN y END, CASE WHEN run > 0 THEN md5(item || '_' || run || '_42') END, item) AS y FROM c, (SELECT unnest(range(0, 200)) AS run)),
+r AS (SELECT item, run, x, row_number() OVER (PARTITION BY run ORDER BY CASE WHEN run = 0 THEN y END, CASE WHEN run > 0 THEN md5(item || '_' || run || '_42') END, item) AS y FROM c, (SELECT unnest(range(0, 10000)) AS run)),
 t AS (SELECT a.run, avg(sign(b.y - a.y)) AS tau FROM r a JOIN r b ON a.run = b.run AND a.x < b.x GROUP BY 1), o AS (SELECT tau FROM t WHERE run = 0)
-SELECT (SELECT count(*) FROM c) AS items, round((SELECT tau FROM o), 6) AS tau, round((1 + count(*) FILTER (run > 0 AND tau >= (SELECT tau FROM o))) / 200.0::DOUBLE, 6) AS p FROM t""")
+SELECT (SELECT count(*) FROM c) AS items, round((SELECT tau FROM o), 6) AS tau, round((1 + count(*) FILTER (run > 0 AND tau >= (SELECT tau FROM o))) / 10000.0::DOUBLE, 6) AS p FROM t""")
 def kendall_pvalue(spark, d):
     o = _orders(spark, d)
     pick = lambda n: o.filter(F.col("name") == n).select("item", F.col("place").alias("rank"))
-    return _r(R.kendall_pvalue(pick("cell1_state0"), pick("cell2_state0"), 199), "tau", "p")
+    return _r(R.kendall_pvalue(pick("cell1_state0"), pick("cell2_state0")), "tau", "p")
 
 
 @query("SELECT a.row_idx AS i, b.row_idx AS j, round(list_distance(a.vec, b.vec), 6) AS dist FROM vecs a JOIN vecs b ON b.row_idx = a.row_idx + 1")
