@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import digest, fraction, number
 from ..functions.intervals import genome_distance, signed_overlap
-from ..functions.vectors import cosine, dot, l2, vector_mean
+from ..functions.vectors import dot, l2, vector_mean
+from ..sources.text import numbered
+from .aggregates import confidence_95
 from .joins import upper_pairs
 from .knn import knn
+from .lineage import cut
+from .transforms import tile_sizes
+
+
+#: The most points of a test that compares points with all others, and the most pairs that are broadcast.
+POINTS, PAIRS = 10_000, 1_000_000
 
 
-def ctt(points: DataFrame, test_share: int = 10, dims: int = 64) -> DataFrame:
-    """(ctt, points): sum of nearest distances of uniform points over that and the sum of those of test points (every test_share-th row_idx).
+def some_points(rows: DataFrame, points: int, seed: int = 42) -> DataFrame:
+    """At most `points` rows, drawn by hash of row_idx."""
+    return rows.orderBy(digest(F.col("row_idx"), seed), "row_idx").limit(points)
+
+
+def ctt(points: DataFrame, test_share: int = 10, most: int = POINTS) -> DataFrame:
+    """(ctt, points): sum of nearest distances of uniform points over that and the sum of those of test points (every test_share-th
+    row_idx), among `most` points drawn by hash.
 
     A uniform point's coordinates come from md5(row_idx, position), scaled to the range of each position.
     """
+    points = some_points(points.select("row_idx", "vec"), most)
     p = points.select(F.col("row_idx").alias("id"), "vec")
     test = p.filter(F.col("id") % test_share == 0)
     real = knn(test, p, 1, "l2", skip_self=True).agg(F.sum("score").alias("t"), F.count("*").alias("n"))
@@ -27,22 +48,56 @@ def ctt(points: DataFrame, test_share: int = 10, dims: int = 64) -> DataFrame:
     return real.join(random).select((F.col("r") / (F.col("r") + F.col("t"))).alias("ctt"), F.col("n").alias("points"))
 
 
-def gdst(rows: DataFrame) -> DataFrame:
-    """(pairs, slope, r) of embedding distance on genome distance over pairs on one chromosome. rows: (row_idx, chrom, start, end, vec)."""
+def sampled_pairs(rows: DataFrame, pairs: int, seed: int = 42) -> DataFrame:
+    """(pair, a, b): the row_idx of two different rows of one chromosome, as many times as `pairs` says. rows: (row_idx, chrom).
+
+    A chromosome of two rows or more is drawn uniformly, then one of its n (n - 1) / 2 pairs by number; the number is taken apart into two places, and
+    those are looked up. No pair that is not drawn is ever listed. Draws are by hash.
+    """
+    keys = rows.select("chrom", "row_idx")
+    placed = numbered(keys, order="row_idx", by="chrom", out="k")
+    sizes = keys.groupBy("chrom").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = sizes.withColumn("c", F.row_number().over(Window.orderBy("chrom")) - 1)  # a row a chromosome
+    chroms = sizes.agg(F.count("*").alias("chroms"))
+    drawn = rows.sparkSession.range(pairs).crossJoin(F.broadcast(chroms)).filter("chroms > 0").select(F.col("id").alias("pair"), (number(F.col("id"), seed) % F.col("chroms")).alias("c"))
+    drawn = drawn.join(sizes, "c").withColumn("t", F.floor(fraction(F.col("pair"), seed + 1) * (F.col("n") * (F.col("n") - 1) / 2)))
+    j = F.floor((1 + F.sqrt(1 + 8 * F.col("t").cast("double"))) / 2)
+    first = lambda x: F.floor(x * (x - 1) / 2)
+    drawn = drawn.withColumn("j", j).withColumn("j", F.col("j") - F.when(first(F.col("j")) > F.col("t"), 1).otherwise(0))
+    drawn = drawn.withColumn("i", F.col("t") - first(F.col("j")))
+    asked = drawn.select("pair", "chrom", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("i").alias("k")), F.struct(F.lit("b").alias("side"), F.col("j").alias("k")))).alias("x")).select("pair", "chrom", "x.side", "x.k")
+    found = placed.join(F.broadcast(asked) if pairs <= PAIRS else asked, ["chrom", "k"])
+    return found.groupBy("pair").agg(*[F.max(F.when(F.col("side") == s, F.col("row_idx"))).alias(s) for s in ("a", "b")])
+
+
+def gdst(rows: DataFrame, pairs: int = 100_000, seed: int = 42) -> DataFrame:
+    """(pairs, slope, r) of embedding distance on genome distance over drawn pairs (`sampled_pairs`). rows: (row_idx, chrom, start, end, vec)."""
+    drawn = sampled_pairs(rows, pairs, seed)
+    sides = drawn.select("pair", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("row_idx")), F.struct(F.lit("b").alias("side"), F.col("b").alias("row_idx")))).alias("x")).select("pair", "x.side", "x.row_idx")
+    met = rows.select("row_idx", "chrom", "start", "end", "vec").join(F.broadcast(sides) if pairs <= PAIRS else sides, "row_idx")
+    both = met.groupBy("pair").agg(*[F.max(F.when(F.col("side") == s, F.struct("chrom", "start", "end", "vec"))).alias(s) for s in ("a", "b")])
+    both = both.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("a", "b") for c in ("chrom", "start", "end", "vec")])
+    both = both.select(genome_distance("a_", "b_").alias("g"), l2(F.col("a_vec"), F.col("b_vec")).alias("e"))
+    return both.agg(F.count("*").alias("pairs"), F.regr_slope("e", "g").alias("slope"), F.corr("g", "e").alias("r"))
+
+
+def gdst_all(rows: DataFrame) -> DataFrame:
+    """As gdst, over all pairs of a chromosome: for small tables, since they grow with the square."""
     pairs = upper_pairs(rows.select("row_idx", "chrom", "start", "end", "vec"), "row_idx", "chrom")
     pairs = pairs.select(genome_distance("a_", "b_").alias("g"), l2(F.col("a_vec"), F.col("b_vec")).alias("e"))
     return pairs.agg(F.count("*").alias("pairs"), F.regr_slope("e", "g").alias("slope"), F.corr("g", "e").alias("r"))
 
 
-def npt(rows: DataFrame, k: int, share: int = 10) -> DataFrame:
-    """(queries, npr): mean share of k nearest neighbours by embedding that are also among the k nearest by (start, end)."""
+def npt(rows: DataFrame, k: int, share: int = 10, most: int = POINTS) -> DataFrame:
+    """(queries, npr): mean share of k nearest neighbours by embedding that are also among the k nearest by (start, end), for every
+    share-th row_idx, `most` of them at most (drawn by hash), among all rows."""
     by_vec = rows.select(F.col("row_idx").alias("id"), "vec")
     by_place = rows.select(F.col("row_idx").alias("id"), F.array(F.col("start").cast("double"), F.col("end").cast("double")).alias("vec"))
-    test = F.col("id") % share == 0
-    a = knn(by_vec.filter(test), by_vec, k, "l2", skip_self=True).select("query", "found")
-    b = knn(by_place.filter(test), by_place, k, "l2", skip_self=True).select("query", "found")
+    test = some_points(rows.select("row_idx").filter(F.col("row_idx") % share == 0), most).select(F.col("row_idx").alias("id"))
+    a = knn(by_vec.join(test, "id"), by_vec, k, "l2", skip_self=True).select("query", "found")
+    b = knn(by_place.join(test, "id"), by_place, k, "l2", skip_self=True).select("query", "found")
     shared = a.join(b, ["query", "found"]).agg(F.count("*").alias("n"))
-    return shared.crossJoin(by_vec.filter(test).agg(F.count("*").alias("queries"))).select("queries", (F.col("n") / (F.col("queries") * k)).alias("npr"))
+    return shared.crossJoin(test.agg(F.count("*").alias("queries"))).select("queries", (F.col("n") / (F.col("queries") * k)).alias("npr"))
 
 
 def npt_baseline(rows: DataFrame, k: int, share: int = 10) -> DataFrame:
@@ -80,12 +135,56 @@ def cct_intersection(rows: DataFrame, points: int = 8) -> DataFrame:
     return hits.crossJoin(n).select("pairs", (F.col("pairs") / (F.col("n") * (F.col("n") - 1) / 2)).alias("share"))
 
 
+def _unlike(pool: Broadcast, least: float) -> Callable:
+    """Rows without a later row of the pool of cosine above `least`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vecs = pool.value
+        with np.errstate(invalid="ignore", divide="ignore"):
+            far = vecs / np.sqrt((vecs * vecs).sum(1))[:, None]
+            for batch in batches:
+                keep = []
+                for lo in range(0, batch.num_rows, 1024):
+                    part = batch.slice(lo, 1024)
+                    i = part.column("i").to_numpy()
+                    v = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(i), -1)
+                    like = (v / np.sqrt((v * v).sum(1))[:, None]) @ far.T > least
+                    keep.append(~(like & (ids[None, :] > i[:, None])).any(1))
+                yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
+
+    return run
+
+
+#: Rows of the first pool, and of the largest.
+POOL, LARGEST_POOL = 4096, 32768
+
+
 def cct_similarity(rows: DataFrame, least: float = 0.1) -> DataFrame:
-    """(found, share): rows with any later row of cosine above `least`, over all pairs (the pairs are the divisor, as defined)."""
-    a = rows.select(F.col("row_idx").alias("i"), F.col("vec").alias("v"))
-    b = rows.select(F.col("row_idx").alias("j"), F.col("vec").alias("w"))
-    found = a.join(b, (F.col("i") < F.col("j")) & (cosine(F.col("v"), F.col("w")) > least), "left_semi").agg(F.count("*").alias("found"))
-    return found.crossJoin(rows.agg(F.count("*").alias("n"))).select("found", (F.col("found") / (F.col("n") * (F.col("n") - 1) / 2)).alias("share"))
+    """(found, share): rows with any later row of cosine above `least`, over all pairs (the pairs are the divisor, as defined).
+
+    Rounds: a pool of the last rows, of a fixed size, goes to all tasks; a row that is like a later one of the pool leaves. The next
+    pool lies before it and meets only what is left. It ends when nothing is left before the pool, so rows that find a match soon cost
+    one round. Rows without row_idx or vector are left out.
+    """
+    spark = rows.sparkSession
+    left = rows.select(F.col("row_idx").cast("long").alias("i"), F.col("vec").cast("array<double>").alias("v")).dropna()
+    every, found, before, size = left, 0, None, POOL
+    n = left.count()
+    while True:
+        earlier = every if before is None else every.filter(F.col("i") < before)
+        pool = earlier.orderBy(F.desc("i")).limit(size).collect()  # `size` rows
+        if not pool:
+            break
+        sent = spark.sparkContext.broadcast((np.array([r["i"] for r in pool]), np.array([r["v"] for r in pool], float).reshape(len(pool), -1)))
+        was = left.count()
+        left = cut(left.mapInArrow(_unlike(sent, least), "i long, v array<double>"))
+        found += was - left.count()
+        before = min(r["i"] for r in pool)
+        left, size = left.filter(F.col("i") < before), min(2 * size, LARGEST_POOL)
+        if left.isEmpty():
+            break
+    share = F.lit(float(found)) / F.nullif(F.lit(n * (n - 1) / 2), F.lit(0.0))
+    return spark.range(1).select(F.lit(found).cast("long").alias("found"), share.alias("share"))
 
 
 def swt_overlap(base: DataFrame, moved: DataFrame) -> DataFrame:
@@ -141,17 +240,91 @@ def merge_recall(points: DataFrame, k: int) -> DataFrame:
     return total.join(shared, "pair", "left").select("pair", (F.coalesce("hit", F.lit(0)) / F.col("n")).alias("recall"))
 
 
-def rct(rows: DataFrame, folds: int = 5) -> DataFrame:
-    """(fold, r2): linear regression of the length from the embedding, on folds by hash."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import LinearRegression
-
-    data = rows.select(F.pmod(F.xxhash64("row_idx"), F.lit(folds)).alias("fold"), array_to_vector("vec").alias("features"), F.log2(F.col("end") - F.col("start")).alias("label"))
-    out = None
-    for k in range(folds):
-        model = LinearRegression(regParam=0.01).fit(data.filter(F.col("fold") != k))
-        got = model.transform(data.filter(F.col("fold") == k))
-        mean = got.agg(F.avg("label").alias("m"))
-        r2 = got.crossJoin(F.broadcast(mean)).agg((1 - F.sum((F.col("label") - F.col("prediction")) ** 2) / F.sum((F.col("label") - F.col("m")) ** 2)).alias("r2")).select(F.lit(k).alias("fold"), "r2")
-        out = r2 if out is None else out.unionByName(r2)
-    return out
+def _sums(folds: int, seed: int) -> Callable:
+    """Sums of products of (1, vec) with itself and with the targets, of the targets and of their squares, by fold and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            fold = batch.column("fold").to_numpy()
+            x = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            y = batch.column("target").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            x = np.concatenate((np.ones((n, 1)), x), axis=1)
+            for f in np.unique(fold).tolist():
+                a, b = x[fold == f], y[fold == f]
+                new = [np.array([len(a)], float), a.T @ a, a.T @ b, b.sum(0), (b * b).sum(0)]
+                sums[f] = [o + m for o, m in zip(sums[f], new, strict=True)] if f in sums else new
+        for f, parts in sums.items():
+            flat = np.concatenate([p.reshape(-1) for p in parts])
+            size = np.full(len(flat), parts[1].shape[0], np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), f)), pa.array(size), pa.array(np.arange(len(flat))), pa.array(flat)], names=["fold", "width", "pos", "x"])
+
+    return run
+
+
+def _scores(ridge: float) -> Callable:
+    def run(found):
+        import pandas as pd
+
+        width = int(found["width"].iloc[0])
+        parts = {}
+        for fold, rows in found.groupby("fold"):
+            flat = rows.sort_values("pos")["x"].to_numpy()
+            targets = (len(flat) - 1 - width * width) // (width + 2)
+            ends = np.cumsum([1, width * width, width * targets, targets, targets])
+            n, xx, xy, y, yy = np.split(flat, ends[:-1])
+            parts[int(fold)] = n[0], xx.reshape(width, width), xy.reshape(width, targets), y, yy
+        total = [sum(p[i] for p in parts.values()) for i in range(5)]
+        penalty = ridge * np.eye(width)
+        penalty[0, 0] = 0  # the intercept is free
+        out = []
+        for fold, (n, xx, xy, y, yy) in sorted(parts.items()):
+            beta = np.linalg.lstsq(total[1] - xx + penalty, total[2] - xy, rcond=None)[0]
+            error = yy - 2 * (beta * xy).sum(0) + (beta * (xx @ beta)).sum(0)
+            spread = yy - y * y / n
+            r2 = np.where(spread > 1e-9 * np.maximum(yy, 1e-300), 1 - error / np.where(spread == 0, 1, spread), np.where(error > 1e-9 * n, 0.0, 1.0))
+            out.append((fold, int(n), float(r2.mean())))
+        return pd.DataFrame(out, columns=["fold", "rows", "r2"])
+
+    return run
+
+
+def rct(rows: DataFrame, folds: int = 5, ridge: float = 1.0, seed: int = 42) -> DataFrame:
+    """(fold, rows, r2): how well a ridge regression tells targets, such as the letters of a sequence as numbers, from the embedding: the
+    mean of R² over the targets, on each fold of a regression on the others. rows: (row_idx, vec, target), all of one width each.
+
+    One pass adds up products by fold. A fold's regression comes from all sums less its own, and its errors from its own, so rows
+    are not read again; what meets in one task are sums, as many as the square of the vector's width. Folds are drawn by hash. A target that never
+    changes in a fold scores 1 if it is told exactly, else 0. Rows with a null are left out.
+    """
+    data = rows.dropna(subset=["row_idx", "vec", "target"]).select((number(F.col("row_idx"), seed) % folds).alias("fold"), F.col("vec").cast("array<double>").alias("vec"), F.col("target").cast("array<double>").alias("target"))
+    sums = data.mapInArrow(_sums(folds, seed), "fold long, width int, pos long, x double")
+    sums = sums.groupBy("fold", "width", "pos").agg(F.sum("x").alias("x"))
+    return sums.groupBy(F.lit(0).alias("all")).applyInPandas(_scores(ridge), "fold long, rows long, r2 double")
+
+
+def tiling_error(rows: DataFrame, embed: Callable[[DataFrame], DataFrame], octaves: int = 1, offsets: int = 1) -> DataFrame:
+    """(size, error, error95, sets): by tile size, the mean over sets of the L2 distance from the mean vector of a set's intervals to the
+    mean of its tiles' vectors times their weights, and the 95 % error of that mean.
+
+    Sizes go from a tenth of the mean length (rounded) in steps of that to 1.2 times it. All sizes are tiled in one pass; a tile that
+    several intervals or sizes share is embedded once. embed takes (set_id, row_idx, chrom, start, end) and gives (set_id, row_idx, vec). rows: (set_id, row_idx,
+    chrom, start, end), starts below 2^31. Sets without tiles of a size do not count there; a mean length under 10 gives no sizes.
+    """
+    mean = F.rint(F.avg(F.col("end") - F.col("start"))).cast("long")
+    step = F.floor(F.col("m") / 10)
+    stop = F.rint(F.col("m") * 1.2).cast("long")
+    sizes = rows.agg(mean.alias("m")).select(F.when((step > 0) & (stop > step), F.sequence(step, stop - 1, step)).otherwise(F.array().cast("array<bigint>")).alias("sizes"))
+    tiles = tile_sizes(rows.crossJoin(F.broadcast(sizes)), "sizes", octaves, offsets)  # one row
+    # a tile's number is made of its start and length, so that what the model gives finds its tiles again
+    tiles = tiles.withColumn("tile", F.shiftleft("start", 32) + (F.col("end") - F.col("start")))
+    places = tiles.select(F.col("chrom").alias("set_id"), F.col("tile").alias("row_idx"), "chrom", "start", "end").distinct()
+    vectors = embed(places).select(F.col("set_id").alias("chrom"), F.col("row_idx").alias("tile"), "vec")
+    weighed = tiles.join(vectors, ["chrom", "tile"]).select("set_id", "size", F.transform("vec", lambda x: x * F.col("weight")).alias("vec"))
+    tiled = vector_mean(weighed, ["set_id", "size"])
+    whole = vector_mean(embed(rows).select("set_id", "vec"), ["set_id"], out="whole")
+    apart = tiled.join(whole, "set_id").select("size", l2(F.col("vec"), F.col("whole")).alias("d"))
+    return apart.groupBy("size").agg(F.avg("d").alias("error"), confidence_95("d").alias("error95"), F.count("*").alias("sets"))

@@ -124,6 +124,22 @@ def backward(base: DataFrame, new: DataFrame, values: DataFrame, aggregate: Call
     return base.select("row_idx").join(got, F.col("row_idx") == F.col("base_idx"), "left").select("row_idx", "value")
 
 
+def _cover(s: np.ndarray, e: np.ndarray, base: int, octaves: int, offsets: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, start, size) of tiles of the spans of a batch, level by level."""
+    row = np.arange(len(s))
+    while len(row):
+        octave = np.clip(np.floor(np.log2((e - s) / base)), 0, octaves - 1)
+        size = base << octave.astype(np.int64)
+        grid = size / offsets
+        at = np.rint(np.rint((s + e) / 2 / grid) * grid - size / 2).astype(np.int64)
+        keep = (np.minimum(e, at + size) - np.maximum(s, at)) * 2 >= size
+        row, s, e, at, size = (x[keep] for x in (row, s, e, at, size))
+        yield row, at, size
+        row, s, e = np.concatenate([row, row]), np.concatenate([s, at + size]), np.concatenate([at, e])
+        left = e > s
+        row, s, e = row[left], s[left], e[left]
+
+
 def tile(df: DataFrame, base: int, octaves: int, offsets: int) -> DataFrame:
     """Tiles of power-of-two sizes: row_idx, chrom, start, end of each tile.
 
@@ -135,25 +151,37 @@ def tile(df: DataFrame, base: int, octaves: int, offsets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, s, e = np.arange(batch.num_rows), *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("start", "end"))
-            while len(row):
-                octave = np.clip(np.floor(np.log2((e - s) / base)), 0, octaves - 1)
-                size = base << octave.astype(np.int64)
-                grid = size / offsets
-                at = np.rint(np.rint((s + e) / 2 / grid) * grid - size / 2).astype(np.int64)
-                keep = (np.minimum(e, at + size) - np.maximum(s, at)) * 2 >= size
-                row, s, e, at, size = (x[keep] for x in (row, s, e, at, size))
+            s, e = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("start", "end"))
+            for row, at, size in _cover(s, e, base, octaves, offsets):
                 of = batch.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([of.column("row_idx"), of.column("chrom"), pa.array(at), pa.array(at + size)], names=["row_idx", "chrom", "start", "end"])
-                row, s, e = np.concatenate([row, row]), np.concatenate([s, at + size]), np.concatenate([at, e])
-                left = e > s
-                row, s, e = row[left], s[left], e[left]
 
     kinds = dict(df.dtypes)
     spans = df.select("row_idx", "chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).filter("start < `end`")
     return spans.mapInArrow(run, f"row_idx {kinds['row_idx']}, chrom {kinds['chrom']}, start long, end long")
 
 
+def tile_sizes(df: DataFrame, sizes: str, octaves: int = 1, offsets: int = 1) -> DataFrame:
+    """(set_id, row_idx, chrom, size, start, end, weight): `tile` with each base size in the array column `sizes`, in one pass. A
+    tile's weight is its share of the positions that all the tiles of its row and size cover of the row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, e = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("start", "end"))
+            for base in batch.column("sizes")[0].as_py() if batch.num_rows else ():
+                parts = list(_cover(s, e, base, octaves, offsets))
+                row, at, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+                shared = np.minimum(at + size, e[row]) - np.maximum(at, s[row])
+                weight = shared / np.bincount(row, shared, minlength=len(s))[row]
+                of = batch.take(pa.array(row))
+                columns = [*[of.column(c) for c in ("set_id", "row_idx", "chrom")], pa.array(np.full(len(row), base)), pa.array(at), pa.array(at + size), pa.array(weight)]
+                yield pa.RecordBatch.from_arrays(columns, names=["set_id", "row_idx", "chrom", "size", "start", "end", "weight"])
+
+    kinds = dict(df.dtypes)
+    spans = df.select("set_id", "row_idx", "chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col(sizes).alias("sizes")).filter("start < `end`")
+    return spans.mapInArrow(run, f"set_id {kinds['set_id']}, row_idx {kinds['row_idx']}, chrom {kinds['chrom']}, size long, start long, end long, weight double")
+
+
 def tile_weights(base: DataFrame, tiles: DataFrame) -> DataFrame:
     """Each tile's share of the positions that all the tiles of its base row cover of it."""
     own = base.select("row_idx", F.col("start").alias("s"), F.col("end").alias("e"))

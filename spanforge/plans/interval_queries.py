@@ -332,13 +332,33 @@ def split_mean_error(spark, d):
     return rows.select(V.l2(whole, parts).alias("e")).agg(F.round(F.avg("e"), 6).alias("error"), F.count("*").alias("n"))
 
 
-@query(_TILE.replace("64", "128") + """, t AS (SELECT DISTINCT row_idx, t AS start, t + z AS "end" FROM f WHERE t IS NOT NULL),
-m AS (SELECT row_idx, avg("end" - start) AS m FROM t GROUP BY row_idx)
-SELECT 128 AS size, round(avg(abs(m.m - (b."end" - b.start))), 6) AS error, count(*) AS n FROM m JOIN iv_sample b USING (row_idx)""")
+_TILE_SIZES = """WITH RECURSIVE iv AS (SELECT row_idx % 5 AS set_id, row_idx, chrom, start, "end" FROM seq_iv), m AS (SELECT round_even(avg("end" - start), 0)::BIGINT AS m FROM iv),
+z AS (SELECT unnest(range(m // 10, round_even(m * 1.2::DOUBLE, 0)::BIGINT, m // 10)) AS z FROM m),
+f(row_idx, chrom, z, s, e, t) AS (
+  SELECT row_idx, chrom, z, start, "end", NULL::BIGINT FROM iv, z
+  UNION ALL
+  SELECT row_idx, chrom, z, unnest([s, a + z]) AS s, unnest([a, e]) AS e, a FROM (
+    SELECT *, round_even(round_even((s + e) / 2.0::DOUBLE / z, 0) * z - z / 2.0::DOUBLE, 0)::BIGINT AS a FROM f WHERE e > s)
+  WHERE (least(e, a + z) - greatest(s, a)) * 2 >= z),
+t AS (SELECT DISTINCT row_idx, chrom, z, t AS start, t + z AS "end" FROM f WHERE t IS NOT NULL),
+w AS (SELECT t.*, iv.set_id, least(t."end", iv."end") - greatest(t.start, iv.start) AS bp FROM t JOIN iv USING (row_idx)),
+x AS (SELECT *, bp / sum(bp) OVER (PARTITION BY row_idx, z) AS weight FROM w),
+l AS (SELECT x.set_id, x.z, weight, substr(seq, greatest(x.start, 0) + 1, x."end" - greatest(x.start, 0)) AS p FROM x JOIN sequences USING (chrom)),
+tv AS (SELECT set_id, z, [""" + ", ".join(f"avg(weight * {_ACGT.format(x)})" for x in "ACGT") + """] AS v FROM l GROUP BY 1, 2),
+bl AS (SELECT set_id, substr(seq, start + 1, "end" - start) AS p FROM iv JOIN sequences USING (chrom)),
+bv AS (SELECT set_id, [""" + ", ".join(f"avg({_ACGT.format(x)})" for x in "ACGT") + """] AS v FROM bl GROUP BY 1),
+dd AS (SELECT z, list_distance(tv.v, bv.v) AS d FROM tv JOIN bv USING (set_id))
+SELECT z AS size, round(avg(d), 6) AS error, round(1.96 * stddev_pop(d) / sqrt(count(*)), 6) AS error95, count(*) AS sets FROM dd GROUP BY z"""
+
+
+@query(_TILE_SIZES)
 def tiling_error(spark, d):
-    b = _base(spark, d)
-    tiles = T.tile(b, 128, 4, 4).groupBy("row_idx").agg(F.avg(F.col("end") - F.col("start")).alias("m"))
-    return tiles.join(b, "row_idx").agg(F.lit(128).alias("size"), F.round(F.avg(F.abs(F.col("m") - (F.col("end") - F.col("start")))), 6).alias("error"), F.count("*").alias("n"))
+    """Letter counts of tiles of a tenth to 1.2 times the mean length, against those of the intervals. A tile's part outside its sequence is cut off."""
+    from ..operators.embedding_stats import tiling_error as run
+
+    iv = views.seq_iv(spark, d).select((F.col("row_idx") % 5).alias("set_id"), *_IV)
+    embed = lambda rows: E.embed(rows.withColumn("start", F.greatest("start", F.lit(0))), views.sequences(spark, d), E.CountAcgt(), longest=2 * _LONGEST)
+    return run(iv, embed).select("size", F.round("error", 6).alias("error"), F.round("error95", 6).alias("error95"), "sets")
 
 
 @query("""WITH n AS (SELECT row_idx AS base_idx, unnest(range(0, greatest(("end" - start + 499) // 500, 0))) AS k, start, "end" FROM iv_sample)

@@ -14,25 +14,42 @@ def _r(df, *cols):
     return df.select(*[F.round(c, 6).alias(c) if c in cols else c for c in df.columns])
 
 
-@query("""WITH e AS (SELECT i, min(vec[i]) AS lo, max(vec[i]) AS hi FROM vecs, (SELECT unnest(range(1, 65)) AS i) GROUP BY i),
-t AS (SELECT * FROM vecs WHERE row_idx % 10 = 0),
+_FRACTION = "('0x' || substr(md5({}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+_SOME = "ORDER BY md5(row_idx || '_42'), row_idx LIMIT 10000"
+
+
+@query(f"""WITH s AS (SELECT * FROM vecs {_SOME}), e AS (SELECT i, min(vec[i]) AS lo, max(vec[i]) AS hi FROM s, (SELECT unnest(range(1, 65)) AS i) GROUP BY i),
+t AS (SELECT * FROM s WHERE row_idx % 10 = 0),
 u0 AS (SELECT t.row_idx, i, lo + ('0x' || substr(md5(t.row_idx || '_' || (i - 1)), 1, 8))::BIGINT / 4294967296.0::DOUBLE * (hi - lo) AS x FROM t, e), u AS (SELECT row_idx, list(x ORDER BY i) AS vec FROM u0 GROUP BY 1),
-dt AS (SELECT t.row_idx, min(list_distance(t.vec, s.vec)) AS d FROM t JOIN vecs s ON s.row_idx <> t.row_idx GROUP BY 1), dr AS (SELECT u.row_idx, min(list_distance(u.vec, s.vec)) AS d FROM u, vecs s GROUP BY 1)
+dt AS (SELECT t.row_idx, min(list_distance(t.vec, s.vec)) AS d FROM t JOIN s ON s.row_idx <> t.row_idx GROUP BY 1), dr AS (SELECT u.row_idx, min(list_distance(u.vec, s.vec)) AS d FROM u, s GROUP BY 1)
 SELECT round((SELECT sum(d) FROM dr) / ((SELECT sum(d) FROM dr) + (SELECT sum(d) FROM dt)), 6) AS ctt, (SELECT count(*) FROM t) AS points""")
 def ctt(spark, d):
     return _r(S.ctt(views.vecs(spark, d)), "ctt")
 
 
-@query("""WITH p AS (SELECT greatest(b.start - a."end", a.start - b."end", 0) / 1e6 AS g, list_distance(a.vec, b.vec) AS e FROM vec_iv a JOIN vec_iv b ON a.chrom = b.chrom AND a.row_idx < b.row_idx)
+_PAIRS = f"""WITH k AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY row_idx) - 1 AS k FROM vec_iv),
+z AS (SELECT chrom, count(*) AS n, row_number() OVER (ORDER BY chrom) - 1 AS c FROM vec_iv GROUP BY chrom HAVING count(*) > 1),
+d0 AS (SELECT id, ('0x' || substr(md5(id || '_42'), 1, 13))::BIGINT % (SELECT count(*) FROM z) AS c FROM (SELECT unnest(range(0, 20000)) AS id)),
+d1 AS (SELECT id, chrom, floor({_FRACTION.format("id || '_43'")} * (n * (n - 1) / 2))::BIGINT AS t FROM d0 JOIN z USING (c)),
+d2 AS (SELECT *, floor((1 + sqrt(1 + 8 * t)) / 2)::BIGINT AS j0 FROM d1), d3 AS (SELECT *, j0 - (j0 * (j0 - 1) // 2 > t)::INT AS j FROM d2), d4 AS (SELECT *, t - j * (j - 1) // 2 AS i FROM d3)"""
+
+
+@query(_PAIRS + """, p AS (SELECT greatest(b.start - a."end", a.start - b."end", 0) / 1e6 AS g, list_distance(a.vec, b.vec) AS e FROM d4 JOIN k a ON a.chrom = d4.chrom AND a.k = d4.i JOIN k b ON b.chrom = d4.chrom AND b.k = d4.j)
 SELECT count(*) AS pairs, round(regr_slope(e, g), 6) AS slope, round(corr(g, e), 6) AS r FROM p""")
 def gdst(spark, d):
-    return _r(S.gdst(views.vec_iv(spark, d)), "slope", "r")
+    return _r(S.gdst(views.vec_iv(spark, d), 20_000), "slope", "r")
+
+
+@query("""WITH p AS (SELECT greatest(b.start - a."end", a.start - b."end", 0) / 1e6 AS g, list_distance(a.vec, b.vec) AS e FROM vec_iv a JOIN vec_iv b ON a.chrom = b.chrom AND a.row_idx < b.row_idx)
+SELECT count(*) AS pairs, round(regr_slope(e, g), 6) AS slope, round(corr(g, e), 6) AS r FROM p""")
+def gdst_all(spark, d):
+    return _r(S.gdst_all(views.vec_iv(spark, d)), "slope", "r")
 
 
 _NEAR = "row_number() OVER (PARTITION BY q ORDER BY round({0}, 9), f)"
 
 
-@query(f"""WITH t AS (SELECT * FROM vec_iv), p AS (SELECT a.row_idx AS q, b.row_idx AS f, list_distance(a.vec, b.vec) AS e, sqrt((a.start - b.start)::DOUBLE ** 2 + (a."end" - b."end")::DOUBLE ** 2) AS g FROM t a JOIN t b ON a.row_idx <> b.row_idx WHERE a.row_idx % 10 = 0),
+@query(f"""WITH t AS (SELECT * FROM vec_iv), p AS (SELECT a.row_idx AS q, b.row_idx AS f, list_distance(a.vec, b.vec) AS e, sqrt((a.start - b.start)::DOUBLE ** 2 + (a."end" - b."end")::DOUBLE ** 2) AS g FROM t a JOIN t b ON a.row_idx <> b.row_idx WHERE a.row_idx IN (SELECT row_idx FROM t WHERE row_idx % 10 = 0 {_SOME})),
 r AS (SELECT *, {_NEAR.format('e')} AS re, {_NEAR.format('g')} AS rg FROM p)
 SELECT count(DISTINCT q) AS queries, round(count(*) FILTER (re <= 20 AND rg <= 20) / (count(DISTINCT q) * 20), 6) AS npr FROM r""")
 def npt(spark, d):
@@ -41,12 +58,12 @@ def npt(spark, d):
 
 def _shared(vecs: str) -> str:
     return f"""(SELECT count(*) FROM (SELECT a.row_idx AS q, b.row_idx AS f, list_distance(a.vec, b.vec) AS e, sqrt((a.start - b.start)::DOUBLE ** 2 + (a."end" - b."end")::DOUBLE ** 2) AS g
-FROM {vecs} a JOIN {vecs} b ON a.row_idx <> b.row_idx WHERE a.row_idx % 10 = 0 QUALIFY greatest({_NEAR.format("e")}, {_NEAR.format("g")}) <= 20))"""
+FROM {vecs} a JOIN {vecs} b ON a.row_idx <> b.row_idx WHERE a.row_idx IN (SELECT row_idx FROM t WHERE row_idx % 10 = 0 {_SOME}) QUALIFY greatest({_NEAR.format("e")}, {_NEAR.format("g")}) <= 20))"""
 
 
 @query(f"""WITH t AS (SELECT * FROM vec_iv), z0 AS (SELECT row_idx, i, ('0x' || substr(md5(row_idx || '_' || (i - 1)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS x FROM t, (SELECT unnest(range(1, 65)) AS i)),
 z1 AS (SELECT row_idx, list(x ORDER BY i) AS vec FROM z0 GROUP BY 1), z AS (SELECT t.row_idx, t.start, t."end", z1.vec FROM t JOIN z1 USING (row_idx)),
-n AS (SELECT count(*) AS queries FROM t WHERE row_idx % 10 = 0), w AS (SELECT queries, {_shared("t")} / (queries * 20) AS npr, {_shared("z")} / (queries * 20) AS random FROM n)
+n AS (SELECT count(*) AS queries FROM (SELECT row_idx FROM t WHERE row_idx % 10 = 0 {_SOME})), w AS (SELECT queries, {_shared("t")} / (queries * 20) AS npr, {_shared("z")} / (queries * 20) AS random FROM n)
 SELECT queries, round(npr, 6) AS npr, round(random, 6) AS random, round(log10(nullif(npr, 0) / nullif(random, 0)), 6) AS snpr FROM w""")
 def npt_baseline(spark, d):
     return _r(S.npt_baseline(views.vec_iv(spark, d), 20), "npr", "random", "snpr")
@@ -107,7 +124,12 @@ def merge_recall(spark, d):
 
 @query()
 def rct(spark, d):
-    return S.rct(views.vec_iv(spark, d))
+    """The first 40 letters of sequences as numbers, told from the vectors of the same number."""
+    from ..functions.sequences import letter_numbers
+
+    seq = views.sequences(spark, d).filter(F.length("seq") >= 40)
+    letters = seq.select(F.substring("chrom", 4, 20).cast("long").alias("row_idx"), letter_numbers(F.substring("seq", 1, 40)).alias("target"))
+    return S.rct(views.vecs(spark, d).join(letters, "row_idx"))
 
 
 @query("""WITH s AS (SELECT substr(chrom, 4)::BIGINT AS row_idx, seq FROM sequences WHERE length(seq) > 400),
@@ -132,7 +154,6 @@ def swt(spark, d):
 
 
 _SIZES = ", ".join(f"('{c}', {n})" for c, n in sorted((f"chr{c}", round(m * 1e6)) for c, m in zip([*map(str, range(1, 23)), "X", "Y"], Y.MEGABASES, strict=True)))
-_FRACTION = "('0x' || substr(md5({}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
 _SYNTHETIC = f"""WITH z AS (SELECT *, row_number() OVER (ORDER BY chrom) - 1 AS o FROM (VALUES {_SIZES}) t(chrom, size)),
 i0 AS (SELECT i, floor({_FRACTION.format("i || '_42'")} * 24) AS o, floor(50 + {_FRACTION.format("i || '_43'")} * 4951)::BIGINT AS n, {_FRACTION.format("i || '_44'")} AS u FROM (SELECT unnest(range(0, N)) AS i)),
 iv AS (SELECT i AS row_idx, chrom, floor(u * (size - n + 1))::BIGINT AS start, floor(u * (size - n + 1))::BIGINT + n AS "end" FROM i0 JOIN z ON z.o = i0.o)"""
