@@ -65,12 +65,14 @@ def pooled(df: DataFrame, key: str, phi=None, rho=None) -> DataFrame:
     return sets.join(F.broadcast(total)).select(key, F.transform("vec", lambda x: x / F.col("n")).alias("vec"))
 
 
-def recall_by_overlap(truth: DataFrame, found: DataFrame) -> DataFrame:
-    """(bin, total, hits, recall) over 11 bins of rounded overlap share; truth and found are pairs with q_ and s_ columns."""
-    keys = ["q_row_idx", "s_row_idx"]
-    rows = truth.join(found.select(*keys).distinct().withColumn("hit", F.lit(1)), keys, "left")
-    rows = rows.withColumn("bin", F.rint(overlap_fraction("q_", "s_") * 10).cast("int"))
-    got = rows.groupBy("bin").agg(F.count("*").alias("total"), F.count("hit").alias("hits"))
+def recall_by_overlap(truth: DataFrame, found: Column | DataFrame) -> DataFrame:
+    """(bin, total, hits, recall) over 11 bins of rounded overlap share. truth: pairs with q_ and s_ columns; found: whether a pair is
+    found, or the pairs that are, which are then joined."""
+    if isinstance(found, DataFrame):
+        keys = ["q_row_idx", "s_row_idx"]
+        truth = truth.join(found.select(*keys).distinct().withColumn("__hit", F.lit(True)), keys, "left")
+        found = F.coalesce("__hit", F.lit(False))
+    got = truth.groupBy(F.rint(overlap_fraction("q_", "s_") * 10).cast("int").alias("bin")).agg(F.count("*").alias("total"), F.count_if(found).alias("hits"))
     spine = truth.sparkSession.range(11).select(F.col("id").cast("int").alias("bin"))
     return spine.join(got, "bin", "left").select("bin", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("hits", F.lit(0)).alias("hits"), (F.col("hits") / F.col("total")).alias("recall"))
 

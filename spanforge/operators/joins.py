@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.intervals import intersects
 
 
-def _keyed(df: DataFrame, prefix: str, width: int, most: int, kinds: tuple[int, int]) -> DataFrame:
-    """Rows by (kind, bin), columns prefixed; empty intervals meet nothing."""
-    df = df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns]).filter(F.col(f"{prefix}end") > F.col(f"{prefix}start"))
+def _is_long(prefix: str, width: int, most: int) -> Column:
+    return F.floor((F.col(f"{prefix}end") - 1) / width) - F.floor(F.col(f"{prefix}start") / width) >= most
+
+
+def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns]).filter(F.col(f"{prefix}end") > F.col(f"{prefix}start"))
+
+
+def _keyed(df: DataFrame, prefix: str, width: int, most: int, kinds: tuple[int, int], other_long: DataFrame) -> DataFrame:
+    """Rows by (kind, bin). Short rows are dealt into wide bins only if the other side has long rows to meet there."""
     start, last = F.col(f"{prefix}start"), F.col(f"{prefix}end") - 1
 
     def bins(kind: int, size: int) -> Column:
@@ -18,20 +25,24 @@ def _keyed(df: DataFrame, prefix: str, width: int, most: int, kinds: tuple[int,
         return F.transform(span, lambda b: F.struct(F.lit(kind).alias("__kind"), b.alias("__bin")))
 
     wide = width * most
-    short = F.concat(bins(0, width), bins(kinds[0], wide))
+    short = F.when(F.col("__met"), F.concat(bins(0, width), bins(kinds[0], wide))).otherwise(bins(0, width))
     long_ = F.concat(bins(kinds[1], wide), bins(3, wide))
-    return df.select("*", F.inline(F.when(F.floor(last / width) - F.floor(start / width) < most, short).otherwise(long_)))
+    met = df.crossJoin(F.broadcast(other_long))  # one row
+    return met.select(*df.columns, F.inline(F.when(_is_long(prefix, width, most), long_).otherwise(short)))
 
 
 def overlap_join(query: DataFrame, sample: DataFrame, width: int = 2000, most: int = 64) -> DataFrame:
-    """Pairs of intervals that share a position; columns get the prefixes q_ and s_.
+    """Pairs of intervals that share a position; columns get the prefixes q_ and s_; empty intervals meet nothing.
 
     Both sides are dealt into bins of `width` positions and joined once on (kind, chrom, bin); a pair counts only in the bin in
     which its overlap starts. Pairs with an interval over `most` bins long meet in bins `most` times as wide: the kind says which of
     the two is long (0 neither, 1 the sample's, 2 the query's, 3 both), so a few very long rows neither multiply nor turn the join
-    into one on chrom alone. A bin holds a chromosome's share of the rows, so keys stay even; AQE splits what does not.
+    into one on chrom alone. Whether a side has long rows at all is one row, found while the join runs: where there are none,
+    every row is in its fine bins only. A bin holds a chromosome's share of the rows, so keys stay even; AQE splits what does not.
     """
-    q, s = _keyed(query, "q_", width, most, (1, 2)).alias("q"), _keyed(sample, "s_", width, most, (2, 1)).alias("s")
+    query, sample = _prefixed(query, "q_"), _prefixed(sample, "s_")
+    q_long, s_long = (x.agg(F.coalesce(F.bool_or(_is_long(p, width, most)), F.lit(False)).alias("__met")) for x, p in ((query, "q_"), (sample, "s_")))
+    q, s = _keyed(query, "q_", width, most, (1, 2), s_long).alias("q"), _keyed(sample, "s_", width, most, (2, 1), q_long).alias("s")
     size = F.when(F.col("q.__kind") == 0, width).otherwise(width * most)
     meet = (F.col("q.__kind") == F.col("s.__kind")) & (F.col("q_chrom") == F.col("s_chrom")) & (F.col("q.__bin") == F.col("s.__bin")) & intersects("q_", "s_")
     return q.join(s, meet & (F.floor(F.greatest("q_start", "s_start") / size) == F.col("q.__bin"))).drop("__kind", "__bin")
@@ -96,8 +107,14 @@ def missing_keys(known: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return known.join(found, key, "left_anti").select(key)
 
 
-def locate(lists: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(idx, list, offset) of global positions in the concatenation of lists (list, size)."""
-    w = Window.orderBy("list").rowsBetween(Window.unboundedPreceding, -1)
-    spans = lists.withColumn("lo", F.coalesce(F.sum("size").over(w), F.lit(0)))
-    return wanted.join(F.broadcast(spans), (F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("lo") + F.col("size"))).select("idx", "list", (F.col("idx") - F.col("lo")).alias("offset"))
+def locate(lists: DataFrame, wanted: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """(idx, list, offset) of global positions in the concatenation of lists (list, size).
+
+    Lists and positions meet in bins of `width` positions; a list over many bins is a row in each, and a bin's lists are those that
+    begin or go on in it. Empty lists hold no position.
+    """
+    w = Window.orderBy("list").rowsBetween(Window.unboundedPreceding, -1)  # a row a list
+    spans = lists.withColumn("lo", F.coalesce(F.sum("size").over(w), F.lit(0))).filter("size > 0").select("list", "lo", (F.col("lo") + F.col("size")).alias("hi"))
+    spans = spans.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
+    met = wanted.withColumn("__bin", F.floor(F.col("idx") / width)).join(spans, "__bin")
+    return met.filter((F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi"))).select("idx", "list", (F.col("idx") - F.col("lo")).alias("offset"))

@@ -1,7 +1,8 @@
-"""Exact nearest neighbours by blocks of vectors."""
+"""Exact nearest neighbours on a grid of queries and sample."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,55 +13,97 @@ from pyspark.sql import functions as F
 from ..functions.intervals import intersects
 from ..functions.vectors import unit
 
-BLOCK_ROWS = 2048
+#: Queries that a cell of the grid holds, at most, about.
+HELD = 32_768
+#: Queries that meet a batch of the sample at a time.
+ROWS = 512
+
+
+class _Best:
+    """The k best of each query of a cell so far. Larger scores are better; ties go to the smaller id."""
+
+    def __init__(self, ids: np.ndarray, vecs: np.ndarray, k: int, metric: str, skip_self: bool):
+        self.ids, self.vecs, self.k, self.metric, self.skip_self = ids, vecs, k, metric, skip_self
+        self.squares = (vecs * vecs).sum(1)
+        self.score, self.found = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+
+    def add(self, ids: np.ndarray, vecs: np.ndarray) -> None:
+        squares = (vecs * vecs).sum(1)
+        for lo in range(0, len(self.ids), ROWS):
+            at = slice(lo, lo + ROWS)
+            score = self.vecs[at] @ vecs.T
+            if self.metric == "l2":
+                score = -np.sqrt(np.maximum(self.squares[at][:, None] - 2 * score + squares[None, :], 0))
+            score = np.round(score, 9)
+            if self.skip_self:
+                score[self.ids[at][:, None] == ids[None, :]] = -np.inf
+            # only what reaches a query's k-th best, here and so far, is ordered
+            least = self.score[at][:, -1]
+            if len(ids) > self.k:
+                least = np.maximum(least, -np.partition(-score, self.k - 1, axis=1)[:, self.k - 1])
+            q, c = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+            old_q, old_c = np.nonzero(self.score[at] > -np.inf)
+            q, x = np.concatenate((old_q, q)), np.concatenate((self.score[at][old_q, old_c], score[q, c]))
+            found = np.concatenate((self.found[at][old_q, old_c], ids[c]))
+            order = np.lexsort((found, -x, q))
+            q, x, found = q[order], x[order], found[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            keep = place < self.k
+            self.score[at], self.found[at] = -np.inf, 0
+            self.score[at][q[keep], place[keep]], self.found[at][q[keep], place[keep]] = x[keep], found[keep]
+
+    def rows(self) -> pa.RecordBatch:
+        q, c = np.nonzero(self.score > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(self.found[q, c]), pa.array(self.score[q, c])], names=["query", "found", "score"])
+
+
+def _cells(k: int, metric: str, skip_self: bool):
+    """The rows of a cell are its queries, then its part of the sample."""
 
-
-def _blocks(df: DataFrame, prefix: str) -> tuple[DataFrame, int]:
-    """Rows (id, vec) in blocks of about BLOCK_ROWS."""
-    n = max(1, -(-df.count() // BLOCK_ROWS))
-    rows = df.select((F.pmod(F.xxhash64("id"), F.lit(n)) if n > 1 else F.lit(0)).cast("int").alias(f"{prefix}b"), "id", "vec")
-    return rows.groupBy(f"{prefix}b").agg(F.collect_list(F.struct("id", "vec")).alias(f"{prefix}rows")), n
-
-
-def _matrix(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    rows = cell.values
-    vec = rows.field("vec")
-    ids = rows.field("id").to_numpy(zero_copy_only=False)
-    return ids, vec.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-
-
-def _top(k: int, metric: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, best = None, [], None
         for batch in batches:
-            for q, s in zip(batch.column("qrows"), batch.column("srows"), strict=True):
-                (qi, qv), (si, sv) = _matrix(q), _matrix(s)
-                order = np.argsort(si)
-                si, sv = si[order], sv[order]
-                score = qv @ sv.T if metric == "ip" else -np.sqrt(np.maximum((qv * qv).sum(1)[:, None] - 2 * qv @ sv.T + (sv * sv).sum(1)[None, :], 0))
-                score = np.round(score, 9)  # the order of the whole, so that the k best of each block hold the k best of all
-                take = min(k, len(si))
-                best = np.argsort(-score, axis=1, kind="stable")[:, :take]
-                x = np.take_along_axis(score, best, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, take)), pa.array(si[best].ravel()), pa.array(x.ravel())], names=["query", "found", "score"])
+            cells, side = batch.column("cell").to_numpy(), batch.column("side").to_numpy()
+            ids = batch.column("id").to_numpy()
+            vecs = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            cuts = np.flatnonzero(np.diff(cells, prepend=cells[:1] - 1) | np.diff(side, prepend=side[:1])) if len(ids) else []
+            for lo, hi in zip(cuts, [*cuts[1:], len(ids)], strict=True):
+                if cells[lo] != cell:
+                    if best is not None:
+                        yield best.rows()
+                    cell, held, best = cells[lo], [], None
+                if side[lo] == 0:
+                    held.append((ids[lo:hi], vecs[lo:hi]))
+                    continue
+                if best is None and held:
+                    best = _Best(*(np.concatenate(x) for x in zip(*held, strict=True)), k, metric, skip_self)
+                if best is not None:
+                    best.add(ids[lo:hi], vecs[lo:hi])
+        if best is not None:
+            yield best.rows()
 
     return run
 
 
 def knn(queries: DataFrame, sample: DataFrame, k: int, metric: str = "ip", skip_self: bool = False) -> DataFrame:
     """(query, found, score, rank) of the k best rows of sample for each query, larger inner product or (metric l2) smaller
-    distance first, ties by smaller id. Both sides are (id, vec).
+    distance first, ties by smaller id. Both sides are (id, vec); rows without either are left out.
 
-    Vectors are packed into blocks; each query block meets each sample block once, as one matrix product in one task, which
-    sends on k candidates a query. No side is broadcast or gathered.
+    Queries and sample are dealt over a grid of about as many cells as there are shuffle partitions, and over more rows of it where a
+    cell would hold too many queries. A cell holds its queries and lets its part of the sample stream past, so a query is copied once a
+    column and a sample row once a row of the grid, and k candidates a query and cell are sent on. No side is broadcast or gathered.
     """
-    q, _ = _blocks(queries, "q")
-    s, n = _blocks(sample, "s")
-    q = q.withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    grid = q.join(s, "sb").select("qrows", "srows")
-    extra = 1 if skip_self else 0
-    near = grid.mapInArrow(_top(k + extra, metric), "query long, found long, score double")
-    if skip_self:
-        near = near.filter("query != found")
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    across = max(1, math.isqrt(parts))
+    # more rows than the square root of the partitions only where queries are many: a row of numbers, known when it runs
+    down = queries.agg(F.greatest(F.lit(max(1, parts // across)), F.ceil(F.count("*") / HELD)).cast("int").alias("down"))
+    q, s = (x.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).dropna().crossJoin(F.broadcast(down)) for x in (queries, sample))
+    row = F.pmod(F.xxhash64("id"), F.col("down"))
+    column = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(across))
+    q = q.select("id", "vec", F.lit(0).alias("side"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda j: row * across + j)).alias("cell"))
+    s = s.select("id", "vec", F.lit(1).alias("side"), F.explode(F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda i: i * across + column)).alias("cell"))
+    grid = q.unionByName(s).repartition("cell").sortWithinPartitions("cell", "side").select(F.col("cell").cast("long").alias("cell"), "side", "id", "vec")
+    near = grid.mapInArrow(_cells(k, metric, skip_self), "query long, found long, score double")
     if metric == "l2":
         near = near.withColumn("score", -F.col("score"))
     order = [F.col("score").asc() if metric == "l2" else F.col("score").desc(), F.col("found")]
