@@ -13,14 +13,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _GRAM, Words, _give_back, cut, mix64, sliced, text_bytes
+from .common import _BYTE, _GRAM, Words, _give_back, cut, mix64, partitions, sliced, text_bytes
+from .exchange import expand, join, parted, squeeze
 
 #: Buckets of a pass (a bitmap has one bit each) and the segments that are summed up apart.
 BUCKETS, SEGMENTS = 1 << 24, 64
+#: Tasks whose counters are added up in one.
+MERGED = 1024
 #: Phrases that a task holds before it sends their counts on.
 HELD = 400_000
 #: Shares of a language that are ranked apart; the most languages whose totals are broadcast.
@@ -139,12 +141,26 @@ class Counted:
 
 
 def _segments(buckets: np.ndarray) -> pa.RecordBatch:
-    """The counters that are not zero, compressed, a row a segment."""
-    squeeze = zstandard.ZstdCompressor(level=1)
+    """The counters that are not zero, a row a segment: all of it where many are, else places and counts."""
     step = max(1, len(buckets) // SEGMENTS)
-    full = [s for s in range(0, len(buckets), step) if buckets[s : s + step].any()]
+    full, bodies = [], []
+    at = np.flatnonzero(buckets)
+    ends = np.searchsorted(at, np.arange(0, len(buckets) + 1, step))
+    for s in range(len(ends) - 1):
+        place = at[ends[s] : ends[s + 1]]
+        if len(place):
+            dense = 8 * len(place) > step
+            parts = [squeeze(buckets[s * step : (s + 1) * step])] if dense else [squeeze(np.diff(place, prepend=s * step).astype(np.uint32)), squeeze(buckets[place])]
+            full.append(s)
+            bodies.append(join(parts))
     none = [None] * len(full)
-    return _rows(none, none, none, [s // step for s in full], [squeeze.compress(buckets[s : s + step].tobytes()) for s in full])
+    return _rows(none, none, none, full, bodies)
+
+
+def _add(sums: np.ndarray, body: bytes, least: int) -> None:
+    parts = parted(body)
+    at = np.cumsum(expand(parts[0], np.uint32)) if len(parts) == 2 else slice(None)
+    sums[at] = np.minimum(sums[at] + expand(parts[-1], np.uint16), least)
 
 
 def _pass(k: int, last: int, least: int, buckets: int, text_col: str, lang_col: str, hashed, parts) -> Callable:
@@ -203,34 +219,35 @@ def _known(least: int, buckets: int) -> Callable:
     return run
 
 
-def _bitmap(rows: DataFrame, least: int, buckets: int) -> np.ndarray:
-    """One bit a bucket: whether its counts add up to `least`. Tasks' counters are added in two steps, so that none reads them all;
-    the driver gets buckets / 8 bytes."""
+def _bitmaps(rows: list[DataFrame], least: int, buckets: int) -> list[np.ndarray]:
+    """For each table of counters one bit a bucket: whether its counts add up to `least`. The counters of MERGED tasks are added at a time, in as
+    many rounds as that takes, so that no task reads those of all. The driver gets buckets / 8 bytes a table."""
     step = max(1, buckets // SEGMENTS)
 
     def added(final: bool) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
-            read, write = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
             for batch in batches:
                 for s, body in zip(batch.column("segment").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                    more = np.frombuffer(read.decompress(body), np.uint16)
-                    sums[s] = np.minimum(sums[s] + more, least) if s in sums else more
-            found = sorted(sums)
-            done = [np.packbits(sums[s] >= least, bitorder="little").tobytes() if final else sums[s].tobytes() for s in found]
-            none = [None] * len(found)
-            yield _rows(none, none, none, found, [write.compress(b) for b in done])
+                    _add(sums.setdefault(s, np.zeros(step, np.uint16)), body, least)
+            for s, counts in sums.items():
+                body = squeeze(np.packbits(counts >= least, bitorder="little")) if final else join([squeeze(counts)])
+                yield _rows([None], [None], [None], [s], [body])
 
         return run
 
-    once = rows.filter("segment IS NOT NULL").withColumn("f", F.lit(None).cast("long"))
-    salted = once.repartition(F.col("segment"), F.spark_partition_id() % 16).mapInArrow(added(False), ROWS)
-    bitmap = np.zeros(buckets // 8, np.uint8)
-    read = zstandard.ZstdDecompressor()
-    for r in salted.repartition("segment").mapInArrow(added(True), ROWS).select("segment", "body").toLocalIterator():
-        at = r["segment"] * (step // 8)
-        bitmap[at : at + step // 8] = np.frombuffer(read.decompress(bytes(r["body"])), np.uint8)
-    return bitmap
+    tables = [r.filter("segment IS NOT NULL").withColumn("segment", F.col("segment") + i * SEGMENTS) for i, r in enumerate(rows)]
+    told, tasks = tables[0], max(r.rdd.getNumPartitions() for r in rows)
+    for t in tables[1:]:
+        told = told.unionByName(t)
+    while tasks > MERGED:
+        tasks = -(-tasks // MERGED)
+        told = told.repartition(F.col("segment"), F.spark_partition_id() % tasks).mapInArrow(added(False), ROWS)
+    out = [np.zeros(buckets // 8, np.uint8) for _ in rows]
+    for r in told.repartition("segment").mapInArrow(added(True), ROWS).select("segment", "body").collect():
+        i, s = divmod(r["segment"], SEGMENTS)
+        out[i][s * step // 8 : (s + 1) * step // 8] = expand(bytes(r["body"]), np.uint8)
+    return out
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, buckets: int = BUCKETS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -244,11 +261,12 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, bucket
     for k in range(1, longest + 1):
         rows = cut(texts.mapInArrow(_pass(k, longest, least, buckets, "text", "lang", hashed, parts), ROWS))
         sums = rows.filter("segment IS NULL").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | F.col("phrase").isNull())
-        found = cut(sums.select("lang", "phrase", F.when(F.col("phrase").isNull(), 0).otherwise(k).alias("words"), "f"))
+        # a hundredth of the words at most, so fewer partitions
+        found = cut(sums.select("lang", "phrase", F.when(F.col("phrase").isNull(), 0).otherwise(k).alias("words"), "f").coalesce(max(1, partitions(spark) // 8)))
         out = found if out is None else out.unionByName(found)
         if k < longest:
             phrases = found.filter(F.col("phrase").isNotNull()).select("phrase", "lang")
-            hashed, parts = (sc.broadcast(_bitmap(x, least, buckets)) for x in (rows, phrases.mapInArrow(_known(least, buckets), ROWS)))
+            hashed, parts = map(sc.broadcast, _bitmaps([rows, phrases.mapInArrow(_known(least, buckets), ROWS)], least, buckets))
     return out
 
 

@@ -56,8 +56,9 @@ def test_as_plain_counting(spark, least, longest, top, buckets):
 
 def test_counts_sent_in_parts_and_a_very_long_text(spark, monkeypatch):
     monkeypatch.setattr(collocations, "HELD", 20)
+    monkeypatch.setattr(collocations, "MERGED", 2)
     rows = [*texts(random.Random(3), 60), ("so it goes " * 200_000, "en")]
-    docs = spark.createDataFrame(rows, "text string, lang string")
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(7)
     got = sorted(map(tuple, collocations.collocations(docs, 3, 4, 100, 512).collect()))
     assert got == plain(rows, 3, 4, 100)
 
@@ -80,6 +81,7 @@ def test_pruning_leaves_few_phrases_to_count(spark):
     text = collocations.Pieces(pa.array([t for t, _ in rows]), pa.array(["en"] * 100))
     hashes, n = np.unique(text.grams(text.runs(2), 2), return_counts=True)
     bucket_rows = docs.mapInArrow(collocations._pass(1, 5, 50, 1 << 14, "text", "lang", None, None), collocations.ROWS)
-    bitmap = collocations._bitmap(bucket_rows, 50, 1 << 14)
+    bitmap, again = collocations._bitmaps([bucket_rows, bucket_rows], 50, 1 << 14)
+    assert (bitmap == again).all()
     passed = collocations._has(bitmap, hashes)
     assert passed[n >= 50].all() and passed.sum() < 40 and len(hashes) > 3000
