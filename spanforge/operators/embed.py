@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
 from ..functions.columns import unused
-from ..functions.vectors import mean_of, vector_mean
+from ..functions.vectors import mean_of
 from ..sources.blocks import SequenceBlocks, cut
-from .transforms import chunk_keep
+from .stages import Model, hooks_of, staged
 
 
 class CountAcgt:
@@ -97,23 +98,27 @@ def embed(intervals: DataFrame, sequences: DataFrame | SequenceBlocks | None, mo
     return look_up(intervals, sequences, longest).select(*keys, of_letters(F.col("letters"), model, pool).alias("vec"))
 
 
-def embed_with(intervals: DataFrame, sequences: DataFrame, forward: Callable, max_seq_len: int) -> DataFrame:
-    """As embed, with a model in Python: forward(list of strings) -> array of vectors, on Arrow batches of chunks."""
-    import numpy as np
-    import pyarrow as pa
+@dataclass(frozen=True)
+class FunctionModel:
+    """A function from a list of strings to a vector each, as a model."""
 
-    keys = [c for c in ("set_id", "row_idx") if c in intervals.columns]
-    chunks = intervals.select(*keys, "chrom", F.posexplode(chunk_keep(max_seq_len)(F.col("start"), F.col("end"))).alias("k", "iv"))
-    rows = look_up(chunks.select(*keys, "chrom", "k", F.col("iv.start").alias("start"), F.col("iv.end").alias("end")), sequences)
-    kinds = dict(rows.dtypes)
+    forward: Callable[[list[str]], Iterable]
+    max_seq_len: int | None
+    embed_dim: int | None = None
+    wants: str = "sequence"
+
+    def collate(self, items: list[str]) -> list[str]:
+        return items
 
-    def run(batches):
-        for b in batches:
-            vec = np.asarray(forward(b.column("letters").to_pylist()), float)
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], pa.array(list(vec), pa.list_(pa.float64()))], names=[*keys, "vec"])
+    def __call__(self, batch: list[str]) -> Iterable:
+        return self.forward(batch)
 
-    out = rows.select(*keys, "letters").mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", vec array<double>")
-    return vector_mean(out, keys)
+
+def embed_with(intervals: DataFrame, sequences: DataFrame | SequenceBlocks, model: Model, longest: int | None = None, batch: int = 64, **hooks) -> DataFrame:
+    """As embed, with a model in Python (`stages.Model`): batches go over the borders of intervals. hooks: postprocess and consume, as in `stages.hooks_of`."""
+    keys = [c for c in ("set_id", "row_idx") if c in intervals.columns]
+    rows = intervals if model.wants == "interval" else look_up(intervals, sequences, longest).select(*keys, "letters")
+    return staged(rows, keys, hooks_of(model, **hooks), batch, model.embed_dim)
 
 
 def dechunk_mean(strings: DataFrame, size: int, model) -> DataFrame:

@@ -6,11 +6,11 @@ request) its number over all new rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import vector_mean
@@ -79,13 +79,40 @@ def repeat(times: int) -> Transform:
     return lambda s, e: F.array_repeat(_span(s, e), times)
 
 
-def apply(df: DataFrame, *transforms: Transform, limit: int | None = None, numbered: bool = False) -> DataFrame:
+class UserTransform:
+    """A transform of one's own: (chrom, start, end) -> such tuples, in any number. It runs as a table function of Spark, joined
+    laterally, so `apply` keeps the lineage as with the built-in ones, and after `register` SQL can call it:
+    SELECT … FROM intervals, LATERAL name(chrom, start, `end`)."""
+
+    def __init__(self, transform: Callable[[tuple], Iterable[tuple]]):
+        class Run:
+            def eval(self, chrom, start, end):
+                for k, (c, s, e) in enumerate(transform((chrom, start, end))):
+                    yield k, c, s, e
+
+        self.function = F.udtf(Run, returnType="place int, chrom string, start long, end long")
+
+    def register(self, spark: SparkSession, name: str) -> None:
+        spark.udtf.register(name, self.function)
+
+    def rows(self, df: DataFrame) -> DataFrame:
+        """df with each row's new intervals instead of its own, and their place from 0."""
+        at = {c: F.col(c).outer() for c in ("chrom", "start", "end")}
+        rest = [c for c in df.columns if c not in at]
+        new = self.function(at["chrom"], at["start"].cast("long"), at["end"].cast("long")).alias("__new")
+        return df.lateralJoin(new).select(*rest, *[F.col(f"__new.{c}").alias(c) for c in ("place", "chrom", "start", "end")])
+
+
+def apply(df: DataFrame, *transforms: Transform | UserTransform, limit: int | None = None, numbered: bool = False) -> DataFrame:
     """Rows of (row_idx, chrom, start, end, …) through the transforms in turn: base_idx, ord and the new start and end."""
     if limit is not None:
         df = df.filter(F.col("row_idx") < limit)
     out = df.withColumnRenamed("row_idx", "base_idx").withColumn("ord", F.array().cast("array<int>"))
     rest = [c for c in out.columns if c not in ("start", "end", "ord")]
     for t in transforms:
+        if isinstance(t, UserTransform):
+            out = t.rows(out).select(*rest, F.concat("ord", F.array("place")).alias("ord"), "start", "end")
+            continue
         out = out.select(*rest, "ord", F.posexplode(t(F.col("start"), F.col("end"))).alias("__k", "__iv"))
         out = out.select(*rest, F.concat("ord", F.array("__k")).alias("ord"), F.col("__iv.start").alias("start"), F.col("__iv.end").alias("end"))
     return number(out) if numbered else out

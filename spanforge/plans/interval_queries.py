@@ -138,6 +138,28 @@ def multiply(spark, d):
     return _new(T.apply(_base(spark, d), T.repeat(3)))
 
 
+class Multiply:
+    def __init__(self, count: int):
+        self.count = count
+
+    def __call__(self, interval):
+        return [interval] * self.count
+
+
+@query('WITH m AS (SELECT row_idx AS base_idx, chrom, start + least(150, "end" - start) * k AS start, CASE k WHEN 0 THEN start + least(150, "end" - start) ELSE "end" END AS "end", k, i FROM iv_sample, (VALUES (0), (1)) t(i), (VALUES (0), (1)) u(k)) SELECT base_idx, chrom, start, "end", [i, k] AS ord FROM m WHERE "end" > start')
+def user_transform(spark, d):
+    """A class of one's own between built-in transforms, with the lineage of all."""
+    halves = T.UserTransform(lambda iv: [x for x in ((iv[0], iv[1], min(iv[1] + 150, iv[2])), (iv[0], min(iv[1] + 150, iv[2]), iv[2])) if x[2] > x[1]])
+    return T.apply(_base(spark, d), T.UserTransform(Multiply(2)), halves).select("base_idx", "chrom", "start", "end", "ord")
+
+
+@query("""SELECT row_idx, t.i AS place, chrom, start, "end" FROM iv_sample, (VALUES (0), (1), (2)) t(i)""")
+def user_transform_sql(spark, d):
+    """The same class called from SQL."""
+    T.UserTransform(Multiply(3)).register(spark, "multiply")
+    return spark.sql("SELECT i.row_idx, m.place, m.chrom, m.start, m.`end` FROM {iv} i, LATERAL multiply(i.chrom, i.start, i.`end`) m", iv=views.iv_sample(spark, d))
+
+
 @query("""SELECT row_idx, chrom, tick, start + tick AS start, start + tick + 50 AS "end" FROM iv_sample, (VALUES (0), (10), (100)) t(tick)""")
 def swt_samples(spark, d):
     return T.displaced(_base(spark, d), [0, 10, 100], 50)
@@ -285,7 +307,7 @@ def _count_letters(texts):
 
 @query('WITH p AS (SELECT i.row_idx, substr(s.seq, i.start + o + 1, least(10, i."end" - i.start - o)) AS p FROM (SELECT *, unnest(range(0, "end" - start, 10)) AS o FROM seq_iv) i JOIN sequences s USING (chrom)) SELECT row_idx, [' + ", ".join(f"round(avg({_ACGT.format(x)}), 6)" for x in "ACGT") + "] AS vec FROM p GROUP BY row_idx")
 def embed_plugin(spark, d):
-    out = E.embed_with(views.seq_iv(spark, d), views.sequences(spark, d), _count_letters, 10)
+    out = E.embed_with(views.seq_iv(spark, d), views.sequences(spark, d), E.FunctionModel(_count_letters, 10, 4), longest=_LONGEST)
     return out.select("row_idx", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 

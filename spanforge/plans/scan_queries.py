@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..sources import bed, fasta, labelled, scores
+from ..sources import bed, fasta, labelled, scores, shards, text
 from . import views
 from .core import query
 
@@ -243,3 +246,35 @@ def scan_labelled_dirs(spark, d):
     path = F.concat(F.lit("root/train/"), F.coalesce("lang", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     files = t.select(path.alias("path"), F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ACGT]", "").alias("value"))
     return labelled.parse(files, 100, augment=True)
+
+
+def _folder(spark) -> str:
+    """A new folder that all executors reach: under the checkpoint folder of the session, or, in local mode without one, of this machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{top}/{uuid.uuid4().hex}" if top else tempfile.mkdtemp(prefix="round")
+
+
+@query("SELECT row_idx, vec FROM vecs")
+def shards_round_trip(spark, d):
+    """Vectors through the shard source: written by seven tasks that take turns, read again by ranges."""
+    path = _folder(spark)
+    shards.write(views.vecs(spark, d).select("row_idx", "vec"), path, 7)
+    return shards.read(spark, path)
+
+
+@query("SELECT set_id, row_idx, vec::FLOAT[]::DOUBLE[] AS vec FROM set_vecs")
+def embeddings_round_trip(spark, d):
+    path = f"{_folder(spark)}/embeddings"
+    scores.write_embeddings(views.set_vecs(spark, d), path)
+    return scores.read_embeddings(spark, path)
+
+
+@query("SELECT 'name' || row_idx AS set_id, row_idx AS id, round(vec[1], 4) AS score FROM vecs")
+def scores_round_trip(spark, d):
+    path = f"{_folder(spark)}/scores"
+    v = views.vecs(spark, d).select(F.concat(F.lit("name"), F.col("row_idx").cast("string")).alias("name"), F.round(F.col("vec")[0], 4).alias("cmodel_delta"), F.round(F.col("vec")[1], 4).alias("foundation_model_delta"), "row_idx")
+    scores.write_scores(v, path)
+    files = text.lines(spark, path)
+    return scores.parse_scores(files, v.select(F.col("name").alias("set_id"), F.col("row_idx").alias("id")), extensions=0)

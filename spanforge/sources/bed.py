@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import digest
+from ..functions.names import with_bed_extension
 from .text import lines, numbered, require
 
 
@@ -32,11 +33,17 @@ def parse_whitespace(rows: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str | list[str], limit: int | None = None) -> DataFrame:
-    """A .bed or .bed.gz file, or several."""
-    for one in [path] if isinstance(path, str) else path:
+    """A .bed or .bed.gz file, or several. A name may lack its extension, or have or lack .gz, as long as one such file is there."""
+
+    def there(name: str) -> bool:
+        at = spark._jvm.org.apache.hadoop.fs.Path(name)
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+    found = [with_bed_extension(one, there) for one in ([path] if isinstance(path, str) else path)]
+    for one in found:
         if not one.rstrip("/").endswith((".bed", ".bed.gz")):
             raise ValueError(f"neither .bed nor .bed.gz: {one}")
-    return parse(lines(spark, path), limit)
+    return parse(lines(spark, found), limit)
 
 
 def shuffled(df: DataFrame, limit: int, seed: int = 42) -> DataFrame:

@@ -62,25 +62,10 @@ def write_scores(df: DataFrame, path: str) -> None:
 
 
 def write_embeddings(df: DataFrame, path: str) -> None:
-    """(set_id, row_idx, vec) by set, rows in order within a file."""
-    df.select("set_id", "row_idx", F.col("vec").cast("array<float>").alias("vec")).repartition("set_id").sortWithinPartitions("set_id", "row_idx").write.partitionBy("set_id").parquet(path)
+    """(set_id, row_idx, vec) by set, rows in order within a file; a large set is several files, each with a range of its rows."""
+    rows = df.select("set_id", "row_idx", F.col("vec").cast("array<float>").alias("vec"))
+    rows.repartitionByRange("set_id", "row_idx").sortWithinPartitions("set_id", "row_idx").write.partitionBy("set_id").parquet(path)
 
 
 def read_embeddings(spark, path: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("set_id").cast("string").alias("set_id"), "row_idx", F.col("vec").cast("array<double>").alias("vec"))
-
-
-def write_shards(df: DataFrame, path: str, shard: str) -> None:
-    """Rows by shard, each shard in row_idx order."""
-    df.repartition(shard).sortWithinPartitions(shard, "row_idx").write.partitionBy(shard).parquet(path)
-
-
-def read_shards(spark, path: str, shard: str) -> DataFrame:
-    """The rows of all shards in order of shard, then row_idx."""
-    return spark.read.parquet(path).orderBy(shard, "row_idx")
-
-
-def delete_shards(spark, path: str) -> bool:
-    """Whether there was anything to delete."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

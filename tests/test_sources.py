@@ -14,6 +14,7 @@ from spanforge.operators import partitioning as P
 from spanforge.sources import bed, fasta, scores
 from spanforge.sources.text import lines
 
+#: Intervals, sequences and the vectors that they must give.
 ROWS = [("chr1", 0, 1), ("chr1", 0, 40), ("chr1", 5, 15), ("chr1", 10, 20), ("chr1", 15, 25), ("chr1", 10, 30), ("chr2", 10, 30), ("chr2", 30, 40), ("chr2", 20, 25), ("chr3", 0, 5), ("chr3", 5, 10)]
 SEQ = {"chr1": "ACGTAGCTTAGACTACGCAGCATATAGCGCGCTAGCTACC", "chr2": "TTTTAGCGAAAATCGCGTCGTAAATATGCGCGCTATAAAA", "chr3": "AAAAATTTTT"}
 GOLDEN = [[1, 0, 0, 0], [2.75, 3, 2.25, 2], [3, 2, 2, 3], [3, 3, 3, 1], [3, 3, 2, 2], [3, 3, 2.5, 1.5], [3, 2, 2.5, 2.5], [5, 2, 1, 2], [3, 0, 0, 2], [5, 0, 0, 0], [0, 0, 0, 5]]
@@ -70,7 +71,7 @@ def test_pipeline_golden(spark, files):
     out = E.embed(bed.read(spark, f"{files}/a.bed"), fasta.read(spark, f"{files}/x.fa"), E.CountAcgt(10)).orderBy("row_idx").collect()
     assert [r["vec"] for r in out] == GOLDEN
     count = lambda texts: [[float(t.count(x)) for x in "ACGT"] for t in texts]
-    out = E.embed_with(bed.read(spark, f"{files}/a.bed"), fasta.read(spark, f"{files}/x.fa"), count, 10).orderBy("row_idx").collect()
+    out = E.embed_with(bed.read(spark, f"{files}/a.bed"), fasta.read(spark, f"{files}/x.fa"), E.FunctionModel(count, 10, 4), batch=2).orderBy("row_idx").collect()
     assert [r["vec"] for r in out] == GOLDEN
 
 
@@ -162,13 +163,6 @@ def test_labelled_folders(spark, tmp_path):
     assert rows["a"]["tokens"] == [0, 2, 3, 1, None, 4] and rows["b"]["tokens"] == [4]
 
 
-def test_shards_are_read_in_order(spark, tmp_path):
-    path = str(tmp_path / "shards")
-    scores.write_shards(spark.createDataFrame([(i, i % 3, [float(i)]) for i in range(20)], "row_idx long, part int, vec array<double>"), path, "part")
-    assert [r["row_idx"] for r in scores.read_shards(spark, path, "part").collect()] == sorted(range(20), key=lambda i: (i % 3, i))
-    assert scores.delete_shards(spark, path) and not scores.delete_shards(spark, path)
-
-
 def test_unknown_names_are_errors(spark):
     from spanforge.functions import names as N
 
