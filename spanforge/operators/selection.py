@@ -7,7 +7,9 @@ holds 10^-4 of the rows, or SMALL, or fewer distinct values. A place outside its
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,17 +29,21 @@ def at_places(df: DataFrame, keys: list[str], value: str, places: dict[str, tupl
     sketch = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("__x", F.array(*ends), ACCURACY).alias("__ends"))
     met = rows.join(sketch, keys) if keys else rows.crossJoin(F.broadcast(sketch))  # one row
     low, high = (lambda i: F.get("__ends", F.lit(2 * i))), (lambda i: F.get("__ends", F.lit(2 * i + 1)))
-    x, small = F.col("__x"), F.col("n") <= SMALL
-    parts = F.array(*[F.when(small | (x <= high(i)), F.struct(F.lit(i).alias("i"), F.when(small | (x >= low(i)), x).alias("x"))) for i in range(len(names))])
-    inside = met.select(*keys, "n", F.explode(F.array_compact(parts)).alias("__p")).select(*keys, "n", "__p.i", "__p.x")
-    counts = inside.groupBy(*keys, "n", "i", "x").agg(F.count("*").alias("__c"))
-    upto = F.sum("__c").over(Window.partitionBy(*keys, "i").orderBy(F.col("x").asc_nulls_first()))
-    place = F.element_at(F.array(*[places[k][1](F.col("n")).cast("long") for k in names]), F.col("i") + 1)
-    counts = counts.withColumns({"__upto": upto, "__place": place}).filter(F.col("__upto") > F.col("__place"))
-    first = counts.groupBy(*keys, "n", "i").agg(F.min_by(F.struct("x"), F.struct("__upto")).alias("__at"))
+    x, small, places_of = F.col("__x"), F.col("n") <= SMALL, range(len(names))
+    within = lambda i: small | x.between(low(i), high(i))
+    below = met.groupBy(*keys, "n").agg(*[F.count_if(~small & (x < low(i))).alias(f"__b{i}") for i in places_of])
+    some = met.filter(reduce(operator.or_, [within(i) for i in places_of]))
+    inside = some.select(*keys, "__x", F.explode(F.array_compact(F.array(*[F.when(within(i), F.lit(i)) for i in places_of]))).alias("i"))
+    counts = inside.groupBy(*keys, "i", "__x").agg(F.count("*").alias("__c"))
+    counts = counts.join(below, keys) if keys else counts.crossJoin(F.broadcast(below))  # one row
+    of = lambda columns: F.element_at(F.array(*columns), F.col("i") + 1)
+    upto = of([F.col(f"__b{i}") for i in places_of]) + F.sum("__c").over(Window.partitionBy(*keys, "i").orderBy("__x"))
+    place = of([places[k][1](F.col("n")).cast("long") for k in names])
+    # the place lies in the bracket if fewer values than that lie below it; the first value that reaches beyond the place is the one
+    counts = counts.withColumns({"__upto": upto, "__place": place}).filter((F.col("__upto") > F.col("__place")) & (of([F.col(f"__b{i}") for i in places_of]) <= F.col("__place")))
+    found = counts.groupBy(*keys).agg(*[F.min_by(F.when(F.col("i") == i, F.struct(x.alias("x"))), F.when(F.col("i") == i, F.col("__upto"))).alias(f"__{i}") for i in places_of])
     bad = F.raise_error(F.lit("a place is outside of its bracket"))
     kind = dict(df.dtypes)[value]
-    found = first.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("__at"))).alias(f"__{i}") for i in range(len(names))])
     base = sketch.select(*keys, "n")
     out = base.join(found, keys, "left") if keys else base.join(found, how="left")
     cell = lambda i, k: F.when(places[k][1](F.col("n")).cast("long") < F.col("n"), F.coalesce(F.col(f"__{i}.x"), bad.cast(kind))).alias(k)
