@@ -88,6 +88,7 @@ ORACLE: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
     "op3_chat_formatting": chat.ORACLE,
     "op5_exact_dedup": exact.ORACLE,
+    "op7_warc": warc.ORACLE,
     "op8_substring_dedup": substring.ORACLE,
     "op10_jaccard_join": jaccard.ORACLE,
     "op11_centroid_clustering": centroids.ORACLE,

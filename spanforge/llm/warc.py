@@ -21,9 +21,10 @@ _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-
 _ID = re.compile(r"<urn:uuid:([0-9a-f-]{36})>")
 
 
-def record_id(page_id: int | None, sha: str) -> str:
-    """A record's URI: 64 bits of page_id, one digit for null, 15 digits of the payload's SHA-1."""
-    digits = f"{(page_id or 0) & (1 << 64) - 1:016x}{int(page_id is None)}{sha[:15]}"
+def record_id(page_id: int | None, sha: str, copy: str = "") -> str:
+    """A record's URI: 64 bits of page_id, one digit for null, 15 digits of the payload's SHA-1 (with what tells copies of a page apart)."""
+    tail = hashlib.sha1(f"{sha}{copy}".encode()).hexdigest() if copy else sha
+    digits = f"{(page_id or 0) & (1 << 64) - 1:016x}{int(page_id is None)}{tail[:15]}"
     return f"<urn:uuid:{uuid.UUID(digits)}>"
 
 
@@ -85,10 +86,10 @@ def response_records(page_id: int | None, url: str | None, payload: bytes, sha:
         yield record(more, piece)
 
 
-def revisit_record(page_id: int | None, url: str | None, size: int, sha: str, refers_to: int | None) -> bytes:
-    """A revisit: response headers with the payload's full length, no payload."""
+def revisit_record(page_id: int | None, url: str | None, size: int, sha: str, refers_to: int | None, copy: int = 1) -> bytes:
+    """A revisit: response headers with the payload's full length, no payload. copy numbers those of one page_id, url and payload."""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    head = [("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(page_id, sha)), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", re.sub(r"[\r\n]", "", url or "")), ("WARC-Payload-Digest", f"sha1:{base32(sha)}"), ("WARC-Refers-To", record_id(refers_to, sha)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+    head = [("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(page_id, sha, f"{copy}{url}")), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", re.sub(r"[\r\n]", "", url or "")), ("WARC-Payload-Digest", f"sha1:{base32(sha)}"), ("WARC-Refers-To", record_id(refers_to, sha)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
     return record([*head, ("Content-Type", "application/http; msgtype=response")], block)
 
 
@@ -125,7 +126,7 @@ def _pack(kind: str, files: int, block_bytes: int, segment_bytes: int):
 
         for batch in sliced(batches, "payload") if kind == "response" else batches:
             for r in batch.to_pylist():
-                records = response_records(r["page_id"], r["url"], r["payload"], r["sha"], segment_bytes) if kind == "response" else [revisit_record(r["page_id"], r["url"], r["n_bytes"], r["sha"], r["first"])]
+                records = response_records(r["page_id"], r["url"], r["payload"], r["sha"], segment_bytes) if kind == "response" else [revisit_record(r["page_id"], r["url"], r["n_bytes"], r["sha"], r["first"], r["copy"])]
                 for one in records:
                     turn = (turn + 1) % files
                     open_[turn].append(one)
@@ -140,19 +141,27 @@ def _pack(kind: str, files: int, block_bytes: int, segment_bytes: int):
 
 
 def write_archives(pages: DataFrame, path: str, files: int = 4, block_bytes: int = 1 << 20, segment_bytes: int = SEGMENT_BYTES) -> None:
-    """Write a WARC record a page, as a table of archive blocks that any store Spark writes to can hold.
+    """Write a WARC record a row of pages, as a table of archive blocks that any store Spark writes to can hold.
 
-    Of pages with equal payloads the largest page_id (null is the smallest) is the response, the others revisit it. Payloads are grouped
-    by SHA-1 without their bytes; only the join that picks the responses moves payloads, on (SHA-1, page_id), so a payload
-    that many pages share makes no hot key there.
+    Of rows with equal payloads one with the largest page_id (null is the smallest) is the response, the others revisit it: also rows that
+    repeat it. Payloads are grouped by SHA-1 without their bytes; only the join that picks the responses moves payloads, on (SHA-1,
+    page_id, url), so a payload that many pages share makes no hot key there, and rows that are repeated are grouped by count.
     """
     html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("payload"))
     keyed = keyed.withColumn("sha", F.sha1("payload"))
-    groups = keyed.groupBy("sha").agg(F.max("page_id").alias("first"))
-    mine = groups.select(F.col("sha").alias("__sha"), F.col("first").alias("__first"))
-    responses = keyed.join(mine, (F.col("sha") == F.col("__sha")) & F.col("page_id").eqNullSafe(F.col("__first")), "left_semi")
-    revisits = keyed.select("page_id", "url", F.octet_length("payload").cast("long").alias("n_bytes"), "sha").join(groups, "sha").filter(~F.col("page_id").eqNullSafe(F.col("first")))
+    alike = keyed.groupBy("sha", "page_id", "url").agg(F.count("*").alias("copies"), F.max(F.octet_length("payload")).cast("long").alias("n_bytes"))
+    largest = F.max(F.struct(F.col("page_id").isNotNull(), "page_id", "url", "copies"))
+    groups = alike.groupBy("sha").agg(largest.alias("own")).select("sha", F.col("own.page_id").alias("first"), F.col("own.url").alias("own_url"), F.col("own.copies").alias("own_copies"))
+    mine = groups.select(*[F.col(c).alias(f"__{c}") for c in groups.columns])
+    picked = (F.col("sha") == F.col("__sha")) & F.col("page_id").eqNullSafe(F.col("__first")) & F.col("url").eqNullSafe(F.col("__own_url"))
+    single = keyed.join(mine.filter("__own_copies = 1"), picked, "left_semi")
+    repeated = keyed.join(mine.filter("__own_copies > 1"), picked, "left_semi")
+    repeated = repeated.groupBy("sha", "page_id", "url").agg(F.first("payload").alias("payload")).select(*keyed.columns)
+    responses = single.unionByName(repeated)
+    own = F.col("page_id").eqNullSafe(F.col("first")) & F.col("url").eqNullSafe(F.col("own_url"))
+    revisits = alike.join(groups, "sha").withColumn("copies", F.col("copies") - own.cast("long")).filter("copies > 0")
+    revisits = revisits.select("page_id", "url", "n_bytes", "sha", "first", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     blocks = responses.mapInArrow(_pack("response", files, block_bytes, segment_bytes), _ARCHIVE)
     blocks = blocks.unionByName(revisits.mapInArrow(_pack("revisit", files, block_bytes, segment_bytes), _ARCHIVE))
     blocks.write.parquet(path)
@@ -223,8 +232,6 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first, number, total = r, 0, None
             if first is None or r["origin"] != first["origin"]:
                 raise ValueError(f"{r['origin']}: its first segment is missing")
-            if r["segment"] == number:  # the same page was given twice
-                continue
             if r["segment"] != number + 1:
                 raise ValueError(f"{r['origin']}: segment {number + 1} is missing")
             number, total = r["segment"], r["total"]
@@ -238,15 +245,14 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row a distinct record: page_id, payload_bytes, payload_digest, record_type, refers_to.
+    """One row a record: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Segments are grouped by origin, ordered by number and checked against the total length; then the chunked framing is
     decoded and the digest verified. Only segments carry bytes into the shuffle.
     """
     parsed = spark.read.parquet(path).mapInArrow(_parse, "origin string, segment long, total long, type string, digest string, refers_to string, block binary")
     ordered = parsed.repartition(partitions(spark), "origin").sortWithinPartitions("origin", "segment")
-    rows = ordered.mapInArrow(_reassemble, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return rows.distinct()
+    return ordered.mapInArrow(_reassemble, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -260,9 +266,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write archives of all pages into the session's shared folder and read them back.
 
-    Null html is an empty payload; empty payloads are equal to each other; null page_id is a page (smallest); rows repeated
-    with the same page_id and html are one page; an empty table gives no rows; columns besides page_id, url and html are not read.
+    Null html is an empty payload; empty payloads are equal to each other; null page_id is a page (smallest); of rows
+    repeated with the same page_id and html each has a record and a row, all but one of them revisits; an empty table gives no rows; columns besides page_id, url and html are not read.
     """
     path = shared_path(pages.sparkSession, "warc")
     write_archives(pages, path)
     return read_archives(pages.sparkSession, path)
+
+
+_NIBBLES = ", ".join(f"'{i:04b}'" for i in range(16))
+ORACLE = f"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS s FROM pages),
+r AS (SELECT *, row_number() OVER w AS k, first_value(page_id) OVER w AS f FROM p WINDOW w AS (PARTITION BY s ORDER BY page_id DESC NULLS LAST)),
+b AS (SELECT *, array_to_string(list_transform(string_split(s, ''), lambda h: [{_NIBBLES}][strpos('0123456789abcdef', h)]), '') AS bits FROM r)
+SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + list_sum(list_transform(range(0, 5), lambda j: substr(bits, i * 5 + j + 1, 1)::INT * (16 >> j)))::INT, 1)), '') AS payload_digest,
+  CASE k WHEN 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN f END AS refers_to FROM b"""

@@ -117,10 +117,16 @@ def test_conversations(spark):
 
 
 def test_pages(spark):
-    rows = [(1, "u", "x" * 200_000, "?"), (2, "u", "x" * 200_000, "?"), (2, "u", "x" * 200_000, "?"), (3, None, None, "?"), (4, "u\r\nX: 1", "", "?"), (None, "u", "é" * 50_000, "?"), (-5, "u", "z", "?")]
+    """A record and a row a page row, repeated ones too."""
+    rows = [(1, "u", "x" * 200_000, "?"), (2, "u", "x" * 200_000, "?"), (2, "u", "x" * 200_000, "?"), (2, "v", "x" * 200_000, "?"), (2, None, "x" * 200_000, "?"), (1, "u", "x" * 200_000, "?"), (3, None, None, "?"), (4, "u\r\nX: 1", "", "?"), (None, "u", "é" * 50_000, "?"), (None, None, "é" * 50_000, "?"), (None, None, "é" * 50_000, "?"), (-5, "u", "z", "?")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, payload string")
-    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(df).collect()}
-    assert got == {1: (200_000, "revisit", 2), 2: (200_000, "response", None), 3: (0, "revisit", 4), 4: (0, "response", None), None: (100_000, "response", None), -5: (1, "response", None)}
+    got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(df).collect()), key=repr)
+    want = [(1, 200_000, "revisit", 2)] * 2 + [(2, 200_000, "response", None)] + [(2, 200_000, "revisit", 2)] * 3 + [(3, 0, "revisit", 4), (4, 0, "response", None), (-5, 1, "response", None)]
+    assert got == sorted([*want, (None, 100_000, "response", None), *[(None, 100_000, "revisit", None)] * 2], key=repr)
+    path = warc.shared_path(spark, "ids")
+    warc.write_archives(df, path)
+    heads = [h for r in spark.read.parquet(path).collect() for h, _ in warc.parse_records(bytes(r["data"]))]
+    assert len({h["WARC-Record-ID"] for h in heads}) == len(heads)
     assert warc.round_trip(df.filter("false")).count() == 0
 
 
