@@ -362,6 +362,61 @@ def test_leaks_in_hundreds_of_edited_copies(spark, tmp_path):
     assert {r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect()} == {i for i, _ in rows} - {i for i, _ in want}
 
 
+def test_every_passage_that_aligns_is_found(spark, tmp_path):
+    """Copies with words put in, taken out, replaced or paraphrased by synonyms at every rate, common words among them, against the alignment of each
+    item with each whole text."""
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(6)]
+    items = [(k, " ".join(rng.choice(common) if rng.random() < 0.5 else f"i{k}x{j}" for j in range(n))) for k, n in enumerate((8, 9, 12, 20, 40, 40, 60))]
+    items.append((7, " ".join(["la"] * 10)))
+    rows = []
+    for i in range(400):
+        words, kind, rate = items[i % 7][1].split(), rng.randrange(4), rng.random() * 0.7
+        if kind == 0:
+            words = [x for w in words for x in ([w, *some(rng, rng.randrange(1, 4))] if rng.random() < rate else [w])]
+        elif kind == 1:
+            words = [w for w in words if rng.random() >= rate / 2]
+        elif kind == 2:
+            words = [rng.choice(VOCABULARY) if rng.random() < rate / 2 else w for w in words]
+        else:
+            words = [x for j, w in enumerate(words) for x in ([w, "foreign"] if j % 2 else [w])]
+        around = lambda: [rng.choice(common + VOCABULARY[:20]) for _ in range(rng.randrange(40))]
+        rows.append((i, " ".join([*around(), *words, *around()])))
+    rows += [(400, "la " * 30), (401, "la " * 9), (402, " ".join(common * 200))]
+    number = collections.defaultdict(lambda: len(number))
+    plain = [(k, np.array([number[w] for w in text.split()])) for k, text in items]
+    want = {}
+    for i, text in rows:
+        doc = np.array([number[w] for w in text.split()])
+        for k, item in plain:
+            score, _, _ = decontaminate.align(item, doc)
+            if score / len(item) >= 0.6:
+                want[i, k] = round(score / len(item), 9)
+    docs, bench = stored(spark, tmp_path, rows), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): round(r["score"], 9) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == want and 200 < len(want) < 600
+    assert {r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
+def test_long_repetitive_text_needs_little_memory(monkeypatch):
+    """A text of 1 MB of one word and an item of 100 times that word: hits are never rows, and go through in parts."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    bench = decontaminate._words(pa.array(["ab " * 100, "ab cd " * 30]))
+    seeds = decontaminate.Seeds([(k, bench.hash[bench.rows[k] : bench.rows[k + 1]].copy()) for k in range(2)])
+    texts = decontaminate._words(pa.array(["ab " * 350_000, "x"]))
+    tracemalloc.start()
+    found = list(seeds.matches(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [f[:3] for f in found] == [(0, 0, 1.0)] and peak < 200 << 20
+    whole = list(seeds.windows(texts))
+    monkeypatch.setattr(decontaminate, "HITS", 5000)
+    assert list(seeds.windows(texts)) == whole
+
+
 def test_short_items_are_searched_whole(spark, tmp_path):
     """Items of one and two words, against plain search; they condemn documents only on request."""
     items = [(1, "Alpha"), (2, "beta gamma"), (3, "one two three four"), (4, " "), (5, None)]
