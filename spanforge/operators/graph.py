@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import digest, number as drawn
-from ..functions.vectors import squared_l2
+from ..functions.vectors import squared_l2, vector_mean
 from ..sources.text import require
 
 
@@ -56,6 +56,75 @@ def cluster_sample(sets: DataFrame, positives: DataFrame, anchors: int, size: in
     return rows.select("cluster", "place", "set_id", "k")
 
 
+def batch_nodes(sample: DataFrame, vectors: DataFrame, anchors: int, size: int) -> DataFrame:
+    """(batch, node, set_id, vec): a node for each set that `cluster_sample` chose, with the mean of its rows' vectors; `anchors` clusters of `size`
+    sets are a batch. vectors: (set_id, k, vec)."""
+    rows = sample.join(vectors, ["set_id", "k"])
+    rows = rows.withColumns({"batch": F.floor(F.col("cluster") / anchors), "node": F.col("cluster") % anchors * size + F.col("place")})
+    return vector_mean(rows.select("batch", "node", "set_id", "vec"), ["batch", "node", "set_id"])
+
+
+def batch_edges(nodes: DataFrame, positives: DataFrame) -> DataFrame:
+    """(batch, i, j): the adjacency of the chosen nodes, as the entries that are true: nodes of one set, and those whose sets are
+    positives (set_id, other). A batch is bounded, so this grows with the number of batches."""
+    a = nodes.select("batch", F.col("node").alias("i"), "set_id")
+    b = nodes.select("batch", F.col("node").alias("j"), F.col("set_id").alias("other"))
+    alike = a.join(b.withColumnRenamed("other", "set_id"), ["batch", "set_id"]).select("batch", "i", "j")
+    near = a.join(positives.filter("set_id <> other").distinct(), "set_id").join(b, ["batch", "other"]).select("batch", "i", "j")
+    return alike.unionByName(near)
+
+
+def _mined(strategy: str, margin: float, within: float):
+    """Triplets of one batch: nodes and edges of a batch are one group, of a size that sampling bounds."""
+
+    def run(nodes, edges):
+        import pandas as pd
+
+        nodes = nodes.sort_values("node")
+        ids, at = nodes["node"].to_numpy(), {n: k for k, n in enumerate(nodes["node"])}
+        x = np.array(nodes["vec"].tolist(), float).reshape(len(ids), -1)
+        d = np.round(((x[:, None, :] - x[None, :, :]) ** 2).sum(2), 9)
+        same = np.zeros((len(ids), len(ids)), bool)
+        known = edges[edges["i"].isin(at) & edges["j"].isin(at)]
+        same[known["i"].map(at).to_numpy(int), known["j"].map(at).to_numpy(int)] = True
+        other = ~same
+        np.fill_diagonal(same, False)
+        np.fill_diagonal(other, False)
+        if strategy == "all":
+            a, p, n = np.nonzero(same[:, :, None] & other[:, None, :] & (d[:, :, None] - d[:, None, :] + margin > 0))
+        elif not len(ids):
+            a = p = n = np.zeros(0, int)
+        else:
+            far = np.where(same, d, -np.inf)
+            p = far.argmax(1)
+            d_ap = far.max(1)
+            valid = other if strategy == "hard" else other & (d > d_ap[:, None]) & (d < d_ap[:, None] + within)
+            near = np.where(valid, d, np.inf)
+            n = near.argmin(1)
+            a = np.flatnonzero(d_ap - near.min(1) + margin > 0)
+            p, n = p[a], n[a]
+        batch = nodes["batch"].iloc[0] if len(nodes) else None
+        return pd.DataFrame({"batch": batch, "a": ids[a], "p": ids[p], "n": ids[n], "d_ap": d[a, p], "d_an": d[a, n]})
+
+    return run
+
+
+def mine_batches(nodes: DataFrame, edges: DataFrame, margin: float, strategy: str = "hard", within: float | None = None) -> DataFrame:
+    """(batch, a, p, n, d_ap, d_an): triplets of the nodes (batch, node, vec) of each batch, by its adjacency (batch, i, j), squared L2.
+
+    hard: the farthest positive and the nearest negative of each anchor; semi-hard: the nearest negative that is farther than that positive, by less
+    than `within` (margin, if not given); all: each pair of a positive and a negative. Ties go to the smaller node; only triplets with
+    d_ap - d_an + margin > 0 count. A batch is mined in one task, the batches in parallel.
+    """
+    if strategy not in ("hard", "semi-hard", "all"):
+        raise ValueError(f"unknown strategy: {strategy}")
+    nodes = nodes.select(F.col("batch").cast("long").alias("batch"), F.col("node").cast("long").alias("node"), "vec")
+    edges = edges.select(F.col("batch").cast("long").alias("batch"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
+    both = nodes.groupBy("batch").cogroup(edges.groupBy("batch"))
+    found = both.applyInPandas(_mined(strategy, margin, margin if within is None else within), "batch long, a long, p long, n long, d_ap double, d_an double")
+    return found.filter("batch IS NOT NULL")
+
+
 def pairwise_squared(rows: DataFrame) -> DataFrame:
     """(i, j, d) of all ordered pairs i != j of a mining batch: squared L2."""
     a = rows.select(F.col("row_idx").alias("i"), F.col("label").alias("li"), F.col("vec").alias("v"))
