@@ -147,21 +147,21 @@ def write_archives(pages: DataFrame, path: str, files: int = 4, block_bytes: int
     repeat it. Payloads are grouped by SHA-1 without their bytes; only the join that picks the responses moves payloads, on (SHA-1,
     page_id, url), so a payload that many pages share makes no hot key there, and rows that are repeated are grouped by count.
     """
-    html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("payload"))
-    keyed = keyed.withColumn("sha", F.sha1("payload"))
-    alike = keyed.groupBy("sha", "page_id", "url").agg(F.count("*").alias("copies"), F.max(F.octet_length("payload")).cast("long").alias("n_bytes"))
-    largest = F.max(F.struct(F.col("page_id").isNotNull(), "page_id", "url", "copies"))
-    groups = alike.groupBy("sha").agg(largest.alias("own")).select("sha", F.col("own.page_id").alias("first"), F.col("own.url").alias("own_url"), F.col("own.copies").alias("own_copies"))
-    mine = groups.select(*[F.col(c).alias(f"__{c}") for c in groups.columns])
-    picked = (F.col("sha") == F.col("__sha")) & F.col("page_id").eqNullSafe(F.col("__first")) & F.col("url").eqNullSafe(F.col("__own_url"))
-    single = keyed.join(mine.filter("__own_copies = 1"), picked, "left_semi")
-    repeated = keyed.join(mine.filter("__own_copies > 1"), picked, "left_semi")
-    repeated = repeated.groupBy("sha", "page_id", "url").agg(F.first("payload").alias("payload")).select(*keyed.columns)
-    responses = single.unionByName(repeated)
-    own = F.col("page_id").eqNullSafe(F.col("first")) & F.col("url").eqNullSafe(F.col("own_url"))
-    revisits = alike.join(groups, "sha").withColumn("copies", F.col("copies") - own.cast("long")).filter("copies > 0")
-    revisits = revisits.select("page_id", "url", "n_bytes", "sha", "first", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    # keys without nulls, so that the join and the grouping after it deal rows alike and payloads move once
+    key = ["sha", "page", "no_page", "link", "no_link"]
+    page, link = F.col("page_id").cast("long"), F.col("url").cast("string")
+    named = [F.coalesce(page, F.lit(0)).alias("page"), page.isNull().alias("no_page"), F.coalesce(link, F.lit("")).alias("link"), link.isNull().alias("no_link")]
+    keyed = pages.select(*named, F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
+    alike = keyed.groupBy(*key).agg(F.count("*").alias("copies"), F.max(F.octet_length("payload")).cast("long").alias("n_bytes"))
+    largest = F.max(F.struct(~F.col("no_page"), "page", ~F.col("no_link"), "link"))
+    groups = alike.groupBy("sha").agg(largest.alias("own")).select("sha", F.col("own.page").alias("page"), (~F.col("own.col1")).alias("no_page"), F.col("own.link").alias("link"), (~F.col("own.col3")).alias("no_link"))
+    responses = keyed.join(groups, key, "left_semi").groupBy(*key).agg(F.first("payload").alias("payload"))
+    first = groups.select("sha", *[F.col(c).alias(f"first_{c}") for c in key[1:]])
+    own = (F.col("page") == F.col("first_page")) & (F.col("no_page") == F.col("first_no_page")) & (F.col("link") == F.col("first_link")) & (F.col("no_link") == F.col("first_no_link"))
+    revisits = alike.join(first, "sha").withColumn("copies", F.col("copies") - own.cast("long")).filter("copies > 0")
+    told = [F.when(~F.col("no_page"), F.col("page")).alias("page_id"), F.when(~F.col("no_link"), F.col("link")).alias("url"), F.lower(F.hex("sha")).alias("sha")]
+    responses = responses.select(*told, "payload")
+    revisits = revisits.select(*told, "n_bytes", F.when(~F.col("first_no_page"), F.col("first_page")).alias("first"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     blocks = responses.mapInArrow(_pack("response", files, block_bytes, segment_bytes), _ARCHIVE)
     blocks = blocks.unionByName(revisits.mapInArrow(_pack("revisit", files, block_bytes, segment_bytes), _ARCHIVE))
     blocks.write.parquet(path)
