@@ -46,7 +46,10 @@ def similarity_summary(scores: DataFrame, small: float = 0.05) -> DataFrame:
 
 def scatter_mean(df: DataFrame, index: str, vec: str, width: int) -> DataFrame:
     """Mean vector of each index 0 … the largest; zeros where there is none."""
-    spine = df.agg(F.max(index).alias("top")).select(F.explode(F.sequence(F.lit(0), F.col("top"))).alias(index))
+    # the spine unfolds in two steps, so that no task lists all of it
+    blocks = df.agg(F.max(index).alias("top")).select("top", F.explode(F.sequence(F.lit(0), F.shiftright("top", 16))).alias("__b")).repartition("__b")
+    first = F.shiftleft("__b", 16)
+    spine = blocks.select(F.explode(F.sequence(first, F.least(F.col("top"), first + 65_535))).alias(index))
     means = vector_mean(df, [index], vec, "vec")
     return spine.join(means, index, "left").select(index, F.coalesce("vec", F.array_repeat(F.lit(0.0), width)).alias("vec"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import intersects
+from ..sources.text import numbered
 
 
 def _is_long(prefix: str, width: int, most: int) -> Column:
@@ -92,8 +93,9 @@ def common_items(left: DataFrame, right: DataFrame, group: list[str] | None = No
     """Items (item, rank) of both rankings with their new ranks, relative order kept: item, left_rank, right_rank."""
     group = group or []
     both = left.withColumnRenamed("rank", "l").join(right.withColumnRenamed("rank", "r"), [*group, "item"])
-    rank = lambda c: F.row_number().over(Window.partitionBy(*group).orderBy(c))
-    return both.select(*group, "item", rank("l").alias("left_rank"), rank("r").alias("right_rank"))
+    both = both.withColumn("__group", F.struct(*group) if group else F.lit(0))
+    ranked = numbered(numbered(both, "l", "__group", "left_rank"), "r", "__group", "right_rank")
+    return ranked.select(*group, "item", *[(F.col(c) + 1).alias(c) for c in ("left_rank", "right_rank")])
 
 
 def require_same_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import digest
 from ..functions.vectors import l2
+from ..sources.text import numbered
 
 
 def rank_all(sets: DataFrame) -> DataFrame:
@@ -29,6 +30,17 @@ def one_to_many(sets: DataFrame, query: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.round("dist", 9), "other")))
 
 
+#: Fixed value: how a checkpoint's file is named.
+CHECKPOINT_TIME = "yyyy-MM-dd_HH-mm-ss"
+
+
+def loss_curve(checkpoints: DataFrame, every: int = 100) -> DataFrame:
+    """(step, train_loss, eval_loss) of checkpoints (name, train_loss, eval_loss) in the order of the times that name them, one each `every` steps.
+    A name that is no time is an error."""
+    rows = checkpoints.withColumn("__time", F.unix_timestamp("name", CHECKPOINT_TIME)).withColumn("__all", F.lit(0))
+    return numbered(rows, "__time", "__all", "place").select((F.col("place") * every).alias("step"), "train_loss", "eval_loss")
+
+
 def invert(df: DataFrame, col: str) -> DataFrame:
     """The largest value less each."""
     return df.join(F.broadcast(df.agg(F.max(col).alias("__top")))).withColumn(col, F.col("__top") - F.col(col)).drop("__top")

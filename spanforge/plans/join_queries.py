@@ -151,9 +151,3 @@ def cv_split(spark, d):
     return P.cv_split(views.set_vecs(spark, d).select(F.col("set_id").alias("name")).distinct())
 
 
-@query("SELECT a.label AS a, b.label AS b, count(*) AS n FROM vecs a, (SELECT DISTINCT label FROM vecs) b GROUP BY 1, 2")
-def all_pairs(spark, d):
-    sets = views.vecs(spark, d).groupBy("label").agg(F.count("*").alias("n"))
-    return sets.select(F.col("label").alias("a"), "n").crossJoin(F.broadcast(sets.select(F.col("label").alias("b")))).select("a", "b", "n")
-
-

@@ -115,6 +115,14 @@ def rank_l2(spark, d):
     return _r(_ranked(spark, d), "dist")
 
 
+@query(_MEAN + "SELECT base, list(other ORDER BY rank) AS others, list(round(dist, 6) ORDER BY rank) AS dists FROM rk GROUP BY base")
+def all_pairs(spark, d):
+    """The ranking of all sets for each set, as one row: names from the nearest on, and how far they are."""
+    ranking = F.array_sort(F.collect_list(F.struct("rank", "other", "dist")))
+    rows = _r(_ranked(spark, d), "dist").groupBy("base").agg(ranking.alias("r"))
+    return rows.select("base", F.transform("r", lambda x: x["other"]).alias("others"), F.transform("r", lambda x: x["dist"]).alias("dists"))
+
+
 @query(_MEAN + "SELECT other, round(dist, 6) AS dist, rank FROM rk WHERE base = 'cell1_state1'")
 def one_to_many(spark, d):
     return _r(R.one_to_many(V.vector_mean(views.set_vecs(spark, d), ["set_id"]), "cell1_state1"), "dist")
@@ -192,7 +200,9 @@ def latest_checkpoint(spark, d):
     return paths.agg(F.max_by("path", F.to_timestamp(F.substring("path", 5, 15), "yyyyMMdd_HHmmss")).alias("path"))
 
 
-@query("SELECT row_idx, (row_number() OVER (ORDER BY row_idx) * 100)::BIGINT AS step FROM vecs")
+@query("""WITH c AS (SELECT (row_idx * 7919) % 1000003 AS t, vec FROM vecs)
+SELECT (row_number() OVER (ORDER BY t) - 1) * 100 AS step, round(vec[1], 6) AS train_loss, round(vec[2], 6) AS eval_loss FROM c""")
 def loss_curve(spark, d):
-    w = Window.orderBy("row_idx")  # one row a checkpoint
-    return views.vecs(spark, d).select("row_idx", (F.row_number().over(w) * 100).cast("long").alias("step"))
+    v = views.vecs(spark, d)
+    name = F.date_format(F.timestamp_seconds(1704067200 + (F.col("row_idx") * 7919) % 1000003), R.CHECKPOINT_TIME)
+    return _r(R.loss_curve(v.select(name.alias("name"), F.col("vec")[0].alias("train_loss"), F.col("vec")[1].alias("eval_loss"))), "train_loss", "eval_loss")
