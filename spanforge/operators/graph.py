@@ -80,6 +80,8 @@ def _mined(strategy: str, margin: float, within: float):
     def run(nodes, edges):
         import pandas as pd
 
+        if not len(nodes):
+            return pd.DataFrame({"batch": [], "a": [], "p": [], "n": [], "d_ap": [], "d_an": []})
         nodes = nodes.sort_values("node")
         ids, at = nodes["node"].to_numpy(), {n: k for k, n in enumerate(nodes["node"])}
         x = np.array(nodes["vec"].tolist(), float).reshape(len(ids), -1)
@@ -92,8 +94,6 @@ def _mined(strategy: str, margin: float, within: float):
         np.fill_diagonal(other, False)
         if strategy == "all":
             a, p, n = np.nonzero(same[:, :, None] & other[:, None, :] & (d[:, :, None] - d[:, None, :] + margin > 0))
-        elif not len(ids):
-            a = p = n = np.zeros(0, int)
         else:
             far = np.where(same, d, -np.inf)
             p = far.argmax(1)
@@ -103,8 +103,7 @@ def _mined(strategy: str, margin: float, within: float):
             n = near.argmin(1)
             a = np.flatnonzero(d_ap - near.min(1) + margin > 0)
             p, n = p[a], n[a]
-        batch = nodes["batch"].iloc[0] if len(nodes) else None
-        return pd.DataFrame({"batch": batch, "a": ids[a], "p": ids[p], "n": ids[n], "d_ap": d[a, p], "d_an": d[a, n]})
+        return pd.DataFrame({"batch": nodes["batch"].iloc[0], "a": ids[a], "p": ids[p], "n": ids[n], "d_ap": d[a, p], "d_an": d[a, n]})
 
     return run
 
@@ -121,8 +120,7 @@ def mine_batches(nodes: DataFrame, edges: DataFrame, margin: float, strategy: st
     nodes = nodes.select(F.col("batch").cast("long").alias("batch"), F.col("node").cast("long").alias("node"), "vec")
     edges = edges.select(F.col("batch").cast("long").alias("batch"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
     both = nodes.groupBy("batch").cogroup(edges.groupBy("batch"))
-    found = both.applyInPandas(_mined(strategy, margin, margin if within is None else within), "batch long, a long, p long, n long, d_ap double, d_an double")
-    return found.filter("batch IS NOT NULL")
+    return both.applyInPandas(_mined(strategy, margin, margin if within is None else within), "batch long, a long, p long, n long, d_ap double, d_an double")
 
 
 def pairwise_squared(rows: DataFrame) -> DataFrame:

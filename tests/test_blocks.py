@@ -47,19 +47,21 @@ def joined(found):
     return out
 
 
-@pytest.mark.parametrize(("size", "width", "end", "block", "margin"), [("1k", 60, "\n", 64, 64), ("300b", 7, "\r\n", 100, 10), ("4k", 100_000, "\n", 1000, 500), ("1m", 60, "\n", 64, 1)])
+@pytest.mark.parametrize(("size", "width", "end", "block", "margin"), [("2k", 60, "\n", 64, 64), ("300b", 7, "\r\n", 100, 10), ("4k", 100_000, "\n", 1000, 500), ("1m", 60, "\n", 64, 1)])
 def test_fasta_in_blocks(spark, tmp_path, size, width, end, block, margin):
     rng = random.Random(width)
-    a, b = records(rng, (0, 1, 5000, 64, 0, 3)), {f"t{k}": v for k, v in records(rng, (9000, 128)).items()}
+    n = 1200 if size == "300b" else 6000
+    a, b = records(rng, (0, 1, n, 64, 0, 3)), {f"t{k}": v for k, v in records(rng, (2 * n, 128)).items()}
     write(tmp_path / "a.fa", a, width, end)
     write(tmp_path / "b.fa", b, width, end)
     with splits_of(spark, size):
         found = fasta.read_blocks(spark, [f"{tmp_path}/a.fa", f"{tmp_path}/b.fa"], block, margin)
         assert joined(found) == {k: v for k, v in (a | b).items() if v}
         assert {r["chrom"]: r["size"] for r in found.sizes.collect()} == {k: len(v) for k, v in (a | b).items()}
-        stored = found.store(f"{tmp_path}/stored")
-        assert (stored.block, stored.margin) == (block, margin) and joined(stored) == joined(found)
-        assert joined(blocks.load(spark, f"{tmp_path}/stored")) == joined(found)
+        if size == "4k":
+            stored = found.store(f"{tmp_path}/stored")
+            assert (stored.block, stored.margin) == (block, margin)
+            assert joined(blocks.load(spark, f"{tmp_path}/stored")) == joined(found)
 
 
 def test_one_long_record_is_read_by_many_tasks(spark, tmp_path):
