@@ -10,9 +10,17 @@ from ..functions.sequences import AS_TOKEN, letter_numbers, reverse_complement
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(path, value) of all files below path, whole; Spark passes over empty files."""
+    """(path, value) of all files below path, whole. Spark's scan passes over empty files, so those come from the folder's listing, which the
+    driver reads as it does for any scan; names that start with _ or . are no examples."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.decode("content", "UTF-8").alias("value"))
+    found = files.select("path", F.decode("content", "UTF-8").alias("value"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed, empty = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while listed.hasNext():
+        one = listed.next()
+        if one.getLen() == 0 and not one.getPath().getName().startswith(("_", ".")):
+            empty.append((one.getPath().toString(), ""))
+    return found.unionByName(spark.createDataFrame(empty, "path string, value string")) if empty else found
 
 
 def parse(files: DataFrame, max_length: int, augment: bool = False, seed: int = 42) -> DataFrame:

@@ -155,11 +155,11 @@ def test_letters_from_blocks(spark):
 def test_labelled_folders(spark, tmp_path):
     from spanforge.sources import labelled
 
-    for label, name, text in (("pos", "a.txt", "ACGTN\n"), ("neg", "b.txt", "\n"), ("neg", "c.txt", "TTTTTTTT")):
+    for label, name, text in (("pos", "a.txt", "ACGTN\n"), ("neg", "b.txt", "\n"), ("neg", "c.txt", "TTTTTTTT"), ("neg", "d.txt", ""), ("neg", "_SUCCESS", "")):
         (tmp_path / label).mkdir(exist_ok=True)
         (tmp_path / label / name).write_text(text)
     rows = {r["path"][-5]: r for r in labelled.parse(labelled.read(spark, str(tmp_path)), 5).collect()}
-    assert {k: (r["label"], r["label_idx"], r["seq"]) for k, r in rows.items()} == {"a": ("pos", 1, "ACGTN"), "b": ("neg", 0, ""), "c": ("neg", 0, "TTTTT")}
+    assert {k: (r["label"], r["label_idx"], r["seq"]) for k, r in rows.items()} == {"a": ("pos", 1, "ACGTN"), "b": ("neg", 0, ""), "c": ("neg", 0, "TTTTT"), "d": ("neg", 0, "")}
     assert rows["a"]["tokens"] == [0, 2, 3, 1, None, 4] and rows["b"]["tokens"] == [4]
 
 
