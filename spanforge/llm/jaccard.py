@@ -562,8 +562,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     with up to WHOLE members all sketches are compared, and pairs of different components that sizes and sketches allow are
     verified: one a member first, then what is still apart. In a larger one all members are compared with its
     hub, and members not linked to it meet those whose differences from the hub overlap theirs enough (see `_verify`); where many do, they
-    are a bucket of the next round. So no link between components is lost, and rows grow with the members of a group, not with
-    their square. Buckets still that large after ROUNDS rounds are compared by sketches too (there, time grows with the square).
+    are a bucket of the next round. So no link between components is lost. Rows grow with the members of a group of near
+    copies, not with their square; sets that are nearly but not quite similar to each other, all of them, are verified in pairs, and those
+    grow with the square of their number. Buckets still that large after ROUNDS rounds are compared by sketches too (there, time grows with the square).
     Null or empty text: no shingles, linked with nothing. Null doc_id: counted, linked with nothing, component_id null. Rows that share a doc_id
     are one node of the graph. No rows in, none out; columns besides doc_id and text are not read.
     """
