@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import intervals as I
 from ..functions import sequences as S
 from ..functions import vectors as V
+from ..functions.columns import rounded
 from ..operators import embed as E
 from ..operators import transforms as T
 from ..sources import bed
@@ -93,7 +94,7 @@ w AS (SELECT t.*, least(t."end", b."end") - greatest(t.start, b.start) AS bp FRO
 SELECT row_idx, start, "end", bp, round(bp / sum(bp) OVER (PARTITION BY row_idx), 6) AS weight FROM w""")
 def tile_weights(spark, d):
     b = _base(spark, d)
-    return T.tile_weights(b, T.tile(b, 64, 4, 4)).select("row_idx", "start", "end", "bp", F.round("weight", 6).alias("weight"))
+    return T.tile_weights(b, T.tile(b, 64, 4, 4)).select("row_idx", "start", "end", "bp", rounded("weight", 6).alias("weight"))
 
 
 _TWICE = """WITH c AS (SELECT row_idx AS base_idx, chrom, start AS s, "end" AS e, o // 300 AS k1, o FROM (SELECT *, unnest(range(0, "end" - start, 300)) AS o FROM iv_sample)),
@@ -130,7 +131,7 @@ def backward_transform(spark, d):
     b = _base(spark, d)
     b = b.unionByName(b.filter("row_idx % 10 = 0").select((-F.col("row_idx") - 1).alias("row_idx"), "chrom", "start", F.col("start").alias("end")))
     new = T.apply(b, T.chunk_max(300)).withColumn("vec", F.array((F.col("end") - F.col("start")).cast("double"), (F.col("start") % 7).cast("double")))
-    return T.backward_mean(b, new).select("row_idx", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+    return T.backward_mean(b, new).select("row_idx", F.transform("vec", lambda x: rounded(x, 6)).alias("vec"))
 
 
 @query('SELECT row_idx AS base_idx, chrom, start, "end" FROM iv_sample, (VALUES (1), (2), (3)) t(k)')
@@ -201,7 +202,7 @@ def overlap_bp(spark, d):
 
 @query(_PAIR + "SELECT row_idx, round(CASE WHEN qc = sc AND ov > 0 THEN ov / least(qe - qs, se - ss) ELSE 0 END, 6) AS share FROM o")
 def overlap_fraction(spark, d):
-    return _pairs(spark, d).select("row_idx", F.round(I.overlap_fraction("q_", "s_"), 6).alias("share"))
+    return _pairs(spark, d).select("row_idx", rounded(I.overlap_fraction("q_", "s_"), 6).alias("share"))
 
 
 @query(_PAIR + "SELECT row_idx, qc = sc AND ov > 0 AS hit FROM o")
@@ -211,7 +212,7 @@ def intersects(spark, d):
 
 @query(_PAIR + "SELECT row_idx, round(CASE WHEN qc = sc THEN greatest(-ov, 0) / 1e6 ELSE 'inf'::DOUBLE END, 6) AS mb FROM o")
 def genome_distance(spark, d):
-    return _pairs(spark, d).select("row_idx", F.round(I.genome_distance("q_", "s_"), 6).alias("mb"))
+    return _pairs(spark, d).select("row_idx", rounded(I.genome_distance("q_", "s_"), 6).alias("mb"))
 
 
 @query(_PAIR + "SELECT row_idx, qc = sc AS same FROM o")
@@ -229,7 +230,7 @@ def chrom_id(spark, d):
 
 @query('SELECT row_idx, round(log2("end" - start), 6) AS log2_len FROM iv_sample')
 def log2_len(spark, d):
-    return _base(spark, d).select("row_idx", F.round(I.log2_length(), 6).alias("log2_len"))
+    return _base(spark, d).select("row_idx", rounded(I.log2_length(), 6).alias("log2_len"))
 
 
 # sequences
@@ -282,7 +283,7 @@ _ACGT = "(length(p) - length(replace(p, '{0}', '')))::DOUBLE"
 @query("WITH c AS (SELECT chrom, unnest(range(0, length(seq), 50)) AS i, seq FROM sequences), p AS (SELECT chrom, substr(seq, i + 1, 50) AS p FROM c) SELECT chrom AS idx, [" + ", ".join(f"round(avg({_ACGT.format(x)}), 6)" for x in "ACGT") + "] AS vec FROM p GROUP BY chrom UNION ALL SELECT chrom, NULL FROM sequences WHERE seq = ''")
 def dechunk_mean(spark, d):
     s = views.sequences(spark, d).select(F.col("chrom").alias("idx"), "seq")
-    return E.dechunk_mean(s, 50, E.CountAcgt()).select("idx", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+    return E.dechunk_mean(s, 50, E.CountAcgt()).select("idx", F.transform("vec", lambda x: rounded(x, 6)).alias("vec"))
 
 
 @query("SELECT chrom, [instr('ACGTN', x) - 1 FOR x IN string_split(seq, '') IF x <> '']::INT[] AS numbers FROM sequences")
@@ -298,7 +299,7 @@ def upper_tokens(spark, d):
 @query('WITH p AS (SELECT i.row_idx, substr(s.seq, i.start + o + 1, least(10, i."end" - i.start - o)) AS p FROM (SELECT *, unnest(range(0, "end" - start, 10)) AS o FROM seq_iv) i JOIN sequences s USING (chrom)) SELECT row_idx, [' + ", ".join(f"round(avg({_ACGT.format(x)}), 6)" for x in "ACGT") + "] AS vec FROM p GROUP BY row_idx")
 def embed_pipeline(spark, d):
     out = E.embed(views.seq_iv(spark, d), views.sequences(spark, d), E.CountAcgt(10), longest=_LONGEST)
-    return out.select("row_idx", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+    return out.select("row_idx", F.transform("vec", lambda x: rounded(x, 6)).alias("vec"))
 
 
 def _count_letters(texts):
@@ -308,7 +309,7 @@ def _count_letters(texts):
 @query('WITH p AS (SELECT i.row_idx, substr(s.seq, i.start + o + 1, least(10, i."end" - i.start - o)) AS p FROM (SELECT *, unnest(range(0, "end" - start, 10)) AS o FROM seq_iv) i JOIN sequences s USING (chrom)) SELECT row_idx, [' + ", ".join(f"round(avg({_ACGT.format(x)}), 6)" for x in "ACGT") + "] AS vec FROM p GROUP BY row_idx")
 def embed_plugin(spark, d):
     out = E.embed_with(views.seq_iv(spark, d), views.sequences(spark, d), E.FunctionModel(_count_letters, 10, 4), longest=_LONGEST)
-    return out.select("row_idx", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+    return out.select("row_idx", F.transform("vec", lambda x: rounded(x, 6)).alias("vec"))
 
 
 def _waves(pos: str) -> str:
@@ -316,7 +317,7 @@ def _waves(pos: str) -> str:
 
 
 def _rounded(vec):
-    return F.transform(vec, lambda x: F.round(x, 6))
+    return F.transform(vec, lambda x: rounded(x, 6))
 
 
 @query(f"SELECT row_idx, {_waves('start')} AS vec FROM iv_sample")
@@ -337,7 +338,7 @@ SELECT round(avg(list_distance(w, m)), 6) AS error, count(*) AS n FROM w JOIN m
 def chunk_mean_error(spark, d):
     rows = E.look_up(views.seq_iv(spark, d), views.sequences(spark, d), _LONGEST)
     whole, parts = (E.of_letters(F.col("letters"), model) for model in (E.CountAcgt(), E.CountAcgt(10)))
-    return rows.select(V.l2(whole, parts).alias("e")).agg(F.round(F.avg("e"), 6).alias("error"), F.count("*").alias("n"))
+    return rows.select(V.l2(whole, parts).alias("e")).agg(rounded(F.avg("e"), 6).alias("error"), F.count("*").alias("n"))
 
 
 @query("""WITH l AS (SELECT i.row_idx, substr(s.seq, i.start + 1, i."end" - i.start) AS l, i."end" - i.start AS n FROM seq_iv i JOIN sequences s USING (chrom)),
@@ -351,7 +352,7 @@ def split_mean_error(spark, d):
     at = T.split(3)(F.lit(0).cast("long"), F.col("end") - F.col("start"))
     pieces = F.transform(at, lambda x: F.substring("letters", (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")))
     whole, parts = E.of_letters(F.col("letters"), E.CountAcgt()), V.mean_of(F.transform(pieces, lambda x: S.count_acgt(x)))
-    return rows.select(V.l2(whole, parts).alias("e")).agg(F.round(F.avg("e"), 6).alias("error"), F.count("*").alias("n"))
+    return rows.select(V.l2(whole, parts).alias("e")).agg(rounded(F.avg("e"), 6).alias("error"), F.count("*").alias("n"))
 
 
 _TILE_SIZES = """WITH RECURSIVE iv AS (SELECT row_idx % 5 AS set_id, row_idx, chrom, start, "end" FROM seq_iv), m AS (SELECT round_even(avg("end" - start), 0)::BIGINT AS m FROM iv),
@@ -380,7 +381,7 @@ def tiling_error(spark, d):
 
     iv = views.seq_iv(spark, d).select((F.col("row_idx") % 5).alias("set_id"), *_IV)
     embed = lambda rows: E.embed(rows.withColumn("start", F.greatest("start", F.lit(0))), views.sequences(spark, d), E.CountAcgt(), longest=2 * _LONGEST)
-    return run(iv, embed).select("size", F.round("error", 6).alias("error"), F.round("error95", 6).alias("error95"), "sets")
+    return run(iv, embed).select("size", rounded("error", 6).alias("error"), rounded("error95", 6).alias("error95"), "sets")
 
 
 @query("""WITH n AS (SELECT row_idx AS base_idx, unnest(range(0, greatest(("end" - start + 499) // 500, 0))) AS k, start, "end" FROM iv_sample)
