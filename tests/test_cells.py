@@ -25,3 +25,36 @@ def test_pairwise_goes_by_cells(spark):
     assert got.keys() == {(i, j) for i in rows for j in rows if i != j} and found.count() == len(got)
     for (i, j), (same, d) in got.items():
         assert same == (None if 90 in (i, j) else rows[i][0] == rows[j][0]) and abs(d - ((rows[i][1] - rows[j][1]) ** 2).sum()) < 1e-12
+
+
+def test_gdst_is_over_all_pairs(spark, tmp_path):
+    import duckdb
+
+    from spanforge.plans import registry
+
+    con = duckdb.connect()
+    con.execute("SELECT setseed(0.5)")
+    con.execute(f"COPY (SELECT i::BIGINT AS vec_id, list_transform(range(64), lambda k: (hash(i * 64 + k) % 1000 / 1000.0)::FLOAT) AS embedding, 1 AS label FROM range(300) t(i)) TO '{tmp_path}/embeddings.parquet'")
+    con.execute(f"COPY (SELECT i::BIGINT AS event_id, (i % 40 // 38)::BIGINT AS user_id, 'a' AS event_type, (i % 17)::DOUBLE AS value, TIMESTAMP '2024-01-01' + to_seconds(i * 6737) AS ts FROM range(300) t(i)) TO '{tmp_path}/events.parquet'")
+    for t in ("embeddings", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    from spanforge.operators.embedding_stats import gdst_all
+    from spanforge.plans import views
+
+    want = con.execute(registry.ORACLE["gdst"]).fetchone()
+    assert tuple(registry.QUERIES["gdst"](spark, str(tmp_path)).first()) == want
+    small = gdst_all(views.vec_iv(spark, str(tmp_path)), 32).first()
+    assert want[0] > 20_000 and small[0] == want[0] and abs(small[1] - want[1]) < 1e-6 and abs(small[2] - want[2]) < 1e-6
+    assert tuple(gdst_all(views.vec_iv(spark, str(tmp_path)).filter("false")).first()) == (0, None, None)
+
+
+def test_examples_have_one_form_at_any_length(spark):
+    from spanforge.llm import chat
+
+    turns = [(c, k, ("user", "assistant")[k % 2], "x" * n) for c, n in ((1, 5), (2, 9000)) for k in range(8)]
+    rows = chat.expand_prefix_targets(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    for c in (1, 2):
+        before = 0
+        for r in sorted((r for r in rows if r["conv_id"] == c), key=lambda r: r["example_no"]):
+            assert r["context_chars"] == before
+            before += len(r["text"])
