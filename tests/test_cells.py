@@ -58,3 +58,33 @@ def test_examples_have_one_form_at_any_length(spark):
         for r in sorted((r for r in rows if r["conv_id"] == c), key=lambda r: r["example_no"]):
             assert r["context_chars"] == before
             before += len(r["text"])
+
+
+def test_a_key_of_many_rows_is_not_one_task(spark):
+    from pyspark.sql import functions as F
+
+    from spanforge.operators.joins import upper_pairs
+
+    df = spark.range(200).select("id", F.lit(1).alias("k")).unionByName(spark.createDataFrame([(None, 1), (5, None)], "id long, k int"))
+    found = upper_pairs(df, "id", "k", block=20)
+    assert sorted((r["a_id"], r["b_id"]) for r in found.collect()) == [(i, j) for i in range(200) for j in range(i + 1, 200)]
+    assert "__own" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_neighbours_in_small_pieces(spark, monkeypatch):
+    import numpy as np
+
+    from spanforge.operators import knn as K
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(300, 5)).round(1)
+    v[100:140] = v[3]
+    df = spark.createDataFrame([(i, v[i].tolist()) for i in range(300)], "id long, vec array<double>")
+    for metric in ("l2", "ip"):
+        score = np.round(np.sqrt(((v[:, None] - v[None]) ** 2).sum(2)) if metric == "l2" else -(v @ v.T), 9)
+        want = {(i, r + 1, j) for i in range(300) for r, j in enumerate([j for j in np.lexsort((np.arange(300), score[i])).tolist() if j != i][:7])}
+        best = K._Best(np.arange(300), v, 7, metric, True)
+        for lo in range(0, 300, 37):
+            best._add(np.arange(lo, min(lo + 37, 300)), v[lo : lo + 37])
+        assert {(i, r + 1, int(j)) for i in range(300) for r, j in enumerate(best.found[i])} == want
+        assert {(r["query"], r["rank"], r["found"]) for r in K.knn(df, df, 7, metric, skip_self=True).collect()} == want
