@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import overlap_fraction
 from ..functions.vectors import vector_mean
+from .joins import BIN
+from .overlaps import binned
 from .selection import at_places, percentile
 
 
@@ -76,8 +81,18 @@ def recall_by_overlap(truth: DataFrame, found: Column | DataFrame) -> DataFrame:
         truth = truth.join(found.select(*keys).distinct().withColumn("__hit", F.lit(True)), keys, "left")
         found = F.coalesce("__hit", F.lit(False))
     got = truth.groupBy(F.rint(overlap_fraction("q_", "s_") * 10).cast("int").alias("bin")).agg(F.count("*").alias("total"), F.count_if(found).alias("hits"))
-    spine = truth.sparkSession.range(11).select(F.col("id").cast("int").alias("bin"))
-    return spine.join(got, "bin", "left").select("bin", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("hits", F.lit(0)).alias("hits"), (F.col("hits") / F.col("total")).alias("recall"))
+    return _all_bins(got)
+
+
+def _all_bins(got: DataFrame) -> DataFrame:
+    spine = got.sparkSession.range(11).select(F.col("id").cast("int").alias("bin"))
+    return spine.join(got, "bin", "left").select("bin", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("hits", F.lit(0)).alias("hits"), (F.col("hits") / F.nullif(F.col("total"), F.lit(0))).alias("recall"))
+
+
+def recall_of_overlaps(query: DataFrame, sample: DataFrame, found: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """recall_by_overlap of all pairs of the two that meet: found tells by arrays of their row_idx which are found. Pairs are made and
+    counted within tasks; what leaves them are counts."""
+    return _all_bins(binned(query, sample, found, BIN, 64))
 
 
 def recall_at_least(bins: DataFrame) -> DataFrame:
@@ -86,9 +101,9 @@ def recall_at_least(bins: DataFrame) -> DataFrame:
     return bins.select("bin", (F.sum("hits").over(w) / F.nullif(F.sum("total").over(w), F.lit(0))).alias("recall"))
 
 
-def hit_counts(hits: DataFrame, query: str) -> DataFrame:
-    """One row: hits, queries with any, the most of one query."""
-    per = hits.groupBy(query).agg(F.count("*").alias("n"))
+def hit_counts(hits: DataFrame, query: str, n: str | None = None) -> DataFrame:
+    """One row: hits, queries with any, the most of one query. hits: a row a hit, or, with n, a row a query with its number of hits."""
+    per = hits.select(F.col(n).alias("n")) if n else hits.groupBy(query).agg(F.count("*").alias("n"))
     return per.agg(F.sum("n").alias("hits"), F.count("*").alias("queries"), F.max("n").alias("deepest"))
 
 
