@@ -61,3 +61,16 @@ def test_no_pairs_are_shuffled(spark, sf):
 
     plan = QUERIES["distinct_hits"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan.split("MapInArrow")[0]
+
+
+def test_cct_counts_pairs_where_they_are_made(spark):
+    """Also with ids of several rows, empty and reversed intervals; what is grouped after the join is a row a task, not a row a pair."""
+    from spanforge.operators import embedding_stats as S
+
+    rng = random.Random(5)
+    rows = [(i, f"chr{rng.randrange(2)}", s := rng.randrange(-3000, 9000), s + rng.choice([0, 1, 5, 700, 6000, -50])) for i in [*range(80), *range(5), 3]]
+    at = lambda s, e, k: (s * 16 + (e - s) * (2 * k + 1)) // 16
+    want = {(i, j) for i, c, s, e in rows for j, d, lo, hi in rows if i < j and c == d and any(lo <= at(s, e, k) <= hi for k in range(8))}
+    found = S.cct_intersection(spark.createDataFrame(rows, "row_idx long, chrom string, start long, end long"))
+    assert found.first()["pairs"] == len(want)
+    assert "Aggregate [i#" not in found._jdf.queryExecution().optimizedPlan().toString()
