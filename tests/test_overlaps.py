@@ -74,3 +74,14 @@ def test_cct_counts_pairs_where_they_are_made(spark):
     found = S.cct_intersection(spark.createDataFrame(rows, "row_idx long, chrom string, start long, end long"))
     assert found.first()["pairs"] == len(want)
     assert "Aggregate [i#" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_true_pairs_of_a_search_are_not_made(spark, sf):
+    from spanforge.operators import search as X
+    from spanforge.plans.registry import QUERIES
+
+    q, s, pairs = sides(spark)
+    hits = pairs.filter("(q_row_idx + s_row_idx) % 3 = 0").select("q_row_idx", "s_row_idx")
+    got = X.compare(q, s, hits).first()
+    assert (got["truth"], got["found"]) == (pairs.count(), hits.count())
+    assert "LeftOuter" not in QUERIES["search_benchmark"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
