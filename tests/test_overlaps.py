@@ -82,6 +82,6 @@ def test_true_pairs_of_a_search_are_not_made(spark, sf):
 
     q, s, pairs = sides(spark)
     hits = pairs.filter("(q_row_idx + s_row_idx) % 3 = 0").select("q_row_idx", "s_row_idx")
-    got = X.compare(q, s, hits).first()
+    got = X.compare(X.true_pairs(q, s), X.found_pairs(q, s, hits)).first()
     assert (got["truth"], got["found"]) == (pairs.count(), hits.count())
     assert "LeftOuter" not in QUERIES["search_benchmark"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
