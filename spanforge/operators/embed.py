@@ -45,9 +45,10 @@ def _outside(intervals: DataFrame, sizes: DataFrame) -> DataFrame:
     return worst.join(sizes, "chrom", "left").filter(wrong)
 
 
-def look_up(intervals: DataFrame, sequences: DataFrame | SequenceBlocks, longest: int | None = None, **sizes: int) -> DataFrame:
+def look_up(intervals: DataFrame, sequences: DataFrame | SequenceBlocks, longest: int | None = None, anywhere: bool = False, **sizes: int) -> DataFrame:
     """The letters of each interval; a chromosome that sequences lack, a negative start or an interval longer than its sequence
-    is an error, what lies beyond the end is cut off. sequences: blocks, or rows (chrom, seq), which are cut into blocks first.
+    is an error, what lies beyond the end is cut off; with `anywhere`, for places that are not below 0 but may be anywhere else,
+    there are no such errors and no pass for them. sequences: blocks, or rows (chrom, seq), which are cut into blocks first.
 
     Intervals meet the letters by (chrom, block), so that a chromosome is neither one key nor one row. One of up to `margin`
     letters lies in the block that it starts in; a longer one takes a piece from each block it meets, and its pieces are put
@@ -69,7 +70,8 @@ def look_up(intervals: DataFrame, sequences: DataFrame | SequenceBlocks, longest
     is_long = F.coalesce(end - start > margin, F.lit(False))
     short = intervals if longest is not None else intervals.filter(~is_long)
     short = short.withColumn(number, checked).join(letters, ["chrom", number], "left").select(*cols, found.alias("letters"))
-    none = _outside(intervals, blocks.sizes).select(*[F.lit(None).cast(kind).alias(c) for c, kind in [*intervals.dtypes, ("letters", "string")]])
+    none = intervals.limit(0) if anywhere else _outside(intervals, blocks.sizes)
+    none = none.select(*[F.lit(None).cast(kind).alias(c) for c, kind in [*intervals.dtypes, ("letters", "string")]])
     if longest is not None:
         return short.unionByName(none)
     last = F.greatest(F.floor((end - 1) / block), first)
@@ -84,18 +86,20 @@ def look_up(intervals: DataFrame, sequences: DataFrame | SequenceBlocks, longest
 
 def of_letters(letters: Column, model, pool: Callable[[Column], Column] = mean_of) -> Column:
     """The vector of a string: it is cut into chunks of the model's length, the model is run on each, and their plain mean
-    (or another `pool` of the array of vectors) is taken. All chunks are in one row, so that needs no shuffle."""
-    size = model.max_seq_len or (1 << 30)
-    parts = F.when(F.length(letters) == 0, F.array(F.lit(""))).otherwise(S.chunks(letters, size))
+    (or another `pool` of the array of vectors) is taken. All chunks are in one row, so that needs no shuffle. Without such a
+    length the string is one chunk, whose vector is its own mean."""
+    if model.max_seq_len is None:
+        return F.when(letters.isNotNull(), model(letters) if pool is mean_of else pool(F.array(model(letters))))
+    parts = F.when(F.length(letters) == 0, F.array(F.lit(""))).otherwise(S.chunks(letters, model.max_seq_len))
     return pool(F.transform(parts, model))
 
 
-def embed(intervals: DataFrame, sequences: DataFrame | SequenceBlocks | None, model, pool: Callable[[Column], Column] = mean_of, longest: int | None = None) -> DataFrame:
+def embed(intervals: DataFrame, sequences: DataFrame | SequenceBlocks | None, model, pool: Callable[[Column], Column] = mean_of, longest: int | None = None, keys: tuple[str, ...] = ("set_id", "row_idx"), anywhere: bool = False) -> DataFrame:
     """(keys…, vec) of each interval, by its letters (`look_up`, `of_letters`) or by its position, as the model wants."""
-    keys = [c for c in ("set_id", "row_idx") if c in intervals.columns]
+    keys = [c for c in keys if c in intervals.columns]
     if model.wants == "interval":
         return intervals.select(*keys, model(F.col("start"), F.col("end")).alias("vec"))
-    return look_up(intervals, sequences, longest).select(*keys, of_letters(F.col("letters"), model, pool).alias("vec"))
+    return look_up(intervals, sequences, longest, anywhere).select(*keys, of_letters(F.col("letters"), model, pool).alias("vec"))
 
 
 @dataclass(frozen=True)

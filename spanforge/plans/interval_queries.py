@@ -380,7 +380,7 @@ def tiling_error(spark, d):
     from ..operators.embedding_stats import tiling_error as run
 
     iv = views.seq_iv(spark, d).select((F.col("row_idx") % 5).alias("set_id"), *_IV)
-    embed = lambda rows: E.embed(rows.withColumn("start", F.greatest("start", F.lit(0))), views.sequences(spark, d), E.CountAcgt(), longest=2 * _LONGEST)
+    embed = lambda rows: E.embed(rows.withColumn("start", F.greatest("start", F.lit(0))), views.sequences(spark, d), E.CountAcgt(), longest=2 * _LONGEST, keys=("uses",), anywhere=True)
     return run(iv, embed).select("size", rounded("error", 6).alias("error"), rounded("error95", 6).alias("error95"), "sets")
 
 
