@@ -27,3 +27,15 @@ def test_negative_means_and_sines_next_to_zero_keep_their_sign(spark, tmp_path):
         got = sorted(repr(r["vec"]) for r in registry.QUERIES[name](spark, str(tmp_path)).collect())
         want = sorted(repr(r[0]) for r in con.execute(f"SELECT vec FROM ({registry.ORACLE[name]})").fetchall())
         assert got == want and any("-0.0," in w for w in want)
+
+
+def test_genome_distance_of_reversed_intervals_is_that_of_sql(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT k::BIGINT AS o_orderkey, (k % 2)::BIGINT AS o_custkey, CASE k % 5 WHEN 4 THEN NULL ELSE (k % 5 - 2) * 30000.0 END::DOUBLE AS o_totalprice, 'a' AS o_orderpriority
+        FROM range(60) t(k)) TO '{tmp_path}/orders.parquet'""")
+    con.execute(f"""COPY (SELECT k::BIGINT AS event_id, (k % 4)::BIGINT AS user_id, 'a' AS event_type, (k % 7 - 3) * 11.0::DOUBLE AS value, TIMESTAMP '2024-01-01' + to_seconds(k) AS ts
+        FROM range(60) t(k)) TO '{tmp_path}/events.parquet'""")
+    for t in ("orders", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = sorted((r["row_idx"], repr(r["mb"])) for r in registry.QUERIES["genome_distance"](spark, str(tmp_path)).collect())
+    assert got == sorted((i, repr(mb)) for i, mb in con.execute(registry.ORACLE["genome_distance"]).fetchall())
