@@ -88,3 +88,15 @@ def test_neighbours_in_small_pieces(spark, monkeypatch):
             best._add(np.arange(lo, min(lo + 37, 300)), v[lo : lo + 37])
         assert {(i, r + 1, int(j)) for i in range(300) for r, j in enumerate(best.found[i])} == want
         assert {(r["query"], r["rank"], r["found"]) for r in K.knn(df, df, 7, metric, skip_self=True).collect()} == want
+
+
+def test_two_blocks_of_all_pairs_meet_once(spark, monkeypatch):
+    from spanforge.operators import graph as G
+
+    made, square = [], G.square
+    monkeypatch.setattr(G, "square", lambda *a: made.append(square(*a)) or made[-1])
+    df = spark.createDataFrame([(i % 190, i % 3 or None, [float(i % 7), 1.0]) for i in range(200)], "row_idx long, label int, vec array<double>")
+    found = G.pairwise_squared(df, block=20).collect()
+    want = [(i % 190, j % 190, None if not (i % 3 and j % 3) else i % 3 == j % 3, float((i % 7 - j % 7) ** 2)) for i in range(200) for j in range(200) if i % 190 != j % 190]
+    assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
+    assert made[0].count() == 200 * 10 and made[0].select("__p", "__q").distinct().count() == 55
