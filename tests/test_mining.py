@@ -89,3 +89,45 @@ def test_whole_embeddings(spark, sf, name):
         assert all(abs(found[a][1] - t) < 2e-4 for a, (_, t) in every.items())
     else:
         assert near(dict(found), hard if name == "triplets_hard" else semi)
+
+
+def test_copies_of_the_table_are_bounded_by_cores(spark, monkeypatch):
+    rows = [(i, i % 3, [float(i % 11), 0.1 * (i % 5)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "row_idx long, label int, vec array<double>")
+    monkeypatch.setattr(G, "BLOCK_ROWS", 5)
+    want = sorted(map(tuple, G.triplets_semi_hard(G.pairwise_squared(df), 0.5).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        assert sorted(map(tuple, G.mine_semi_hard(df, 0.5).collect())) == want and want
+        folded = G._folded(G._nodes(df), G._Far, 0.5)
+        assert folded.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert "array<float>" not in folded._jdf.queryExecution().analyzed().toString()  # 0.1 is no float
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_all_triplets_by_label_a_few_anchors_at_a_time(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    v, label, ids = rng.normal(size=(90, 3)).astype(np.float32), rng.integers(0, 4, 90), np.arange(90)
+    ids[70:75], label[:3] = ids[:5], [7, 8, 8]  # ids of several rows, labels of one row and two
+
+    def block(at, kind):
+        rows = [{"row_idx": int(ids[i]), "label": int(label[i]), "vec": v[i].tolist(), "bound": 0.0} for i in at]
+        return pa.array([rows], pa.list_(pa.struct([("row_idx", pa.int64()), ("label", pa.int32()), ("vec", pa.list_(kind)), ("bound", pa.float64())])))[0]
+
+    d = ((v[:, None].astype(float) - v[None]) ** 2).sum(2)
+    for kept, kind in ((1, pa.float32()), (400, pa.float64())):
+        monkeypatch.setattr(G, "KEPT", kept)
+        state = G._All(G._Rows(block(range(40), kind)), 0.1)
+        for lo in range(0, 90, 20):
+            state.add(G._Rows(block(range(lo, min(lo + 20, 90)), kind)))
+        got = {int(a): (int(n), round(float(t), 6)) for a, n, t in zip(*state.done(), strict=True)}
+        want = {}
+        for a in range(40):
+            x = [d[a, p] - d[a, n] for p in range(90) for n in range(90) if ids[p] != ids[a] != ids[n] and label[p] == label[a] != label[n] and d[a, p] - d[a, n] + 0.1 > 0]
+            if x:
+                want[a] = (len(x), round(sum(x), 6))
+        assert got == want
