@@ -85,3 +85,20 @@ def test_true_pairs_of_a_search_are_not_made(spark, sf):
     got = X.compare(X.true_pairs(q, s), X.found_pairs(q, s, hits)).first()
     assert (got["truth"], got["found"]) == (pairs.count(), hits.count())
     assert "LeftOuter" not in QUERIES["search_benchmark"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_row_that_covers_a_bin_and_starts_in_it_is_one_copy(spark):
+    rows = [(i, "a", f"chr{i % 3}", i * 100, i * 100 + 50) for i in range(600)]
+    q, s = (spark.createDataFrame([r for r in rows if r[0] % 2 == k], IV) for k in (0, 1))
+    assert O.cells(q, s, ["row_idx"], ["row_idx"], J.BIN, 64).count() == 600  # none of them is over the border of a bin
+
+
+def test_distinct_pairs_are_made_so_in_their_cells(spark, sf):
+    from spanforge.plans.registry import QUERIES
+
+    q, s, pairs = sides(spark)
+    q, s = (x.unionByName(x.limit(60)) for x in (q, s))
+    want = pairs.select("q_chrom", "q_start", "q_end", "s_start", "s_end").distinct()
+    assert plain(J.distinct_overlaps(q, s)) == plain(want)
+    plan = QUERIES["distinct_hits"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [chrom" not in plan and plan.count("Aggregate") == 2  # the levels of either side
